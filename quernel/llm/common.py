@@ -41,3 +41,14 @@ def n_spaced_words(text: Column) -> Column:
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, mod n; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def slices(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """Ranges of consecutive items whose sizes sum up to about `most`; a larger item gets a range of its own."""
+    out, start, total = [], 0, 0
+    for i, n in enumerate(sizes):
+        if total and total + n > most:
+            out.append((start, i))
+            start, total = i, 0
+        total += n
+    return [*out, (start, len(sizes))] if sizes else out
