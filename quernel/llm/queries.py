@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, mixing, pii, secrets, topk
+from . import decontaminate, language, licenses, mixing, pii, ppm, secrets, tokens, topk
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_pseudonymise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise_texts(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_text_tokens(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -35,12 +39,16 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_decontaminate, op4_pseudonymise, op6_exact_topk, op7_license_scan, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_decontaminate, op4_pseudonymise, op5_token_counts, op6_exact_topk, op7_license_scan, op9_lm_score, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
