@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, mixing, pii, ppm, secrets, tokens, topk
+from . import decontaminate, jaccard, language, licenses, mixing, pii, ppm, secrets, tokens, topk
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_texts(table(spark, sf_dir, "documents"))
 
@@ -48,8 +52,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_decontaminate, op4_pseudonymise, op5_token_counts, op6_exact_topk, op7_license_scan, op9_lm_score, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_decontaminate, op4_pseudonymise, op5_token_counts, op6_exact_topk, op7_license_scan, op8_jaccard_join, op9_lm_score, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.MIXING_SQL, "op3_decontaminate": decontaminate.DECONTAMINATION_SQL, "op6_exact_topk": topk.TOPK_SQL, "op7_license_scan": licenses.LICENSES_SQL}
+    return {"op2_mix_sources": mixing.MIXING_SQL, "op3_decontaminate": decontaminate.DECONTAMINATION_SQL, "op6_exact_topk": topk.TOPK_SQL, "op7_license_scan": licenses.LICENSES_SQL, "op8_jaccard_join": jaccard.JACCARD_SQL}
