@@ -8,18 +8,30 @@ rows are joined by token, where no key can be hot any more, and added up per doc
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Broadcast tokens at most, and their longest length; distinct tokens that a task holds before it passes their counts on.
-HOT, HOT_LENGTH, HELD = 1 << 19, 64, 1 << 20
+HOT, HOT_LENGTH, HELD = 1 << 19, 64, 1 << 19
+#: Bytes of text that are Python objects at once.
+PART_BYTES = 1 << 20
 
 Split = Callable[[], Callable[[bytes], list]]  # called once in each task
 
 
+def parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces with about PART_BYTES of a binary column each: Python objects are made for one piece at a time."""
+    for a, b in slices(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist(), PART_BYTES):
+        yield batch.slice(a, b - a)
+
+
 def count_tokens(texts: DataFrame, split: Split, token_type: str) -> DataFrame:
     """token, n over all rows of texts (one binary column); null texts have what the empty text has."""
     kind = pa.string() if token_type == "string" else pa.binary()
@@ -52,28 +64,32 @@ def at_most(table: DataFrame, n: Column, most: int) -> Column:
     return n >= F.lit(least) if least is not None else F.lit(False)
 
 
-def join_frequencies(docs: DataFrame, keep: list[str], split: Split, table: DataFrame, token_type: str, default: float, hot: int = HOT) -> DataFrame:
+def join_frequencies(docs: DataFrame, keep: list[str], split: Split, table: DataFrame, token_type: str, default: float, hot: int = HOT, score: Callable[[list[bytes]], Sequence[float]] | None = None) -> DataFrame:
     """The columns `keep`, n_tokens, n_known, total of each row of docs, which is a table read alike each time and has a binary column text.
 
     table: token, n, value. n_known counts the tokens in the table, total sums their values and `default` for each other token.
+    score: gives a number for each text, in a further column score; the texts are read once for both.
     """
     short = F.length("token") <= HOT_LENGTH
     wanted = at_most(table.where(short), F.col("n"), hot)
     rows = table.where(short & wanted).select("token", "value").toArrow()
     sent = docs.sparkSession.sparkContext.broadcast((rows.column(0).to_pylist(), rows.column(1).to_pylist()))
-    info = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    names = [*keep, *["score"] * bool(score)]
+    info = ", ".join([f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep] + ["score double"] * bool(score))
     kind = pa.string() if token_type == "string" else pa.binary()
     schema = f"row long, token {token_type}, freq long, n_tokens long, known long, total double, {info}"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, known = split(), dict(zip(*sent.value, strict=True))
         find = known.get
-        for batch in batches:
-            ids, texts, kept = batch.column(0).to_pylist(), batch.column(1), batch.columns[2:]
+        for batch in (part for whole in batches for part in parts(whole, 1)):
+            ids, texts, kept = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).to_pylist()], batch.columns[2:]
+            if score:
+                kept = [*kept, pa.array(np.asarray(score(texts), dtype=np.float64))]
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
             row, token, freq, n_tokens, n_known, total, source = out
             for i, (at, text) in enumerate(zip(ids, texts, strict=True)):
-                found = tokens(text.as_py() or b"")
+                found = tokens(text)
                 seen, sure, first = 0, 0.0, len(row)
                 for t, f in Counter(found).items():
                     if (v := find(t)) is None:
@@ -94,14 +110,14 @@ def join_frequencies(docs: DataFrame, keep: list[str], split: Split, table: Data
                 source += [i] + [None] * (more - 1)
             source = pa.array(source, pa.int32())
             columns = [pa.array(row, pa.int64()), pa.array(token, kind), *(pa.array(x, pa.int64()) for x in (freq, n_tokens, n_known)), pa.array(total, pa.float64()), *(c.take(source) for c in kept)]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "token", "freq", "n_tokens", "known", "total", *keep])
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "token", "freq", "n_tokens", "known", "total", *names])
 
     spread = docs.select(F.monotonically_increasing_id().alias("row"), "text", *keep).mapInArrow(read, schema)
     joined = spread.join(table.select("token", "value"), "token", "left")
     return (
         joined.groupBy("row")
         .agg(
-            *(F.first(c, ignorenulls=True).alias(c) for c in keep),
+            *(F.first(c, ignorenulls=True).alias(c) for c in names),
             F.max("n_tokens").alias("n_tokens"),
             (F.max("known") + F.sum(F.when(F.col("value").isNotNull(), F.col("freq")).otherwise(0))).alias("n_known"),
             (F.max("total") + F.sum(F.col("freq") * F.coalesce("value", F.lit(float(default))))).alias("total"),
