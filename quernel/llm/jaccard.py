@@ -2,12 +2,13 @@
 
 Equal sets are one row of the matrix (a node). Bounds from the sizes keep the product sparse: at similarity t, the first
 n - ceil(t n) + 1 of a node's n n-grams, in one order for all nodes, hold the first n-gram it shares with any partner. Only these columns are
-multiplied; n-grams that many nodes have there are put last in the order first, which empties most long columns.
+multiplied; n-grams that many nodes have there are put last in the order first, which empties most long columns. Two prefixes that share c
+n-grams bound the overlap by c + max(n - prefix) of the two: pairs whose count c leaves this below what their sizes need are discarded.
 
-Components need a spanning set of links, not all of them. So a column first links each node to the column's smallest one only. Columns whose
-nodes are then in one component are done. In the others, short columns pair nodes of different components; the nodes of long columns are cut
-into blocks by size, and each pair of blocks that can hold links is multiplied in one task, which returns links that connect its nodes.
-Overlap counts below the bound that the two sizes set are discarded; all similarities are exact, in whole numbers.
+Components need a spanning set of links, not all of them. So a long column first only pairs each node with the column's smallest one, and of these
+pairs each node keeps the one with the highest count. Short columns pair all their nodes. Nodes that such pairs, or long columns
+whose nodes are not in one component yet, connect are a cluster. A small cluster is multiplied whole; a large one is cut into blocks of
+nodes by size, and each pair of blocks that can hold new links is multiplied in one task, which returns links that connect its nodes. All similarities are exact, in whole numbers.
 
 Defined cases: null, empty and blank texts have no set, link with nothing and are their own component; texts of fewer than n words have
 one n-gram of all their words; repeated rows and equal texts are one node; null ids take part, and a component's id is the smallest
@@ -31,10 +32,14 @@ from .components import components
 from .frequency import at_most
 
 WIDTH, PERCENT = 4, 85
-#: A column of more nodes is long; n-grams put last in the order at most; nodes in a block; bytes of text handled at once.
-LONG, LAST, BLOCK, SHARD_BYTES = 64, 1 << 18, 256, 4 << 20
-#: Words whose hashes a task remembers.
-KNOWN_WORDS = 1 << 19
+#: N-grams of more nodes are put last in the order, LAST of them at most; a column of more nodes than LONG is long.
+DENSE, LAST, LONG = 64, 1 << 18, 256
+#: Nodes and n-grams in a block, about; bytes of text handled at once.
+BLOCK, BLOCK_GRAMS, SHARD_BYTES = 1024, 1 << 18, 4 << 20
+#: Words whose hashes a task remembers; prefix n-grams that a task counts at once.
+KNOWN_WORDS, HELD = 1 << 19, 1 << 21
+#: Bits at most of a bitmap of texts to read, and rows at most of a broadcast list of texts.
+MOST_BITS, BROADCAST_ROWS = 1 << 27, 1 << 19
 BETWEEN = b"\xff"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -111,36 +116,38 @@ def _shards(batches, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]
             yield batch.slice(a, b - a), texts[a:b]
 
 
-def node_table(texts: DataFrame, width: int) -> DataFrame:
-    """The columns of texts but the binary column text, with n_shingles and node (null if there is none)."""
-    keep = [c for c in texts.columns if c != "text"]
-    info = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in keep)
+def node_table(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Two kinds of rows. doc_id, text_hash, n_shingles, node (null if there is none) of each text; and gram, n: n-grams that several texts
+    of a task have in their prefixes by hash order alone, and how many do."""
+    id_type = texts.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "text_hash", "n_shingles", "node", "gram", "n"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, held = WordHashes(), []
+        kind = None
         for batch, raw in _shards(batches, 0):
             sets = list(shingle_sets(raw, width, hashes))
-            out = [*batch.columns[1:], pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays(out, names=[*keep, "n_shingles", "node"])
-
-    return texts.select("text", *keep).mapInArrow(find, f"{info}, n_shingles long, node long" if keep else "n_shingles long, node long")
-
+            kind = batch.column(1).type
+            none = pa.nulls(len(sets), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), none, none], names=names)
+            held.append(np.concatenate([s[: prefix_size(len(s), percent)] for s in sets if len(s)] or [np.zeros(0, np.uint64)]))
+            if sum(map(len, held)) > HELD:
+                yield several(held, kind)
+        if held:
+            yield several(held, kind)
 
-def column_counts(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """gram, n: how many texts have the n-gram in their prefix by hash order alone."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for _, raw in _shards(batches, 0):
-            parts = [s[: prefix_size(len(s), percent)] for s in shingle_sets(raw, width, hashes) if len(s)]
-            grams, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+    def several(held: list[np.ndarray], kind) -> pa.RecordBatch:
+        grams, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        grams, n = grams[n > 1], n[n > 1]
+        none = pa.nulls(len(grams), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.nulls(len(grams), kind), none, none, none, pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], names=names)
 
-    return texts.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.select("text", "doc_id", "text_hash").mapInArrow(find, f"doc_id {id_type}, text_hash long, n_shingles long, node long, gram long, n long")
 
 
 def prefix_rows(texts: DataFrame, width: int, percent: int, order) -> DataFrame:
-    """gram, node, n, left (n-grams after it in the node's order): the entries of the matrix that are multiplied. order: broadcast."""
+    """gram, node, n: the entries of the matrix that are multiplied. order: broadcast."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -149,20 +156,19 @@ def prefix_rows(texts: DataFrame, width: int, percent: int, order) -> DataFrame:
             for s in shingle_sets(raw, width, hashes):
                 if len(s) and (node := node_of(s)) not in seen:
                     seen[node] = (len(s), order.value.first(s, prefix_size(len(s), percent)))
-            size = np.array([n for n, _ in seen.values()], dtype=np.int32)
             many = np.array([len(p) for _, p in seen.values()], dtype=np.int64)
             grams = np.concatenate([p for _, p in seen.values()]) if seen else np.zeros(0, np.uint64)
-            place = np.arange(len(grams)) - np.repeat(np.cumsum(many) - many, many)
-            n = np.repeat(size, many)
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.repeat(np.array(list(seen), dtype=np.int64), many)), pa.array(n), pa.array((n - place - 1).astype(np.int32))], names=["gram", "node", "n", "left"])
+            n = np.repeat(np.array([n for n, _ in seen.values()], dtype=np.int32), many)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.repeat(np.array(list(seen), dtype=np.int64), many)), pa.array(n)], names=["gram", "node", "n"])
 
-    return texts.select("text").mapInArrow(rows, "gram long, node long, n int, left int")
+    return texts.select("text").mapInArrow(rows, "gram long, node long, n int")
 
 
-def may_link(a_n, b_n, a_left, b_left, percent: int):
-    """Bounds from sizes: the smaller set is large enough, and the shared n-gram and all after it can reach the overlap needed."""
-    need = percent * (a_n + b_n).cast("long")
-    return (100 * F.least(a_n, b_n).cast("long") >= percent * F.greatest(a_n, b_n).cast("long")) & ((100 + percent) * (1 + F.least(a_left, b_left)).cast("long") >= need)
+def may_link(a_n, b_n, shared, percent: int):
+    """Bounds from sizes: the smaller set is large enough, and `shared` n-grams of both prefixes and all outside one can reach the overlap needed."""
+    a, b = a_n.cast("long"), b_n.cast("long")
+    rest = F.greatest(*(F.call_function("div", percent * n + 99, F.lit(100).cast("long")) - 1 for n in (a, b)))
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * (shared + rest) >= percent * (a + b))
 
 
 def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -187,41 +193,77 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "v").join(left, "u").where(similar("u_grams", "v_grams")).select("u", "v")
 
 
-def sets_of(nodes: DataFrame, docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
-    """node, grams of the nodes (node), computed again from one text of each. places: node, row; docs: row, text (binary)."""
-    chosen = places.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
-    texts = docs.join(chosen, "row").select("text", "node")
+def key_bitmap(keys: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of bits and bitmap of the keys (key: long) modulo that: 64 bits a key or more, MOST_BITS at most."""
+    bits = 1 << 20
+    n = keys.count()
+    while bits < min(64 * n, MOST_BITS):
+        bits *= 2
+    at = F.pmod("key", F.lit(bits)) + 1
+    rows = keys.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).toLocalIterator()
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in rows:
+        part = np.frombuffer(bytes(r.m), dtype=np.uint8)
+        out[(r.b - 1) * 4096 : (r.b - 1) * 4096 + len(part)] = part
+    return bits, out
+
+
+def sets_of(nodes: DataFrame, texts: DataFrame, table: DataFrame, width: int) -> DataFrame:
+    """node, grams of the nodes (node) and perhaps a few others, computed again from one text of each. A bitmap of bounded size tells which
+    texts to read; no text is shuffled. table: doc_id, text_hash, node of all texts."""
+    key = F.xxhash64("doc_id", "text_hash")
+    chosen = table.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
+    bits, bitmap = key_bitmap(written(chosen.select(F.xxhash64("k.doc_id", "k.text_hash").alias("key")), "keys"))
+    sent = texts.sparkSession.sparkContext.broadcast(bitmap)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch, raw in _shards(batches, 0):
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([s.tobytes() for s in shingle_sets(raw, width, hashes)], pa.binary())], names=["node", "grams"])
+        for batch in batches:
+            at = batch.column(1).to_numpy()
+            asked = batch.filter(pa.array((sent.value[at >> 3] >> (at & 7)) & 1 == 1))
+            for _, raw in _shards([asked], 0):
+                sets = list(shingle_sets(raw, width, hashes))
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "grams"])
+
+    return texts.select("text", F.pmod(key, F.lit(bits)).alias("at")).mapInArrow(find, "node long, grams binary")
 
-    return texts.mapInArrow(find, "node long, grams binary")
 
+def packs(rows: DataFrame) -> DataFrame:
+    """key, cluster, node, component of clusters within the bounds of a block (rows: cluster, node, n, component): whole clusters, many to a key."""
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    return rows.select(F.pmod(F.xxhash64("cluster"), F.lit(max(1, math.ceil(total / BLOCK_GRAMS)))).alias("key"), "cluster", "node", "component")
 
-def block_links(rows: DataFrame, percent: int) -> DataFrame:
-    """u, v: links that connect, within each pair of blocks, all nodes that links of the pair connect. rows: cluster, node, n, component, grams.
 
-    Blocks hold about BLOCK nodes of one size class; sets of classes that aren't neighbours can't be similar enough.
+def block_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """key, cluster, node, component of larger clusters: a key for each pair of blocks that can hold new links, and a row for each node of both.
+
+    Blocks are of one size class each; sets of classes that aren't neighbours can't be similar enough. Large components get blocks of their
+    own: these need not meet themselves or each other.
     """
     ratio = math.log(100 / percent)
     # A hair wide, so that rounding puts no pair at the very bound two classes apart.
     classed = rows.withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio * (1 + 1e-9))).cast("int"))
-    parts = classed.groupBy("cluster", "size_class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    blocks = parts.select("cluster", "size_class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    large = classed.groupBy("cluster", "size_class", "component").agg(F.count("*").alias("m"), F.sum("n").alias("grams"))
+    large = large.withColumn("own", F.when((F.col("m") > BLOCK // 2) | (F.col("grams") > BLOCK_GRAMS // 2), F.col("component")).otherwise(F.lit(0).cast("long")))
+    key = ["cluster", "size_class", "own"]
+    parts = large.groupBy(*key).agg(F.greatest(F.ceil(F.sum("m") / BLOCK), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("parts"))
+    blocks = written(parts.select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "blocks")
     a, b = blocks.alias("a"), blocks.alias("b")
-    near = (F.col("a.cluster") == F.col("b.cluster")) & ((F.col("a.size_class") == F.col("b.size_class")) & (F.col("a.part") <= F.col("b.part")) | (F.col("a.size_class") + 1 == F.col("b.size_class")))
-    pairs = a.join(b, near).select(F.col("a.cluster").alias("cluster"), *(F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("size_class", "part")))
-    placed = classed.join(parts, ["cluster", "size_class"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    key = ["cluster", "a_size_class", "a_part", "b_size_class", "b_part"]
-    sides = [
-        placed.join(pairs, (placed["cluster"] == pairs["cluster"]) & (placed["size_class"] == pairs[f"{x}_size_class"]) & (placed["part"] == pairs[f"{x}_part"])).select(*(pairs[k] for k in key), F.lit(x).alias("side"), "node", "component", "grams")
-        for x in "ab"
-    ]
-
-    def multiply(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("node")
+    ahead = F.struct("a.own", "a.part") <= F.struct("b.own", "b.part")
+    near = (F.col("a.cluster") == F.col("b.cluster")) & ((F.col("a.size_class") == F.col("b.size_class")) & ahead | (F.col("a.size_class") + 1 == F.col("b.size_class")))
+    useful = (F.col("a.own") == 0) | (F.col("a.own") != F.col("b.own"))
+    sides = [F.struct(*(F.col(f"{x}.{c}").alias(c) for c in ("size_class", "own", "part"))) for x in "ab"]
+    pair = F.xxhash64("a.cluster", *(F.col(f"{x}.{c}") for x in "ab" for c in ("size_class", "own", "part"))).alias("key")
+    both = F.when(sides[0] == sides[1], F.array(sides[0])).otherwise(F.array(*sides))
+    pairs = a.join(b, near & useful).select(F.col("a.cluster").alias("cluster"), pair, F.explode(both).alias("x")).select("cluster", "key", "x.size_class", "x.own", "x.part")
+    placed = classed.join(large.select("cluster", "size_class", "component", "own"), ["cluster", "size_class", "component"]).join(parts, key).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    return placed.join(pairs, [*key, "part"]).select("key", "cluster", "node", "component")
+
+
+def multiplied(places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """u, v: of the nodes that share a key and a cluster (key, cluster, node, component), links that connect all components that their links connect."""
+
+    def multiply(group: pd.DataFrame) -> list[tuple[int, int]]:
         sets = [np.frombuffer(g, np.uint64) for g in group["grams"]]
         nodes, parent = group["node"].to_numpy(), {}
         size = np.array([len(s) for s in sets])
@@ -242,6 +284,7 @@ def block_links(rows: DataFrame, percent: int) -> DataFrame:
             block = np.zeros((len(sets), 4096), dtype=np.float32)
             block[row[x:y], column[x:y] - 4096 * i] = 1
             shared += block @ block.T
+        shared = shared.astype(np.int64)
         similar = 100 * shared >= percent * (size[:, None] + size - shared)
         components, out = group["component"].to_numpy(), []
         for i, j in zip(*np.nonzero(np.triu(similar, 1)), strict=True):
@@ -249,49 +292,80 @@ def block_links(rows: DataFrame, percent: int) -> DataFrame:
             if x != y:
                 parent[x] = y
                 out.append((nodes[i], nodes[j]))
+        return out
+
+    def each(group: pd.DataFrame) -> pd.DataFrame:
+        out = [link for _, rows in group.drop_duplicates(["cluster", "node"]).groupby("cluster") if len(rows) > 1 for link in multiply(rows)]
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    return sides[0].unionByName(sides[1]).groupBy(*key).applyInPandas(multiply, "u long, v long")
+    return sets.join(small(places), "node").groupBy("key").applyInPandas(each, "u long, v long")
+
+
+def small(side: DataFrame) -> DataFrame:
+    """A written table as the side of a join that is broadcast up to a number of rows; beyond it the join shuffles."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """row, doc_id, n_shingles, node, component of each row of docs (doc_id, text), which is a table read alike each time; component is null for rows without a set."""
+    """doc_id, text_hash, n_shingles, node, component of each row of docs (doc_id, text); node and component are null for rows without a set."""
     spark = docs.sparkSession
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary").alias("text"))
-    table = written(node_table(texts, width), "nodes")
-    counts = column_counts(texts, width, percent).where(F.col("n") > LONG)
-    counts = written(counts, "columns")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    both = written(node_table(texts, width, percent), "nodes")
+    table = both.where("gram IS NULL").select("doc_id", "text_hash", "n_shingles", "node")
+    counts = written(both.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > DENSE), "columns")
     last = counts.where(at_most(counts, F.col("n"), LAST)).toArrow()
     order = spark.sparkContext.broadcast(Order(last.column(0).to_numpy().view(np.uint64), last.column(1).to_numpy()))
     by = Window.partitionBy("gram").orderBy("n", "node")
-    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    star = F.first(F.struct("node", "n", "left")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    live = prefix_rows(texts, width, percent, order).withColumns({"star": star, "end": F.last("node").over(whole)})
-    live = written(live.where(F.col("star.node") != F.col("end")).drop("end"), "live")
-    tried = live.where((F.col("node") != F.col("star.node")) & may_link(F.col("n"), F.col("star.n"), F.col("left"), F.col("star.left"), percent))
-    tried = written(tried.select(F.col("star.node").alias("u"), F.col("node").alias("v")).distinct(), "stars")
-    raw, places = texts.select("row", "text"), table.where("node IS NOT NULL").select("node", "row")
-    touched = tried.select(F.col("u").alias("node")).unionByName(tried.select(F.col("v").alias("node")))
-    first = written(verified(tried, written(sets_of(touched, raw, places, width), "sets"), percent), "links")
+    whole = Window.partitionBy("gram").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    star = F.first(F.struct("node", "n")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    live = prefix_rows(texts, width, percent, order).withColumns({"star": star, "place": F.dense_rank().over(by)})
+    live = written(live.withColumn("nodes", F.max("place").over(whole)).where("nodes > 1").select("gram", "node", "n", "star", "nodes").distinct(), "live")
+    tried = live.where((F.col("nodes") > LONG) & (F.col("node") != F.col("star.node"))).groupBy("node", "n", "star").agg(F.count("*").alias("shared")).where(may_link(F.col("n"), F.col("star.n"), F.col("shared"), percent))
+    tried = written(tried.groupBy("node").agg(F.max_by("star.node", F.struct("shared", "star.node")).alias("u")).select("u", F.col("node").alias("v")), "stars")
+    first = written(verified(tried, written(sets_of(ends(tried), texts, table, width), "sets"), percent), "links")
     found = components(first)
-    # What is left: columns with nodes of several components.
-    held = live.select("gram", "node", "n", "left").distinct().join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed_ = held.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("nodes")).where("low <> high")
-    held = written(held.join(mixed_.select("gram", "nodes"), "gram"), "held")
-    a, b = held.where(F.col("nodes") <= LONG).alias("a"), held.where(F.col("nodes") <= LONG).alias("b")
-    apart = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.component") < F.col("b.component")) & may_link(F.col("a.n"), F.col("b.n"), F.col("a.left"), F.col("b.left"), percent)
-    pairs = a.join(b, apart).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-    known = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    pairs = written(pairs.join(known, ["u", "v"], "left_anti"), "pairs")
-    wide = held.where(F.col("nodes") > LONG)
-    hub = wide.groupBy("gram").agg(F.min("node").alias("hub"))
-    clusters = components(wide.join(hub, "gram").select(F.col("node").alias("u"), F.col("hub").alias("v")))
-    clustered = written(clusters.withColumnRenamed("component", "cluster").join(wide.groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component")), "node"), "clusters")
-    touched = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(clustered.select("node"))
-    sets = written(sets_of(touched, raw, places, width), "sets")
-    second = verified(pairs, sets, percent).unionByName(block_links(clustered.join(sets, "node"), percent))
+    # Short columns: pairs by their number of shared n-grams. A pair that shares long columns too is undercounted here, but is compared there.
+    short = live.where(F.col("nodes") <= LONG)
+    a, b = short.select("gram", "node", "n").alias("a"), short.select("gram", "node", "n").alias("b")
+    met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.node") < F.col("b.node")) & (100 * F.least("a.n", "b.n").cast("long") >= percent * F.greatest("a.n", "b.n").cast("long")))
+    pairs = met.groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.n").alias("un"), F.col("b.n").alias("vn")).agg(F.count("*").alias("shared"))
+    pairs = apart(pairs.where(may_link(F.col("un"), F.col("vn"), F.col("shared"), percent)).select("u", "v", "un", "vn"), found)
+    # Long columns: those whose nodes the stars have not put in one component.
+    wide = live.where(F.col("nodes") > LONG).select("gram", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = wide.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("hub")).where("low <> high")
+    wide = written(wide.join(several.select("gram", "hub"), "gram"), "wide")
+    # Nodes that pairs or long columns connect are a cluster. Small ones are compared whole; large ones in blocks, if long columns or many pairs ask for it.
+    cluster = components(pairs.select("u", "v").unionByName(wide.select(F.col("node").alias("u"), F.col("hub").alias("v"))))
+    ends_ = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("un").alias("n")), F.struct(F.col("v").alias("node"), F.col("vn").alias("n")))).alias("x")
+    size = pairs.select(ends_).select("x.*").unionByName(wide.select("node", "n")).groupBy("node").agg(F.first("n").alias("n"))
+    members = cluster.withColumnRenamed("component", "cluster").join(size, "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = written(members, "members")
+    lists = pairs.join(members, pairs["u"] == members["node"]).groupBy("cluster").agg(F.count("*").alias("pairs"))
+    spread = wide.select("node").join(members, "node").select("cluster", F.lit(True).alias("long")).distinct()
+    whole = members.groupBy("cluster").agg(F.count("*").alias("nodes"), F.sum("n").alias("grams")).join(lists, "cluster", "left").join(spread, "cluster", "left")
+    dense = F.coalesce("long", F.lit(False)) | (F.coalesce("pairs", F.lit(0)) > F.col("nodes") * F.ceil(F.col("nodes") / BLOCK))
+    kind = F.when((F.col("nodes") <= BLOCK) & (F.col("grams") <= BLOCK_GRAMS), "pack").when(dense, "blocks").otherwise("pairs")
+    members = written(members.join(whole.select("cluster", kind.alias("kind")), "cluster"), "kinds")
+    few = written(pairs.join(members.where("kind = 'pairs'").select(F.col("node").alias("u")), "u", "left_semi").select("u", "v"), "few")
+    places = written(packs(members.where("kind = 'pack'")).unionByName(block_pairs(members.where("kind = 'blocks'"), percent)), "places")
+    sets = written(sets_of(members.select("node"), texts, table, width), "sets")
+    second = multiplied(places, sets, percent)
+    if not few.isEmpty():
+        second = second.unionByName(verified(few, sets.join(small(written(ends(few).distinct(), "ends")), "node", "left_semi"), percent))
     final = components(written(first.unionByName(second), "links"))
-    return table.join(final, "node", "left").select("row", "doc_id", "n_shingles", "node", F.coalesce("component", "node").alias("component"))
+    return table.join(final, "node", "left").select("doc_id", "text_hash", "n_shingles", "node", F.coalesce("component", "node").alias("component"))
+
+
+def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (u, v, ...) whose ends are not in one component (node, component) yet."""
+    for c in "uv":
+        pairs = pairs.join(found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component")), c, "left")
+    same = F.coalesce("u_component", "u") == F.coalesce("v_component", "v")
+    return written(pairs.where(~same).drop("u_component", "v_component"), "pairs")
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("node"))
 
 
 def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -302,12 +376,20 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
 
 
 def keep_one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """docs, a table read alike each time, with one row (of the smallest id) for each component; rows without a set all stay."""
-    found = written(link_components(docs, width, percent), "components")
-    kept = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "row"))["row"].alias("kept_row"))
-    kept = kept.select("kept_row").unionByName(found.where("component IS NULL").select(F.col("row").alias("kept_row")))
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(kept, numbered["__row"] == kept["kept_row"], "left_semi").drop("__row")
+    """docs with one row for each component, of its smallest id; rows without a set all stay. Rows that go are told by their id and text."""
+    found = written(link_components(docs, width, percent), "components").where("component IS NOT NULL")
+    key = F.struct("doc_id", "text_hash")
+    kept = found.groupBy("component").agg(F.min(key).alias("kept"))
+    gone = written(found.join(kept, "component").where(~key.eqNullSafe(F.col("kept"))).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
+    repeated = written(found.join(kept, "component").where(key.eqNullSafe(F.col("kept"))).groupBy("doc_id", "text_hash").agg(F.count("*").alias("times")).where("times > 1").select(F.col("doc_id").alias("many_id"), F.col("text_hash").alias("many_hash")), "repeated")
+    hashed = docs.withColumn("__hash", F.xxhash64("text"))
+
+    rest = hashed.join(small(gone), hashed["doc_id"].eqNullSafe(F.col("gone_id")) & (hashed["__hash"] == F.col("gone_hash")), "left_anti")
+    if repeated.isEmpty():
+        return rest.drop("__hash")
+    many = rest["doc_id"].eqNullSafe(F.col("many_id")) & (rest["__hash"] == F.col("many_hash"))
+    once = rest.join(small(repeated), many, "left_semi").dropDuplicates(["doc_id", "__hash"])
+    return rest.join(small(repeated), many, "left_anti").unionByName(once).drop("__hash")
 
 
 JACCARD_SQL = r"""

@@ -51,6 +51,7 @@ def texts(seed, n, words=40):
 @pytest.mark.parametrize(("seed", "long", "block"), [(1, 64, 256), (2, 3, 4), (3, 2, 2)])
 def test_components_equal_brute_force(as_table, monkeypatch, seed, long, block):
     monkeypatch.setattr(jaccard, "LONG", long)
+    monkeypatch.setattr(jaccard, "DENSE", long)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = [*enumerate(texts(seed, 150)), (900, None), (901, ""), (902, " \t\n"), (903, "one two"), (904, "ONE two"), (905, "two one")]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(as_table(rows)).collect()}
@@ -63,12 +64,9 @@ def test_other_thresholds(as_table):
     assert got == brute(rows, 5, 80)
 
 
-def test_blocks_find_what_stars_cannot(spark, as_table, monkeypatch):
-    # With verification of stars switched off, pairs and blocks must find every component by themselves.
+def test_blocks_and_pairs_find_all_without_stars(as_table, monkeypatch):
     monkeypatch.setattr(jaccard, "LONG", 3)
     monkeypatch.setattr(jaccard, "BLOCK", 4)
-    monkeypatch.setattr(jaccard, "may_link", lambda a, b, c, d, percent: (100 * F.least(a, b).cast("long") >= percent * F.greatest(a, b).cast("long")))
-    rows = list(enumerate(texts(5, 80)))
     real, calls = jaccard.verified, []
 
     def verified(pairs, sets, percent):
@@ -76,12 +74,9 @@ def test_blocks_find_what_stars_cannot(spark, as_table, monkeypatch):
         return real(pairs.where(F.lit(False)) if len(calls) == 1 else pairs, sets, percent)
 
     monkeypatch.setattr(jaccard, "verified", verified)
-    joined = jaccard.similar_documents(as_table(rows))
-    got = {r.doc_id: r.component_id for r in joined.collect()}
-    expected = {i: c for i, (_, c) in brute(rows).items()}
-    # Pairs tried as stars are not tried again in short columns, so only long columns must be complete here.
-    big = {c for c in expected.values() if list(expected.values()).count(c) > 12}
-    assert big and all(len({got[i] for i in expected if expected[i] == c}) < sum(x == c for x in expected.values()) for c in big)
+    rows = list(enumerate(texts(5, 120)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(as_table(rows)).collect()}
+    assert got == brute(rows)
 
 
 def test_one_of_each_stays(as_table):
