@@ -48,13 +48,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> Data
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies: how often each row of docs (doc_id, text, source) is emitted.
+    """doc_id, text_hash, source, size, source_size, target, copies: how often each row of docs (doc_id, text, source) is emitted.
 
     The prefix sums need no source in one task: rows are range-partitioned by (source, size, id), counted per partition and source,
     and numbered from the sum of the counts before.
     """
-    sizes = written(docs.select("doc_id", "source", n_spaced_words(F.col("text")).alias("size")), "sizes")
-    order = [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("doc_id").asc_nulls_last()]
+    sizes = written(docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), n_spaced_words(F.col("text")).alias("size")), "sizes")
+    order = [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("doc_id").asc_nulls_last(), F.col("text_hash")]
     placed = written(
         sizes.repartitionByRange(*order)
         .sortWithinPartitions(*order)
@@ -72,13 +72,18 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     both = placed.alias("p").join(runs.alias("r"), F.expr("p.part = r.part AND p.source <=> r.source"))
     at = F.col("p.at") + F.col("r.skip")
     crossed = lambda n: F.shiftright(n * F.col("rate") + F.col("offset"), FRACTION_BITS)
-    return both.select("p.doc_id", "p.source", "p.size", "source_size", "target", (crossed(at + 1) - crossed(at)).cast("long").alias("copies"))
+    return both.select("p.doc_id", "p.text_hash", "p.source", "p.size", "source_size", "target", (crossed(at + 1) - crossed(at)).cast("long").alias("copies"))
 
 
 def emit_mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of docs as often as mix_sources says, with its copy number (from 1). Ids are taken to be distinct."""
-    mixed = mix_sources(docs, **options).where("copies > 0").select(F.col("doc_id").alias("mix_id"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["mix_id"])).drop("mix_id")
+    """The mix itself: every row of docs as often as mix_sources says, with its number among the emissions of its id, text and source (from 1)."""
+    key = [F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_hash"), F.col("source").alias("mix_source")]
+    mixed = mix_sources(docs, **options).groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    hashed = docs.withColumn("mix_hash_", F.xxhash64("text"))
+    same = hashed["doc_id"].eqNullSafe(F.col("mix_id")) & (hashed["mix_hash_"] == F.col("mix_hash")) & hashed["source"].eqNullSafe(F.col("mix_source"))
+    numbers = F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int"))).alias("copy")
+    joined = hashed.dropDuplicates(["doc_id", "mix_hash_", "source"]).join(mixed.select(*key, F.col("copies").alias("copies_")), same)
+    return joined.select(*(hashed[c] for c in docs.columns), numbers)
 
 
 def mixing_query(docs: DataFrame) -> DataFrame:
