@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig
 from ..functions.text import plain_tokens
 from .index import Index
-from .rank import top
+from .rank import ranked, top
 
 #: Scores are compared after rounding to so many digits, as sums of floats depend on their order.
 DIGITS = 9
+#: Questions in one broadcast block of vector search.
+QUERY_BLOCK = 4096
 
 
 def query_terms(queries: DataFrame, tokens=plain_tokens) -> DataFrame:
@@ -49,12 +55,59 @@ def dot(a: Column, b: Column) -> Column:
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int | None = 100) -> DataFrame:
     """query_id, ord, doc_id, score = (1 + dot product) / 2 of the best k of vectors (doc_id, vector) for each of queries (query_id, vector).
 
-    Queries are a stated set; they ride with every vector as one array, so that no pair of rows is joined and each task only keeps k per query.
+    Queries are a stated set. They go out in blocks of QUERY_BLOCK; each batch of vectors is multiplied with a block as matrices and passes on its
+    best k for each query, with ties, so neither pairs nor whole lists are sorted or shuffled. Vectors of other lengths don't compare.
     """
+    asked = queries.select("query_id", "vector").where("vector IS NOT NULL")
+    if k is None:
+        return ranked(vector_scores(vectors, asked), [F.col("score").desc(), F.col("doc_id")])
+    kinds = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c, d in (("query_id", asked), ("doc_id", vectors)))
+    rows = vectors.select("doc_id", F.col("vector").cast("array<double>").alias("vector")).where(F.size("vector") > 0)
+    n = max(1, -(-asked.count() // QUERY_BLOCK))
+    found = None
+    for b in range(n):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).select("query_id", F.col("vector").cast("array<double>").alias("vector")).toArrow().combine_chunks()
+        best = rows.mapInArrow(best_of_batches(vectors.sparkSession.sparkContext.broadcast(block), k), f"{kinds}, score double")
+        found = best if found is None else found.unionByName(best)
+    return top(found, k, [F.col("score").desc(), F.col("doc_id")])
+
+
+def by_length(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and matrix of the vectors of each length."""
+    flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    sizes = np.diff(offsets)
+    for d in np.unique(sizes):
+        rows = np.flatnonzero(sizes == d)
+        yield rows, flat[offsets[rows][:, None] + np.arange(d)]
+
+
+def best_of_batches(queries, k: int):
+    """Function for mapInArrow over (doc_id, vector): of each batch the rows that reach its k-th best score for a query (query_id, vector; broadcast)."""
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = queries.value
+        if not table.num_rows:
+            return
+        asked = {m.shape[1]: (rows, m) for rows, m in by_length(table.column(1).chunk(0))}
+        ids = table.column(0).chunk(0)
+        for batch in batches:
+            for rows, m in by_length(batch.column(1)):
+                if m.shape[1] not in asked:
+                    continue
+                which, q = asked[m.shape[1]]
+                scores = np.round((1 + q @ m.T) / 2, DIGITS)
+                least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(q), -np.inf)
+                i, j = np.nonzero(scores >= least[:, None])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(which[i])), batch.column(0).take(pa.array(rows[j])), pa.array(scores[i, j])], names=["query_id", "doc_id", "score"])
+
+    return search
+
+
+def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, doc_id, score of all vectors for each query: for few queries, when all is wanted."""
     asked = F.broadcast(queries.agg(F.collect_list(F.struct("query_id", F.col("vector").alias("q"))).alias("asked")))
     rows = vectors.join(asked, F.size("vector") > 0).select("doc_id", "vector", F.explode("asked").alias("x"))
-    same = rows.where(F.size("vector") == F.size("x.q")).select("x.query_id", "doc_id", F.round((1 + dot(F.col("vector"), F.col("x.q"))) / 2, DIGITS).alias("score"))
-    return top(same, k, [F.col("score").desc(), F.col("doc_id")])
+    return rows.where(F.size("vector") == F.size("x.q")).select("x.query_id", "doc_id", F.round((1 + dot(F.col("vector"), F.col("x.q"))) / 2, DIGITS).alias("score"))
 
 
 def match_all(documents: DataFrame, queries: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import AspectBoost, Diversity, SearchConfig, SentimentBoost, TimeDecay
+from ..functions import encode
 from ..functions import text as texts
 from ..operators import facets, filters, fuse, index, rank, rerank, retrieve, trend, words
 from ..operators.filters import Filters
@@ -368,6 +369,14 @@ def stemmed_bm25(t: Tables) -> DataFrame:
     return rounded(retrieve.keyword_top(built, terms, 20), "score")
 
 
+@query
+def hashed_semantic_search(t: Tables) -> DataFrame:
+    """Texts and questions through the default encoder."""
+    documents = encode.embedded(t.table("documents").select("doc_id", "text")).select("doc_id", "vector")
+    asked = encode.embedded(t.queries.select("query_id", "q"), column="q")
+    return rounded(retrieve.vector_top(documents, asked, 20), "score")
+
+
 def formatted(page: DataFrame) -> DataFrame:
     """Lists as text, for comparison."""
     return page.withColumns({"tools": F.array_join("tools", ","), "aspects": F.array_join(F.transform("aspects", lambda a: F.concat_ws(":", a["name"], a["polarity"])), ","), "date": F.date_format("date", "yyyy-MM-dd")})

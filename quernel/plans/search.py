@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig
+from ..functions.encode import Encoder, embedded
 from ..functions.text import detected_aspects, parsed_aspects, snippet
 from ..operators import facets, filters, fuse, index, rank, rerank, retrieve, trend, words
 from ..operators.filters import Filters
@@ -31,13 +32,17 @@ class Results:
 class SearchEngine:
     """Answers tables of queries (query_id, q, vector) in one job each."""
 
-    def __init__(self, index_: Index, config: SearchConfig = SearchConfig(), now: datetime | None = None):
-        self.index, self.config, self.now = index_, config, now or datetime.now()
+    def __init__(self, index_: Index, config: SearchConfig = SearchConfig(), now: datetime | None = None, encoder: Encoder | None = None):
+        self.index, self.config, self.now, self.encoder = index_, config, now or datetime.now(), encoder
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, **options) -> SearchEngine:
         return cls(index.load_index(spark, path), **options)
 
+    def asked(self, questions: DataFrame) -> DataFrame:
+        """Questions (query_id, q) with the vectors that this engine's encoder gives them."""
+        return embedded(questions, self.encoder, "q")
+
     def keyword(self, queries: DataFrame, k: int | None) -> DataFrame:
         return retrieve.keyword_top(self.index, retrieve.query_terms(queries), k, self.config)
 

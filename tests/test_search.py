@@ -48,6 +48,22 @@ def test_vector_search(engine, queries):
     assert [(r.query_id, r.doc_id, round(r.score, 6)) for r in engine.vector(queries, 10).orderBy("ord").collect()] == [(1, 1, 1.0), (1, 2, 0.8), (1, 4, 0.0)]
 
 
+@pytest.mark.parametrize("block", [1, 4096])
+def test_vector_search_equals_brute_force(spark, monkeypatch, block):
+    import numpy as np
+
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", block)
+    rng = np.random.default_rng(1)
+    rows = [(int(i), [float(np.float32(x)) for x in rng.choice([0.5, -0.5, 0.25], 3 if i % 9 else 2)]) for i in range(300)]
+    asked = [(q, rows[q][1]) for q in (3, 9, 20)]
+    expected = {(q, n, i, round(s, 6)) for q, v in asked for n, (s, i) in enumerate(sorted((((1 + sum(a * b for a, b in zip(v, w, strict=True))) / 2, i) for i, w in rows if len(w) == len(v)), key=lambda x: (-x[0], x[1]))[:7], 1)}
+    vectors = spark.createDataFrame([*rows, (999, None), (998, [])], "doc_id long, vector array<float>").repartition(5)
+    queries = spark.createDataFrame([*asked, (99, None)], "query_id int, vector array<float>")
+    got = {(r.query_id, r.ord, r.doc_id, round(r.score, 6)) for r in retrieve.vector_top(vectors, queries, 7).collect()}
+    assert got == expected
+    assert retrieve.vector_top(vectors, queries, None).count() == sum(len(v) == len(w) for _, v in asked for _, w in rows)
+
+
 def test_search_pages_and_facets(engine, queries):
     results = engine.search(queries)
     page = engine.page(results, 1, 2).where("query_id = 1").orderBy("ord").collect()
