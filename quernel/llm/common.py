@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,30 @@ from pyspark.sql import functions as F
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes in an Arrow batch for Python functions, and the setting that bounds it with its default.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df. Texts can be long, so batches of its session hold BATCH_BYTES from now on, unless someone has chosen another bound."""
+    conf = df.sparkSession.conf
+    if str(conf.get(BATCH_SETTING, str(BATCH_DEFAULT))).lower() in (str(BATCH_DEFAULT), f"{BATCH_DEFAULT}b", "64m", "64mb"):
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
+def trimmed(batches: Iterable) -> Iterator:
+    """The batches; after each, memory that its handling has freed goes back to the system, as Python workers live on between tasks."""
+    library = ctypes.CDLL(None)
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if hasattr(library, "malloc_trim"):
+            library.malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,6 +61,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a written table that is broadcast at most.
+BROADCAST_ROWS = 1 << 19
+
+
+def small(side: DataFrame) -> DataFrame:
+    """A written table as the side of a join that is broadcast up to a number of rows; beyond it the join shuffles."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
 def n_spaced_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACED_WORD)), F.lit(0)).cast("long")
 

@@ -23,11 +23,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded_batches, slices, trimmed
 
 WIDTH = 10
 #: Bytes of benchmark text in one broadcast block, and of document text in one suffix array.
-BLOCK_BYTES, SHARD_BYTES = 4 << 20, 6 << 20
+BLOCK_BYTES, SHARD_BYTES = 4 << 20, 4 << 20
 #: Lower-cases A-Z; keeps 0-9, a-z and all bytes of characters outside ASCII; the rest separates words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Stands between documents; no UTF-8 text holds it.
@@ -164,7 +164,7 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> li
 
 def contamination(text: Column, benchmark: DataFrame, width: int = WIDTH) -> Column:
     """Struct n_words, n_hit, n_items, items_sha256, contaminated of a text column."""
-    sent = benchmark_blocks(benchmark)
+    sent = benchmark_blocks(bounded_batches(benchmark))
 
     @F.pandas_udf("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -175,7 +175,7 @@ def contamination(text: Column, benchmark: DataFrame, width: int = WIDTH) -> Col
                 yield TestSuffixes(part.value, width)
                 part.__dict__.pop("_value", None)  # one block in memory at a time
 
-        for batch in batches:
+        for batch in trimmed(batches):
             texts = [t or b"" for t in batch]
             rows = []
             for a, b in slices([len(t) for t in texts], SHARD_BYTES):

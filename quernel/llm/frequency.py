@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded_batches, slices, trimmed
 
 #: Broadcast tokens at most, and their longest length; distinct tokens that a task holds before it passes their counts on.
 HOT, HOT_LENGTH, HELD = 1 << 19, 64, 1 << 19
@@ -42,7 +42,7 @@ def count_tokens(texts: DataFrame, split: Split, token_type: str) -> DataFrame:
         def rows():
             return pa.RecordBatch.from_arrays([pa.array(list(seen), kind), pa.array(list(seen.values()), pa.int64())], names=["token", "n"])
 
-        for batch in batches:
+        for batch in trimmed(batches):
             for text in batch.column(0):
                 seen.update(tokens(text.as_py() or b""))
                 if len(seen) > HELD:
@@ -50,7 +50,7 @@ def count_tokens(texts: DataFrame, split: Split, token_type: str) -> DataFrame:
                     seen.clear()
         yield rows()
 
-    return texts.mapInArrow(count, f"token {token_type}, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return bounded_batches(texts).mapInArrow(count, f"token {token_type}, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def at_most(table: DataFrame, n: Column, most: int) -> Column:
@@ -82,7 +82,7 @@ def join_frequencies(docs: DataFrame, keep: list[str], split: Split, table: Data
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, known = split(), dict(zip(*sent.value, strict=True))
         find = known.get
-        for batch in (part for whole in batches for part in parts(whole, 1)):
+        for batch in (part for whole in trimmed(batches) for part in parts(whole, 1)):
             ids, texts, kept = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).to_pylist()], batch.columns[2:]
             if score:
                 kept = [*kept, pa.array(np.asarray(score(texts), dtype=np.float64))]

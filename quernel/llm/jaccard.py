@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import bounded_batches, slices, small, trimmed, written
 from .components import components
 from .frequency import at_most
 
@@ -35,11 +35,11 @@ WIDTH, PERCENT = 4, 85
 #: N-grams of more nodes are put last in the order, LAST of them at most; a column of more nodes than LONG is long.
 DENSE, LAST, LONG = 64, 1 << 18, 256
 #: Nodes and n-grams in a block, about; bytes of text handled at once.
-BLOCK, BLOCK_GRAMS, SHARD_BYTES = 1024, 1 << 18, 4 << 20
+BLOCK, BLOCK_GRAMS, SHARD_BYTES = 1024, 1 << 18, 2 << 20
 #: Words whose hashes a task remembers; prefix n-grams that a task counts at once.
-KNOWN_WORDS, HELD = 1 << 19, 1 << 21
-#: Bits at most of a bitmap of texts to read, and rows at most of a broadcast list of texts.
-MOST_BITS, BROADCAST_ROWS = 1 << 27, 1 << 19
+KNOWN_WORDS, HELD = 1 << 18, 1 << 20
+#: Bits at most of a bitmap of texts to read.
+MOST_BITS = 1 << 27
 BETWEEN = b"\xff"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -110,7 +110,7 @@ class Order:
 
 
 def _shards(batches, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for batch in batches:
+    for batch in trimmed(batches):
         texts = [t or b"" for t in batch.column(column).to_pylist()]
         for a, b in slices([len(t) for t in texts], SHARD_BYTES):
             yield batch.slice(a, b - a), texts[a:b]
@@ -301,15 +301,10 @@ def multiplied(places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sets.join(small(places), "node").groupBy("key").applyInPandas(each, "u long, v long")
 
 
-def small(side: DataFrame) -> DataFrame:
-    """A written table as the side of a join that is broadcast up to a number of rows; beyond it the join shuffles."""
-    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
-
-
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles, node, component of each row of docs (doc_id, text); node and component are null for rows without a set."""
     spark = docs.sparkSession
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    texts = bounded_batches(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     both = written(node_table(texts, width, percent), "nodes")
     table = both.where("gram IS NULL").select("doc_id", "text_hash", "n_shingles", "node")
     counts = written(both.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > DENSE), "columns")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices
+from .common import bounded_batches, crc_mod, slices, trimmed
 
 UNKNOWN = "und"
 #: Texts of each language in the training sample, about.
@@ -33,7 +33,7 @@ FEATURE_BITS, ORDERS = 17, (2, 3, 4)
 SWITCH, TEMPER, SMOOTH = 8.0, 0.4, 0.2
 #: What a language costs that isn't a candidate for a word's script, and the share of a language's words from which on it uses a script.
 FOREIGN, USES = 40.0, 0.01
-SHARD_BYTES, KNOWN_WORDS, STEP = 4 << 20, 400_000, 64
+SHARD_BYTES, KNOWN_WORDS, STEP = 2 << 20, 200_000, 64
 WORD = re.compile(r"[^\W\d_]+")
 
 #: First code points of ranges of letters, with their scripts; a range reaches to the next. Fixed values of the Unicode standard.
@@ -173,7 +173,7 @@ class Labeller:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     """Model of the languages in `labelled` (doc_id, text, lang)."""
-    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
+    labelled = bounded_batches(labelled).where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
         return None
@@ -185,7 +185,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, scripts = np.zeros((k, 1 << FEATURE_BITS), dtype=np.int64), np.zeros((k, len(NAMES)), dtype=np.int64)
-        for batch in batches:
+        for batch in trimmed(batches):
             for lang, texts in batch.groupby("lang")["text"]:
                 seen = Counter(w for t in texts for w in words_of(t))
                 if seen:
@@ -215,7 +215,7 @@ def identify(text: Column, model: LanguageModel | None, spark, switch: float = S
         model = sent.value
         names = np.array([*(model.languages if model else ()), UNKNOWN], dtype=object)
         labeller, k = model and Labeller(model, switch), len(names) - 1
-        for batch in batches:
+        for batch in trimmed(batches):
             texts = list(batch)
             if not model:
                 out = pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0, "n_spans": 0})

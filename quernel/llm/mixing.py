@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_spaced_words, written
+from .common import n_spaced_words, small, written
 
 #: Expected copies are fixed-point numbers with this many fractional bits, so that sums are exact.
 FRACTION_BITS = 30
@@ -77,13 +77,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
 
 def emit_mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of docs as often as mix_sources says, with its number among the emissions of its id, text and source (from 1)."""
-    key = [F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_hash"), F.col("source").alias("mix_source")]
-    mixed = mix_sources(docs, **options).groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("copies")).where("copies > 0")
-    hashed = docs.withColumn("mix_hash_", F.xxhash64("text"))
-    same = hashed["doc_id"].eqNullSafe(F.col("mix_id")) & (hashed["mix_hash_"] == F.col("mix_hash")) & hashed["source"].eqNullSafe(F.col("mix_source"))
-    numbers = F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int"))).alias("copy")
-    joined = hashed.dropDuplicates(["doc_id", "mix_hash_", "source"]).join(mixed.select(*key, F.col("copies").alias("copies_")), same)
-    return joined.select(*(hashed[c] for c in docs.columns), numbers)
+    totals = mix_sources(docs, **options).groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").cast("int").alias("mix_copies"), F.count("*").alias("times"))
+    totals = written(totals.select(F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_hash"), F.col("source").alias("mix_source"), "mix_copies", "times"), "mix")
+    hashed = docs.withColumn("mix_text", F.xxhash64("text"))
+    if not totals.where("times > 1").isEmpty():  # repeated rows are emitted from one of them
+        hashed = hashed.dropDuplicates(["doc_id", "mix_text", "source"])
+    same = hashed["doc_id"].eqNullSafe(F.col("mix_id")) & (hashed["mix_text"] == F.col("mix_hash")) & hashed["source"].eqNullSafe(F.col("mix_source"))
+    joined = hashed.join(small(totals.where("mix_copies > 0").drop("times")), same)
+    return joined.select(*(hashed[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("copy"))
 
 
 def mixing_query(docs: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, trimmed
+
 #: Kinds in the order in which spans at one start are listed. The first three are the base kinds.
 KINDS = ("assign", "access", "hex", "github", "npm", "slack", "stripe", "jwt", "pem")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -113,7 +115,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scanner = Scanner()
-        for texts in batches:
+        for texts in trimmed(batches):
             rows = []
             for text in texts:
                 spans = scanner.spans(text)
@@ -122,7 +124,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
                 rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
             yield pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.select("doc_id", scan("text").alias("found")).select("doc_id", "found.*")
+    return bounded_batches(docs).select("doc_id", scan("text").alias("found")).select("doc_id", "found.*")
 
 
 def redact_secrets(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
@@ -131,7 +133,7 @@ def redact_secrets(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     @F.pandas_udf("string")
     def redact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scanner = Scanner()
-        for texts in batches:
+        for texts in trimmed(batches):
             out = []
             for text in texts:
                 parts, at = [], 0
@@ -142,4 +144,4 @@ def redact_secrets(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
                 out.append("".join([*parts, text[at:]]) if parts else text)
             yield pd.Series(out, dtype=object)
 
-    return docs.withColumn("text", redact("text"))
+    return bounded_batches(docs).withColumn("text", redact("text"))
