@@ -87,10 +87,21 @@ class SearchEngine:
         rows = rank.page(results.rows, number, size or self.config.page_size)
         return enriched(rows.join(self.index.documents.select("doc_id", "title", "text"), "doc_id"), results.mode)
 
-    def trend(self, queries: DataFrame, granularity: str = "month", mode: str = "hybrid", f: Filters = Filters(), min_similarity: float | None = None) -> DataFrame:
-        """Trend of all rows that a query finds. Boosts, decay and diversity only reorder, so they are left out."""
+    def answered(self, queries: DataFrame) -> DataFrame:
+        """query_id of the queries of which the index has any term; filters play no part."""
+        return retrieve.query_terms(queries).join(self.index.vocabulary.select("term").distinct(), "term", "left_semi").select("query_id").distinct()
+
+    def trend(self, queries: DataFrame, granularity: str = "month", mode: str | None = None, f: Filters = Filters(), min_similarity: float | None = None) -> DataFrame:
+        """Trend of all rows that the queries find, taken together.
+
+        Queries without text find every document. The others find none, if no document has a term of theirs. Without a mode, they are
+        hybrid. Boosts, decay and diversity only reorder, so they are left out.
+        """
         least = self.config.trend_min_similarity if min_similarity is None else min(max(min_similarity, 0.0), 1.0)
-        rows = rerank.similarity_threshold(self.candidates(queries, mode, whole=True), least, mode)
+        worded = queries.where(F.trim("q") != "")
+        mode = mode if mode in ("keyword", "hybrid") else "hybrid"
+        found = rerank.similarity_threshold(self.candidates(worded, mode, whole=True), least, mode).join(self.answered(worded), "query_id", "left_semi")
+        rows = found.select("query_id", "doc_id").unionByName(retrieve.match_all(self.index.documents, queries.where(F.trim("q") == "")).select("query_id", "doc_id"))
         return trend.trend(filters.filtered(rows.join(self.index.documents.select(*LIGHT), "doc_id"), f), granularity)
 
     def suggest(self, queries: DataFrame, most: int = 8) -> DataFrame:

@@ -100,6 +100,12 @@ def test_trend(docs, engine, queries):
     assert {r.date: r["count"] for r in engine.trend(queries.where("query_id = 1"), "day", min_similarity=0.7).collect()} == {"2024-01-03": 1, "2024-01-08": 1}
 
 
+def test_trends_of_unknown_and_empty_questions(spark, engine):
+    asked = lambda q: spark.createDataFrame([(1, q, [1.0, 0.0])], "query_id int, q string, vector array<float>")
+    assert engine.trend(asked("zzzz"), "day").count() == 0
+    assert {r.date: r["count"] for r in engine.trend(asked(" "), "month").collect()} == {"2024-01": 2, "2024-02": 1}
+
+
 def test_saved_index(spark, docs, queries, tmp_path):
     index.save_index(index.build_index(docs), f"{tmp_path}/index")
     engine = SearchEngine.open(spark, f"{tmp_path}/index", now=datetime(2024, 6, 1))
