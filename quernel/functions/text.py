@@ -128,9 +128,13 @@ def stem_table(terms: DataFrame) -> DataFrame:
 
 def detected_aspects(text: Column) -> Column:
     """Names of the aspects of which a trigger stands anywhere in the text, in the aspects' order."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    told = [F.when(reduce(lambda a, b: a | b, (F.contains(low, F.lit(k)) for k in keys)), F.lit(name)) for name, keys in ASPECTS.items()]
-    return F.filter(F.array(*told), lambda x: x.isNotNull())
+
+    def told(low: Column) -> Column:
+        names = (F.when(reduce(lambda a, b: a | b, (F.contains(low, F.lit(k)) for k in keys)), F.lit(name)) for name, keys in ASPECTS.items())
+        return F.filter(F.array(*names), lambda x: x.isNotNull())
+
+    # As the variable of a lambda, the lower-case text is made once, not for each trigger.
+    return F.get(F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), told), 0)
 
 
 def named(value: Column, names: dict[str, str]) -> Column:
