@@ -1,10 +1,12 @@
 """Language-model scoring: prediction by partial matching over bytes, beside a smoothed unigram baseline.
 
-Counts of all byte contexts up to ORDER bytes are gathered from every training text; the trie keeps the most frequent nodes, of one least
-count for all lengths, so that each kept context's shorter forms are kept too. A byte that a context has not seen costs an escape
-(method C: as likely as the context's number of distinct bytes, and the counts of nodes left out), and the next shorter context then excludes the bytes that the longer one
-has seen. As a node's excluded bytes only depend on the node escaped from, both denominators are computed once per node, and
-texts are scored by look-ups of whole arrays. Texts begin after ORDER marks and end with a mark, which is coded like a byte.
+Counts of all byte contexts up to ORDER bytes are gathered from every training text, and all of them are kept, in written tables. A byte that a context
+has not seen costs an escape (method C: as likely as the context's number of distinct bytes), and the next shorter context then excludes the bytes
+that the longer one has seen. As a node's excluded bytes only depend on the node escaped from, both denominators are computed once per node. Each
+distinct window (the last ORDER + 1 bytes) of all texts is scored once, beside those with a like end; the scores of the most frequent ones are broadcast and
+summed where the text is read, the other ones are joined to the texts. Texts begin after ORDER marks and end with a mark, which is coded like a byte.
+
+train() makes one trie of the most frequent nodes only; what it leaves out goes to escapes. op9 doesn't use it.
 
 Defined cases: null text is the empty text, which costs its end mark; with no training text bytes are equally likely and the baseline is 0;
 repeated rows repeat their result (rows are told apart by their place, so the input is to be a table); other columns play no part.
@@ -16,17 +18,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices, trimmed, written
-from .frequency import at_most, count_tokens, join_frequencies
+from .common import bounded_batches, crc_mod, slices, trimmed, written
+from .frequency import at_most, count_tokens, join_frequencies, parts
 
 ORDER = 5
-#: Trie nodes kept at most; n-grams that a task holds before it passes their counts on; bytes handled at once.
+#: Nodes of a trie in memory at most; n-grams that a task holds before it passes their counts on; bytes handled at once.
 NODES, HELD, SHARD_BYTES = 1 << 20, 1 << 20, 1 << 20
 #: Tokens whose baseline values are broadcast.
 HOT = 1 << 18
+#: Windows whose scores are broadcast; the other ones' are joined.
+HOT_WINDOWS = 1 << 21
+#: Bytes at a context's end by which windows meet to be scored; windows scored together.
+SUFFIX, TOGETHER = 3, 1 << 18
 MARK, ALPHABET = 0xFF, 256  # no UTF-8 text has this byte
 #: Ends each text's words in the baseline; no word holds white space.
 END = b"\n"
@@ -55,38 +62,133 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def count_contexts(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """size (context's bytes), key (context and byte as a number), n over all texts (one binary column).
-
-    Only the longest windows are counted in the texts and shuffled; their sums give the shorter ones.
-    """
+def count_windows(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """key (window as a number), n (count in the texts learned from), seen (count in all) of texts (a binary column, and whether it is learned from)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, counts = [], []
+
+        def rows():
+            return pd.DataFrame({"key": keys[0].astype(np.int64), "n": counts[0][:, 0], "seen": counts[0][:, 1]})
+
         for batch in trimmed(batches):
-            raw = [t or b"" for t in batch.iloc[:, 0]]
+            raw, learned = [t or b"" for t in batch.iloc[:, 0]], batch.iloc[:, 1].to_numpy(dtype=np.int64)
             for a, b in slices([len(t) for t in raw], SHARD_BYTES):
-                k, n = np.unique(windows(raw[a:b], order)[0], return_counts=True)
+                k, lengths = windows(raw[a:b], order)
+                k, n = merged([k], [np.stack([np.repeat(learned[a:b], lengths), np.ones(len(k), dtype=np.int64)], axis=1)])
                 keys.append(k)
                 counts.append(n)
                 if sum(map(len, keys)) > HELD:
                     k, n = merged(keys, counts)
                     keys[:], counts[:] = [k], [n]
                     if len(k) > HELD // 2:  # merging gains little any more
-                        yield pd.DataFrame({"key": k.astype(np.int64), "n": n})
+                        yield rows()
                         keys.clear()
                         counts.clear()
         if keys:
             k, n = merged(keys, counts)
-            yield pd.DataFrame({"key": k.astype(np.int64), "n": n})
+            keys[:], counts[:] = [k], [n]
+            yield rows()
+
+    return texts.mapInPandas(count, "key long, n long, seen long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+
+
+def last_bytes(key: Column, n: Column | int) -> Column:
+    """The last n (0 to 8) bytes of a number."""
+    kept = F.array(*(F.lit((1 << 8 * k) - 1 if k < 8 else -1).cast("long") for k in range(9)))
+    return key.bitwiseAND(F.element_at(kept, (n if isinstance(n, Column) else F.lit(n)).cast("int") + 1))
+
+
+def context(key: Column) -> Column:
+    return F.shiftrightunsigned(key, 8)
 
-    whole = written(texts.mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "windows")
+
+def all_contexts(whole: DataFrame, order: int = ORDER) -> DataFrame:
+    """size (context's bytes), key (context and byte as a number), n: the sums of the longest windows (key, n) give the shorter ones."""
     size = F.explode(F.sequence(F.lit(0), F.lit(order - 1)))
-    kept = F.element_at(F.array(*(F.lit((1 << 8 * (k + 1)) - 1).cast("long") for k in range(order))), F.col("size") + 1)
-    shorter = whole.select(size.alias("size"), "key", "n").groupBy("size", F.col("key").bitwiseAND(kept).alias("key")).agg(F.sum("n").alias("n"))
+    shorter = whole.select(size.alias("size"), "key", "n").groupBy("size", last_bytes(F.col("key"), F.col("size") + 1).alias("key")).agg(F.sum("n").alias("n"))
     return shorter.unionByName(whole.select(F.lit(order).alias("size"), "key", "n"))
 
 
+def count_contexts(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """size, key, n (see all_contexts) over all texts (one binary column). Only the longest windows are counted in the texts and shuffled."""
+    return all_contexts(written(count_windows(texts.select(texts.columns[0], F.lit(True)), order), "windows"), order)
+
+
+def score_windows(counted: DataFrame, order: int = ORDER) -> DataFrame:
+    """key, seen, score (log10 probability of the last byte after the bytes before it) of each row of counted (see count_windows), a written table. No node is left out.
+
+    Windows whose contexts end alike meet in a task: all longer nodes that they can escape to are there, and a trie of just these is made. The
+    shorter nodes, of up to SUFFIX bytes, are broadcast; their number is bounded by that of strings of so many bytes.
+    """
+    low = min(SUFFIX, order)
+    size = F.explode(F.sequence(F.lit(0), F.lit(low - 1)))
+    some = counted.where("n > 0").select(last_bytes(F.col("key"), low).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
+    shared = [c.to_numpy() for c in some.select(size.alias("size"), "key", "n").groupBy("size", last_bytes(F.col("key"), F.col("size") + 1).alias("key")).agg(F.sum("n").alias("n")).toArrow().columns]
+    n_bytes, n_texts = (int(shared[2][(shared[0] == 0) & at].sum()) for at in (shared[1] >= 0, shared[1] == MARK))
+    sent = counted.sparkSession.sparkContext.broadcast(shared)
+
+    def scored(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+        k, c = keys[n > 0], n[n > 0]
+        levels = {order: (k, c)}
+        for i in range(order - 1, low - 1, -1):
+            levels[i] = merged([levels[i + 1][0] & np.uint64((1 << 8 * (i + 1)) - 1)], [levels[i + 1][1]])
+        sizes = np.concatenate([sent.value[0], *(np.full(len(x[0]), i, dtype=np.int64) for i, x in levels.items())])
+        every = [np.concatenate([sent.value[j + 1], *(x[j].astype(np.int64) for x in levels.values())]) for j in (0, 1)]
+        return Trie(sizes, *every, n_bytes, n_texts, order).score(keys)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def rows(columns):
+            key, n, seen = columns
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(seen), pa.array(scored(key.astype(np.uint64), n))], names=["key", "seen", "score"])
+
+        for batch in trimmed(batches):
+            held.append([c.to_numpy() for c in batch.columns])
+            if sum(len(x[0]) for x in held) >= TOGETHER:
+                columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+                ends = columns[0] >> 8 & (1 << 8 * low) - 1
+                cut = int(np.argmax(ends == ends[-1]))  # the last suffix may go on in the next batch
+                held[:] = [[c[cut:] for c in columns]]
+                if cut:
+                    yield rows([c[:cut] for c in columns])
+        if held:
+            yield rows([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    suffix = last_bytes(context(F.col("key")), low)
+    dealt = counted.withColumn("suffix", suffix).repartition("suffix").sortWithinPartitions("suffix").select("key", "n", "seen")
+    return dealt.mapInArrow(score, "key long, seen long, score double")
+
+
+def sum_windows(texts: DataFrame, scores: DataFrame, order: int = ORDER, hot: int = HOT_WINDOWS) -> DataFrame:
+    """place, score: the sum over its windows for each row of texts (place, text), by scores (key, seen, score), a written table."""
+    wanted = at_most(scores, F.col("seen"), hot)
+    rows = scores.where(wanted).select("key", "score").toArrow()
+    sent = texts.sparkSession.sparkContext.broadcast((Lookup(rows.column(0).to_numpy().astype(np.uint64)), rows.column(1).to_numpy()))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, value = sent.value
+        for batch in (part for whole in trimmed(batches) for part in parts(whole, 1)):
+            places, raw = batch.column(0).to_numpy(), [t or b"" for t in batch.column(1).to_pylist()]
+            keys, lengths = windows(raw, order)
+            at = find.find(keys)
+            sure = np.add.reduceat(np.where(at >= 0, value[np.maximum(at, 0)] if len(value) else 0.0, 0.0), np.cumsum(lengths) - lengths)
+            rest = np.flatnonzero(at < 0)
+            key, of = keys[rest], np.repeat(np.arange(len(raw)), lengths)[rest]
+            by = np.lexsort((key, of))
+            key, of = key[by], of[by]
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])])) if len(key) else np.zeros(0, dtype=np.int64)
+            freq = np.diff(np.append(first, len(key)))
+            # A row for the text itself, with a key of its own that no table has.
+            columns = [np.concatenate([places, places[of[first]]]), np.concatenate([-1 - places, key[first].astype(np.int64)]), np.concatenate([np.zeros(len(raw), dtype=np.int64), freq]), np.concatenate([sure, np.zeros(len(first))])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["place", "key", "freq", "sure"])
+
+    spread = bounded_batches(texts).mapInArrow(read, "place long, key long, freq long, sure double")
+    joined = spread.join(scores.where(~wanted).select("key", "score"), "key", "left")
+    return joined.groupBy("place").agg(F.sum(F.col("sure") + F.col("freq") * F.coalesce("score", F.lit(0.0))).alias("score"))
+
+
 class Lookup:
     """Positions of numbers in a fixed set: an open-addressing table that is probed for whole arrays."""
 
@@ -216,9 +318,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     learned = texts.where("NOT held_out").select("text")
     table = written(count_tokens(learned, baseline_split, "binary").withColumn("value", F.log10(F.col("n") + 0.5)), "unigrams")
     all_n, distinct = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    trie = docs.sparkSession.sparkContext.broadcast(train(learned))
-
-    score = lambda raw: trie.value.score_texts(raw)
-    found = join_frequencies(texts, ["doc_id", "held_out"], baseline_split, table, "binary", float(np.log10(0.5)), hot=HOT, score=score)
+    scores = written(score_windows(written(count_windows(texts.select("text", ~F.col("held_out"))), "windows")), "scores")
+    placed = texts.withColumn("place", F.monotonically_increasing_id())
+    found = join_frequencies(placed, ["doc_id", "held_out", "place"], baseline_split, table, "binary", float(np.log10(0.5)), hot=HOT)
     base = F.col("total") - F.col("n_tokens") * F.log10(F.lit(float(all_n + 0.5 * (distinct + 1))))
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(all_n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return found.join(sum_windows(placed.select("place", "text"), scores), "place").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(all_n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -87,3 +87,32 @@ def test_frequency_threshold(spark):
 
     df = spark.createDataFrame([(n,) for n in (5, 4, 4, 3, 1)], "n long")
     assert [df.where(frequency.at_most(df, F.col("n"), most)).count() for most in (0, 1, 2, 3, 4, 9)] == [0, 1, 1, 3, 4, 5]
+
+
+@pytest.mark.parametrize("hot", [0, 50, 1 << 20])
+def test_all_contexts_count(as_table, hot):
+    texts = [*training(), b"zzq!a", b"", b"\xc3\xa9 abc"]
+    rows = [(i, t.decode()) for i, t in enumerate([*texts, *training(2)[:20]])]
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    docs = as_table(rows)
+    texts = docs.select("doc_id", ppm.held_out(docs.doc_id).alias("held_out"), docs.text.cast("binary").alias("text"))
+    counted = ppm.written(ppm.count_windows(texts.selectExpr("text", "NOT held_out"), ORDER), "windows")
+    scores = ppm.written(ppm.score_windows(counted, ORDER), "scores")
+    got = {r.place: r.score for r in ppm.sum_windows(texts.selectExpr("doc_id AS place", "text"), scores, ORDER, hot).collect()}
+    counts = contexts([t.encode() for i, t in rows if not out(i)])
+    assert sorted(got) == [i for i, _ in rows] and any(out(i) for i in got)
+    assert np.allclose([got[i] for i, _ in rows], [brute(counts, t.encode(), 1) for _, t in rows], atol=1e-9)
+
+
+def test_no_node_is_left_out_of_the_query(as_table, monkeypatch):
+    """However few nodes fit in memory, the scores are those of all contexts."""
+    rows = [(i, t.decode()) for i, t in enumerate(training())]
+    docs = as_table(rows)
+    learned = docs.where(~ppm.held_out(docs.doc_id)).select(docs.text.cast("binary"))
+    whole = ppm.train(learned, nodes=10**6).score_texts([t.encode() for _, t in rows])
+    for name in ("NODES", "HOT_WINDOWS"):
+        monkeypatch.setattr(ppm, name, 30, raising=False)
+    monkeypatch.setattr(ppm.train, "__defaults__", (ppm.ORDER, 30))
+    if hasattr(ppm, "sum_windows"):
+        monkeypatch.setattr(ppm.sum_windows, "__defaults__", (ppm.ORDER, 30))
+    assert np.allclose([r.score for r in ppm.score_texts(docs).orderBy("doc_id").collect()], whole, atol=1e-9)
