@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, crc_mod, slices, trimmed, written
 from .frequency import at_most, count_tokens, join_frequencies, parts
 
-ORDER = 5
+ORDER = 6
 #: Nodes of a trie in memory at most; n-grams that a task holds before it passes their counts on; bytes handled at once.
 NODES, HELD, SHARD_BYTES = 1 << 20, 1 << 20, 1 << 20
 #: Tokens whose baseline values are broadcast.

@@ -116,3 +116,8 @@ def test_no_node_is_left_out_of_the_query(as_table, monkeypatch):
     if hasattr(ppm, "sum_windows"):
         monkeypatch.setattr(ppm.sum_windows, "__defaults__", (ppm.ORDER, 30))
     assert np.allclose([r.score for r in ppm.score_texts(docs).orderBy("doc_id").collect()], whole, atol=1e-9)
+
+
+def test_contexts_of_six_bytes():
+    keys, _ = ppm.windows([b"abcdefg"])
+    assert int.from_bytes(b"abcdefg") in keys.tolist()
