@@ -24,7 +24,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pseudonymise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise_texts(table(spark, sf_dir, "documents"))
+    return pii.pseudonymise_texts(table(spark, sf_dir, "documents"), pii.KEY)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

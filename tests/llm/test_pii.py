@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ def luhn(s):
 
 
 def rewritten(as_table, texts):
-    return [r.text for r in pii.pseudonymise_texts(as_table(list(enumerate(texts)))).orderBy("doc_id").collect()]
+    return [r.text for r in pii.pseudonymise_texts(as_table(list(enumerate(texts))), "k").orderBy("doc_id").collect()]
 
 
 def test_valid_cards_change_and_stay_valid(as_table):
@@ -24,6 +25,9 @@ def test_valid_cards_change_and_stay_valid(as_table):
             assert b != a and luhn(b) and len(b) == len(a) and b[0] == a[0]
         else:
             assert a == b
+    beside = rewritten(as_table, ["4111111111111111", "4111 1111 1111 1111 12/27", "4111111111111111 123", "4111 1111 1111 1111 123", "7 4111 1111 1111 1111", "7777 4111 1111 1111 1111", "4111 1111 1111 1111 4111-1111-1111-1111", "4111 1111 1111 1111 01/02/2027"])
+    assert all(beside[0] in b.replace(" ", "").replace("-", "") for b in beside)
+    assert beside[1].endswith(" 12/27") and beside[2].endswith(" 123") and beside[4].startswith("7 ") and beside[6].replace(" ", "").replace("-", "") == beside[0] * 2 and not beside[7].endswith("01/02/2027")
     grouped = rewritten(as_table, ["4111 1111 1111 1111.", "(4111-1111-1111-1111)", "4111111111111111"])
     assert len({re.sub("[^0-9]", "", g) for g in grouped}) == 1
     assert [re.sub("[0-9]", "", g) for g in grouped] == ["   .", "(---)", ""]
@@ -39,18 +43,22 @@ def test_formats_and_links(as_table):
     assert ip[0] != "97.51.17.173" and all(int(o) < 256 for o in ip[0].split(".")) and ip[1:] == ["300.1.1.1", "1.2.3.4.5", "v1.2.3.4"]
     phone = rewritten(as_table, ["+1 (017) 555-7713", "017-555-7713"])
     assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", phone[0]) and re.sub("[^0-9]", "", phone[0])[1:] == phone[1].replace("-", "")
+    more = rewritten(as_table, ["+1 (017) 555-7713 24", "+1 (017) 555-7713 2024-01-05", "+44 20 7946 0958 1234567", "+44 20 7946 0958"])
+    assert more[0] == f"{phone[0]} 24" and more[1].startswith(f"{phone[0]} ") and not more[1].endswith("2024-01-05") and more[2] == f"{more[3]} 1234567" != "+44 20 7946 0958 1234567"
     ssn = rewritten(as_table, ["123-45-6789", "000-12-3456", "666-12-3456"])
     assert ssn[0] != "123-45-6789" and ssn[1:] == ["000-12-3456", "666-12-3456"]
     iban = rewritten(as_table, ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "DE89370400440532013001"])
+    spanish = rewritten(as_table, ["ES91 2100 0418 4502 0005 1332 IN", "ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332 4111 1111 1111 1111"])
+    assert spanish[0] == f"{spanish[2][:29]} IN" and spanish[1] == spanish[2][:29].replace(" ", "") != "ES9121000418450200051332" and not spanish[2].endswith("4111 1111 1111 1111")
     number = "".join(str(int(c, 36)) for c in iban[0][4:] + iban[0][:4])
     assert int(number) % 97 == 1 and iban[1].replace(" ", "") == iban[0] != "DE89370400440532013000" and iban[2] == "DE89370400440532013001"
 
 
 def test_permutations_are_one_to_one(spark):
     for left, right in ((17, 43), (10, 100), (1, 10), (256, 256)):
-        out = spark.range(left * right).select(pii.permute(F.col("id"), pii.number(left), pii.number(right), "k", "t").alias("x")).agg(F.countDistinct("x"), F.min("x"), F.max("x")).first()
+        out = spark.range(left * right).select(pii.permute(F.col("id"), pii.number(left), pii.number(right), pii.Key("k"), "t").alias("x")).agg(F.countDistinct("x"), F.min("x"), F.max("x")).first()
         assert tuple(out) == (left * right, 0, left * right - 1)
-    keys = [spark.range(50).select(pii.permute(F.col("id"), pii.number(100), pii.number(100), k, "t").alias("x")).collect() for k in ("k1", "k2", "k1")]
+    keys = [spark.range(50).select(pii.permute(F.col("id"), pii.number(100), pii.number(100), pii.Key(k), "t").alias("x")).collect() for k in ("k1", "k2", "k1")]
     assert keys[0] == keys[2] != keys[1]
 
 
@@ -59,9 +67,32 @@ def test_the_rest_stays(as_table, capsys):
     got = rewritten(as_table, texts)
     assert got[:3] == texts[:3] and got[3].startswith("x" * 200_000 + " ") and got[3].endswith(" " + "y" * 10) and got[3] != texts[3]
     df = as_table([(1, "a@b.co"), (1, "a@b.co")])
-    out = pii.pseudonymise(df)
+    out = pii.pseudonymise(df, "k")
     assert set(out.columns) == {*df.columns, "n_found", "kinds"}
     assert [(r.n_found, r.kinds) for r in out.collect()] == [(1, "email")] * 2
     out.explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
-    assert pii.pseudonymise_texts(as_table([], name="none")).count() == 0
+    assert pii.pseudonymise_texts(as_table([], name="none"), "k").count() == 0
+
+
+def test_restored_with_the_key(as_table):
+    texts = ["x 4111 1111 1111 1111 12/27 y", "bob.smith-7@example.com", "2001-02-28 and 3/4/1999", "97.51.17.173", "+1 (017) 555-7713", "123-45-6789", "DE89 3704 0044 0532 0130 00", "nothing", "", None]
+    hidden = pii.pseudonymise(as_table(list(enumerate(texts)), extra=False), "k")
+    assert [r.n_found for r in hidden.orderBy("doc_id").collect()] == [1, 1, 2, 1, 1, 1, 1, 0, 0, 0]
+    assert all(a is None or a in ("", "nothing") or a != r.text for a, r in zip(texts, hidden.orderBy("doc_id").collect(), strict=True))
+    assert [r.text for r in pii.restore(hidden, "k").orderBy("doc_id").collect()] == texts
+    assert [r.text for r in pii.restore(hidden, "other").orderBy("doc_id").collect()] != texts
+
+
+def test_repeats_are_read_in_time(as_table):
+    """Repeats on which patterns with open ends recurse or backtrack."""
+    texts = [p * (1_000_000 // len(p)) for p in ("a.", "-", "_", "x@", "1 ", "1-", "1.", "1234 ", "+1 ", "(1", "a@b.", "AD12", "1111-11-")] + ["x@" + "a." * 500_000, "-" * 1_000_000 + "@"]
+    start = time.time()
+    got = pii.pseudonymise_texts(as_table(list(enumerate(texts))), "k").selectExpr("doc_id", "length(text) AS n").orderBy("doc_id").collect()
+    assert [r.n for r in got] == [len(t) for t in texts] and time.time() - start < 120
+
+
+def test_columns_of_any_name(as_table):
+    df = as_table([(1, "a@b.co", "p", "q", "r", "s")], "doc_id long, text string, row string, found string, gaps string, n_found string")
+    out = pii.pseudonymise(df, "k").first()
+    assert (out.row, out.found, out.gaps, out.n_found) == ("p", "q", "r", 1)
