@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +48,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and all run on one machine (tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="quernel-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -61,13 +68,80 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a written table that is broadcast at most.
-BROADCAST_ROWS = 1 << 19
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, when what was read from them is written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes of a table of numbers that is broadcast at most, and of bitmaps that tell decisions on rows.
+BROADCAST_BYTES, MARK_BYTES = 16 << 20, 64 << 20
 
 
 def small(side: DataFrame) -> DataFrame:
-    """A written table as the side of a join that is broadcast up to a number of rows; beyond it the join shuffles."""
-    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+    """A written table of numbers as the side of a join that is broadcast up to a number of bytes; beyond it the join shuffles."""
+    return F.broadcast(side) if 8 * len(side.columns) * side.count() <= BROADCAST_BYTES else side
+
+
+#: Keys at most that join_skewed() broadcasts.
+HUBS = 1 << 17
+
+
+def join_skewed(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with side, which has one row for each key, and in n how many of the rows have that key; total: sum of n, about.
+
+    Keys of more than 64 rows and more than a HUBS-th of all, of which there are at most HUBS, are broadcast; only the other rows are shuffled.
+    """
+    many = F.col("n") > max(64, total // HUBS)
+    hubs = F.broadcast(side.where(many).drop("n"))
+    return rows.join(hubs, key).unionByName(rows.join(hubs, key, "left_anti").join(side.where(~many).drop("n"), key))
+
+
+def _is_read_of_files(df: DataFrame) -> bool:
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """row (a struct of all columns, so that no name can clash), file, at: each row with its place in storage. What isn't a plain read of files is written first."""
+    if _is_read_of_files(docs):
+        try:
+            place = docs.metadataColumn("_metadata")
+            return docs.select(F.struct("*").alias("row"), place["file_path"].alias("file"), place["row_index"].alias("at"))
+        except AnalysisException:  # files of a format without row numbers
+            pass
+    return placed(written(docs, "rows"))
+
+
+#: Places in a bitmap.
+MAP_BITS = 1 << 15
+
+
+def marked(rows: DataFrame, marks: DataFrame, most: int = 1) -> DataFrame:
+    """rows (of placed()) with mark, which marks (file, at, mark: 0 to `most`) has for their places, 0 for others. Rows are not shuffled.
+
+    Marks become bitmaps, of MAP_BITS places of a file each. These are broadcast; if they exceed MARK_BYTES, files are read in several waves, each with its own part.
+    """
+    bits = max(1, most.bit_length())
+    bucket, position = F.call_function("div", F.col("at"), F.lit(MAP_BITS).cast("long")), F.col("at") % MAP_BITS
+    bit = lambda k: F.when(F.shiftright("mark", k).bitwiseAND(F.lit(1)) == 1, F.col("position"))
+    told = marks.where("mark > 0").select("file", bucket.alias("bucket"), position.alias("position"), F.col("mark").cast("int").alias("mark"))
+    maps = written(told.groupBy("file", "bucket").agg(*(F.bitmap_construct_agg(bit(k)).alias(f"map{k}") for k in range(bits))), "marks")
+    waves = max(1, -(-maps.count() * bits * MAP_BITS // 8 // MARK_BYTES))
+    byte = lambda k: F.conv(F.hex(F.substring(F.col(f"map{k}"), F.call_function("div", position, F.lit(8).cast("long")).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    value = lambda k: F.shiftleft(F.call_function("shiftright", byte(k), (position % 8).cast("int")).bitwiseAND(F.lit(1)), k)
+    wave = F.pmod(F.xxhash64("file"), F.lit(waves))
+    parts = []
+    for w in range(waves):
+        mine = lambda df: df.where(wave == w) if waves > 1 else df  # noqa: B023, E731
+        joined = mine(rows).withColumn("bucket", bucket).join(F.broadcast(mine(maps)), ["file", "bucket"], "left")
+        parts.append(joined.select("row", "file", "at", F.coalesce(sum((value(k) for k in range(1, bits)), value(0)), F.lit(0)).alias("mark")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def n_spaced_words(text: Column) -> Column:

@@ -12,7 +12,7 @@ nodes by size, and each pair of blocks that can hold new links is multiplied in
 
 Defined cases: null, empty and blank texts have no set, link with nothing and are their own component; texts of fewer than n words have
 one n-gram of all their words; repeated rows and equal texts are one node; null ids take part, and a component's id is the smallest
-that isn't null; other columns play no part. N-grams and sets are told apart by 64-bit hashes.
+that isn't null; other columns stay, whatever their names. A very long text is held whole by one task, with 24 bytes a word. N-grams and sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices, small, trimmed, written
+from .common import bounded_batches, join_skewed, marked, placed, slices, small, trimmed, written
 from .components import components
 from .frequency import at_most
 
@@ -38,8 +38,8 @@ DENSE, LAST, LONG = 64, 1 << 18, 256
 BLOCK, BLOCK_GRAMS, SHARD_BYTES = 1024, 1 << 18, 2 << 20
 #: Words whose hashes a task remembers; prefix n-grams that a task counts at once.
 KNOWN_WORDS, HELD = 1 << 18, 1 << 20
-#: Bits at most of a bitmap of texts to read.
-MOST_BITS = 1 << 27
+#: Bits at most of a bitmap of texts to read; pairs of one node that a task compares, about.
+MOST_BITS, PARTNERS = 1 << 27, 256
 BETWEEN = b"\xff"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,6 +97,12 @@ class Order:
         place = np.argsort(grams)
         self.grams, self.rank = grams[place], np.argsort(np.argsort(counts[place], kind="stable"))
 
+    def has(self, grams: np.ndarray) -> np.ndarray:
+        """Whether each n-gram is one of `last`."""
+        if not len(self.grams):
+            return np.zeros(len(grams), dtype=bool)
+        return self.grams[np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)] == grams
+
     def first(self, grams: np.ndarray, k: int) -> np.ndarray:
         """The first k of sorted distinct n-grams."""
         if not len(self.grams):
@@ -117,10 +123,10 @@ def _shards(batches, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]
 
 
 def node_table(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Two kinds of rows. doc_id, text_hash, n_shingles, node (null if there is none) of each text; and gram, n: n-grams that several texts
+    """Two kinds of rows. doc_id, file, at, n_shingles, node (null if there is none) of each text; and gram, n: n-grams that several texts
     of a task have in their prefixes by hash order alone, and how many do."""
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "text_hash", "n_shingles", "node", "gram", "n"]
+    names = ["doc_id", "file", "at", "n_shingles", "node", "gram", "n"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held = WordHashes(), []
@@ -129,7 +135,7 @@ def node_table(texts: DataFrame, width: int, percent: int) -> DataFrame:
             sets = list(shingle_sets(raw, width, hashes))
             kind = batch.column(1).type
             none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), none, none], names=names)
             held.append(np.concatenate([s[: prefix_size(len(s), percent)] for s in sets if len(s)] or [np.zeros(0, np.uint64)]))
             if sum(map(len, held)) > HELD:
                 yield several(held, kind)
@@ -141,13 +147,13 @@ def node_table(texts: DataFrame, width: int, percent: int) -> DataFrame:
         held.clear()
         grams, n = grams[n > 1], n[n > 1]
         none = pa.nulls(len(grams), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.nulls(len(grams), kind), none, none, none, pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], names=names)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(grams), kind), pa.nulls(len(grams), pa.string()), none, none, none, pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], names=names)
 
-    return texts.select("text", "doc_id", "text_hash").mapInArrow(find, f"doc_id {id_type}, text_hash long, n_shingles long, node long, gram long, n long")
+    return texts.select("text", "doc_id", "file", "at").mapInArrow(find, f"doc_id {id_type}, file string, at long, n_shingles long, node long, gram long, n long")
 
 
 def prefix_rows(texts: DataFrame, width: int, percent: int, order) -> DataFrame:
-    """gram, node, n: the entries of the matrix that are multiplied. order: broadcast."""
+    """gram, node, n, dense (whether the n-gram is one of those put last): the entries of the matrix that are multiplied. order: broadcast."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -159,9 +165,9 @@ def prefix_rows(texts: DataFrame, width: int, percent: int, order) -> DataFrame:
             many = np.array([len(p) for _, p in seen.values()], dtype=np.int64)
             grams = np.concatenate([p for _, p in seen.values()]) if seen else np.zeros(0, np.uint64)
             n = np.repeat(np.array([n for n, _ in seen.values()], dtype=np.int32), many)
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.repeat(np.array(list(seen), dtype=np.int64), many)), pa.array(n)], names=["gram", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.repeat(np.array(list(seen), dtype=np.int64), many)), pa.array(n), pa.array(order.value.has(grams))], names=["gram", "node", "n", "dense"])
 
-    return texts.select("text").mapInArrow(rows, "gram long, node long, n int")
+    return texts.select("text").mapInArrow(rows, "gram long, node long, n int, dense boolean")
 
 
 def may_link(a_n, b_n, shared, percent: int):
@@ -188,9 +194,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([links(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in zip(x, y, strict=True)], dtype=bool)
 
-    left = sets.select(F.col("node").alias("u"), F.col("grams").alias("u_grams"))
+    # A node that many pairs begin with is dealt to several tasks, with its set; such nodes, PARTNERS pairs and more each, are few.
+    shares = written(pairs.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > PARTNERS).select("u", F.ceil(F.col("n") / PARTNERS).alias("shares")), "shares")
+    share = F.coalesce("shares", F.lit(1))
+    left = sets.join(small(shares), F.col("node") == F.col("u"), "left").select(F.col("node").alias("u"), F.explode(F.sequence(F.lit(0).cast("long"), share - 1)).alias("share"), F.col("grams").alias("u_grams"))
     right = sets.select(F.col("node").alias("v"), F.col("grams").alias("v_grams"))
-    return pairs.join(right, "v").join(left, "u").where(similar("u_grams", "v_grams")).select("u", "v")
+    dealt = pairs.join(small(shares), "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), share).alias("share"))
+    return dealt.join(right, "v").join(left, ["u", "share"]).where(similar("u_grams", "v_grams")).select("u", "v")
 
 
 def key_bitmap(keys: DataFrame) -> tuple[int, np.ndarray]:
@@ -210,10 +220,10 @@ def key_bitmap(keys: DataFrame) -> tuple[int, np.ndarray]:
 
 def sets_of(nodes: DataFrame, texts: DataFrame, table: DataFrame, width: int) -> DataFrame:
     """node, grams of the nodes (node) and perhaps a few others, computed again from one text of each. A bitmap of bounded size tells which
-    texts to read; no text is shuffled. table: doc_id, text_hash, node of all texts."""
-    key = F.xxhash64("doc_id", "text_hash")
-    chosen = table.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
-    bits, bitmap = key_bitmap(written(chosen.select(F.xxhash64("k.doc_id", "k.text_hash").alias("key")), "keys"))
+    texts to read; no text is shuffled. table: file, at, node of all texts."""
+    key = F.xxhash64("file", "at")
+    chosen = table.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min(key).alias("key"))
+    bits, bitmap = key_bitmap(written(chosen.select("key"), "keys"))
     sent = texts.sparkSession.sparkContext.broadcast(bitmap)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,20 +311,26 @@ def multiplied(places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sets.join(small(places), "node").groupBy("key").applyInPandas(each, "u long, v long")
 
 
-def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_hash, n_shingles, node, component of each row of docs (doc_id, text); node and component are null for rows without a set."""
-    spark = docs.sparkSession
-    texts = bounded_batches(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+def link_components(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, file, at, n_shingles, node, component of each of rows (see placed(); doc_id, text); node and component are null for rows without a set."""
+    spark = rows.sparkSession
+    texts = bounded_batches(rows).select("row.doc_id", F.col("row.text").cast("binary").alias("text"), "file", "at")
     both = written(node_table(texts, width, percent), "nodes")
-    table = both.where("gram IS NULL").select("doc_id", "text_hash", "n_shingles", "node")
+    table = both.where("gram IS NULL").select("doc_id", "file", "at", "n_shingles", "node")
     counts = written(both.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > DENSE), "columns")
     last = counts.where(at_most(counts, F.col("n"), LAST)).toArrow()
     order = spark.sparkContext.broadcast(Order(last.column(0).to_numpy().view(np.uint64), last.column(1).to_numpy()))
     by = Window.partitionBy("gram").orderBy("n", "node")
     whole = Window.partitionBy("gram").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     star = F.first(F.struct("node", "n")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    live = prefix_rows(texts, width, percent, order).withColumns({"star": star, "place": F.dense_rank().over(by)})
-    live = written(live.withColumn("nodes", F.max("place").over(whole)).where("nodes > 1").select("gram", "node", "n", "star", "nodes").distinct(), "live")
+    entries = prefix_rows(texts, width, percent, order)
+    live = entries.where("NOT dense").withColumns({"star": star, "place": F.dense_rank().over(by)})
+    live = live.withColumn("nodes", F.max("place").over(whole)).where("nodes > 1").select("gram", "node", "n", "star", "nodes").distinct()
+    # Columns that may be long, LAST of them at most, are aggregated instead, as no task is to have a whole one.
+    dense = entries.where("dense").select("gram", "node", "n").distinct()
+    per = dense.groupBy("gram").agg(F.min(F.struct("n", "node")).alias("s"), F.count("*").alias("nodes")).where("nodes > 1")
+    per = per.select("gram", F.struct("s.node", "s.n").alias("star"), "nodes")
+    live = written(live.unionByName(dense.join(F.broadcast(per), "gram")), "live")
     tried = live.where((F.col("nodes") > LONG) & (F.col("node") != F.col("star.node"))).groupBy("node", "n", "star").agg(F.count("*").alias("shared")).where(may_link(F.col("n"), F.col("star.n"), F.col("shared"), percent))
     tried = written(tried.groupBy("node").agg(F.max_by("star.node", F.struct("shared", "star.node")).alias("u")).select("u", F.col("node").alias("v")), "stars")
     first = written(verified(tried, written(sets_of(ends(tried), texts, table, width), "sets"), percent), "links")
@@ -327,8 +343,9 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     pairs = apart(pairs.where(may_link(F.col("un"), F.col("vn"), F.col("shared"), percent)).select("u", "v", "un", "vn"), found)
     # Long columns: those whose nodes the stars have not put in one component.
     wide = live.where(F.col("nodes") > LONG).select("gram", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = wide.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("hub")).where("low <> high")
-    wide = written(wide.join(several.select("gram", "hub"), "gram"), "wide")
+    wide = written(wide, "wide")
+    several = wide.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("hub"), F.count("*").alias("n")).where("low <> high")
+    wide = written(join_skewed(wide.withColumnRenamed("n", "size"), several.select("gram", "hub", "n"), "gram", wide.count()).withColumnRenamed("size", "n"), "wide")
     # Nodes that pairs or long columns connect are a cluster. Small ones are compared whole; large ones in blocks, if long columns or many pairs ask for it.
     cluster = components(pairs.select("u", "v").unionByName(wide.select(F.col("node").alias("u"), F.col("hub").alias("v"))))
     ends_ = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("un").alias("n")), F.struct(F.col("v").alias("node"), F.col("vn").alias("n")))).alias("x")
@@ -348,7 +365,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     if not few.isEmpty():
         second = second.unionByName(verified(few, sets.join(small(written(ends(few).distinct(), "ends")), "node", "left_semi"), percent))
     final = components(written(first.unionByName(second), "links"))
-    return table.join(final, "node", "left").select("doc_id", "text_hash", "n_shingles", "node", F.coalesce("component", "node").alias("component"))
+    return table.join(final, "node", "left").select("doc_id", "file", "at", "n_shingles", "node", F.coalesce("component", "node").alias("component"))
 
 
 def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -365,26 +382,25 @@ def ends(pairs: DataFrame) -> DataFrame:
 
 def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
-    found = written(link_components(docs, width, percent), "components")
+    found = written(link_components(placed(docs), width, percent), "components")
     least = found.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return found.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """docs with one row for each component, of its smallest id; rows without a set all stay. Rows that go are told by their id and text."""
-    found = written(link_components(docs, width, percent), "components").where("component IS NOT NULL")
-    key = F.struct("doc_id", "text_hash")
-    kept = found.groupBy("component").agg(F.min(key).alias("kept"))
-    gone = written(found.join(kept, "component").where(~key.eqNullSafe(F.col("kept"))).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
-    repeated = written(found.join(kept, "component").where(key.eqNullSafe(F.col("kept"))).groupBy("doc_id", "text_hash").agg(F.count("*").alias("times")).where("times > 1").select(F.col("doc_id").alias("many_id"), F.col("text_hash").alias("many_hash")), "repeated")
-    hashed = docs.withColumn("__hash", F.xxhash64("text"))
-
-    rest = hashed.join(small(gone), hashed["doc_id"].eqNullSafe(F.col("gone_id")) & (hashed["__hash"] == F.col("gone_hash")), "left_anti")
-    if repeated.isEmpty():
-        return rest.drop("__hash")
-    many = rest["doc_id"].eqNullSafe(F.col("many_id")) & (rest["__hash"] == F.col("many_hash"))
-    once = rest.join(small(repeated), many, "left_semi").dropDuplicates(["doc_id", "__hash"])
-    return rest.join(small(repeated), many, "left_anti").unionByName(once).drop("__hash")
+    """docs with one row for each component, of its smallest id (nulls last), and of that the first in storage; rows without a set all stay. No row is shuffled."""
+    rows = placed(docs)
+    found = written(link_components(rows, width, percent), "components").where("component IS NOT NULL")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "at")
+    kept = found.groupBy("component").agg(F.min(place).alias("kept"), F.count("*").alias("many")).where("many > 1")
+    gone = join_rows(found, kept).where((F.col("file") != F.col("kept.file")) | (F.col("at") != F.col("kept.at")))
+    return marked(rows, gone.select("file", "at", F.lit(1).alias("mark"))).where("mark = 0").select("row.*")
+
+
+def join_rows(found: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of found with kept (component, kept, many) of their component; large components are not in one task."""
+    kept = written(kept, "kept").withColumnRenamed("many", "n")
+    return join_skewed(found, kept, "component", kept.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
 
 JACCARD_SQL = r"""

@@ -5,8 +5,8 @@ their prefix sum within the source, plus one random offset per source, crosses i
 Documents are taken by falling size, so the words taken differ from the target by less than about the longest document.
 
 Defined cases: null text has size 0 and is emitted like any other (it adds no words); null source is a source of its own, last in order;
-a source of size 0 has target 0 and emits nothing; repeated ids are separate rows; an empty table gives an empty mix.
-Other columns of the input are not read by the plan and may have any name.
+a source of size 0 has target 0 and emits nothing; repeated ids and repeated rows are separate rows, in the order of their places in storage;
+texts of any length are counted whole; an empty table gives an empty mix. Other columns may have any name and stay, but one named copy is replaced by emit_mix().
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_spaced_words, small, written
+from .common import marked, n_spaced_words, placed, written
 
 #: Expected copies are fixed-point numbers with this many fractional bits, so that sums are exact.
 FRACTION_BITS = 30
@@ -48,43 +48,53 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> Data
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: str = "mix") -> DataFrame:
-    """doc_id, text_hash, source, size, source_size, target, copies: how often each row of docs (doc_id, text, source) is emitted.
+    """doc_id, file, at, source, size, source_size, target, copies: how often each row of docs (doc_id, text, source) is emitted."""
+    return sampled(placed(docs), weights, cap, seed)
+
+
+def crossed(n: Column, rate: Column, offset: Column) -> Column:
+    """Integers up to n times the rate plus the offset, both of FRACTION_BITS fractional bits. n is cut in two, so that no product exceeds a long."""
+    one = (1 << FRACTION_BITS) - 1
+    whole, part = F.shiftright(rate, FRACTION_BITS), rate.bitwiseAND(F.lit(one))
+    high, low = F.shiftright(n, FRACTION_BITS), n.bitwiseAND(F.lit(one))
+    return n * whole + high * part + F.shiftright(low * part + offset, FRACTION_BITS)
+
+
+def sampled(rows: DataFrame, weights: tuple[int, ...], cap: int, seed: str) -> DataFrame:
+    """mix_sources() for rows with their places (see placed()).
 
     The prefix sums need no source in one task: rows are range-partitioned by (source, size, id), counted per partition and source,
     and numbered from the sum of the counts before.
     """
-    sizes = written(docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), n_spaced_words(F.col("text")).alias("size")), "sizes")
-    order = [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("doc_id").asc_nulls_last(), F.col("text_hash")]
-    placed = written(
+    sizes = written(rows.select("row.doc_id", "row.source", "file", "at", n_spaced_words(F.col("row.text")).alias("size")), "sizes")
+    order = [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("doc_id").asc_nulls_last(), F.col("file"), F.col("at")]
+    ordered = written(
         sizes.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("part", F.spark_partition_id())
-        .withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
-        "placed",
+        .withColumn("number", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
+        "ordered",
     )
-    runs = placed.groupBy("source", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    runs = ordered.groupBy("source", "part").agg(F.count("*").alias("n"), F.min("number").alias("first"))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("skip", F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first"))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("\0"))).cast("binary")), 1, 7), 16, 10).cast("long")
     keys = source_targets(sizes, weights, cap).withColumn("offset", offset * F.lit(1 << (FRACTION_BITS - 28)))
     runs = runs.alias("r").join(keys.alias("k"), F.expr("r.source <=> k.source")).select("r.source", "part", "skip", "source_size", "target", "rate", "offset")
     # A row for each source and each partition that it reaches: at most sources + partitions, whatever the number of documents.
-    both = placed.alias("p").join(runs.alias("r"), F.expr("p.part = r.part AND p.source <=> r.source"))
-    at = F.col("p.at") + F.col("r.skip")
-    crossed = lambda n: F.shiftright(n * F.col("rate") + F.col("offset"), FRACTION_BITS)
-    return both.select("p.doc_id", "p.text_hash", "p.source", "p.size", "source_size", "target", (crossed(at + 1) - crossed(at)).cast("long").alias("copies"))
-
-
-def emit_mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of docs as often as mix_sources says, with its number among the emissions of its id, text and source (from 1)."""
-    totals = mix_sources(docs, **options).groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").cast("int").alias("mix_copies"), F.count("*").alias("times"))
-    totals = written(totals.select(F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_hash"), F.col("source").alias("mix_source"), "mix_copies", "times"), "mix")
-    hashed = docs.withColumn("mix_text", F.xxhash64("text"))
-    if not totals.where("times > 1").isEmpty():  # repeated rows are emitted from one of them
-        hashed = hashed.dropDuplicates(["doc_id", "mix_text", "source"])
-    same = hashed["doc_id"].eqNullSafe(F.col("mix_id")) & (hashed["mix_text"] == F.col("mix_hash")) & hashed["source"].eqNullSafe(F.col("mix_source"))
-    joined = hashed.join(small(totals.where("mix_copies > 0").drop("times")), same)
-    return joined.select(*(hashed[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("copy"))
+    both = ordered.alias("p").join(runs.alias("r"), F.expr("p.part = r.part AND p.source <=> r.source"))
+    n = F.col("p.number") + F.col("r.skip")
+    copies = crossed(n + 1, F.col("rate"), F.col("offset")) - crossed(n, F.col("rate"), F.col("offset"))
+    return both.select("p.doc_id", "p.file", "p.at", "p.source", "p.size", "source_size", "target", copies.cast("long").alias("copies"))
+
+
+def emit_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: str = "mix") -> DataFrame:
+    """The mix itself: every row of docs as often as mix_sources says, with copy, the number of the emission (from 1)."""
+    rows = placed(docs)
+    copies = sampled(rows, weights, cap, seed).select("file", "at", F.col("copies").alias("mark"))
+    taken = marked(rows, copies, cap).where("mark > 0")
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() != "copy"]
+    return taken.select(*kept, F.explode(F.sequence(F.lit(1), F.col("mark"))).alias("copy"))
 
 
 def mixing_query(docs: DataFrame) -> DataFrame:

@@ -84,9 +84,22 @@ def test_one_of_each_stays(as_table):
     kept = jaccard.keep_one_of_each(as_table(rows)).collect()
     assert sum(r.text is not None and r.text.lower() == "a b c d e" for r in kept) == 1
     assert sorted(r.doc_id for r in kept if r.text is None or r.text.lower() != "a b c d e") == [7, 8, 9]
+    assert next(r.doc_id for r in kept if r.text and r.text.lower() == "a b c d e") == 1
     assert kept[0].asDict().keys() >= {"doc_id", "text", "node", "row"}
 
 
+def test_one_of_each_with_null_ids_and_any_names(as_table, monkeypatch):
+    from quernel.llm import common
+
+    rows = [(None, "a b c d e", "u", "1", "2", "3", "4"), (2, "a b c d e", "v", "1", "2", "3", "4"), (2, "a b c d e", "w", "1", "2", "3", "4"), (5, "x", "y", "1", "2", "3", "4")]
+    docs = as_table(rows, "doc_id long, text string, gone_id string, file string, at string, mark string, kept string", extra=False)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    out = jaccard.keep_one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.file, r.kept) for r in out.collect()) == [(2, "1", "4"), (5, "1", "4")]
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_repeated_rows_and_empty_table(spark, as_table):
     rows = [(1, "a b c d e")] * 3
     assert [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_documents(as_table(rows)).collect()] == [(1, 2, 1)] * 3

@@ -65,3 +65,34 @@ def test_empty_and_sizeless(as_table):
     assert mixing.mixing_query(as_table([], "doc_id long, text string, source string", name="none")).count() == 0
     got = mixing.mixing_query(as_table([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")).collect()
     assert [(r.size, r.target, r.taken) for r in got] == [(0, 0.0, 0)] * 2
+
+
+def test_repeated_rows_keep_their_columns(as_table):
+    rows = [(1, "one two three", "a", "X", "p", "q", "r"), (1, "one two three", "a", "Y", "p", "q", "r"), (2, "x", "b", "Z", "p", "q", "r")]
+    docs = as_table(rows, "doc_id long, text string, source string, file string, at string, mark string, copy string", extra=False)
+    out = mixing.emit_mix(docs, weights=(1,), cap=3)
+    assert sorted(out.columns) == sorted(docs.columns)
+    assert {r.file for r in out.where("doc_id = 1").collect()} == {"X", "Y"}
+    assert {(r.at, r.mark) for r in out.collect()} == {("p", "q")}
+
+
+def test_crossings_far_along(spark):
+    one = spark.range(60).select((F.lit(10**11) * (F.col("id") + 1) ** 4 + F.col("id")).cast("long").alias("n"), F.lit(int(2.7 * (1 << 30))).alias("rate"), F.lit((1 << 30) - 1).cast("long").alias("offset"))
+    for r in one.withColumn("c", mixing.crossed(F.col("n"), F.col("rate"), F.col("offset"))).collect():
+        assert r.c == (r.n * r.rate + r.offset) >> 30
+
+
+def test_rows_are_not_shuffled_or_broadcast_whole(as_table, monkeypatch):
+    """In several waves of files, too, texts are in no exchange."""
+    from quernel.llm import common
+
+    docs = as_table(rows(), "doc_id long, text string, source string").repartition(6)
+    docs.write.mode("overwrite").parquet(path := docs.inputFiles()[0].rsplit("/", 1)[0] + "-dealt")
+    docs = docs.sparkSession.read.parquet(path)
+    whole = sorted(map(str, mixing.emit_mix(docs).collect()))
+    monkeypatch.setattr(common, "MARK_BYTES", 20_000)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    out = mixing.emit_mix(docs)
+    assert sorted(map(str, out.collect())) == whole
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "Aggregate" not in plan and out._jdf.queryExecution().executedPlan().toString().count(" Exchange ") == 0
