@@ -40,6 +40,8 @@ BLOCK, BLOCK_GRAMS, SHARD_BYTES = 1024, 1 << 18, 2 << 20
 KNOWN_WORDS, HELD = 1 << 18, 1 << 20
 #: Bits at most of a bitmap of texts to read; pairs of one node that a task compares, about.
 MOST_BITS, PARTNERS = 1 << 27, 256
+#: Parts of a column of a dense n-gram.
+PARTS = 64
 BETWEEN = b"\xff"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -320,17 +322,15 @@ def link_components(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     counts = written(both.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > DENSE), "columns")
     last = counts.where(at_most(counts, F.col("n"), LAST)).toArrow()
     order = spark.sparkContext.broadcast(Order(last.column(0).to_numpy().view(np.uint64), last.column(1).to_numpy()))
-    by = Window.partitionBy("gram").orderBy("n", "node")
-    whole = Window.partitionBy("gram").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    star = F.first(F.struct("node", "n")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    entries = prefix_rows(texts, width, percent, order)
-    live = entries.where("NOT dense").withColumns({"star": star, "place": F.dense_rank().over(by)})
-    live = live.withColumn("nodes", F.max("place").over(whole)).where("nodes > 1").select("gram", "node", "n", "star", "nodes").distinct()
-    # Columns that may be long, LAST of them at most, are aggregated instead, as no task is to have a whole one.
-    dense = entries.where("dense").select("gram", "node", "n").distinct()
-    per = dense.groupBy("gram").agg(F.min(F.struct("n", "node")).alias("s"), F.count("*").alias("nodes")).where("nodes > 1")
-    per = per.select("gram", F.struct("s.node", "s.n").alias("star"), "nodes")
-    live = written(live.unionByName(dense.join(F.broadcast(per), "gram")), "live")
+    # Columns of dense n-grams may be long: they are cut into parts by node, so that no task has a whole one, and put together from these.
+    part = F.when(F.col("dense"), F.pmod(F.xxhash64("node"), F.lit(PARTS))).otherwise(F.lit(0).cast("long"))
+    by = Window.partitionBy("gram", "part").orderBy("n", "node")
+    whole = Window.partitionBy("gram", "part").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    star = F.first(F.struct("n", "node")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    columns = prefix_rows(texts, width, percent, order).withColumn("part", part).withColumns({"star": star, "place": F.dense_rank().over(by)})
+    columns = written(columns.withColumn("nodes", F.max("place").over(whole)).where("dense OR nodes > 1").select("gram", "node", "n", "dense", "star", "nodes", "part").distinct(), "live")
+    per = columns.where("dense").groupBy("gram", "part").agg(F.min("star").alias("star"), F.max("nodes").alias("nodes")).groupBy("gram").agg(F.min("star").alias("star"), F.sum("nodes").cast("int").alias("nodes"))
+    live = columns.where("NOT dense").drop("dense", "part").unionByName(columns.where("dense").drop("dense", "part", "star", "nodes").join(F.broadcast(written(per.where("nodes > 1"), "dense")), "gram"))
     tried = live.where((F.col("nodes") > LONG) & (F.col("node") != F.col("star.node"))).groupBy("node", "n", "star").agg(F.count("*").alias("shared")).where(may_link(F.col("n"), F.col("star.n"), F.col("shared"), percent))
     tried = written(tried.groupBy("node").agg(F.max_by("star.node", F.struct("shared", "star.node")).alias("u")).select("u", F.col("node").alias("v")), "stars")
     first = written(verified(tried, written(sets_of(ends(tried), texts, table, width), "sets"), percent), "links")
@@ -357,7 +357,8 @@ def link_components(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     whole = members.groupBy("cluster").agg(F.count("*").alias("nodes"), F.sum("n").alias("grams")).join(lists, "cluster", "left").join(spread, "cluster", "left")
     dense = F.coalesce("long", F.lit(False)) | (F.coalesce("pairs", F.lit(0)) > F.col("nodes") * F.ceil(F.col("nodes") / BLOCK))
     kind = F.when((F.col("nodes") <= BLOCK) & (F.col("grams") <= BLOCK_GRAMS), "pack").when(dense, "blocks").otherwise("pairs")
-    members = written(members.join(whole.select("cluster", kind.alias("kind")), "cluster"), "kinds")
+    kinds = written(whole.select("cluster", kind.alias("kind"), F.col("nodes").alias("n")), "kinds")
+    members = written(join_skewed(members.withColumnRenamed("n", "size"), kinds, "cluster", members.count()).withColumnRenamed("size", "n"), "members")
     few = written(pairs.join(members.where("kind = 'pairs'").select(F.col("node").alias("u")), "u", "left_semi").select("u", "v"), "few")
     places = written(packs(members.where("kind = 'pack'")).unionByName(block_pairs(members.where("kind = 'blocks'"), percent)), "places")
     sets = written(sets_of(members.select("node"), texts, table, width), "sets")
@@ -383,8 +384,10 @@ def ends(pairs: DataFrame) -> DataFrame:
 def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
     found = written(link_components(placed(docs), width, percent), "components")
-    least = found.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return found.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = found.where("component IS NOT NULL")
+    least = written(linked.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "least")
+    named = join_skewed(linked, least, "component", found.count()).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return named.unionByName(found.where("component IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
