@@ -1,12 +1,13 @@
 """Joining what is known of each distinct token to the tokens' frequencies in each document.
 
 count_tokens() makes the table of distinct tokens. join_frequencies() sums a value per token over every document: the most frequent
-tokens (a bounded number of bounded length) are broadcast and summed where the text is read; the other (document, token, frequency)
+tokens (a bounded number; long ones stand as digests) are broadcast and summed where the text is read; the other (document, token, frequency)
 rows are joined by token, where no key can be hot any more, and added up per document. No list of a document's token ids is ever made.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, slices, trimmed
 
-#: Broadcast tokens at most, and their longest length; distinct tokens that a task holds before it passes their counts on.
+#: Broadcast tokens at most, and the length from which on a digest stands for a token; distinct tokens that a task holds before it passes their counts on.
 HOT, HOT_LENGTH, HELD = 1 << 19, 64, 1 << 19
 #: Bytes of text that are Python objects at once.
 PART_BYTES = 1 << 20
@@ -26,6 +27,15 @@ PART_BYTES = 1 << 20
 Split = Callable[[], Callable[[bytes], list]]  # called once in each task
 
 
+def key_of(token):
+    """A token as the key of joins: itself, or, if long, a digest, which is longer than any token that stands for itself."""
+    if len(token) <= HOT_LENGTH:
+        return token
+    text = isinstance(token, str)
+    digest = hashlib.blake2b(token.encode("utf-8", "surrogatepass") if text else token, digest_size=HOT_LENGTH // 2 + 1).hexdigest()
+    return digest if text else digest.encode()
+
+
 def parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """A batch in pieces with about PART_BYTES of a binary column each: Python objects are made for one piece at a time."""
     for a, b in slices(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist(), PART_BYTES):
@@ -67,12 +77,11 @@ def at_most(table: DataFrame, n: Column, most: int) -> Column:
 def join_frequencies(docs: DataFrame, keep: list[str], split: Split, table: DataFrame, token_type: str, default: float, hot: int = HOT, score: Callable[[list[bytes]], Sequence[float]] | None = None) -> DataFrame:
     """The columns `keep`, n_tokens, n_known, total of each row of docs, which is a table read alike each time and has a binary column text.
 
-    table: token, n, value. n_known counts the tokens in the table, total sums their values and `default` for each other token.
+    table: token (see key_of), n, value. n_known counts the tokens in the table, total sums their values and `default` for each other token.
     score: gives a number for each text, in a further column score; the texts are read once for both.
     """
-    short = F.length("token") <= HOT_LENGTH
-    wanted = at_most(table.where(short), F.col("n"), hot)
-    rows = table.where(short & wanted).select("token", "value").toArrow()
+    wanted = at_most(table, F.col("n"), hot)
+    rows = table.where(wanted).select("token", "value").toArrow()
     sent = docs.sparkSession.sparkContext.broadcast((rows.column(0).to_pylist(), rows.column(1).to_pylist()))
     names = [*keep, *["score"] * bool(score)]
     info = ", ".join([f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep] + ["score double"] * bool(score))
@@ -92,6 +101,8 @@ def join_frequencies(docs: DataFrame, keep: list[str], split: Split, table: Data
                 found = tokens(text)
                 seen, sure, first = 0, 0.0, len(row)
                 for t, f in Counter(found).items():
+                    if len(t) > HOT_LENGTH:
+                        t = key_of(t)
                     if (v := find(t)) is None:
                         token.append(t)
                         freq.append(f)
@@ -99,7 +110,7 @@ def join_frequencies(docs: DataFrame, keep: list[str], split: Split, table: Data
                         seen += f
                         sure += f * v
                 if len(token) == first:  # a row for the text itself, whose token no table has
-                    mark = f"\0\0{at}"
+                    mark = f"{at:>100}"
                     token.append(mark if token_type == "string" else mark.encode())
                     freq.append(0)
                 more = len(token) - first

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, crc_mod, slices, trimmed, written
-from .frequency import at_most, count_tokens, join_frequencies, parts
+from .frequency import at_most, count_tokens, join_frequencies, key_of, parts
 
 ORDER = 6
 #: Nodes of a trie in memory at most; n-grams that a task holds before it passes their counts on; bytes handled at once.
@@ -35,6 +35,8 @@ HOT_WINDOWS = 1 << 21
 #: Bytes at a context's end by which windows meet to be scored; windows scored together.
 SUFFIX, TOGETHER = 3, 1 << 18
 MARK, ALPHABET = 0xFF, 256  # no UTF-8 text has this byte
+#: Digits of scores: sums of floats depend on their order in the last ones.
+DIGITS = 9
 #: Ends each text's words in the baseline; no word holds white space.
 END = b"\n"
 
@@ -308,6 +310,10 @@ def baseline_split():
     return lambda text: [*text.lower().split(), END]
 
 
+def baseline_keys():
+    return lambda text: map(key_of, baseline_split()(text))
+
+
 def held_out(doc_id):
     return crc_mod(doc_id, 5) == 1
 
@@ -316,10 +322,10 @@ def score_texts(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text), learned from the rows that aren't held out."""
     texts = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("binary").alias("text"))
     learned = texts.where("NOT held_out").select("text")
-    table = written(count_tokens(learned, baseline_split, "binary").withColumn("value", F.log10(F.col("n") + 0.5)), "unigrams")
+    table = written(count_tokens(learned, baseline_keys, "binary").withColumn("value", F.log10(F.col("n") + 0.5)), "unigrams")
     all_n, distinct = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     scores = written(score_windows(written(count_windows(texts.select("text", ~F.col("held_out"))), "windows")), "scores")
     placed = texts.withColumn("place", F.monotonically_increasing_id())
     found = join_frequencies(placed, ["doc_id", "held_out", "place"], baseline_split, table, "binary", float(np.log10(0.5)), hot=HOT)
     base = F.col("total") - F.col("n_tokens") * F.log10(F.lit(float(all_n + 0.5 * (distinct + 1))))
-    return found.join(sum_windows(placed.select("place", "text"), scores), "place").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(all_n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return found.join(sum_windows(placed.select("place", "text"), scores), "place").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(all_n).cast("long").alias("train_tokens"), F.round(base, DIGITS).alias("base_score"), F.round("score", DIGITS).alias("score"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .frequency import count_tokens, join_frequencies
+from .frequency import count_tokens, join_frequencies, key_of
 
 LIMIT = 2048
 #: The special strings of the tokenizer file.
@@ -65,7 +65,7 @@ def splitter(path: str):
 
 
 def piece_counts(distinct: DataFrame, path: str) -> DataFrame:
-    """token, n, value: the pieces of each pre-token (token, n)."""
+    """token (see key_of), n, value: the pieces of each pre-token (token, n)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
@@ -77,7 +77,7 @@ def piece_counts(distinct: DataFrame, path: str) -> DataFrame:
                 for w in tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False).word_ids:
                     pieces[w] += 1
                 counts += [1 if w in SPECIAL else n for w, n in zip(part, pieces, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.float64())], names=["token", "n", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(key_of, words)), pa.string()), batch.column(1), pa.array(counts, pa.float64())], names=["token", "n", "value"])
 
     return distinct.select("token", "n").mapInArrow(count, "token string, n long, value double")
 

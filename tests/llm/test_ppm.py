@@ -16,21 +16,22 @@ def training(seed=1):
     return ["".join(rnd.choice("abcde ") for _ in range(rnd.randrange(60))).encode() for _ in range(60)]
 
 
-def contexts(texts):
-    counts = [{} for _ in range(ORDER + 1)]
+def contexts(texts, order=ORDER):
+    counts = [{} for _ in range(order + 1)]
     for x in texts:
-        s = [255] * ORDER + list(x) + [255]
-        for i in range(ORDER, len(s)):
-            for k in range(ORDER + 1):
+        s = [255] * order + list(x) + [255]
+        for i in range(order, len(s)):
+            for k in range(order + 1):
                 counts[k].setdefault(tuple(s[i - k : i]), Counter())[s[i]] += 1
     return counts
 
 
 def brute(counts, x, least):
-    s, total = [255] * ORDER + list(x) + [255], 0.0
-    for i in range(ORDER, len(s)):
+    order = len(counts) - 1
+    s, total = [255] * order + list(x) + [255], 0.0
+    for i in range(order, len(s)):
         excluded = set()
-        for k in range(ORDER, -1, -1):
+        for k in range(order, -1, -1):
             full = counts[k].get(tuple(s[i - k : i]), {})
             kept = {y: n for y, n in full.items() if n >= least}
             left = {y: n for y, n in kept.items() if y not in excluded}
@@ -121,3 +122,16 @@ def test_no_node_is_left_out_of_the_query(as_table, monkeypatch):
 def test_contexts_of_six_bytes():
     keys, _ = ppm.windows([b"abcdefg"])
     assert int.from_bytes(b"abcdefg") in keys.tolist()
+
+
+def test_scores_of_the_query_equal_brute_force(as_table):
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.choice(["abra", "cadabra", "é", "x" * 20, str(i % 5)]) for _ in range(rnd.randrange(12)))) for i in range(80)] + [(200, None), (201, ""), (1, "again")]
+    counts = contexts([(t or "").encode() for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1], ppm.ORDER)
+    got = sorted((r.doc_id, round(r.score, 6)) for r in ppm.score_texts(as_table(rows)).collect())
+    assert got == sorted((i, round(brute(counts, (t or "").encode(), 1), 6)) for i, t in rows)
+
+
+def test_long_tokens_are_keys_of_bounded_length():
+    keys = {frequency.key_of(t) for t in ("-" * 80, "-" * 81, "-" * 64, b"-" * 80, "é" * 10**6)}
+    assert len(keys) == 5 and all(len(k) <= 66 for k in keys) and frequency.key_of("-" * 64) == "-" * 64
