@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +25,8 @@ from .common import bounded_batches, crc_mod, slices, trimmed, written
 from .frequency import at_most, count_tokens, join_frequencies, key_of, parts
 
 ORDER = 6
-#: Nodes of a trie in memory at most; n-grams that a task holds before it passes their counts on; bytes handled at once.
-NODES, HELD, SHARD_BYTES = 1 << 20, 1 << 20, 1 << 20
+#: Nodes of a trie in memory at most; windows that a task holds before it passes their counts on; bytes handled at once.
+NODES, HELD, SHARD_BYTES = 1 << 20, 1 << 23, 1 << 20
 #: Tokens whose baseline values are broadcast.
 HOT = 1 << 18
 #: Windows whose scores are broadcast; the other ones' are joined.
@@ -65,34 +64,35 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 
 def count_windows(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """key (window as a number), n (count in the texts learned from), seen (count in all) of texts (a binary column, and whether it is learned from)."""
+    """key (window as a number), n (count in the texts learned from), seen (count in all) of texts (a binary column, and whether it is learned from).
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, counts = [], []
-
-        def rows():
-            return pd.DataFrame({"key": keys[0].astype(np.int64), "n": counts[0][:, 0], "seen": counts[0][:, 1]})
+    A task fills an array of HELD windows, sorts it and passes on the counts. These are mostly of windows that it passes on once, so they are not summed before the shuffle.
+    """
+    held_out = np.uint64(1 << 63)  # a window has 7 bytes at most
+
+    def counts(keys: np.ndarray) -> pa.RecordBatch:
+        keys.sort()
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1]]))
+        seen, key = np.diff(np.append(first, len(keys))), keys[first]
+        n = np.where(key < held_out, seen, 0)
+        return pa.RecordBatch.from_arrays([pa.array((key & ~held_out).astype(np.int64)), pa.array(n), pa.array(seen)], names=["key", "n", "seen"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, full = np.empty(HELD, dtype=np.uint64), 0
+        for batch in (part for whole in trimmed(batches) for part in parts(whole, 0)):
+            raw, learned = [t or b"" for t in batch.column(0).to_pylist()], batch.column(1).to_numpy(zero_copy_only=False)
+            keys, lengths = windows(raw, order)
+            keys |= np.repeat(np.where(learned, np.uint64(0), held_out), lengths)
+            while len(keys):
+                new = keys[: len(held) - full]
+                held[full : full + len(new)] = new
+                keys, full = keys[len(new) :], full + len(new)
+                if full == len(held):
+                    yield counts(held)
+                    full = 0
+        yield counts(held[:full])
 
-        for batch in trimmed(batches):
-            raw, learned = [t or b"" for t in batch.iloc[:, 0]], batch.iloc[:, 1].to_numpy(dtype=np.int64)
-            for a, b in slices([len(t) for t in raw], SHARD_BYTES):
-                k, lengths = windows(raw[a:b], order)
-                k, n = merged([k], [np.stack([np.repeat(learned[a:b], lengths), np.ones(len(k), dtype=np.int64)], axis=1)])
-                keys.append(k)
-                counts.append(n)
-                if sum(map(len, keys)) > HELD:
-                    k, n = merged(keys, counts)
-                    keys[:], counts[:] = [k], [n]
-                    if len(k) > HELD // 2:  # merging gains little any more
-                        yield rows()
-                        keys.clear()
-                        counts.clear()
-        if keys:
-            k, n = merged(keys, counts)
-            keys[:], counts[:] = [k], [n]
-            yield rows()
-
-    return texts.mapInPandas(count, "key long, n long, seen long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+    return bounded_batches(texts).mapInArrow(count, "key long, n long, seen long").repartition("key").groupBy("key").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
 def last_bytes(key: Column, n: Column | int) -> Column:
@@ -178,8 +178,9 @@ def sum_windows(texts: DataFrame, scores: DataFrame, order: int = ORDER, hot: in
             sure = np.add.reduceat(np.where(at >= 0, value[np.maximum(at, 0)] if len(value) else 0.0, 0.0), np.cumsum(lengths) - lengths)
             rest = np.flatnonzero(at < 0)
             key, of = keys[rest], np.repeat(np.arange(len(raw)), lengths)[rest]
-            by = np.lexsort((key, of))
-            key, of = key[by], of[by]
+            edges = np.searchsorted(of, np.arange(len(raw) + 1))
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                key[start:end].sort()
             first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])])) if len(key) else np.zeros(0, dtype=np.int64)
             freq = np.diff(np.append(first, len(key)))
             # A row for the text itself, with a key of its own that no table has.
