@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
@@ -153,6 +154,20 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: Bytes of one text that are Python objects at once, about.
+PIECE_BYTES = 4 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(text: bytes, most: int | None = None) -> Iterator[bytes]:
+    """A text cut before ASCII white space into pieces of about `most` bytes; a word is never cut."""
+    most, at = most or PIECE_BYTES, 0
+    while len(text) - at > most and (space := _SPACE.search(text, at + most)):
+        yield text[at : space.start()]
+        at = space.start()
+    yield text[at:] if at else text
+
+
 def slices(sizes: list[int], most: int) -> list[tuple[int, int]]:
     """Ranges of consecutive items whose sizes sum up to about `most`; a larger item gets a range of its own."""
     out, start, total = [], 0, 0

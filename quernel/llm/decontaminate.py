@@ -9,7 +9,8 @@ blocks of bounded size, each of which every shard searches.
 A window is `width` consecutive words of an item; an item of fewer words, but not none, is one window.
 
 Defined cases: null or empty text has no words and is clean; a benchmark item without words matches nothing; equal items are searched once
-per id; null item ids count as the empty string; repeated document rows repeat their result; an empty benchmark leaves all documents clean.
+per id; null item ids count as the empty string; repeated document rows repeat their result; an empty benchmark leaves all documents clean; a very
+long text has a suffix array of its own, with some tens of bytes a word; other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices, trimmed
+from .common import bounded_batches, pieces, slices, trimmed
 
 WIDTH = 10
 #: Bytes of benchmark text in one broadcast block, and of document text in one suffix array.
@@ -59,9 +60,11 @@ class ShardSuffixes:
     """Suffix array of the words of a shard that stand in runs of at least `shortest` known words."""
 
     def __init__(self, texts: list[bytes], test: TestSuffixes):
-        words = BETWEEN.join(b" " + t.replace(BETWEEN, b"\xfe").translate(WORD_BYTES) + b" " for t in texts).split()
-        find = test.known.get
-        ids = np.fromiter((find(w, 0) for w in words), dtype=np.int64, count=len(words))
+        find, ids = test.known.get, [np.zeros(0, np.int64)]
+        for piece in pieces(BETWEEN.join(b" " + t.replace(BETWEEN, b"\xfe").translate(WORD_BYTES) + b" " for t in texts)):
+            words = piece.split()
+            ids.append(np.fromiter((find(w, 0) for w in words), dtype=np.int64, count=len(words)))
+        ids = np.concatenate(ids)
         bounds = np.flatnonzero(ids == -1)
         self.starts = np.concatenate([[0], bounds + 1])
         self.n_words = np.diff(np.concatenate([self.starts, [len(ids) + 1]])) - 1

@@ -17,14 +17,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices, trimmed
+from .common import bounded_batches, pieces, slices, trimmed
 
 #: Broadcast tokens at most, and the length from which on a digest stands for a token; distinct tokens that a task holds before it passes their counts on.
 HOT, HOT_LENGTH, HELD = 1 << 19, 64, 1 << 19
 #: Bytes of text that are Python objects at once.
 PART_BYTES = 1 << 20
 
-Split = Callable[[], Callable[[bytes], list]]  # called once in each task
+Split = Callable[[], Callable[[bytes], list]]  # called once in each task; the function made gets pieces of texts, cut before white space
 
 
 def key_of(token):
@@ -42,8 +42,8 @@ def parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, b - a)
 
 
-def count_tokens(texts: DataFrame, split: Split, token_type: str) -> DataFrame:
-    """token, n over all rows of texts (one binary column); null texts have what the empty text has."""
+def count_tokens(texts: DataFrame, split: Split, token_type: str, end: list = ()) -> DataFrame:
+    """token, n over all rows of texts (one binary column); null texts have what the empty text has. end: tokens that each text has besides."""
     kind = pa.string() if token_type == "string" else pa.binary()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,10 +54,12 @@ def count_tokens(texts: DataFrame, split: Split, token_type: str) -> DataFrame:
 
         for batch in trimmed(batches):
             for text in batch.column(0):
-                seen.update(tokens(text.as_py() or b""))
-                if len(seen) > HELD:
-                    yield rows()
-                    seen.clear()
+                seen.update(end)
+                for piece in pieces(text.as_py() or b""):
+                    seen.update(tokens(piece))
+                    if len(seen) > HELD:
+                        yield rows()
+                        seen.clear()
         yield rows()
 
     return bounded_batches(texts).mapInArrow(count, f"token {token_type}, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -74,11 +76,11 @@ def at_most(table: DataFrame, n: Column, most: int) -> Column:
     return n >= F.lit(least) if least is not None else F.lit(False)
 
 
-def join_frequencies(docs: DataFrame, keep: list[str], split: Split, table: DataFrame, token_type: str, default: float, hot: int = HOT, score: Callable[[list[bytes]], Sequence[float]] | None = None) -> DataFrame:
+def join_frequencies(docs: DataFrame, keep: list[str], split: Split, table: DataFrame, token_type: str, default: float, hot: int = HOT, score: Callable[[list[bytes]], Sequence[float]] | None = None, *, end: list = ()) -> DataFrame:
     """The columns `keep`, n_tokens, n_known, total of each row of docs, which is a table read alike each time and has a binary column text.
 
     table: token (see key_of), n, value. n_known counts the tokens in the table, total sums their values and `default` for each other token.
-    score: gives a number for each text, in a further column score; the texts are read once for both.
+    end: tokens that each text has besides. score: gives a number for each text, in a further column score; the texts are read once for both.
     """
     wanted = at_most(table, F.col("n"), hot)
     rows = table.where(wanted).select("token", "value").toArrow()
@@ -98,9 +100,13 @@ def join_frequencies(docs: DataFrame, keep: list[str], split: Split, table: Data
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
             row, token, freq, n_tokens, n_known, total, source = out
             for i, (at, text) in enumerate(zip(ids, texts, strict=True)):
-                found = tokens(text)
+                found, many = Counter(end), len(end)
+                for piece in pieces(text):
+                    new = tokens(piece)
+                    found.update(new)
+                    many += len(new)
                 seen, sure, first = 0, 0.0, len(row)
-                for t, f in Counter(found).items():
+                for t, f in found.items():
                     if len(t) > HOT_LENGTH:
                         t = key_of(t)
                     if (v := find(t)) is None:
@@ -115,7 +121,7 @@ def join_frequencies(docs: DataFrame, keep: list[str], split: Split, table: Data
                     freq.append(0)
                 more = len(token) - first
                 row += [at] * more
-                n_tokens += [len(found)] + [None] * (more - 1)
+                n_tokens += [many] + [None] * (more - 1)
                 n_known += [seen] + [None] * (more - 1)
                 total += [sure] + [None] * (more - 1)
                 source += [i] + [None] * (more - 1)

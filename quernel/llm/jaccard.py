@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, join_skewed, marked, placed, slices, small, trimmed, written
+from .common import bounded_batches, join_skewed, marked, pieces, placed, slices, small, trimmed, written
 from .components import components
 from .frequency import at_most
 
@@ -62,8 +62,13 @@ def shingle_sets(texts: list[bytes], width: int, hashes: WordHashes) -> Iterator
     """Sorted distinct n-gram hashes of each text."""
     if len(hashes) > KNOWN_WORDS:
         hashes.clear()
-    words = BETWEEN.join(b" " + t.replace(BETWEEN, b"\xfe").lower() + b" " for t in texts).split()
-    values = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    values = [np.zeros(0, np.uint64)]
+    for piece in pieces(BETWEEN.join(b" " + t.replace(BETWEEN, b"\xfe").lower() + b" " for t in texts)):
+        words = piece.split()
+        values.append(np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)))
+        if len(hashes) > 2 * KNOWN_WORDS:
+            hashes.clear()
+    values = np.concatenate(values)
     bounds = np.flatnonzero(values == np.uint64(hashes[BETWEEN]))
     grams = np.full(max(0, len(values) - width + 1), width, dtype=np.uint64)
     for j in range(width):

@@ -9,7 +9,8 @@ summed where the text is read, the other ones are joined to the texts. Texts beg
 train() makes one trie of the most frequent nodes only; what it leaves out goes to escapes. op9 doesn't use it.
 
 Defined cases: null text is the empty text, which costs its end mark; with no training text bytes are equally likely and the baseline is 0;
-repeated rows repeat their result (rows are told apart by their place, so the input is to be a table); other columns play no part.
+repeated rows repeat their result (rows are told apart by their place, so the input is to be a table); other columns play no part; a very long text is
+read in pieces of SHARD_BYTES, its words in pieces of about PIECE_BYTES.
 """
 
 from __future__ import annotations
@@ -42,8 +43,24 @@ END = b"\n"
 
 def windows(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """The last order + 1 bytes at each byte and end mark of all texts, as numbers, and how many each text has."""
-    data = np.frombuffer(b"".join(bytes([MARK]) * order + t.replace(b"\xff", b"\xfe") + bytes([MARK]) for t in texts), dtype=np.uint8)
-    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
+    return windows_at([bytes([MARK]) * order + t.replace(b"\xff", b"\xfe") + bytes([MARK]) for t in texts], order)
+
+
+def shards(texts: list[bytes], order: int = ORDER) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """windows() of a list of texts, about SHARD_BYTES at once, however long a text is: windows, how many each text has, numbers of the texts."""
+    for a, b in slices([len(t) for t in texts], SHARD_BYTES):
+        if b - a > 1 or len(texts[a]) <= SHARD_BYTES:
+            yield *windows(texts[a:b], order), np.arange(a, b)
+            continue
+        whole = bytes([MARK]) * order + texts[a].replace(b"\xff", b"\xfe") + bytes([MARK])
+        for i in range(order, len(whole), SHARD_BYTES):
+            yield *windows_at([whole[i - order : i + SHARD_BYTES]], order), np.array([a])
+
+
+def windows_at(coded: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of byte strings that begin with `order` bytes of context."""
+    data = np.frombuffer(b"".join(coded), dtype=np.uint8)
+    lengths = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) - order
     keys = np.zeros(len(data) - order, dtype=np.uint64)
     for j in range(order + 1):
         keys = (keys << np.uint64(8)) | data[j : len(data) - order + j]
@@ -81,15 +98,15 @@ def count_windows(texts: DataFrame, order: int = ORDER) -> DataFrame:
         held, full = np.empty(HELD, dtype=np.uint64), 0
         for batch in (part for whole in trimmed(batches) for part in parts(whole, 0)):
             raw, learned = [t or b"" for t in batch.column(0).to_pylist()], batch.column(1).to_numpy(zero_copy_only=False)
-            keys, lengths = windows(raw, order)
-            keys |= np.repeat(np.where(learned, np.uint64(0), held_out), lengths)
-            while len(keys):
-                new = keys[: len(held) - full]
-                held[full : full + len(new)] = new
-                keys, full = keys[len(new) :], full + len(new)
-                if full == len(held):
-                    yield counts(held)
-                    full = 0
+            for keys, lengths, of in shards(raw, order):
+                keys |= np.repeat(np.where(learned[of], np.uint64(0), held_out), lengths)
+                while len(keys):
+                    new = keys[: len(held) - full]
+                    held[full : full + len(new)] = new
+                    keys, full = keys[len(new) :], full + len(new)
+                    if full == len(held):
+                        yield counts(held)
+                        full = 0
         yield counts(held[:full])
 
     return bounded_batches(texts).mapInArrow(count, "key long, n long, seen long").repartition("key").groupBy("key").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
@@ -173,19 +190,19 @@ def sum_windows(texts: DataFrame, scores: DataFrame, order: int = ORDER, hot: in
         find, value = sent.value
         for batch in (part for whole in trimmed(batches) for part in parts(whole, 1)):
             places, raw = batch.column(0).to_numpy(), [t or b"" for t in batch.column(1).to_pylist()]
-            keys, lengths = windows(raw, order)
-            at = find.find(keys)
-            sure = np.add.reduceat(np.where(at >= 0, value[np.maximum(at, 0)] if len(value) else 0.0, 0.0), np.cumsum(lengths) - lengths)
-            rest = np.flatnonzero(at < 0)
-            key, of = keys[rest], np.repeat(np.arange(len(raw)), lengths)[rest]
-            edges = np.searchsorted(of, np.arange(len(raw) + 1))
-            for start, end in zip(edges[:-1], edges[1:], strict=True):
-                key[start:end].sort()
-            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])])) if len(key) else np.zeros(0, dtype=np.int64)
-            freq = np.diff(np.append(first, len(key)))
-            # A row for the text itself, with a key of its own that no table has.
-            columns = [np.concatenate([places, places[of[first]]]), np.concatenate([-1 - places, key[first].astype(np.int64)]), np.concatenate([np.zeros(len(raw), dtype=np.int64), freq]), np.concatenate([sure, np.zeros(len(first))])]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["place", "key", "freq", "sure"])
+            for keys, lengths, texts_ in shards(raw, order):
+                at = find.find(keys)
+                sure = np.add.reduceat(np.where(at >= 0, value[np.maximum(at, 0)] if len(value) else 0.0, 0.0), np.cumsum(lengths) - lengths)
+                rest = np.flatnonzero(at < 0)
+                key, of = keys[rest], np.repeat(texts_, lengths)[rest]
+                edges = np.searchsorted(of, np.append(texts_, texts_[-1] + 1))
+                for start, end in zip(edges[:-1], edges[1:], strict=True):
+                    key[start:end].sort()
+                first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])])) if len(key) else np.zeros(0, dtype=np.int64)
+                freq, own = np.diff(np.append(first, len(key))), places[texts_]
+                # A row for the text itself, with a key of its own that no table has.
+                columns = [np.concatenate([own, places[of[first]]]), np.concatenate([-1 - own, key[first].astype(np.int64)]), np.concatenate([np.zeros(len(own), dtype=np.int64), freq]), np.concatenate([sure, np.zeros(len(first))])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["place", "key", "freq", "sure"])
 
     spread = bounded_batches(texts).mapInArrow(read, "place long, key long, freq long, sure double")
     joined = spread.join(scores.where(~wanted).select("key", "score"), "key", "left")
@@ -308,11 +325,11 @@ def train(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> Trie:
 
 
 def baseline_split():
-    return lambda text: [*text.lower().split(), END]
+    return lambda text: text.lower().split()
 
 
 def baseline_keys():
-    return lambda text: map(key_of, baseline_split()(text))
+    return lambda text: map(key_of, text.lower().split())
 
 
 def held_out(doc_id):
@@ -323,10 +340,10 @@ def score_texts(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text), learned from the rows that aren't held out."""
     texts = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("binary").alias("text"))
     learned = texts.where("NOT held_out").select("text")
-    table = written(count_tokens(learned, baseline_keys, "binary").withColumn("value", F.log10(F.col("n") + 0.5)), "unigrams")
+    table = written(count_tokens(learned, baseline_keys, "binary", [END]).withColumn("value", F.log10(F.col("n") + 0.5)), "unigrams")
     all_n, distinct = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     scores = written(score_windows(written(count_windows(texts.select("text", ~F.col("held_out"))), "windows")), "scores")
     placed = texts.withColumn("place", F.monotonically_increasing_id())
-    found = join_frequencies(placed, ["doc_id", "held_out", "place"], baseline_split, table, "binary", float(np.log10(0.5)), hot=HOT)
+    found = join_frequencies(placed, ["doc_id", "held_out", "place"], baseline_split, table, "binary", float(np.log10(0.5)), hot=HOT, end=[END])
     base = F.col("total") - F.col("n_tokens") * F.log10(F.lit(float(all_n + 0.5 * (distinct + 1))))
     return found.join(sum_windows(placed.select("place", "text"), scores), "place").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(all_n).cast("long").alias("train_tokens"), F.round(base, DIGITS).alias("base_score"), F.round("score", DIGITS).alias("score"))

@@ -4,7 +4,7 @@ Splitting into pre-tokens follows the tokenizer file: special strings first, the
 common Latin letters take a pattern of our own for this; all others go through the library's normalizer and pre-tokenizer.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; special strings in a text are one token each, as is the library's default; a
-very long pre-token is counted whole; repeated rows repeat their result (rows are told apart by their place, so the input is to be a table).
+very long text is split piece by piece, cut before white space, but a very long pre-token is counted whole; repeated rows repeat their result (rows are told apart by their place, so the input is to be a table).
 """
 
 from __future__ import annotations
