@@ -26,8 +26,8 @@ from .common import bounded_batches, crc_mod, slices, trimmed, written
 from .frequency import at_most, count_tokens, join_frequencies, key_of, parts
 
 ORDER = 6
-#: Nodes of a trie in memory at most; windows that a task holds before it passes their counts on; bytes handled at once.
-NODES, HELD, SHARD_BYTES = 1 << 20, 1 << 23, 1 << 20
+#: Nodes of a trie in memory at most; windows that a task sorts at once, and counts that it holds before it passes them on; bytes handled at once.
+NODES, HELD, MERGED, SHARD_BYTES = 1 << 20, 1 << 23, 1 << 22, 1 << 20
 #: Tokens whose baseline values are broadcast.
 HOT = 1 << 18
 #: Windows whose scores are broadcast; the other ones' are joined.
@@ -83,31 +83,46 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 def count_windows(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """key (window as a number), n (count in the texts learned from), seen (count in all) of texts (a binary column, and whether it is learned from).
 
-    A task fills an array of HELD windows, sorts it and passes on the counts. These are mostly of windows that it passes on once, so they are not summed before the shuffle.
+    A task fills an array of HELD windows, sorts it and merges the counts with those before; it passes them on when they are of more than MERGED windows, or
+    the last. So they are not summed again before the shuffle.
     """
-    held_out = np.uint64(1 << 63)  # a window has 7 bytes at most
+    one = np.uint64(1)  # a window has 7 bytes at most, so it can be shifted: the last bit tells the texts not learned from
 
-    def counts(keys: np.ndarray) -> pa.RecordBatch:
+    def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys.sort()
-        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1]]))
-        seen, key = np.diff(np.append(first, len(keys))), keys[first]
-        n = np.where(key < held_out, seen, 0)
-        return pa.RecordBatch.from_arrays([pa.array((key & ~held_out).astype(np.int64)), pa.array(n), pa.array(seen)], names=["key", "n", "seen"])
+        bare = keys >> one
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(bare)), dtype=bool), bare[1:] != bare[:-1]]))
+        seen = np.diff(np.append(first, len(bare)))
+        other = np.add.reduceat((keys & one).astype(np.int64), first) if len(first) else seen
+        return bare[first], np.stack([seen - other, seen], axis=1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, full = np.empty(HELD, dtype=np.uint64), 0
+        held, full, known = np.empty(HELD, dtype=np.uint64), 0, []
+
+        def rows() -> pa.RecordBatch:
+            key, counts = known.pop()
+            return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), *(pa.array(np.ascontiguousarray(counts[:, i])) for i in (0, 1))], names=["key", "n", "seen"])
+
+        def put() -> None:
+            known.append(counted(held[:full]))
+            if len(known) == 2:
+                known[:] = [merged(*map(list, zip(*known, strict=True)))]
+
         for batch in (part for whole in trimmed(batches) for part in parts(whole, 0)):
             raw, learned = [t or b"" for t in batch.column(0).to_pylist()], batch.column(1).to_numpy(zero_copy_only=False)
             for keys, lengths, of in shards(raw, order):
-                keys |= np.repeat(np.where(learned[of], np.uint64(0), held_out), lengths)
+                keys = keys << one | np.repeat((~learned[of].astype(bool)).astype(np.uint64), lengths)
                 while len(keys):
                     new = keys[: len(held) - full]
                     held[full : full + len(new)] = new
                     keys, full = keys[len(new) :], full + len(new)
                     if full == len(held):
-                        yield counts(held)
+                        put()
                         full = 0
-        yield counts(held[:full])
+                        if len(known[0][0]) > MERGED:
+                            yield rows()
+        put()
+        yield rows()
 
     return bounded_batches(texts).mapInArrow(count, "key long, n long, seen long").repartition("key").groupBy("key").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 

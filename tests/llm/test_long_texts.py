@@ -33,6 +33,21 @@ def test_windows_in_shards(tiny):
     assert [x for part in got for x in part] == list(zip(np.repeat(np.arange(len(raw)), n), keys, strict=True)) and len(got) > len(raw)
 
 
+def test_counts_of_windows(tiny, as_table, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(ppm, "MERGED", 20)
+    raw = [t.decode() for t in texts()]
+    docs = as_table(list(enumerate(raw)))
+    got = {r.key: (r.n, r.seen) for r in ppm.count_windows(docs.selectExpr("CAST(text AS BINARY)", "doc_id % 3 > 0")).collect()}
+    seen, n = Counter(), Counter()
+    for i, t in enumerate(raw):
+        keys = ppm.windows([t.encode()])[0].astype(np.int64).tolist()
+        seen.update(keys)
+        n.update(keys if i % 3 else [])
+    assert got == {k: (n[k], c) for k, c in seen.items()}
+
+
 def test_sets_and_suffixes(monkeypatch):
     raw = texts()
     whole = [s.tolist() for s in jaccard.shingle_sets(raw, 3, jaccard.WordHashes())]
