@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 
@@ -52,3 +53,15 @@ class SearchConfig:
         """From nested plain values, as a YAML or JSON file has them; what is missing keeps its default."""
         parts = {"sentiment": SentimentBoost, "aspect": AspectBoost, "decay": TimeDecay, "diversity": Diversity}
         return cls(**{k: parts[k](**v) if k in parts else v for k, v in values.items()})
+
+    @classmethod
+    def from_file(cls, path: str, section: str | None = None) -> SearchConfig:
+        """From a JSON file, or a YAML file where a YAML reader is installed; section: only what is under this key."""
+        with open(path, encoding="utf-8") as f:
+            if path.endswith((".yaml", ".yml")):
+                import yaml
+
+                values = yaml.safe_load(f) or {}
+            else:
+                values = json.load(f)
+        return cls.from_dict(values.get(section, {}) if section else values)

@@ -13,6 +13,17 @@ STOP_WORDS = (
     "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with",
 )
 
+# Words that word clouds leave out.
+CLOUD_STOP_WORDS = (
+    "a", "an", "the", "and", "or", "but", "if", "in", "on", "at", "to", "for", "of", "with", "by", "from", "up", "about", "into", "through", "during", "after", "before", "between", "out", "off", "over", "under", "again", "then", "once", "per",
+    "via", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "shall", "can", "need", "i", "you", "he", "she", "it", "we", "they", "me", "him", "her",
+    "us", "them", "my", "your", "his", "its", "our", "their", "this", "that", "these", "those", "what", "which", "who", "when", "where", "why", "how", "all", "each", "not", "no", "so", "too", "very", "just", "also", "both", "few", "more", "most",
+    "other", "some", "such", "only", "same", "than", "there", "here", "ever", "never", "always", "still", "even", "though", "yet", "really", "well", "get", "got", "go", "going", "make", "made", "take", "took", "give", "gave", "see", "saw", "know",
+    "think", "use", "used", "using", "feel", "want", "try", "let", "put", "say", "said", "tell", "told", "find", "found", "work", "look", "like", "mean", "good", "bad", "great", "better", "best", "new", "old", "right", "true", "false", "sure",
+    "different", "reddit", "post", "comment", "thread", "lol", "yeah", "yes", "thanks", "thank", "please", "help", "anyone", "people", "someone", "something", "nothing", "things", "thing", "stuff", "lot", "bit", "way", "time", "day", "year", "one",
+    "two", "three", "dont", "doesnt", "cant", "wont", "isnt", "wasnt", "havent", "didnt", "wouldnt", "much", "many", "any", "every", "own", "since", "while", "now", "back", "down", "come", "came",
+)
+
 # Aspects and the substrings that tell them, in the order of output.
 ASPECTS = {
     "productivity": ("productivity", "productive", "efficiency", "efficient", "workflow"),

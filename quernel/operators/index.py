@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import plain_tokens
+from ..functions.text import english_terms, plain_tokens, stem_table
 
 FIELDS = ("title", "text")
 BUCKETS = 64
@@ -16,13 +16,26 @@ BUCKETS = 64
 
 @dataclass
 class Index:
-    """documents; postings: term, field, doc_id, tf, dl; stats: field, n_docs, avgdl; vocabulary: term, field, df; vectors: doc_id, vector."""
+    """documents; postings: term, field, doc_id, tf, dl; stats: field, n_docs, avgdl; vocabulary: term, field, df; vectors: doc_id, vector. analyzer: a key of ANALYZERS."""
 
     documents: DataFrame
     postings: DataFrame
     stats: DataFrame
     vocabulary: DataFrame
     vectors: DataFrame
+    analyzer: str = "plain"
+
+
+#: How texts become terms: lower-case words; or without stop words and possessive endings, and stemmed.
+ANALYZERS = {"plain": plain_tokens, "english": english_terms}
+
+
+def stemmed(rows: DataFrame, analyzer: str) -> DataFrame:
+    """rows with term as the analyzer has it; stems are looked up for distinct terms only."""
+    if analyzer != "english":
+        return rows
+    others = [c for c in rows.columns if c != "term"]
+    return rows.join(stem_table(rows), "term").select(F.col("stem").alias("term"), *others)
 
 
 def field_tokens(documents: DataFrame, tokens: Callable[[Column], Column] = plain_tokens, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -49,10 +62,12 @@ def vocabulary(postings_: DataFrame) -> DataFrame:
     return postings_.groupBy("term", "field").agg(F.count("*").alias("df"))
 
 
-def build_index(documents: DataFrame, tokens: Callable[[Column], Column] = plain_tokens) -> Index:
-    told = field_tokens(documents, tokens)
+def build_index(documents: DataFrame, analyzer: str = "plain") -> Index:
+    told = field_tokens(documents, ANALYZERS[analyzer])
     posted = postings(told)
-    return Index(documents.drop("vector"), posted, field_stats(told), vocabulary(posted), documents.where("vector IS NOT NULL").select("doc_id", "vector"))
+    if analyzer == "english":
+        posted = stemmed(posted, analyzer).groupBy("term", "field", "doc_id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+    return Index(documents.drop("vector"), posted, field_stats(told), vocabulary(posted), documents.where("vector IS NOT NULL").select("doc_id", "vector"), analyzer)
 
 
 def term_bucket(term: Column) -> Column:
@@ -60,28 +75,42 @@ def term_bucket(term: Column) -> Column:
 
 
 def save_index(index: Index, path: str) -> None:
-    """Postings and vocabulary lie in folders by term bucket; a task writes to one bucket's folder only, large buckets by several tasks."""
-    index.documents.write.mode("overwrite").parquet(f"{path}/documents")
+    """Postings and vocabulary lie in folders by term bucket; a task writes to one bucket's folder only, large buckets by several tasks. Documents are sorted
+    by id, so that those of given ids are in few row groups; texts are read for the postings once."""
+    index.documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/documents")
     index.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
     posted = index.postings.withColumn("bucket", term_bucket(F.col("term"))).hint("rebalance", "bucket")
     posted.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     kept = SparkSession.getActiveSession().read.parquet(f"{path}/postings")
     vocabulary(kept).withColumn("bucket", term_bucket(F.col("term"))).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vocabulary")
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    index.stats.withColumn("analyzer", F.lit(index.analyzer)).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
     read = lambda name: spark.read.parquet(f"{path}/{name}")
-    return Index(read("documents"), read("postings"), read("stats"), read("vocabulary"), read("vectors"))
+    told = read("stats").select("analyzer").first()
+    return Index(read("documents"), read("postings"), read("stats").drop("analyzer"), read("vocabulary"), read("vectors"), told[0] if told else "plain")
 
 
 def of_terms(rows: DataFrame, terms: list[str]) -> DataFrame:
     """Rows of a saved table (postings or vocabulary) for a few given terms: other buckets' folders are not read."""
-    spark = rows.sparkSession
-    buckets = [r.b for r in spark.createDataFrame([(t,) for t in terms], "term string").select(term_bucket(F.col("term")).alias("b")).distinct().collect()]
+    given = rows.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+    buckets = given.agg(F.collect_set(term_bucket(F.col("term")))).first()[0]
     return rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
 
 
+#: Documents that are looked up by a list of their ids at most.
+MANY_IDS = 10_000
+
+
+def with_documents(rows: DataFrame, documents: DataFrame, how: str = "left") -> DataFrame:
+    """rows (a held table) joined with documents by doc_id. Up to MANY_IDS ids reach the scan of documents, which then reads only row groups that can hold them."""
+    ids = [r.doc_id for r in rows.select("doc_id").distinct().take(MANY_IDS + 1)]
+    if len(ids) > MANY_IDS:
+        return rows.join(documents, "doc_id", how)
+    return rows.join(F.broadcast(documents.where(F.col("doc_id").isin(ids))), "doc_id", how)
+
+
 def corpus_stats(documents: DataFrame, most: int = 100) -> DataFrame:
     """facet, value, count of tools, sentiment and subreddit over all documents, each facet's `most` most frequent, and the total."""
     from .facets import counted

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..config import SearchConfig
 from ..functions.text import plain_tokens
-from .index import Index
-from .rank import ranked, top
+from ..sources.shared import stated
+from .index import Index, term_bucket
+from .rank import top
 
 #: Scores are compared after rounding to so many digits, as sums of floats depend on their order.
 DIGITS = 9
@@ -20,32 +21,74 @@ DIGITS = 9
 QUERY_BLOCK = 4096
 
 
+def best_first() -> list[Column]:
+    return [F.col("score").desc(), F.col("doc_id")]
+
+
 def query_terms(queries: DataFrame, tokens=plain_tokens) -> DataFrame:
-    """query_id, term: the distinct terms of the queries (query_id, q)."""
-    return queries.select("query_id", F.explode(tokens(F.col("q"))).alias("term")).distinct()
+    """query_id, term: the distinct terms of the queries (query_id, q), but for those that must not stand."""
+    return asked_terms(queries, tokens).where("NOT banned").select("query_id", "term")
+
+
+def asked_terms(queries: DataFrame, tokens=plain_tokens) -> DataFrame:
+    """query_id, term, must, banned of queries (query_id, q) of plain words (any will do), +must, -not and "phrases", whose words must all stand (see with_phrases)."""
+    quoted = F.regexp_extract_all("q", F.lit('"([^"]*)"'), 1)
+    words = F.split(F.trim(F.regexp_replace("q", '"[^"]*"', " ")), r"\s+")
+    part = lambda text, must, banned: F.struct(tokens(text).alias("terms"), must.alias("must"), banned.alias("banned"))
+    parts = F.concat(F.transform(quoted, lambda p: part(p, F.lit(True), F.lit(False))), F.transform(words, lambda w: part(w, w.startswith("+"), w.startswith("-"))))
+    each = queries.where(F.col("q").isNotNull()).select("query_id", F.explode(parts).alias("p")).select("query_id", F.explode("p.terms").alias("term"), "p.must", "p.banned")
+    return each.groupBy("query_id", "term").agg(F.bool_or("must").alias("must"), F.bool_or("banned").alias("banned"))
+
+
+def phrases(queries: DataFrame) -> DataFrame:
+    """query_id, phrases: the phrases of each query that has any, as words with spaces around."""
+    spaced = lambda p: F.concat(F.lit(" "), F.array_join(plain_tokens(p), " "), F.lit(" "))
+    found = F.filter(F.transform(F.regexp_extract_all("q", F.lit('"([^"]*)"'), 1), spaced), lambda p: F.trim(p) != "")
+    return queries.select("query_id", found.alias("phrases")).where(F.size("phrases") > 0)
+
 
+def with_phrases(rows: DataFrame, asked: DataFrame, documents: DataFrame) -> DataFrame:
+    """rows (query_id, doc_id, ...), which hold all words of their query's phrases (see phrases()), in whose title or text each phrase stands."""
+    spaced = lambda c: F.concat(F.lit(" "), F.array_join(plain_tokens(F.col(c)), " "), F.lit(" "))
+    told = rows.join(asked, "query_id", "left").join(documents.select("doc_id", spaced("title").alias("a"), spaced("text").alias("b")), "doc_id")
+    stands = F.coalesce(F.forall("phrases", lambda p: F.contains("a", p) | F.contains("b", p)), F.lit(True))
+    return told.where(stands).select(*rows.columns)
 
-def bm25(postings: DataFrame, stats: DataFrame, vocabulary: DataFrame, terms: DataFrame, boosts: dict[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, doc_id, score. A term counts with its best field; a document's terms add up; any term will do.
 
-    terms: query_id, term. The statistics have a row for each field, the vocabulary of the asked terms one for each term and field.
+#: Asked terms whose statistics are broadcast at most; more of them are joined by shuffle.
+BROADCAST_TERMS = 1 << 17
+
+
+def keyword_scores(index: Index, terms: DataFrame, config: SearchConfig = SearchConfig(), boosts: dict[str, float] | None = None) -> DataFrame:
+    """query_id, doc_id, score by BM25. A term counts with its best field; a document's terms add up; any term will do, but those that must stand, or must not.
+
+    terms: query_id, term, or with must, banned too. Only buckets of asked terms are read. Their statistics meet the postings by broadcast, so postings are
+    shuffled once, by query and document.
     """
+    if "must" not in terms.columns:
+        terms = terms.select("query_id", "term", F.lit(False).alias("must"), F.lit(False).alias("banned"))
+    boosts = boosts or {"title": config.title_boost, "text": 1.0}
+    terms, rows = stated(terms.select("query_id", "term", "must", "banned", term_bucket(F.col("term")).alias("bucket")))
+    n_terms, buckets = (len(rows), sorted({r.bucket for r in rows})) if rows is not None else terms.agg(F.count("*"), F.collect_set("bucket")).first()  # BUCKETS numbers at most
+    terms = terms.drop("bucket")
+    posted, words = (t.where(F.col("bucket").isin(buckets)) if "bucket" in t.columns else t for t in (index.postings, index.vocabulary))
     boost = F.coalesce(*(F.when(F.col("field") == f, F.lit(float(w))) for f, w in boosts.items()))
     n, df, tf, dl = (F.col(c).cast("double") for c in ("n_docs", "df", "tf", "dl"))
-    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-    rows = postings.where(F.col("field").isin(*boosts)).join(vocabulary, ["term", "field"]).join(F.broadcast(stats), "field")
-    weighed = rows.withColumn("s", boost * idf * tf / (tf + k1 * (1 - b + b * dl / F.col("avgdl"))))
-    best = weighed.groupBy("term", "doc_id").agg(F.max("s").alias("s"))
-    return best.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), DIGITS).alias("score"))
+    small = F.broadcast if n_terms <= BROADCAST_TERMS else lambda df: df
+    known = words.where(F.col("field").isin(*boosts)).select("term", "field", "df").join(small(terms), "term").join(F.broadcast(index.stats), "field")
+    known = known.select("query_id", "term", "field", "must", "banned", "avgdl", (boost * F.log(1 + (n - df + 0.5) / (df + 0.5))).alias("weight"))
+    met = posted.where(F.col("field").isin(*boosts)).select("term", "field", "doc_id", "tf", "dl").join(small(known), ["term", "field"])
+    part = F.col("weight") * tf / (tf + config.k1 * (1 - config.b + config.b * dl / F.col("avgdl")))
+    each = met.select("query_id", "doc_id", "term", "must", "banned", part.alias("s")).repartition("query_id", "doc_id")
+    best = each.groupBy("query_id", "doc_id", "term").agg(F.max("s").alias("s"), F.first("must").alias("must"), F.first("banned").alias("banned"))
+    told = best.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), DIGITS).alias("score"), F.count_if("must").alias("had"), F.bool_or("banned").alias("bad"))
+    needed = small(terms.groupBy("query_id").agg(F.count_if("must").alias("needed")))
+    return told.where("NOT bad").join(needed, "query_id").where("had = needed").select("query_id", "doc_id", "score")
 
 
-def keyword_top(index: Index, terms: DataFrame, k: int | None = 100, config: SearchConfig = SearchConfig(), boosts: dict[str, float] | None = None) -> DataFrame:
-    """query_id, ord, doc_id, score of the best k documents for each query's terms."""
-    wanted = terms.select("term").distinct()
-    posted = index.postings.join(wanted, "term", "left_semi")
-    known = index.vocabulary.join(wanted, "term", "left_semi")
-    scored = bm25(posted, index.stats, known, terms, boosts or {"title": config.title_boost, "text": 1.0}, config.k1, config.b)
-    return top(scored, k, [F.col("score").desc(), F.col("doc_id")])
+def keyword_top(index: Index, terms: DataFrame, k: int = 100, config: SearchConfig = SearchConfig(), boosts: dict[str, float] | None = None) -> DataFrame:
+    """query_id, ord, doc_id, score of the best k documents for each query's terms (see keyword_scores)."""
+    return top(keyword_scores(index, terms, config, boosts), k, best_first())
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -60,7 +103,7 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int | None = 100) -> D
     """
     asked = queries.select("query_id", "vector").where("vector IS NOT NULL")
     if k is None:
-        return ranked(vector_scores(vectors, asked), [F.col("score").desc(), F.col("doc_id")])
+        return top(vector_scores(vectors, asked), None, best_first())
     kinds = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c, d in (("query_id", asked), ("doc_id", vectors)))
     rows = vectors.select("doc_id", F.col("vector").cast("array<double>").alias("vector")).where(F.size("vector") > 0)
     n = max(1, -(-asked.count() // QUERY_BLOCK))
@@ -69,7 +112,7 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int | None = 100) -> D
         block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).select("query_id", F.col("vector").cast("array<double>").alias("vector")).toArrow().combine_chunks()
         best = rows.mapInArrow(best_of_batches(vectors.sparkSession.sparkContext.broadcast(block), k), f"{kinds}, score double")
         found = best if found is None else found.unionByName(best)
-    return top(found, k, [F.col("score").desc(), F.col("doc_id")])
+    return top(found, k, best_first())
 
 
 def by_length(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -104,16 +147,21 @@ def best_of_batches(queries, k: int):
 
 
 def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, doc_id, score of all vectors for each query: for few queries, when all is wanted."""
+    """query_id, doc_id, score of all vectors for each query, in no order: for few queries, when a threshold decides."""
     asked = F.broadcast(queries.agg(F.collect_list(F.struct("query_id", F.col("vector").alias("q"))).alias("asked")))
     rows = vectors.join(asked, F.size("vector") > 0).select("doc_id", "vector", F.explode("asked").alias("x"))
     return rows.where(F.size("vector") == F.size("x.q")).select("x.query_id", "doc_id", F.round((1 + dot(F.col("vector"), F.col("x.q"))) / 2, DIGITS).alias("score"))
 
 
+def every_document(documents: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, doc_id: every document for every query, in no order."""
+    ids = F.broadcast(queries.agg(F.collect_list("query_id").alias("ids")))
+    return documents.select("doc_id").join(ids, F.lit(True)).select(F.explode("ids").alias("query_id"), "doc_id")
+
+
 def match_all(documents: DataFrame, queries: DataFrame) -> DataFrame:
     """Every document for every query, with score 1, in order of their ids."""
-    ids = F.broadcast(queries.agg(F.collect_list("query_id").alias("ids")))
-    rows = documents.select("doc_id").join(ids, F.lit(True)).select(F.explode("ids").alias("query_id"), "doc_id", F.lit(1.0).alias("score"))
+    rows = every_document(documents, queries).withColumn("score", F.lit(1.0))
     return top(rows, None, [F.col("doc_id")])
 
 

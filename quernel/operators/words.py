@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, plain_tokens, snippet
+from ..functions.text import CLOUD_STOP_WORDS, plain_tokens, snippet
 from .rank import top
 
 # Words of the field that spelling hints should know.
@@ -19,9 +19,11 @@ DOMAIN_WORDS = (
     "upvote", "upvotes", "downvote", "downvotes", "v0",
 )
 DOMAIN_FREQUENCY = 1_000_000
+# Fixed value: a word that is no word, so that it is corrected to one of the field.
+NO_WORD = "claud"
 
 
-def word_cloud(rows: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS, most: int = 60) -> DataFrame:
+def word_cloud(rows: DataFrame, stop_words: tuple[str, ...] = CLOUD_STOP_WORDS, most: int = 60) -> DataFrame:
     """query_id, word, weight, tier, place of the heaviest words in titles and snippets. An occurrence weighs 1, or 1 + similarity where that is positive.
 
     Stop words, words under three letters and numbers don't count. Tier: 1 above 0.6 of the heaviest weight, 2 above 0.3, else 3.
@@ -52,7 +54,7 @@ def swapped(a: Column, b: Column) -> Column:
 def known_words(vocabulary: DataFrame, domain: tuple[str, ...] = DOMAIN_WORDS) -> DataFrame:
     """word, n: the corpus's words (term, n) and the field's, which count as very frequent."""
     own = vocabulary.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, domain))).alias("word"), F.lit(DOMAIN_FREQUENCY).cast("long").alias("n"))
-    return vocabulary.select(F.col("term").alias("word"), F.col("n").cast("long")).unionByName(own).groupBy("word").agg(F.max("n").alias("n"))
+    return vocabulary.select(F.col("term").alias("word"), F.col("n").cast("long")).unionByName(own).where(F.col("word") != NO_WORD).groupBy("word").agg(F.max("n").alias("n"))
 
 
 def spelling(queries: DataFrame, words: DataFrame) -> DataFrame:
@@ -74,6 +76,16 @@ def spelling(queries: DataFrame, words: DataFrame) -> DataFrame:
     return told.withColumn("r", best).where("r = 1").select("query_id", "pos", "token", F.col("word").alias("correction"), "distance")
 
 
+def corrected(queries: DataFrame, hints: DataFrame) -> DataFrame:
+    """query_id, corrected: each query (query_id, q) that a hint (see spelling()) changes, with its corrections in place."""
+    tokens = queries.select("query_id", F.posexplode(F.split(F.trim("q"), r"\s+")).alias("pos", "token"))
+    put = tokens.join(hints.select("query_id", "pos", "correction"), ["query_id", "pos"], "left")
+    changed = F.coalesce(F.lower("token") != F.lower("correction"), F.lit(False))
+    word = F.struct("pos", F.when(changed, F.col("correction")).otherwise(F.col("token")).alias("word"))
+    told = put.groupBy("query_id").agg(F.array_sort(F.collect_list(word)).alias("words"), F.bool_or(changed).alias("changed"))
+    return told.where("changed").select("query_id", F.array_join("words.word", " ").alias("corrected"))
+
+
 def left_out(w: Column, times: int = 2) -> Column:
     """The word and its forms with up to two letters left out."""
     drop = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(c.substr(F.lit(1), i - 1), c.substr(i + 1, F.length(c))))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from ..functions import text as texts
 from ..operators import facets, filters, fuse, index, rank, rerank, retrieve, trend, words
 from ..operators.filters import Filters
 from ..sources import records
+from ..sources.shared import held, shared_dir
 from ..sources.tables import search_documents, table
 from .search import SearchEngine, enriched
 
@@ -30,12 +33,29 @@ def query(f):
     return f
 
 
+#: Saved indexes by application and folder: as in any use of the engine, a folder is indexed and opened once, and questions read the index.
+INDEXES: dict[tuple[str, str], index.Index] = {}
+
+
+def saved_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The folder's index, built and saved at the first question."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in INDEXES:
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        index.save_index(index.build_index(search_documents(spark, sf_dir)), path)
+        INDEXES[key] = index.load_index(spark, path)
+    return INDEXES[key]
+
+
 class Tables:
-    """What queries start from, for one folder."""
+    """What queries start from, for one folder. docs: documents put together from the tables; index, engine, hits: of the saved index."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.docs = search_documents(spark, sf_dir)
+
+    @cached_property
+    def docs(self) -> DataFrame:
+        return search_documents(self.spark, self.sf_dir)
 
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
@@ -45,12 +65,9 @@ class Tables:
         told = self.spark.sql("SELECT * FROM VALUES " + ", ".join(f"({i}, '{q}', {v}L)" for i, q, v in QUERIES) + " AS t(query_id, q, vec_id)")
         return told.join(self.table("embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id", "left").drop("vec_id")
 
-    @property
+    @cached_property
     def index(self) -> index.Index:
-        """An index of the queries' terms only, made on the way: other terms never reach a shuffle."""
-        told = index.field_tokens(self.docs)
-        posted = index.postings(told, retrieve.query_terms(self.queries))
-        return index.Index(self.docs.drop("vector"), posted, index.field_stats(told), index.vocabulary(posted), self.docs.where("vector IS NOT NULL").select("doc_id", "vector"))
+        return saved_index(self.spark, self.sf_dir)
 
     def engine(self, **config) -> SearchEngine:
         plain = {"sentiment": SentimentBoost(), "aspect": AspectBoost(False), "decay": TimeDecay(False), "diversity": Diversity(False)}
@@ -61,7 +78,8 @@ class Tables:
 
     def hits(self) -> DataFrame:
         """Fused rows with their documents."""
-        return self.fused().join(self.docs, "doc_id")
+        rows = index.with_documents(held(self.fused(), "fused"), self.index.documents, "inner")
+        return rows.join(self.index.vectors, "doc_id", "left")
 
 
 def rounded(rows: DataFrame, *columns: str) -> DataFrame:
@@ -239,12 +257,12 @@ def trend_events_day(t: Tables) -> DataFrame:
 
 @query
 def trend_hybrid_threshold(t: Tables) -> DataFrame:
-    return t.engine().trend(t.queries.where("query_id = 1"), "month", "hybrid", min_similarity=0.55)
+    return t.engine().trend(t.queries, "month", "hybrid", min_similarity=0.55)
 
 
 @query
 def trend_keyword(t: Tables) -> DataFrame:
-    return t.engine().trend(t.queries.where("query_id = 2"), "month", "keyword")
+    return t.engine().trend(t.queries, "month", "keyword")
 
 
 @query
@@ -313,23 +331,21 @@ def health_counts(t: Tables) -> DataFrame:
 
 @query
 def upsert_latest(t: Tables) -> DataFrame:
-    old = t.table("events").where("event_id < 500").select(F.col("event_id").alias("doc_id"), F.col("value").alias("score"), F.lit(0).alias("version"))
-    new = t.table("events").select((F.col("event_id") % 700).alias("doc_id"), F.col("value").alias("score"), (F.col("event_id") + 1).cast("int").alias("version")).where("doc_id >= 300")
+    old = t.table("events").select(F.col("event_id").alias("doc_id"), F.col("value").alias("score"), F.lit(0).cast("long").alias("version"))
+    new = t.table("events").select(F.col("user_id").alias("doc_id"), F.col("value").alias("score"), (F.col("event_id") + 1).alias("version"))
     return records.upsert(old, records.latest(new, "doc_id", F.col("version")))
 
 
 @query
 def combine_text(t: Tables) -> DataFrame:
-    title = F.when(F.col("doc_id") % 3 == 0, F.substring_index("text", ".", 1))
-    main = F.when(F.col("doc_id") % 4 < 2, F.concat(F.lit("\n "), F.substring("text", 1, 30)))
-    reply = F.when(F.col("doc_id") % 5 == 0, F.lit("")).when(F.col("doc_id") % 5 == 1, F.substring("text", 5, 9))
-    return t.table("documents").select("doc_id", records.combined_text(title, main, reply).alias("combined"))
+    return t.table("documents").select("doc_id", records.combined_text(F.substring_index("text", ".", 1), F.concat(F.lit("\n "), F.col("text")), F.col("source")).alias("combined"))
 
 
 @query
 def aspect_normalise(t: Tables) -> DataFrame:
-    raw = t.spark.sql("""SELECT * FROM VALUES (1, '{"cost": "negative", "ux": "mixed"}'), (2, '["cost", "ux"]'), (3, NULL), (4, ''), (5, '[]'), (6, '{}'), (7, 'text') AS r(id, raw)""")
-    return raw.select("id", F.array_join(records.normal_aspects(F.col("raw")), ",").alias("aspects"))
+    """An object, a list and plain text of each event."""
+    raw = {"from_object": F.col("props"), "from_list": F.concat(F.lit('["'), F.col("event_type"), F.lit('", "x"]')), "from_text": F.col("event_type")}
+    return t.table("events").select("event_id", *(F.array_join(records.normal_aspects(c), ",").alias(name) for name, c in raw.items()))
 
 
 @query
@@ -359,14 +375,8 @@ def tool_display_names(t: Tables) -> DataFrame:
 @query
 def stemmed_bm25(t: Tables) -> DataFrame:
     """Stems are looked up for distinct terms only."""
-    told = index.field_tokens(t.docs, texts.english_terms)
-    plain = index.postings(told)
-    stems = texts.stem_table(plain)
-    posted = plain.join(stems, "term").groupBy(F.col("stem").alias("term"), "field", "doc_id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
-    asked = retrieve.query_terms(t.queries, texts.english_terms)
-    terms = asked.join(texts.stem_table(asked), "term").select("query_id", F.col("stem").alias("term")).distinct()
-    built = index.Index(t.docs, posted, index.field_stats(told), index.vocabulary(posted), t.docs)
-    return rounded(retrieve.keyword_top(built, terms, 20), "score")
+    engine = SearchEngine(index.build_index(t.docs, "english"))
+    return rounded(engine.keyword(t.queries, 20), "score")
 
 
 @query

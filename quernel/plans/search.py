@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig
@@ -14,9 +14,10 @@ from ..functions.text import detected_aspects, parsed_aspects, snippet
 from ..operators import facets, filters, fuse, index, rank, rerank, retrieve, trend, words
 from ..operators.filters import Filters
 from ..operators.index import Index
+from ..sources.shared import held, stated
 
 #: Columns of a document that results and filters use. Texts and vectors join in for the few rows that need them.
-LIGHT = ("doc_id", "source", "subreddit", "tools", "sentiment", "subjectivity", "aspects", "date", "upvotes")
+LIGHT = ("doc_id", "source", "subreddit", "tools", "sentiment", "subjectivity", "aspects", "date", "upvotes", "url", "content_type")
 
 
 @dataclass
@@ -29,8 +30,29 @@ class Results:
     mode: str
 
 
+@dataclass
+class Answer:
+    """A page of results of one question, its facets and counts, and the question with its spelling corrected (no row if nothing is to correct)."""
+
+    page: DataFrame
+    facets: DataFrame
+    counts: DataFrame
+    spelling: DataFrame
+
+
+@dataclass
+class Trend:
+    """points: see trend.trend(). totals: total_results (undated documents too) and a message if nothing was found."""
+
+    points: DataFrame
+    totals: DataFrame
+
+
+NO_MATCH = "No documents match these words. Try another search term."
+
+
 class SearchEngine:
-    """Answers tables of queries (query_id, q, vector) in one job each."""
+    """Answers tables of queries (query_id, q, vector) in one job each. Queries without a column vector get theirs from the encoder."""
 
     def __init__(self, index_: Index, config: SearchConfig = SearchConfig(), now: datetime | None = None, encoder: Encoder | None = None):
         self.index, self.config, self.now, self.encoder = index_, config, now or datetime.now(), encoder
@@ -41,30 +63,48 @@ class SearchEngine:
 
     def asked(self, questions: DataFrame) -> DataFrame:
         """Questions (query_id, q) with the vectors that this engine's encoder gives them."""
-        return embedded(questions, self.encoder, "q")
+        return questions if "vector" in questions.columns else embedded(questions, self.encoder, "q")
+
+    def terms(self, queries: DataFrame) -> DataFrame:
+        """query_id, term, must, banned, as the index's analyzer has terms."""
+        told = retrieve.asked_terms(queries, index.ANALYZERS[self.index.analyzer])
+        if self.index.analyzer == "plain":
+            return told
+        return index.stemmed(told, self.index.analyzer).groupBy("query_id", "term").agg(F.bool_or("must").alias("must"), F.bool_or("banned").alias("banned"))
 
     def keyword(self, queries: DataFrame, k: int | None) -> DataFrame:
-        return retrieve.keyword_top(self.index, retrieve.query_terms(queries), k, self.config)
+        """The best k, or, without k, all that match, in no order."""
+        scores = retrieve.keyword_scores(self.index, self.terms(queries), self.config)
+        quoted = retrieve.phrases(queries)
+        if not quoted.isEmpty():
+            scores = retrieve.with_phrases(scores, quoted, self.index.documents)
+        return scores if k is None else rank.top(scores, k, retrieve.best_first())
 
     def vector(self, queries: DataFrame, k: int | None) -> DataFrame:
         return retrieve.vector_top(self.index.vectors, queries.where("vector IS NOT NULL").select("query_id", "vector"), k)
 
-    def candidates(self, queries: DataFrame, mode: str, whole: bool = False) -> DataFrame:
-        """query_id, ord, doc_id, score, keyword_rank, vector_rank, vector_score. whole: for trends, with the larger pools."""
-        c = self.config
+    def candidates(self, queries: DataFrame, mode: str) -> DataFrame:
+        """query_id, ord, doc_id, score, keyword_rank, vector_rank, vector_score."""
+        c, queries = self.config, self.asked(queries)
         none = lambda kind: F.lit(None).cast(kind)
         if mode == "keyword":
-            return self.keyword(queries, None if whole else c.keyword_rows).withColumns({"keyword_rank": F.col("ord"), "vector_rank": none("int"), "vector_score": none("double")})
+            return self.keyword(queries, c.keyword_rows).withColumns({"keyword_rank": F.col("ord"), "vector_rank": none("int"), "vector_score": none("double")})
         if mode == "semantic":
             return self.vector(queries, c.vector_rows).withColumns({"keyword_rank": none("int"), "vector_rank": F.col("ord"), "vector_score": F.col("score")})
-        return fuse.fuse(self.keyword(queries, c.keyword_rows), self.vector(queries, None if whole else c.vector_rows), c.rrf_k)
+        return fuse.fuse(self.keyword(queries, c.keyword_rows), self.vector(queries, c.vector_rows), c.rrf_k)
 
     def search(self, queries: DataFrame, mode: str = "hybrid", f: Filters = Filters(), sentiment: bool = False, aspects: bool = True, min_similarity: float = 0.0) -> Results:
-        """The stages in their fixed order: threshold, sentiment, aspects, time decay, filters, diversity, facets."""
-        c = self.config
-        rows = rerank.similarity_threshold(self.candidates(queries, mode), min_similarity, mode)
+        """The stages in their fixed order: threshold, sentiment, aspects, time decay, filters, diversity, facets.
+
+        The candidates, at most some hundreds for each query, are held: what follows reads them, and of the documents only theirs.
+        """
+        if wrong := filters.validated("any", mode, 1, 1, min_similarity):
+            raise ValueError(wrong)
+        c, queries = self.config, stated(self.asked(queries))[0]
+        rows = rerank.similarity_threshold(held(self.candidates(queries, mode), "candidates"), min_similarity, mode)
         rows = rank.ranked(rows.withColumn("was", F.col("ord")), [F.col("was")]).drop("was")
-        rows = rows.join(self.index.documents.select(*LIGHT), "doc_id", "left").join(F.broadcast(queries.select("query_id", detected_aspects(F.col("q")).alias("detected"), F.col("vector").alias("query_vector"))), "query_id")
+        rows = index.with_documents(rows, self.index.documents.select(*(x for x in LIGHT if x in self.index.documents.columns)))
+        rows = rows.join(F.broadcast(queries.select("query_id", detected_aspects(F.col("q")).alias("detected"), F.col("vector").alias("query_vector"))), "query_id")
         if sentiment and c.sentiment.enabled:
             rows = rerank.sentiment_boost(rows, c.sentiment.factors)
         if aspects and c.aspect.enabled:
@@ -74,7 +114,8 @@ class SearchEngine:
         rows = filters.filtered(rows, f)
         rows = rank.ranked(rows.withColumn("was", F.col("ord")), [F.col("was")]).drop("was")
         if c.diversity.enabled:
-            rows = rerank.diversified(rows.join(self.index.vectors, "doc_id", "left"), c.diversity.weight, c.diversity.pool).drop("vector")
+            rows = held(index.with_documents(rows, self.index.vectors), "pool")
+            rows = rerank.diversified(rows, c.diversity.weight, c.diversity.pool).drop("vector")
         rows = rows.drop("query_vector", "detected", "near_tie")
         told = [facets.tool_facet(rows).withColumn("facet", F.lit("tools")), *(facets.value_facet(rows, col, d, most).withColumn("facet", F.lit(name)) for name, col, d, most in (("sentiment", "sentiment", "not_applicable", None), ("source", "source", "reddit", None), ("subreddits", "subreddit", None, 10)))]
         counts = told[0]
@@ -84,29 +125,56 @@ class SearchEngine:
 
     def page(self, results: Results, number: int = 1, size: int | None = None) -> DataFrame:
         """Formatted results of a page; titles and texts are read for its rows only."""
-        rows = rank.page(results.rows, number, size or self.config.page_size)
-        return enriched(rows.join(self.index.documents.select("doc_id", "title", "text"), "doc_id"), results.mode)
+        if wrong := filters.validated("any", results.mode, number, size or self.config.page_size, max_page_size=self.config.max_page_size):
+            raise ValueError(wrong)
+        rows = held(rank.page(results.rows, number, size or self.config.page_size), "page")
+        return enriched(index.with_documents(rows, self.index.documents.select("doc_id", "title", "text"), "inner"), results.mode)
+
+    def answer(self, q: str, vector: list[float] | None = None, mode: str = "hybrid", page: int = 1, page_size: int | None = None, min_similarity: float = 0.0, **options) -> Answer:
+        """One question, as a request: checked, searched, with a hint on its spelling."""
+        size = min(page_size or self.config.page_size, self.config.max_page_size)
+        if wrong := filters.validated(q, mode, page, size, min_similarity, self.config.max_page_size):
+            raise ValueError(wrong)
+        spark = self.index.documents.sparkSession
+        asked = spark.createDataFrame([(1, q)], "query_id int, q string") if vector is None else spark.createDataFrame([(1, q, vector)], "query_id int, q string, vector array<float>")
+        found = self.search(asked, mode, min_similarity=min_similarity, **options)
+        return Answer(self.page(found, page, size), found.facets, rank.page_counts(found.rows, size), words.corrected(asked, self.spelling(asked)))
 
     def answered(self, queries: DataFrame) -> DataFrame:
         """query_id of the queries of which the index has any term; filters play no part."""
-        return retrieve.query_terms(queries).join(self.index.vocabulary.select("term").distinct(), "term", "left_semi").select("query_id").distinct()
+        return self.terms(queries).where("NOT banned").join(self.index.vocabulary.select("term").distinct(), "term", "left_semi").select("query_id").distinct()
 
-    def trend(self, queries: DataFrame, granularity: str = "month", mode: str | None = None, f: Filters = Filters(), min_similarity: float | None = None) -> DataFrame:
-        """Trend of all rows that the queries find, taken together.
+    def found(self, queries: DataFrame, mode: str | None = None, min_similarity: float | None = None) -> DataFrame:
+        """query_id, doc_id of all that the queries find, in no order; nothing is ranked that a threshold decides.
 
         Queries without text find every document. The others find none, if no document has a term of theirs. Without a mode, they are
         hybrid. Boosts, decay and diversity only reorder, so they are left out.
         """
         least = self.config.trend_min_similarity if min_similarity is None else min(max(min_similarity, 0.0), 1.0)
+        queries = self.asked(queries)
         worded = queries.where(F.trim("q") != "")
-        mode = mode if mode in ("keyword", "hybrid") else "hybrid"
-        found = rerank.similarity_threshold(self.candidates(worded, mode, whole=True), least, mode).join(self.answered(worded), "query_id", "left_semi")
-        rows = found.select("query_id", "doc_id").unionByName(retrieve.match_all(self.index.documents, queries.where(F.trim("q") == "")).select("query_id", "doc_id"))
-        return trend.trend(filters.filtered(rows.join(self.index.documents.select(*LIGHT), "doc_id"), f), granularity)
+        if mode == "keyword":
+            rows = self.keyword(worded, None).select("query_id", "doc_id")
+        else:
+            near = retrieve.vector_scores(self.index.vectors, worded.where("vector IS NOT NULL").select("query_id", "vector"))
+            rows = near.where(F.col("score") >= least).select("query_id", "doc_id")
+            if least <= 0:
+                rows = rows.unionByName(self.keyword(worded, self.config.keyword_rows).select("query_id", "doc_id")).distinct()
+        rows = rows.join(self.answered(worded), "query_id", "left_semi")
+        return rows.unionByName(retrieve.every_document(self.index.documents, queries.where(F.trim("q") == "")))
+
+    def trend_of(self, queries: DataFrame, granularity: str = "month", mode: str | None = None, f: Filters = Filters(), min_similarity: float | None = None) -> Trend:
+        """Trend of all rows that the queries find, taken together, and how many these are."""
+        rows = filters.filtered(self.found(queries, mode, min_similarity).join(self.index.documents.select(*(c for c in LIGHT if c in self.index.documents.columns)), "doc_id"), f)
+        n = F.col("total_results")
+        return Trend(trend.trend(rows, granularity), rows.agg(F.count("*").alias("total_results")).select(n, F.when(n == 0, NO_MATCH).alias("message")))
+
+    def trend(self, queries: DataFrame, granularity: str = "month", mode: str | None = None, f: Filters = Filters(), min_similarity: float | None = None) -> DataFrame:
+        return self.trend_of(queries, granularity, mode, f, min_similarity).points
 
     def suggest(self, queries: DataFrame, most: int = 8) -> DataFrame:
         rows = self.keyword(queries.where(F.length(F.trim("q")) >= 2), most)
-        return words.suggestions(rows.join(self.index.documents.select("doc_id", "title", "text"), "doc_id"), most)
+        return words.suggestions(index.with_documents(held(rows, "suggested"), self.index.documents.select("doc_id", "title", "text"), "inner"), most)
 
     def spelling(self, queries: DataFrame) -> DataFrame:
         vocabulary = self.index.vocabulary.groupBy("term").agg(F.max("df").alias("n"))
@@ -124,6 +192,7 @@ class SearchEngine:
 
 def enriched(rows: DataFrame, mode: str) -> DataFrame:
     """Result rows as shown: rounded scores, snippet, parsed aspects, defaults for what is missing."""
+    extra = [F.coalesce(c, F.lit("")).alias(c) for c in ("url", "content_type") if c in rows.columns]
     similarity = {"semantic": F.round("score", 4), "hybrid": F.round(F.coalesce("vector_score", F.lit(0.0)), 4)}.get(mode, F.lit(None).cast("double"))
     return rows.select(
         "query_id",
@@ -142,4 +211,10 @@ def enriched(rows: DataFrame, mode: str) -> DataFrame:
         parsed_aspects(F.col("aspects")).alias("aspects"),
         F.coalesce("subreddit", F.lit("")).alias("subreddit"),
         F.coalesce("upvotes", F.lit(0)).alias("upvotes"),
+        *extra,
     )
+
+
+def shown_title(title: Column, content_type: Column) -> Column:
+    """The title as displayed: one for its kind where there is none."""
+    return F.coalesce(F.nullif(title, F.lit("")), F.when(content_type == "comment", "Reddit Comment").otherwise("Reddit Post"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import ASPECTS, SENTIMENT_LABELS, STOP_WORDS, TOOL_NAMES
+from ..functions.text import ASPECTS, CLOUD_STOP_WORDS, SENTIMENT_LABELS, TOOL_NAMES
 from ..operators.words import DOMAIN_FREQUENCY, DOMAIN_WORDS
 from .queries import QUERIES
 
@@ -201,14 +201,14 @@ SELECT query_id, tools[pos] AS value, count(*) AS count, CAST(row_number() OVER
         "trend_week": trend("week"),
         "trend_month": trend("month"),
         "trend_events_day": "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS count, round(avg(coalesce(value, 0)), 2) AS avg_upvotes FROM events WHERE ts IS NOT NULL GROUP BY 1",
-        "trend_hybrid_threshold": trend("month", "(SELECT docs.* FROM vector_all JOIN docs USING (doc_id) WHERE query_id = 1 AND score >= 0.55)"),
-        "trend_keyword": trend("month", "(SELECT docs.* FROM keyword_all JOIN docs USING (doc_id) WHERE query_id = 2)"),
+        "trend_hybrid_threshold": trend("month", "(SELECT docs.* FROM vector_all JOIN docs USING (doc_id) WHERE score >= 0.55)"),
+        "trend_keyword": trend("month", "(SELECT docs.* FROM keyword_all JOIN docs USING (doc_id))"),
         "trend_aspect": trend("month", "(SELECT * FROM docs WHERE len(list_filter(aspect_names, lambda a: contains(a, 'ux'))) > 0)"),
         "sentiment_share": f"{p} SELECT sentiment AS value, count(*) AS count, round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS share, {mapped('sentiment', SENTIMENT_LABELS)} AS label FROM docs GROUP BY sentiment",
         "word_cloud_top60": f"""{p}, w AS (
   SELECT query_id, CASE WHEN round(vector_score, 4) > 0 THEN 1 + round(vector_score, 4) ELSE 1.0 END AS w, unnest({tokens(f"title || ' ' || ({SNIPPET})")}) AS word FROM hits WHERE ord <= 50
 ), sums AS (
-  SELECT query_id, word, round(sum(w), 6) AS weight FROM w WHERE length(word) >= 3 AND NOT regexp_full_match(word, '[0-9]+') AND word NOT IN ({quoted(STOP_WORDS)}) GROUP BY query_id, word
+  SELECT query_id, word, round(sum(w), 6) AS weight FROM w WHERE length(word) >= 3 AND NOT regexp_full_match(word, '[0-9]+') AND word NOT IN ({quoted(CLOUD_STOP_WORDS)}) GROUP BY query_id, word
 ), placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, word) AS INT) AS place FROM sums)
 SELECT query_id, word, CAST(floor(weight + 0.5) AS BIGINT) AS weight, place, CASE WHEN weight / max(weight) OVER w > 0.6 THEN 1 WHEN weight / max(weight) OVER w > 0.3 THEN 2 ELSE 3 END AS tier
 FROM placed WHERE place <= 60 WINDOW w AS (PARTITION BY query_id)""",
@@ -225,12 +225,10 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY ord) AS
         "phrase_and_must_terms": f"""{p} SELECT doc_id FROM told WHERE field = 'text' AND list_contains(toks, 'version') AND NOT list_contains(toks, 'apache') AND contains(' ' || array_to_string(toks, ' ') || ' ', ' general public ')""",
         "health_counts": f"""{p} SELECT 'documents' AS component, count(*) AS rows, CASE WHEN count(*) > 0 THEN 'healthy' ELSE 'unhealthy' END AS status FROM docs
 UNION ALL SELECT 'vectors', count(*), CASE WHEN count(*) > 0 THEN 'healthy' ELSE 'unhealthy' END FROM docs WHERE vector IS NOT NULL""",
-        "upsert_latest": """WITH new AS (SELECT event_id % 700 AS doc_id, value AS score, CAST(event_id + 1 AS INT) AS version FROM events WHERE event_id % 700 >= 300),
-latest AS (SELECT doc_id, arg_max(score, version) AS score, max(version) AS version FROM new GROUP BY doc_id)
-SELECT * FROM latest UNION ALL SELECT event_id AS doc_id, value AS score, 0 AS version FROM events WHERE event_id < 500 AND event_id NOT IN (SELECT doc_id FROM latest)""",
-        "combine_text": r"""SELECT doc_id, coalesce(nullif(regexp_replace(concat_ws(' ', nullif(CASE WHEN doc_id % 3 = 0 THEN split_part(text, '.', 1) END, ''), nullif(CASE WHEN doc_id % 4 < 2 THEN chr(10) || ' ' || text[1:30] END, ''),
-  nullif(CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 5 = 1 THEN text[5:13] END, '')), '^\s+|\s+$', '', 'g'), ''), '[No text content]') AS combined FROM documents""",
-        "aspect_normalise": "SELECT * FROM (VALUES (1, 'cost:negative,ux:mixed'), (2, 'cost,ux'), (3, ''), (4, ''), (5, ''), (6, ''), (7, '')) AS t(id, aspects)",
+        "upsert_latest": """WITH latest AS (SELECT user_id AS doc_id, arg_max(value, event_id) AS score, max(event_id) + 1 AS version FROM events GROUP BY user_id)
+SELECT * FROM latest UNION ALL SELECT event_id AS doc_id, value AS score, CAST(0 AS BIGINT) AS version FROM events WHERE NOT EXISTS (SELECT 1 FROM latest WHERE doc_id = event_id)""",
+        "combine_text": r"""SELECT doc_id, coalesce(nullif(regexp_replace(concat_ws(' ', nullif(split_part(text, '.', 1), ''), nullif(chr(10) || ' ' || text, ''), nullif(source, '')), '^\s+|\s+$', '', 'g'), ''), '[No text content]') AS combined FROM documents""",
+        "aspect_normalise": """SELECT event_id, array_to_string(list_transform(json_keys(props), lambda k: k || ':' || json_extract_string(props, k)), ',') AS from_object, event_type || ',x' AS from_list, '' AS from_text FROM events""",
         "aspect_parse": f"""{p} SELECT doc_id, unnest(list_concat(aspect_names, ['plain', 'a'])) AS name, unnest(list_concat(list_transform(aspect_names, lambda a: sentiment), [NULL, 'b:c'])) AS polarity FROM docs""",
         "text_norm_tokens": f"SELECT token, count(*) AS n FROM (SELECT unnest({tokens('text')}) AS token FROM documents) GROUP BY token",
         "index_build": f"{p}, every AS (SELECT field, doc_id, unnest(toks) AS term FROM told) SELECT term, field, count(DISTINCT doc_id) AS df, any_value(n_docs) AS n_docs, round(any_value(avgdl), 6) AS avgdl FROM every JOIN stats USING (field) GROUP BY term, field",
