@@ -8,7 +8,7 @@ The model is fitted on a bounded sample of labelled rows: about `sample` texts o
 
 Defined cases: null text, empty text and text without letters are `und` with score 0; ties go to the language first in code point order; texts in a
 script that no learned language uses keep all languages as candidates; with no labelled rows everything is `und`; rows with null language teach nothing;
-repeated rows repeat their result; other columns play no part.
+repeated rows repeat their result; other columns play no part; a very long text is decoded whole by one task, with about 200 bytes a word.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ SAMPLE = 3000
 FEATURE_BITS, ORDERS = 17, (2, 3, 4)
 #: Cost of a switch of language between words, in the scores' unit; share of a word's log probability that counts, as its n-grams overlap.
 SWITCH, TEMPER, SMOOTH = 8.0, 0.4, 0.2
-#: What a language costs that isn't a candidate for a word's script, and the share of a language's words from which on it uses a script.
+#: What a language costs that isn't a candidate for a word's script (more than a switch there and back), and the share of a language's words from which on it uses a script.
 FOREIGN, USES = 40.0, 0.01
 SHARD_BYTES, KNOWN_WORDS, STEP = 2 << 20, 200_000, 64
 WORD = re.compile(r"[^\W\d_]+")
@@ -140,15 +140,23 @@ class LanguageModel:
         self.uses[~self.uses.any(1)] = True
 
     def score(self, words: list[str]) -> np.ndarray:
-        """[words, languages]: scores of each word, the best 0."""
-        out = np.zeros((len(words), len(self.languages)), dtype=np.float64)
+        """[words, languages]: scores of each word, the best 0. Only candidates, the languages that use the word's script, are looked up."""
+        out = np.full((len(words), len(self.languages)), -FOREIGN, dtype=np.float32)
+        scripts = np.array([script(w) for w in words], dtype=np.int64)
+        groups, group = np.unique(self.uses[scripts], axis=0, return_inverse=True)
+        for g, candidates in enumerate(groups):
+            rows, columns = np.flatnonzero(group.ravel() == g), np.flatnonzero(candidates)
+            out[np.ix_(rows, columns)] = self._candidate_scores([words[i] for i in rows], columns)
+        return out
+
+    def _candidate_scores(self, words: list[str], columns: np.ndarray) -> np.ndarray:
+        table = self.table if len(columns) == len(self.languages) else self.table[:, columns]
+        out = np.zeros((len(words), len(columns)), dtype=np.float64)
         for hashes, owners in zip(*features(words), strict=True):
-            sums = np.concatenate([np.zeros((1, out.shape[1])), np.cumsum(self.table[hashes], axis=0, dtype=np.float64)])
+            sums = np.concatenate([np.zeros((1, len(columns))), np.cumsum(table[hashes], axis=0, dtype=np.float64)])
             ends = np.cumsum(np.bincount(owners, minlength=len(words)))
             out += sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
-        out *= TEMPER
-        out -= FOREIGN * ~self.uses[[script(w) for w in words]]
-        return (out - out.max(1, keepdims=True)).astype(np.float32)
+        return TEMPER * (out - out.max(1, keepdims=True))
 
 
 class Labeller:

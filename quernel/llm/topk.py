@@ -9,7 +9,8 @@ at most k rows for a query, and only such as reach the k-th best score among a b
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part, nor do rows without an id; a query's own row is any with its id;
 equal scores go to the smaller id; vectors are compared with those of the same length only; repeated rows are candidates each, while
-equal query rows count once; an empty table gives an empty result.
+equal query rows count once; an empty table gives an empty result. Vectors so large that a product of two like them may exceed a long (at 64
+components, one of 2 ** 18 or more) take no part.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ def usable(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id, v: the integer vectors of the rows that take part."""
     x = F.col("embedding")
     fine = F.forall(x, lambda a: a.isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf")))
+    most = F.array_max(F.transform(x, lambda a: F.abs(a.cast("double")) * scale)) + 1
+    fine &= most * most * F.size(x) < float(1 << 62)
     whole = F.transform(x, lambda a: F.floor(a.cast("double") * scale).cast("long"))
     return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & fine).select(F.col("vec_id").cast("long"), whole.alias("v"))
 

@@ -67,3 +67,53 @@ def test_only_unidentified_go(as_table, rows):
     df = as_table(rows, "doc_id long, text string, lang string")
     kept = language.keep_identified(df)
     assert kept.columns == df.columns and {r[0] for r in rows} - {r.doc_id for r in kept.collect()} <= {900, 901, 902, 904}
+
+
+def brute_query(rows):
+    """The whole query with dictionaries and the plain quadratic Viterbi."""
+    import math
+    import zlib
+
+    held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 3 == 1 for i, _, _ in rows}
+    grams = lambda w: [int(h) for part in language.features([w])[0] for h in part]
+    labelled = [(t, x) for i, t, x in rows if not held[i] and t is not None and x is not None]
+    names = sorted({x for _, x in labelled})
+    counts, scripts = {x: {} for x in names}, {x: {} for x in names}
+    for t, x in labelled:
+        for w in language.words_of(t):
+            for g in grams(w):
+                counts[x][g] = counts[x].get(g, 0) + 1
+            s = language.script(w)
+            scripts[x][s] = scripts[x].get(s, 0) + 1
+    size = 1 << language.FEATURE_BITS
+    total = {x: math.log(sum(counts[x].values()) + language.SMOOTH * size) for x in names}
+    out = []
+    for i, t, _ in rows:
+        words = language.words_of(t)
+        if not words:
+            out.append((i, held[i], "und", 0.0))
+            continue
+        scores = []
+        for w in words:
+            uses = [x for x in names if scripts[x].get(language.script(w), 0) >= language.USES * sum(scripts[x].values())] or names
+            raw = {x: language.TEMPER * sum(math.log(counts[x].get(g, 0) + language.SMOOTH) - total[x] for g in grams(w)) for x in uses}
+            scores.append({x: raw[x] - max(raw.values()) if x in raw else -language.FOREIGN for x in names})
+        value, back = dict(scores[0]), []
+        for s in scores[1:]:
+            best = max(names, key=lambda x: (value[x], -names.index(x)))
+            back.append({x: best if value[best] - language.SWITCH > value[x] else x for x in names})
+            value = {x: max(value[x], value[best] - language.SWITCH) + s[x] for x in names}
+        label = max(names, key=lambda x: (value[x], -names.index(x)))
+        labels = [label]
+        for b in reversed(back):
+            labels.append(label := b[label])
+        votes = {x: labels.count(x) for x in names}
+        win = max(names, key=lambda x: (votes[x], -names.index(x)))
+        out.append((i, held[i], win, round(votes[win] / len(words), 6)))
+    return out
+
+
+def test_query_equals_brute_force(as_table, rows):
+    docs = as_table(rows, "doc_id long, text string, lang string")
+    got = [(r.doc_id, r.held_out, r.lang_pred, round(r.score, 6)) for r in language.identify_languages(docs).collect()]
+    assert sorted(got, key=str) == sorted(brute_query(rows), key=str)

@@ -42,3 +42,10 @@ def test_equal_to_brute_force(as_table, monkeypatch, n, dim, chunk, block):
 def test_empty(as_table):
     assert topk.exact_topk(as_table([], SCHEMA, name="none"), F.col("vec_id") % 10 == 0).count() == 0
     assert topk.exact_topk(as_table([(1, [1.0], 0)], SCHEMA, name="one"), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_large_vectors_take_no_part(as_table):
+    df = as_table([(0, [1.0, 2.0]), (1, [1e300, -1e300]), (2, [3.0, 4.0]), (100, [2.0**19, 0.0])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in topk.exact_topk(df, F.col("vec_id") % 100 == 0).collect()}
+    big = 2**19 * 1024
+    assert got == {(0, 1, 100, 1024 * big), (0, 2, 2, 11 << 20), (100, 1, 2, 3072 * big), (100, 2, 0, 1024 * big)}
