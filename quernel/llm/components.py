@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, join_skewed, written
+from .common import join_skewed, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(pairs, "edges")
     mark = _fingerprint(now)
     while True:
-        before, total = now, 2 * mark[0]
+        total = 2 * mark[0]
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = written(join_skewed(both.where("v > u"), least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
@@ -26,7 +26,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = join_skewed(large, root, "u", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = written(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct(), "edges")
         was, mark = mark, _fingerprint(now)
-        dropped(before, large)
         if was == mark:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, join_skewed, marked, pieces, placed, slices, small, trimmed, written
+from .common import bounded_batches, join_skewed, marked, pieces, placed, scratch, slices, small, trimmed, written
 from .components import components
 from .frequency import at_most
 
@@ -388,7 +388,8 @@ def ends(pairs: DataFrame) -> DataFrame:
 
 def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
-    found = written(link_components(placed(docs), width, percent), "components")
+    with scratch(docs.sparkSession):
+        found = written(link_components(placed(docs), width, percent), "components", keep=True)
     linked = found.where("component IS NOT NULL")
     least = written(linked.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "least")
     named = join_skewed(linked, least, "component", found.count()).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -398,7 +399,9 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
 def keep_one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """docs with one row for each component, of its smallest id (nulls last), and of that the first in storage; rows without a set all stay. No row is shuffled."""
     rows = placed(docs)
-    found = written(link_components(rows, width, percent), "components").where("component IS NOT NULL")
+    with scratch(docs.sparkSession):
+        found = written(link_components(rows, width, percent), "components", keep=True)
+    found = found.where("component IS NOT NULL")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "at")
     kept = found.groupBy("component").agg(F.min(place).alias("kept"), F.count("*").alias("many")).where("many > 1")
     gone = join_rows(found, kept).where((F.col("file") != F.col("kept.file")) | (F.col("at") != F.col("kept.at")))

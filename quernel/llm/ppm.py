@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod, slices, trimmed, written
+from .common import bounded_batches, crc_mod, scratch, slices, trimmed, written
 from .frequency import at_most, count_tokens, join_frequencies, key_of, parts
 
 ORDER = 6
@@ -357,7 +357,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     learned = texts.where("NOT held_out").select("text")
     table = written(count_tokens(learned, baseline_keys, "binary", [END]).withColumn("value", F.log10(F.col("n") + 0.5)), "unigrams")
     all_n, distinct = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    scores = written(score_windows(written(count_windows(texts.select("text", ~F.col("held_out"))), "windows")), "scores")
+    with scratch(docs.sparkSession):
+        scores = written(score_windows(written(count_windows(texts.select("text", ~F.col("held_out"))), "windows")), "scores", keep=True)
     placed = texts.withColumn("place", F.monotonically_increasing_id())
     found = join_frequencies(placed, ["doc_id", "held_out", "place"], baseline_split, table, "binary", float(np.log10(0.5)), hot=HOT, end=[END])
     base = F.col("total") - F.col("n_tokens") * F.log10(F.lit(float(all_n + 0.5 * (distinct + 1))))
