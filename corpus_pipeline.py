@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.llm import decontaminate, jaccard, language, mixing, secrets
-from quernel.llm.common import shared_dir, table
+from quernel.llm.common import delete_folder, shared_dir, table
 
 #: Stages on word shingles take five words and a similarity of 0.8.
 SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
@@ -56,10 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, with copy, the number of the emission (from 1)."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage, with copy, the number of the emission (from 1). A stage's table is deleted when the next one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            delete_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
