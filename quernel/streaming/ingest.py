@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.trend import SENTIMENTS
 from ..schema import RAW
 from ..sources import records
+from ..sources.shared import shared_dir
 
 
 def record_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -21,33 +24,90 @@ def documents_of(stream: DataFrame) -> DataFrame:
     return records.to_documents(good)
 
 
-def ingest(stream: DataFrame, index_path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Upserts each batch into a versioned Parquet index: a batch writes a new version and then names it, so a repeated batch or a lost executor changes nothing."""
+#: Parts of an index, by key. A batch rewrites the parts that its keys fall into. The number is fixed for an index.
+BUCKETS = 256
+
+
+def ingest(stream: DataFrame, index_path: str, checkpoint: str, buckets: int = BUCKETS, **trigger) -> StreamingQuery:
+    """Upserts each batch into a Parquet index, version=<batch>/bucket=<part of the keys>. Of the records of one id the latest dated stays, of equal dates the last to come; undated ones count as oldest.
+
+    Only parts that a batch touches are read and written. They count when all are written, and a batch starts from what was before it, so a repeated batch
+    or a lost executor changes nothing. Of each part, the newest state and the one that a repetition of the last batch would start from are kept.
+    """
+
+    bucket = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(buckets)).cast("int")
 
     def put(batch: DataFrame, number: int) -> None:
-        new = records.latest(batch.withColumn("seq", F.monotonically_increasing_id()), "doc_id", F.struct(F.col("date"), F.col("seq"))).drop("seq")
-        old = current(batch.sparkSession, index_path, before=number)
-        merged = new if old is None else records.upsert(old, new)
-        merged.write.mode("overwrite").parquet(f"{index_path}/version={number}")
+        spark = batch.sparkSession
+        scratch = f"{shared_dir(spark)}/batch-{uuid.uuid4().hex}"
+        records.latest(batch.withColumn("seq", F.monotonically_increasing_id()), "doc_id", F.struct("date", "seq")).drop("seq").withColumn("bucket", bucket).write.parquet(scratch)
+        new = spark.read.parquet(scratch)
+        touched = {r.bucket for r in new.select("bucket").distinct().collect()}
+        if touched:
+            merge(new, touched, number)
+        _delete(spark, scratch)
+
+    def merge(new: DataFrame, touched: set[int], number: int) -> None:
+        spark = new.sparkSession
+        old = [path for b, path in parts(spark, index_path, before=number).items() if b in touched]
+        rows = new.withColumn("fresh", F.lit(1))
+        if old:
+            rows = rows.unionByName(spark.read.parquet(*old).withColumns({"bucket": bucket, "fresh": F.lit(0)}), allowMissingColumns=True)
+        merged = records.latest(rows, "doc_id", F.struct("date", "fresh")).drop("fresh")
+        merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{index_path}/version={number}")
+        expire(spark, index_path, number)
 
     return documents_of(stream).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _files(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path, fs = _files(spark, folder)
+    fs.delete(path, True)
+
+
+def _numbered(spark: SparkSession, folder: str, name: str) -> dict[int, str]:
+    """Folders <name>=<number> in a folder, by number."""
+    path, fs = _files(spark, folder)
+    found = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return {int(p.getName().split("=")[1]): p.toString() for p in found if p.getName().startswith(f"{name}=")}
+
+
 def versions(spark: SparkSession, index_path: str) -> list[int]:
     """Numbers of the complete versions, oldest first."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(index_path)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("version=")]
-    return sorted(int(p.getName().split("=")[1]) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-
-def current(spark: SparkSession, index_path: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete version, or the newest before a number; none if there is none."""
-    known = [v for v in versions(spark, index_path) if before is None or v < before]
-    return spark.read.parquet(f"{index_path}/version={known[-1]}") if known else None
+    _, fs = _files(spark, index_path)
+    complete = lambda folder: fs.exists(_files(spark, f"{folder}/_SUCCESS")[0])
+    return sorted(v for v, folder in _numbered(spark, index_path, "version").items() if complete(folder))
+
+
+def parts(spark: SparkSession, index_path: str, before: int | None = None) -> dict[int, str]:
+    """The folder of each bucket in the newest complete version that has it, or the newest before a number."""
+    newest: dict[int, str] = {}
+    for v in versions(spark, index_path):
+        if before is None or v < before:
+            newest.update(_numbered(spark, f"{index_path}/version={v}", "bucket"))
+    return newest
+
+
+def expire(spark: SparkSession, index_path: str, number: int) -> None:
+    """Deletes parts that neither version `number` nor the state before it is made of, and versions that are left without parts."""
+    needed = {*parts(spark, index_path, before=number + 1).values(), *parts(spark, index_path, before=number).values()}
+    for v in versions(spark, index_path):
+        folder = f"{index_path}/version={v}"
+        found = set(_numbered(spark, folder, "bucket").values())
+        gone = [folder] if v < number and not found & needed else found - needed if v < number else ()
+        for name in gone:
+            _delete(spark, name)
+
+
+def current(spark: SparkSession, index_path: str) -> DataFrame | None:
+    """The newest state; none if there is none."""
+    found = list(parts(spark, index_path).values())
+    return spark.read.option("mergeSchema", True).parquet(*found) if found else None
 
 
 def windowed_trend(stream: DataFrame, window: str = "1 day", late: str = "2 days") -> DataFrame:

@@ -27,6 +27,29 @@ def test_upserts_across_batches(spark, tmp_path):
     assert len(ingest.versions(spark, f"{tmp_path}/index")) == 2 and ingest.current(spark, f"{tmp_path}/none") is None
 
 
+def test_old_records_come_late_and_only_touched_parts_are_written(spark, tmp_path):
+    index = f"{tmp_path}/index"
+    run = lambda: ingest.ingest(ingest.record_stream(spark, f"{tmp_path}/in"), index, f"{tmp_path}/state", buckets=64).awaitTermination()
+    found = lambda: {r.doc_id: r.text for r in ingest.current(spark, index).collect()}
+    land(tmp_path / "in", "a.jsonl", [record(f"d{i}", "first", 5) for i in range(200)])
+    run()
+    before = ingest.parts(spark, index)
+    land(tmp_path / "in", "b.jsonl", [record("d1", "late", 2), record("d2", "new", 6), record("d3", "equal", 5)])
+    run()
+    expected = {f"d{i}": "T first" for i in range(200)} | {"d2": "T new", "d3": "T equal"}
+    assert found() == expected
+    after = ingest.parts(spark, index)
+    assert set(after) == set(before) and 1 <= sum(after[b] != before[b] for b in after) <= 3
+    for day in (7, 8, 9):
+        land(tmp_path / "in", f"{day}.jsonl", [record(f"d{i}", f"day {day}", day) for i in range(200)])
+        run()
+    assert found() == {f"d{i}": "T day 9" for i in range(200)}
+    assert ingest.versions(spark, index) == [3, 4]  # the newest, and what its repetition would start from
+    land(tmp_path / "in", "none.jsonl", [])
+    run()
+    assert len(found()) == 200
+
+
 def test_windows(spark, tmp_path):
     land(tmp_path / "in", "a.jsonl", [record("a", "x", 1), record("a", "x", 1), record("b", "x", 1, "negative"), record("c", "x", 2, None), record("z", "x", 20)])
     stream = ingest.windowed_trend(ingest.documents_of(ingest.record_stream(spark, f"{tmp_path}/in")))
