@@ -159,7 +159,6 @@ def score_windows(counted: DataFrame, order: int = ORDER) -> DataFrame:
     size = F.explode(F.sequence(F.lit(0), F.lit(low - 1)))
     some = counted.where("n > 0").select(last_bytes(F.col("key"), low).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
     shared = [c.to_numpy() for c in some.select(size.alias("size"), "key", "n").groupBy("size", last_bytes(F.col("key"), F.col("size") + 1).alias("key")).agg(F.sum("n").alias("n")).toArrow().columns]
-    n_bytes, n_texts = (int(shared[2][(shared[0] == 0) & at].sum()) for at in (shared[1] >= 0, shared[1] == MARK))
     sent = counted.sparkSession.sparkContext.broadcast(shared)
 
     def scored(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -169,7 +168,7 @@ def score_windows(counted: DataFrame, order: int = ORDER) -> DataFrame:
             levels[i] = merged([levels[i + 1][0] & np.uint64((1 << 8 * (i + 1)) - 1)], [levels[i + 1][1]])
         sizes = np.concatenate([sent.value[0], *(np.full(len(x[0]), i, dtype=np.int64) for i, x in levels.items())])
         every = [np.concatenate([sent.value[j + 1], *(x[j].astype(np.int64) for x in levels.values())]) for j in (0, 1)]
-        return Trie(sizes, *every, n_bytes, n_texts, order).score(keys)
+        return Trie(sizes, *every, order=order).score(keys)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -260,10 +259,11 @@ class Lookup:
 class Trie:
     """Nodes by context size: for each (context, byte) its count; for each context its denominators, alone and after an escape from it.
 
-    n_bytes, n_texts: all training bytes with end marks, and all training texts. What of a context's count isn't in kept nodes goes to its escape.
+    n_bytes, n_texts: all training bytes with end marks, and all training texts. What of a context's count isn't in kept nodes goes to its escape. Without
+    them every context that is here has all its nodes, so its count is theirs; the node that leads to it may be missing (it has another suffix).
     """
 
-    def __init__(self, size: np.ndarray, key: np.ndarray, n: np.ndarray, n_bytes: int, n_texts: int, order: int = ORDER):
+    def __init__(self, size: np.ndarray, key: np.ndarray, n: np.ndarray, n_bytes: int | None = None, n_texts: int | None = None, order: int = ORDER):
         self.order, self.grams, self.log_n, self.contexts = order, [], [], []
         self.start, self.after = [], []
         before: dict | None = None  # of the next smaller size
@@ -273,7 +273,9 @@ class Trie:
             grams, counts = key[rows].astype(np.uint64), n[rows].astype(np.float64)
             contexts, of = np.unique(grams >> np.uint64(8), return_inverse=True)
             kept, distinct = np.bincount(of, counts, len(contexts)), np.bincount(of, minlength=len(contexts)).astype(np.float64)
-            if before is None:
+            if n_bytes is None:
+                total = kept
+            elif before is None:
                 total = np.full(len(contexts), float(n_bytes))
             else:  # a context's count is that of the node that leads to it; that of marks alone, the number of texts
                 place = np.minimum(np.searchsorted(before["grams"], contexts), len(before["grams"]) - 1)

@@ -135,3 +135,16 @@ def test_scores_of_the_query_equal_brute_force(as_table):
 def test_long_tokens_are_keys_of_bounded_length():
     keys = {frequency.key_of(t) for t in ("-" * 80, "-" * 81, "-" * 64, b"-" * 80, "é" * 10**6)}
     assert len(keys) == 5 and all(len(k) <= 66 for k in keys) and frequency.key_of("-" * 64) == "-" * 64
+
+
+def test_scores_do_not_depend_on_partitions(spark, as_table):
+    """Windows of different suffixes are scored in different tasks, with different tries."""
+    rows = [(i, t.decode()) for i, t in enumerate([*training(), *training(2)])]
+    counts = contexts([t.encode() for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1], ppm.ORDER)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r.doc_id: r.score for r in ppm.score_texts(as_table(rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert np.allclose([got[i] for i, _ in rows], [brute(counts, t.encode(), 1) for _, t in rows], atol=1e-6)
