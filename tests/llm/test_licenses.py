@@ -35,6 +35,22 @@ def test_long_templates_bear_changes(as_table):
     assert got == {(1, "bsd", True), (2, "bsd", False), (3, "", False), (4, "gpl,gpl-3", True), (5, "lgpl", True), (5, "", False)}
 
 
+def test_templates_of_any_length(as_table):
+    long = " ".join(f"w{i}" for i in range(500))
+    wordings = (("long", long), ("it's", "One, two; three's 4"))
+    w = long.split()
+    rows = [(1, long), (2, " ".join(w[:200] + ["more"] + w[200:])), (3, " ".join(w[:300])), (4, " ".join(w[:340] + ["x"] * 600 + w[340:])), (5, " ".join(w[:360])), (6, "one two three s 4"), (7, " ".join(w[:250] * 2))]
+    got = {r.doc_id: (r.labels, round(r.score, 3)) for r in licenses.scan_licenses(as_table(rows), wordings).collect()}
+    assert got == {1: ("long", 1.0), 2: ("long", round(496 / 498, 3)), 3: ("", 0.0), 4: ("", 0.0), 5: ("long", round(358 / 498, 3)), 6: ("it's", 1.0), 7: ("", 0.0)}
+
+
+def test_whole_texts_count_as_their_licence(as_table):
+    rows = [(i, f"Copyright (c) 2020 {i}. " + text.upper() + " End.") for i, (_, text) in enumerate(licenses.TEMPLATES)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(as_table(rows)).collect()}
+    for i, (label, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[i].labels.split(",") and got[i].score == 1
+
+
 def test_no_python_in_the_plan(as_table, capsys):
     df = licenses.scan_licenses(as_table([(1, "x")]))
     df.explain()
