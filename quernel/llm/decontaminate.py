@@ -3,7 +3,8 @@
 Every shard (a few MB of documents in one task) gets a word-level suffix array; every suffix of every benchmark item is binary-searched in
 it, word by word, all suffixes at once. The range of the array that still matches after a window's length holds all its occurrences; the
 depth at which the range runs empty is the suffix's longest verbatim match. Only runs of words that the benchmark knows can match, so the
-array leaves out words outside them: this loses no match. No rows are shuffled. The benchmark is the stated query set; it travels in
+array leaves out words outside them: this loses no match. A document's longest match, and where it begins, come from the same search:
+places that leave a suffix's range at some depth match no longer. No rows are shuffled. The benchmark is the stated query set; it travels in
 blocks of bounded size, each of which every shard searches.
 
 A window is `width` consecutive words of an item; an item of fewer words, but not none, is one window.
@@ -104,8 +105,11 @@ class ShardSuffixes:
             lo = np.where(less, mid + 1, lo)
         return lo
 
-    def search(self, test: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each test suffix: the array's range of its window's occurrences, its longest match's length, and a place in the array of that match."""
+    def search(self, test: TestSuffixes, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each test suffix: the array's range of its window's occurrences, its longest match's length, and a place in the array of that match.
+
+        reach: words of the shard; each place is raised to the length of the longest match of a window or more that begins there.
+        """
         n = len(test.words)
         from_, to = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
         longest, where = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
@@ -113,34 +117,54 @@ class ShardSuffixes:
         lo, hi, depth = np.zeros(len(live), dtype=np.int64), np.full(len(live), len(self.array)), 0
         while len(live):
             word = test.words[live + depth]
-            lo, hi = self._bound(lo, hi, depth, word, False), self._bound(lo, hi, depth, word, True)
+            low, high = self._bound(lo, hi, depth, word, False), self._bound(lo, hi, depth, word, True)
+            if reach is not None:
+                whole = (0 < test.window[live]) & (test.window[live] <= depth)
+                self._reached(reach, depth, np.concatenate([lo[whole], high[whole]]), np.concatenate([low[whole], hi[whole]]))
             depth += 1
-            more = lo < hi
-            live, lo, hi = live[more], lo[more], hi[more]
+            more = low < high
+            live, lo, hi = live[more], low[more], high[more]
             longest[live], where[live] = depth, lo
             full = test.window[live] == depth
             from_[live[full]], to[live[full]] = lo[full], hi[full]
             more = test.left[live] > depth
+            if reach is not None:
+                whole = ~more & (0 < test.window[live])
+                self._reached(reach, depth, lo[whole], hi[whole])
             live, lo, hi = live[more], lo[more], hi[more]
         return from_, to, longest, where
 
+    def _reached(self, reach: np.ndarray, depth: int, lo: np.ndarray, hi: np.ndarray) -> None:
+        """Raises the places of these ranges of the array; equal ranges, those of equal suffixes, are visited once."""
+        lo, hi = np.unique(np.stack([lo[lo < hi], hi[lo < hi]]), axis=1)
+        at = self.place[self.array[within(lo, hi)]]
+        reach[at] = np.maximum(reach[at], depth)
+
 
-def scan_shard(texts: list[bytes], blocks: list[TestSuffixes]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
-    """Of each text: words, words inside a window's occurrence, and the items with occurring windows. blocks: may build them one at a time."""
+def within(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges [lo, hi), one range after the other."""
+    count = hi - lo
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - lo, count)
+
+
+def scan_shard(texts: list[bytes], blocks: list[TestSuffixes]) -> tuple[np.ndarray, np.ndarray, list[set[str]], np.ndarray, np.ndarray]:
+    """Of each text: words, words inside a window's occurrence, the items with occurring windows, length and first place of its longest match. blocks: may build them one at a time."""
     n_hit, items, n_words, hit = np.zeros(len(texts), dtype=np.int64), [set() for _ in texts], None, None
+    longest, first = np.zeros(len(texts), dtype=np.int64), np.full(len(texts), -1)
     for test in blocks:
         shard = ShardSuffixes(texts, test)
         n_words, starts = shard.n_words, shard.starts
-        hit = np.zeros(int(starts[-1] + n_words[-1]) + 2, dtype=np.int32) if hit is None else hit
-        from_, to, _, _ = shard.search(test)
+        if hit is None:
+            hit = np.zeros(int(starts[-1] + n_words[-1]) + 2, dtype=np.int32)
+            reach = np.zeros(len(hit), dtype=np.int32)
+        from_, to, _, _ = shard.search(test, reach)
         found = np.flatnonzero(to > from_)
         if not len(found):
             continue
         # Equal windows have one range of the array: each occurrence is visited once, whatever the number of items with that window.
         ranges, same = np.unique(np.stack([from_[found], to[found], test.window[found]]), axis=1, return_inverse=True)
-        count = ranges[1] - ranges[0]
-        which = np.repeat(np.arange(len(count)), count)
-        rows = shard.place[shard.array[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - ranges[0], count)]]
+        which = np.repeat(np.arange(ranges.shape[1]), ranges[1] - ranges[0])
+        rows = shard.place[shard.array[within(ranges[0], ranges[1])]]
         np.add.at(hit, rows, 1)
         np.add.at(hit, rows + ranges[2][which], -1)
         of = np.searchsorted(starts, rows, side="right") - 1
@@ -152,7 +176,11 @@ def scan_shard(texts: list[bytes], blocks: list[TestSuffixes]) -> tuple[np.ndarr
     if hit is not None:
         inside = np.concatenate([[0], np.cumsum(np.cumsum(hit) > 0)])
         n_hit = inside[starts + n_words] - inside[starts]
-    return n_words, n_hit, items
+        rows = np.flatnonzero(reach)
+        rows = rows[np.lexsort((rows, -reach[rows]))]
+        of, at = np.unique(np.searchsorted(starts, rows, side="right") - 1, return_index=True)
+        longest[of], first[of] = reach[rows[at]], rows[at] - starts[of]
+    return n_words, n_hit, items, longest, first
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list:
@@ -166,10 +194,12 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> li
 
 
 def contamination(text: Column, benchmark: DataFrame, width: int = WIDTH) -> Column:
-    """Struct n_words, n_hit, n_items, items_sha256, contaminated of a text column."""
+    """Struct n_words, n_hit, n_items, items_sha256, contaminated, longest (words of the longest verbatim match of a window or more, else 0), longest_at (its first word, from 0, smallest; else null) of a text column."""
     sent = benchmark_blocks(bounded_batches(benchmark))
 
-    @F.pandas_udf("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "longest_at"]
+
+    @F.pandas_udf("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, longest_at long")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         only = [TestSuffixes(sent[0].value, width)] if len(sent) == 1 else None
 
@@ -182,9 +212,10 @@ def contamination(text: Column, benchmark: DataFrame, width: int = WIDTH) -> Col
             texts = [t or b"" for t in batch]
             rows = []
             for a, b in slices([len(t) for t in texts], SHARD_BYTES):
-                for n_words, n_hit, items in zip(*scan_shard(texts[a:b], only or blocks()), strict=True):
-                    rows.append((n_words, n_hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), n_hit > 0))
-            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                for n_words, n_hit, items, longest, first in zip(*scan_shard(texts[a:b], only or blocks()), strict=True):
+                    rows.append((n_words, n_hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), n_hit > 0, longest, first if longest else None))
+            found = pd.DataFrame(rows, columns=names)
+            yield found.astype({"longest_at": "Int64"})
 
     return scan(text.cast("binary"))
 
@@ -232,18 +263,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 DECONTAMINATION_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, row_number() OVER () AS r, {_WORDS} AS w FROM benchmark),
 windows AS (
-  SELECT item, w[i:i + least(len(w), 10) - 1] AS win
-  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+  SELECT item, r, i AS j, w[i:i + least(len(w), 10) - 1] AS win
+  FROM (SELECT item, r, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
 ), sizes AS (SELECT DISTINCT len(win) AS n FROM windows),
 grams AS (
   SELECT doc_id, i, n, w[i:i + n - 1] AS win
   FROM (SELECT doc_id, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS i FROM d, sizes WHERE len(w) >= n)
-), found AS (SELECT doc_id, i, n, item FROM grams JOIN windows USING (win)),
+), found AS (SELECT doc_id, i, n, item, r, j FROM grams JOIN windows USING (win)),
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, r, i - j ORDER BY i) AS run FROM found),
+matches AS (SELECT doc_id, min(i) - 1 AS pos, count(*) + max(n) - 1 AS words FROM runs GROUP BY doc_id, r, i - j, run),
+longest AS (SELECT doc_id, max(words) AS longest, arg_min(pos, row(-words, pos)) AS longest_at FROM matches GROUP BY doc_id),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
 named AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       CAST(coalesce(longest, 0) AS BIGINT) AS longest, CAST(longest_at AS BIGINT) AS longest_at
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN longest USING (doc_id)
 """

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 
@@ -13,7 +14,7 @@ def words(text):
 
 def brute(text, items, width):
     w = words(text)
-    hit, found = set(), set()
+    hit, found, longest, at = set(), set(), 0, None
     for item, t in items:
         b = words(t)
         for win in [b[i : i + width] for i in range(len(b) - width + 1)] if len(b) >= width else [b] * bool(b):
@@ -21,7 +22,11 @@ def brute(text, items, width):
                 if w[i : i + len(win)] == win:
                     hit |= set(range(i, i + len(win)))
                     found.add(str(item))
-    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+        for i, j in itertools.product(range(len(w)), range(len(b))):
+            n = next((k for k, (x, y) in enumerate(zip(w[i:], b[j:], strict=False)) if x != y), min(len(w) - i, len(b) - j))
+            if n >= width or (n == len(b) > 0):
+                longest, at = max((longest, at), (n, i), key=lambda m: (m[0], -(m[1] or 0)))
+    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit), longest, at
 
 
 def data(seed):
@@ -35,7 +40,7 @@ def data(seed):
         if rnd.random() < 0.5:
             w += (rnd.choice(items)[1] or "").upper().split()
         docs.append((i, rnd.choice([" ", ", ", "\n--"]).join(w)))
-    return [*docs, (100, None), (101, ""), (102, "ÿ� a B c"), (103, "a " * 5000)], items
+    return [*docs, (100, None), (101, ""), (102, "ÿ� a B c"), (103, "a " * 500)], items
 
 
 @pytest.mark.parametrize(("seed", "width", "block"), [(1, 4, 1 << 20), (2, 3, 40), (3, 2, 1 << 20)])
@@ -47,6 +52,21 @@ def test_equal_to_brute_force(as_table, monkeypatch, seed, width, block):
     assert {r.doc_id: tuple(r)[1:] for r in got} == {i: brute(t, items, width) for i, t in docs}
 
 
+def test_sql_and_brute_force_agree(as_table):
+    import duckdb
+
+    docs, items = data(4)
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    duck.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    docs = [(i, t) for i, t in docs if i != 102] + [(200, f"{'a b c d e ' * 4}"), (201, "x c c c c c d1 x x x " * 2)]
+    items += [(20, "b c d e a b c d e a b c d e"), (21, "d e a b c d e a b c d")]
+    duck.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    duck.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    got = duck.sql("SELECT doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest, longest_at FROM (" + decontaminate.DECONTAMINATION_SQL + ")").fetchall()
+    assert {r[0]: r[1:] for r in got} == {i: brute(t, items, 10) for i, t in docs}
+
+
 def test_longest_matches(as_table):
     docs = [(1, "p q r s t u"), (2, "x q r s y"), (3, "q r s t")]
     items = [(9, "a q r s t b")]
