@@ -114,13 +114,14 @@ class ShardSuffixes:
         from_, to = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
         longest, where = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
         live = np.arange(n) if len(self.array) else np.arange(0)
+        spans = [np.zeros((3, 0), dtype=np.int64)]
         lo, hi, depth = np.zeros(len(live), dtype=np.int64), np.full(len(live), len(self.array)), 0
         while len(live):
             word = test.words[live + depth]
             low, high = self._bound(lo, hi, depth, word, False), self._bound(lo, hi, depth, word, True)
             if reach is not None:
-                whole = (0 < test.window[live]) & (test.window[live] <= depth)
-                self._reached(reach, depth, np.concatenate([lo[whole], high[whole]]), np.concatenate([low[whole], hi[whole]]))
+                left = (0 < test.window[live]) & (test.window[live] <= depth) & ((lo < low) | (high < hi))
+                spans.append(distinct_spans(depth, lo[left], hi[left]))
             depth += 1
             more = low < high
             live, lo, hi = live[more], low[more], high[more]
@@ -129,16 +130,36 @@ class ShardSuffixes:
             from_[live[full]], to[live[full]] = lo[full], hi[full]
             more = test.left[live] > depth
             if reach is not None:
-                whole = ~more & (0 < test.window[live])
-                self._reached(reach, depth, lo[whole], hi[whole])
+                ended = ~more & (0 < test.window[live])
+                spans.append(distinct_spans(depth, lo[ended], hi[ended]))
             live, lo, hi = live[more], lo[more], hi[more]
+        if reach is not None:
+            at = self.place[self.array]
+            reach[at] = np.maximum(reach[at], deepest(len(at), np.concatenate(spans, axis=1)))
         return from_, to, longest, where
 
-    def _reached(self, reach: np.ndarray, depth: int, lo: np.ndarray, hi: np.ndarray) -> None:
-        """Raises the places of these ranges of the array; equal ranges, those of equal suffixes, are visited once."""
-        lo, hi = np.unique(np.stack([lo[lo < hi], hi[lo < hi]]), axis=1)
-        at = self.place[self.array[within(lo, hi)]]
-        reach[at] = np.maximum(reach[at], depth)
+
+def distinct_spans(depth: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Rows depth, lo, hi of the different ranges; equal suffixes have equal ones."""
+    lo, hi = np.unique(np.stack([lo, hi]), axis=1)
+    return np.stack([np.full(len(lo), depth), lo, hi])
+
+
+def deepest(n: int, spans: np.ndarray) -> np.ndarray:
+    """For each of n places the greatest depth of a span over it, else 0.
+
+    A span is told to two spans of a power of two; these are halved, longest first, down to single places: time doesn't grow with the spans' overlap.
+    """
+    depth, lo, hi = spans
+    level, cover = np.frexp((hi - lo).astype(float))[1] - 1, np.zeros(n, dtype=np.int64)
+    for k in range(int(level.max(initial=-1)), -1, -1):
+        mine = np.flatnonzero(level == k)
+        np.maximum.at(cover, lo[mine], depth[mine])
+        np.maximum.at(cover, hi[mine] - (1 << k), depth[mine])
+        if k:
+            half, upper = 1 << (k - 1), cover.copy()
+            np.maximum(cover[half:], upper[:-half], out=cover[half:])
+    return cover
 
 
 def within(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quernel.llm import decontaminate
@@ -67,6 +68,22 @@ def test_sql_and_brute_force_agree(as_table):
     assert {r[0]: r[1:] for r in got} == {i: brute(t, items, 10) for i, t in docs}
 
 
+def test_repeats_that_overlap_are_read_in_time():
+    test = decontaminate.TestSuffixes([("x", b"0 " * 400)], 10)
+    n_words, n_hit, items, longest, first = decontaminate.scan_shard([b"0 " * 500] * 2000 + [b"1 " + b"0 " * 30, b"0 " * 9], [test])
+    assert n_words.tolist() == [500] * 2000 + [31, 9] and n_hit.tolist() == [500] * 2000 + [30, 0]
+    assert longest.tolist() == [400] * 2000 + [30, 0] and first.tolist() == [0] * 2000 + [1, -1]
+
+
+def test_deepest():
+    rnd = np.random.default_rng(1)
+    for n in (1, 2, 7, 64, 100):
+        lo = rnd.integers(0, n, 30)
+        spans = np.stack([rnd.integers(1, 50, 30), lo, np.minimum(n, lo + rnd.integers(1, n + 1, 30))])
+        assert decontaminate.deepest(n, spans).tolist() == [max((d for d, a, b in spans.T if a <= i < b), default=0) for i in range(n)]
+    assert decontaminate.deepest(3, np.zeros((3, 0), dtype=np.int64)).tolist() == [0, 0, 0]
+
+
 def test_longest_matches(as_table):
     docs = [(1, "p q r s t u"), (2, "x q r s y"), (3, "q r s t")]
     items = [(9, "a q r s t b")]
