@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fim, jaccard, language, licenses, mixing, pii, ppm, secrets, tokens, topk
+from . import decontaminate, fim, jaccard, language, licenses, merkle, mixing, pii, ppm, secrets, tokens, topk
 from .common import table
 
 
@@ -51,13 +51,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_manifest(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.transform_digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_decontaminate, op4_pseudonymise, op5_token_counts, op6_exact_topk, op7_license_scan, op8_jaccard_join, op9_lm_score, op10_secret_scan, op13_fill_in_middle)}
+    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_decontaminate, op4_pseudonymise, op5_token_counts, op6_exact_topk, op7_license_scan, op8_jaccard_join, op9_lm_score, op10_secret_scan, op11_merkle_manifest, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.MIXING_SQL, "op3_decontaminate": decontaminate.DECONTAMINATION_SQL, "op6_exact_topk": topk.TOPK_SQL, "op7_license_scan": licenses.LICENSES_SQL, "op8_jaccard_join": jaccard.JACCARD_SQL, "op13_fill_in_middle": fim.FIM_SQL}
+    return {"op2_mix_sources": mixing.MIXING_SQL, "op3_decontaminate": decontaminate.DECONTAMINATION_SQL, "op6_exact_topk": topk.TOPK_SQL, "op7_license_scan": licenses.LICENSES_SQL, "op8_jaccard_join": jaccard.JACCARD_SQL, "op11_merkle_manifest": merkle.MERKLE_SQL, "op13_fill_in_middle": fim.FIM_SQL}
