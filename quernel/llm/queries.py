@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fim, jaccard, language, licenses, merkle, mixing, pii, ppm, secrets, tokens, topk
+from . import decontaminate, fim, jaccard, language, licenses, merkle, mixing, pii, ppm, quality, secrets, tokens, topk
 from .common import table
 
 
@@ -55,12 +55,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.transform_digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_decontaminate, op4_pseudonymise, op5_token_counts, op6_exact_topk, op7_license_scan, op8_jaccard_join, op9_lm_score, op10_secret_scan, op11_merkle_manifest, op13_fill_in_middle)}
+    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_decontaminate, op4_pseudonymise, op5_token_counts, op6_exact_topk, op7_license_scan, op8_jaccard_join, op9_lm_score, op10_secret_scan, op11_merkle_manifest, op12_quality_score, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
