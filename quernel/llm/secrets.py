@@ -6,6 +6,9 @@ members is searched as one keyword. Positions are then turned into code points.
 
 Defined cases: null text is empty; an empty text has no spans; texts of any length are scanned whole; each row is scanned for itself,
 so repeated rows repeat their result; other columns play no part. Time grows with a text's length, whatever it repeats.
+
+A private key reaches from its header to its footer, which must follow within KEY_BYTES and before another header; where there is none, over the encapsulated headers and
+the lines of base 64 that follow; where there are none either, the header line alone is the span. Line ends may be written as \\n.
 """
 
 from __future__ import annotations
@@ -58,8 +61,26 @@ RULES = {
     "slack": (("xoxb-", "xoxa-", "xoxp-", "xoxr-", "xoxs-"), rb"xox[baprs]-[0-9]{8,}-[0-9A-Za-z-]{8,}", lambda m: True),
     "stripe": (("sk_live_", "rk_live_"), rb"[sr]k_live_[0-9A-Za-z]{24,}", lambda m: True),
     "jwt": (("eyj",), rb"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", jwt_valid),
-    "pem": (("-----begin",), rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", lambda m: True),
+    "pem": (("-----begin",), rb"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----", lambda m: True),
 }
+#: Bytes from a private key's header in which its footer must stand; the next encapsulation line; encapsulated headers with lines of base 64, the last of which may be short.
+KEY_BYTES = 1 << 16
+BOUNDARY = re.compile(rb"-----(?:BEGIN|(END) [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----)")
+_GAP = rb"(?:[\x20\t\r\n]|\\[rnt])"
+BASE64_LINES = re.compile(
+    rb"(?:" + _GAP + rb"{1,200}+[A-Za-z][A-Za-z0-9-]{0,40}:\x20?[^\x00-\x20\\]{0,200}+){0,20}+" + _GAP + rb"{1,200}+[A-Za-z0-9+/]{40,}+={0,2}+"
+    rb"(?:" + _GAP + rb"{1,8}+[A-Za-z0-9+/]{40,}+={0,2}+)*+(?:" + _GAP + rb"{1,8}+(?=[A-Za-z0-9+/]{2,})(?:[A-Za-z0-9+/]{4})*+(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?+(?=[\x20\t]{0,200}(?:[\r\n\"'`<,}\])]|\\[rn]|\Z)))?+"
+)
+
+
+def key_end(raw: bytes, at: int) -> int:
+    """End of a private key, of which the header ends at `at`. What is read lies before the next header, or is part of the key, or is short."""
+    if (found := BOUNDARY.search(raw, at, at + KEY_BYTES)) and found[1]:
+        return found.end()
+    lines = BASE64_LINES.match(raw, at)
+    return lines.end() if lines else at
+
+
 #: Kinds whose pattern begins with a run of these bytes: if it fails at one keyword of a run, it fails at all of that run, which is then passed over.
 #: So a run is read once, however many keywords it holds.
 RUNS = {"jwt": re.compile(rb"[A-Za-z0-9_-]+")}
@@ -90,9 +111,9 @@ class Scanner:
             if start < covered[kind]:
                 continue
             if m := self.patterns[kind].match(raw, start):
-                covered[kind] = m.end()
+                end = covered[kind] = key_end(raw, m.end()) if kind == "pem" else m.end()
                 if RULES[kind][2](m):
-                    found.append((kind, start, m.end()))
+                    found.append((kind, start, end))
             elif kind in RUNS and raw.startswith(b"eyJ", start):
                 covered[kind] = RUNS[kind].match(raw, start).end()
         classes = raw.translate(self.hex_class)
