@@ -14,7 +14,7 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Runs of anything but ASCII white space.
@@ -118,6 +118,23 @@ def join_skewed(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataF
     return rows.join(hubs, key).unionByName(rows.join(hubs, key, "left_anti").join(side.where(~many).drop("n"), key))
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], name: str = "running") -> DataFrame:
+    """rows with the number of rows and the sums of whole numbers (by name) over all rows before, in `order`: by range partitions, so no task holds all rows.
+
+    What is written keeps its partition and place there, so that equal rows of `order` are counted once.
+    """
+    told = {"number": F.lit(1).cast("long"), **sums}
+    rows = rows.withColumns({f"_{k}": v for k, v in told.items()})
+    ordered = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()), name)
+    # A row for each partition.
+    parts = ordered.groupBy("_part").agg(*(F.sum(f"_{k}").alias(f"_all_{k}") for k in told))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = written(parts.select("_part", *(F.coalesce(F.sum(f"_all_{k}").over(earlier), F.lit(0)).alias(f"_all_{k}") for k in told)), "parts")
+    within = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    before = {k: (F.col(f"_all_{k}") + F.coalesce(F.sum(f"_{k}").over(within), F.lit(0))).cast("long") for k in told}
+    return ordered.join(F.broadcast(parts), "_part").withColumns(before).drop("_part", "_place", *(f"_{k}" for k in told), *(f"_all_{k}" for k in told))
+
+
 def _is_read_of_files(df: DataFrame) -> bool:
     plan = df._jdf.queryExecution().analyzed()
     while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):

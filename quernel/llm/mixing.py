@@ -14,37 +14,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import marked, n_spaced_words, placed, written
+from .common import marked, n_spaced_words, placed, running, written
 
 #: Expected copies are fixed-point numbers with this many fractional bits, so that sums are exact.
 FRACTION_BITS = 30
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
-    """source, source_size, target, rate, start: one row per source.
+    """source, source_size, target, rate: one row per source.
 
     sizes: source, size. Sources in code point order, null last, weigh `weights`, repeating. target = min(cap * size, level * weight),
     where the level makes the targets sum up to the total size: what capped sources leave is shared by weight among the others.
+    Both orders, of names and of limits, are told by sums over range partitions, so sources may be as many as sites.
     """
-    one = F.lit(0)
-    ordered = Window.partitionBy(one).orderBy(F.col("source").asc_nulls_last())
-    rising = Window.partitionBy(one).orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = rising.rowsBetween(Window.unboundedPreceding, -1)
-    after = rising.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.partitionBy(one)
     per = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(ordered) - 1) % len(weights) + 1)
+    named = running(per, [F.col("source").asc_nulls_last()], {})
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("number") % len(weights) + 1).cast("int"))
+    weighed = named.withColumn("weight", weight.cast("long")).drop("number").withColumn("limit", cap * F.col("source_size"))
     # In rising order of limit per weight, the capped sources come first; level: what is left when those before are capped.
-    levels = (
-        per.withColumn("weight", weight.cast("long"))
-        .withColumn("limit", cap * F.col("source_size"))
-        .withColumn("level", (F.sum("source_size").over(whole) - F.coalesce(F.sum("limit").over(before), F.lit(0))) / F.sum("weight").over(after))
-        .withColumn("free", F.col("limit") > F.col("level") * F.col("weight"))
-        .withColumn("level", F.min(F.when(F.col("free"), F.struct(F.col("limit") / F.col("weight"), "level"))).over(whole)["level"])
-    )
-    target = F.when(F.col("level").isNull(), F.col("limit").cast("double")).otherwise(F.least(F.col("limit").cast("double"), F.col("level") * F.col("weight")))
-    rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * (1 << FRACTION_BITS))).otherwise(F.lit(0))
-    return levels.withColumn("target", target).select("source", "source_size", "target", F.least(rate, F.lit(cap << FRACTION_BITS)).cast("long").alias("rate"))
+    ratio = F.col("limit") / F.col("weight")
+    rising = running(weighed, [ratio, F.col("source").asc_nulls_last()], {"limits": F.col("limit"), "weights": F.col("weight")})
+    total = rising.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("source_size", "weight"))).first()
+    levels = rising.withColumn("level", (F.lit(total["source_size"]) - F.col("limits")) / (F.lit(total["weight"]) - F.col("weights")))
+    # It rises up to the first source that isn't capped and falls from there, also among sources of equal limits per weight.
+    level = levels.where(F.col("limit") > F.col("level") * F.col("weight")).agg(F.max("level")).first()[0]
+    limit = F.col("limit").cast("double")
+    target = limit if level is None else F.least(limit, F.lit(level) * F.col("weight"))
+    rate = F.when(F.col("source_size") > 0, F.floor(target / F.col("source_size") * (1 << FRACTION_BITS))).otherwise(F.lit(0))
+    return rising.select("source", "source_size", target.alias("target"), F.least(rate, F.lit(cap << FRACTION_BITS)).cast("long").alias("rate"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: str = "mix") -> DataFrame:
@@ -115,7 +112,7 @@ WITH sizes AS (
   WINDOW w_before AS (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
          w_after AS (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
 ), final AS (
-  SELECT (SELECT arg_min(level, lim / weight) FROM levels WHERE lim > level * weight) AS level
+  SELECT (SELECT max(level) FROM levels WHERE lim > level * weight) AS level
 ), targets AS (
   SELECT source, source_size, CASE WHEN final.level IS NULL THEN CAST(lim AS DOUBLE) ELSE least(CAST(lim AS DOUBLE), final.level * weight) END AS target
   FROM levels, final

@@ -96,3 +96,18 @@ def test_rows_are_not_shuffled_or_broadcast_whole(as_table, monkeypatch):
     assert sorted(map(str, out.collect())) == whole
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in plan and "Aggregate" not in plan and out._jdf.queryExecution().executedPlan().toString().count(" Exchange ") == 0
+
+
+def test_targets_of_many_sources(spark):
+    """Equal sizes too, empty and null sources, and no sources at all."""
+    import random
+
+    rnd = random.Random(6)
+    for sizes in ([10] * 300, [rnd.choice([0, 1, 10, 10, 1000]) for _ in range(500)], [rnd.randrange(10_000) for _ in range(700)], [5], [0], []):
+        given = {(f"s{i:04}" if i else None): n for i, n in enumerate(sizes)}
+        rows = spark.createDataFrame(list(given.items()), "source string, size long").repartition(5)
+        got = {r.source: r for r in mixing.source_targets(rows, (5, 2, 1), 3).collect()}
+        expected = fill(given)
+        assert {s: r.source_size for s, r in got.items()} == given
+        assert all(abs(got[s].target - t) <= 1e-9 * max(1, t) for s, t in expected.items())
+        assert abs(sum(r.target for r in got.values()) - sum(sizes)) <= 1e-6 * max(1, sum(sizes))
