@@ -1,22 +1,31 @@
-"""Inverted index as tables: postings, lengths, field statistics, vocabulary; a layout on disk that lets a query read its terms' parts only."""
+"""Inverted index as tables: postings with positions, field statistics, vocabulary; saved in blocks by term bucket, so that a query reads its terms' parts only."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import english_terms, plain_tokens, stem_table
+from ..sources.shared import stated
 
 FIELDS = ("title", "text")
 BUCKETS = 64
+#: Documents of a block, about; a document's block is chosen by hash of its id.
+BLOCK = 128
 
 
 @dataclass
 class Index:
-    """documents; postings: term, field, doc_id, tf, dl; stats: field, n_docs, avgdl; vocabulary: term, field, df; vectors: doc_id, vector. analyzer: a key of ANALYZERS."""
+    """documents; postings: term, field, doc_id, tf, dl, positions; stats: field, n_docs, avgdl; vocabulary: term, field, df; vectors: doc_id, vector. analyzer: a key of ANALYZERS.
+
+    Of a saved index also blocks: term, field, block, n, most_tf, least_dl, and the lists doc_ids, tfs, dls, positions; nearby: key, word, n (see words.parts_of());
+    cells: the vectors by cell (see cells.VectorCells), if there are any.
+    """
 
     documents: DataFrame
     postings: DataFrame
@@ -24,6 +33,8 @@ class Index:
     vocabulary: DataFrame
     vectors: DataFrame
     analyzer: str = "plain"
+    blocks: DataFrame | None = None
+    nearby: DataFrame | None = None
 
 
 #: How texts become terms: lower-case words; or without stop words and possessive endings, and stemmed.
@@ -44,12 +55,30 @@ def field_tokens(documents: DataFrame, tokens: Callable[[Column], Column] = plai
     return documents.select("doc_id", each.alias("x")).select("x.field", "doc_id", "x.tokens")
 
 
-def postings(tokens: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """term, field, doc_id, tf, dl. terms (term): only these; a small table is broadcast, so other terms never reach a shuffle."""
-    rows = tokens.select("field", "doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    if terms is not None:
-        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy("term", "field", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def _posted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (field, doc_id, tokens) the postings; head: whether it is the first one of its row."""
+    for batch in batches:
+        field, doc_id, tokens = batch.columns
+        sizes = np.diff(tokens.offsets.to_numpy())
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        coded = tokens.flatten().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(row * max(1, len(coded.dictionary)) + code, kind="stable")
+        row, code, place = row[order], code[order], place[order]
+        new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])])[: len(row)])
+        ends = np.append(new, len(row))
+        head = np.concatenate([[True], row[new][1:] != row[new][:-1]])[: len(new)]
+        positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place, pa.int32()))
+        taken = lambda x: x.take(pa.array(row[new]))  # noqa: E731, B023
+        columns = [coded.dictionary.take(pa.array(code[new])), taken(field), taken(doc_id), pa.array(np.diff(ends)), pa.array(sizes[row[new]].astype(np.int64)), positions, pa.array(head)]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "field", "doc_id", "tf", "dl", "positions", "head"])
+
+
+def postings(tokens: DataFrame) -> DataFrame:
+    """term, field, doc_id, tf, dl, positions, head (see _posted()): a row of tokens holds all of a document's field, so nothing is shuffled."""
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    return tokens.select("field", "doc_id", "tokens").mapInArrow(_posted, f"term string, field string, doc_id {kind}, tf long, dl long, positions array<int>, head boolean")
 
 
 def field_stats(tokens: DataFrame) -> DataFrame:
@@ -66,7 +95,8 @@ def build_index(documents: DataFrame, analyzer: str = "plain") -> Index:
     told = field_tokens(documents, ANALYZERS[analyzer])
     posted = postings(told)
     if analyzer == "english":
-        posted = stemmed(posted, analyzer).groupBy("term", "field", "doc_id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+        same = stemmed(posted, analyzer).groupBy("term", "field", "doc_id")
+        posted = same.agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"), F.bool_or("head").alias("head"))
     return Index(documents.drop("vector"), posted, field_stats(told), vocabulary(posted), documents.where("vector IS NOT NULL").select("doc_id", "vector"), analyzer)
 
 
@@ -74,22 +104,69 @@ def term_bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def block_of(doc_id: Column, n_blocks: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(n_blocks)).cast("int")
+
+
+def in_blocks(posted: DataFrame, n_blocks: int) -> DataFrame:
+    """Postings of a term, field and block as one row: n of them, lists in order of the ids, and what bounds their scores. A common term has many blocks, so no key is hot."""
+    one = F.struct("doc_id", "tf", "dl", "positions")
+    rows = posted.withColumn("block", block_of(F.col("doc_id"), n_blocks)).groupBy("term", "field", "block")
+    told = rows.agg(
+        F.count("*").cast("int").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.count_if("head").alias("heads"), F.sum(F.when(F.col("head"), F.col("dl"))).alias("tokens"), F.sort_array(F.collect_list(one)).alias("p")
+    )
+    lists = {"doc_ids": "doc_id", "tfs": "tf", "dls": "dl", "positions": "positions"}
+    return told.select("term", "field", "block", "n", "most_tf", "least_dl", "heads", "tokens", *(F.col(f"p.{part}").alias(name) for name, part in lists.items()))
+
+
+#: Bytes of a row group of blocks: small, as questions read few terms of a file.
+GROUP_BYTES = 4 << 20
+
+
 def save_index(index: Index, path: str) -> None:
-    """Postings and vocabulary lie in folders by term bucket; a task writes to one bucket's folder only, large buckets by several tasks. Documents are sorted
-    by id, so that those of given ids are in few row groups; texts are read for the postings once."""
+    """Blocks, vocabulary and what spelling needs lie in folders by bucket; a task writes to one bucket's folder only, large buckets by several tasks. Documents are
+    sorted by id, so that those of given ids are in few row groups. Texts are read once, for the blocks, of which the statistics are sums."""
+    from .words import keyed
+
+    spark = index.documents.sparkSession
     index.documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/documents")
     index.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
-    posted = index.postings.withColumn("bucket", term_bucket(F.col("term"))).hint("rebalance", "bucket")
-    posted.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    kept = SparkSession.getActiveSession().read.parquet(f"{path}/postings")
-    vocabulary(kept).withColumn("bucket", term_bucket(F.col("term"))).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vocabulary")
-    index.stats.withColumn("analyzer", F.lit(index.analyzer)).write.mode("overwrite").parquet(f"{path}/stats")
+    n_blocks = max(1, -(-spark.read.parquet(f"{path}/documents").count() // BLOCK))
+    packed = in_blocks(index.postings, n_blocks).withColumn("bucket", term_bucket(F.col("term"))).hint("rebalance", "bucket")
+    packed.sortWithinPartitions("bucket", "term", "field", "block").write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).partitionBy("bucket").parquet(f"{path}/blocks")
+    blocks = spark.read.parquet(f"{path}/blocks")
+    words = blocks.groupBy("bucket", "term", "field").agg(F.sum("n").alias("df"))
+    words.select("term", "field", "df", "bucket").hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vocabulary")
+    near = keyed(spark.read.parquet(f"{path}/vocabulary").groupBy(F.col("term").alias("word")).agg(F.max("df").alias("n")))
+    near.withColumn("bucket", term_bucket(F.col("key"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/nearby")
+    stats = blocks.groupBy("field").agg(F.sum("heads").alias("n_docs"), (F.sum("tokens") / F.sum("heads")).alias("avgdl"))
+    stats.withColumn("analyzer", F.lit(index.analyzer)).withColumn("n_blocks", F.lit(n_blocks)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     told = read("stats").select("analyzer").first()
-    return Index(read("documents"), read("postings"), read("stats").drop("analyzer"), read("vocabulary"), read("vectors"), told[0] if told else "plain")
+    blocks = read("blocks")
+    return Index(read("documents"), unpacked(blocks, "positions"), read("stats").select("field", "n_docs", "avgdl"), read("vocabulary"), read("vectors"), told[0] if told else "plain", blocks, read("nearby"))
+
+
+def unpacked(blocks: DataFrame, *more: str) -> DataFrame:
+    """A row for each posting: doc_id, tf, dl, and `more` of its lists; columns of the blocks other than lists stay. Lists that aren't asked for aren't read."""
+    lists = {"doc_ids": "doc_id", "tfs": "tf", "dls": "dl", **{m: m for m in more}}
+    others = [c for c in blocks.columns if c not in {*lists, "positions"}]
+    rows = blocks.select(*others, F.explode(F.arrays_zip(*lists)).alias("p"))
+    return rows.select(*others, *(F.col(f"p.{name}").alias(alias) for name, alias in lists.items()))
+
+
+def in_buckets(saved: DataFrame, buckets: list[int]) -> DataFrame:
+    return saved.where(F.col("bucket").isin(buckets)) if "bucket" in saved.columns else saved
+
+
+def asked_buckets(rows: DataFrame, saved: DataFrame, column: str = "term") -> DataFrame:
+    """Of a table saved by bucket only the folders of what a few rows ask for."""
+    if "bucket" not in saved.columns:
+        return saved
+    return in_buckets(saved, rows.agg(F.collect_set(term_bucket(F.col(column)))).first()[0])  # BUCKETS numbers at most
 
 
 def of_terms(rows: DataFrame, terms: list[str]) -> DataFrame:
@@ -99,16 +176,28 @@ def of_terms(rows: DataFrame, terms: list[str]) -> DataFrame:
     return rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
 
 
-#: Documents that are looked up by a list of their ids at most.
-MANY_IDS = 10_000
+#: Documents that are looked up by a list of their ids at most; ids of one broadcast, and their bytes, about.
+MANY_IDS, ID_BYTES = 10_000, 32 << 20
 
 
 def with_documents(rows: DataFrame, documents: DataFrame, how: str = "left") -> DataFrame:
-    """rows (a held table) joined with documents by doc_id. Up to MANY_IDS ids reach the scan of documents, which then reads only row groups that can hold them."""
-    ids = [r.doc_id for r in rows.select("doc_id").distinct().take(MANY_IDS + 1)]
-    if len(ids) > MANY_IDS:
-        return rows.join(documents, "doc_id", how)
-    return rows.join(F.broadcast(documents.where(F.col("doc_id").isin(ids))), "doc_id", how)
+    """rows (a held table) joined with documents by doc_id.
+
+    Ids reach the scan of documents: up to MANY_IDS as a list, by which it skips row groups; more of them as broadcast tables, in parts of bounded size. So only documents
+    of the rows leave the scan, however many the questions are.
+    """
+    ids = rows.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    few, _ = stated(ids, MANY_IDS)
+    if few is not ids:
+        return rows.join(F.broadcast(documents.where(F.col("doc_id").isin([r.doc_id for r in few.collect()]))), "doc_id", how)
+    size = F.length(F.col("doc_id").cast("string")).cast("long")
+    n = max(1, -(-(ids.agg(F.sum(size + 16)).first()[0] or 0) // ID_BYTES))
+    part = lambda df, i: df.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == i) if n > 1 else df
+    met = None
+    for i in range(n):
+        found = part(documents, i).join(F.broadcast(part(ids, i)), "doc_id", "left_semi")
+        met = found if met is None else met.unionByName(found)
+    return rows.join(met, "doc_id", how)
 
 
 def corpus_stats(documents: DataFrame, most: int = 100) -> DataFrame:

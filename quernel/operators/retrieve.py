@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..config import SearchConfig
 from ..functions.text import plain_tokens
-from ..sources.shared import stated
-from .index import Index, term_bucket
+from ..sources.shared import held, stated
+from .index import ANALYZERS, BLOCK, Index, asked_buckets, in_buckets, stemmed, term_bucket, unpacked
 from .rank import top
 
 #: Scores are compared after rounding to so many digits, as sums of floats depend on their order.
@@ -31,7 +32,7 @@ def query_terms(queries: DataFrame, tokens=plain_tokens) -> DataFrame:
 
 
 def asked_terms(queries: DataFrame, tokens=plain_tokens) -> DataFrame:
-    """query_id, term, must, banned of queries (query_id, q) of plain words (any will do), +must, -not and "phrases", whose words must all stand (see with_phrases)."""
+    """query_id, term, must, banned of queries (query_id, q) of plain words (any will do), +must, -not and "phrases", whose words must all stand (see with_phrases())."""
     quoted = F.regexp_extract_all("q", F.lit('"([^"]*)"'), 1)
     words = F.split(F.trim(F.regexp_replace("q", '"[^"]*"', " ")), r"\s+")
     part = lambda text, must, banned: F.struct(tokens(text).alias("terms"), must.alias("must"), banned.alias("banned"))
@@ -40,55 +41,130 @@ def asked_terms(queries: DataFrame, tokens=plain_tokens) -> DataFrame:
     return each.groupBy("query_id", "term").agg(F.bool_or("must").alias("must"), F.bool_or("banned").alias("banned"))
 
 
-def phrases(queries: DataFrame) -> DataFrame:
-    """query_id, phrases: the phrases of each query that has any, as words with spaces around."""
-    spaced = lambda p: F.concat(F.lit(" "), F.array_join(plain_tokens(p), " "), F.lit(" "))
-    found = F.filter(F.transform(F.regexp_extract_all("q", F.lit('"([^"]*)"'), 1), spaced), lambda p: F.trim(p) != "")
-    return queries.select("query_id", found.alias("phrases")).where(F.size("phrases") > 0)
+def asked_phrases(queries: DataFrame, analyzer: str = "plain") -> DataFrame:
+    """query_id, phrase, j, term, words: the words of each "phrase" of the queries (query_id, q), as the analyzer has them, with their places and their number."""
+    told = queries.where(F.col("q").isNotNull()).select("query_id", F.posexplode(F.regexp_extract_all("q", F.lit('"([^"]*)"'), 1)).alias("phrase", "text"))
+    tokens = told.select("query_id", "phrase", ANALYZERS[analyzer](F.col("text")).alias("tokens")).withColumn("words", F.size("tokens"))
+    return stemmed(tokens.select("query_id", "phrase", "words", F.posexplode("tokens").alias("j", "term")), analyzer)
 
 
-def with_phrases(rows: DataFrame, asked: DataFrame, documents: DataFrame) -> DataFrame:
-    """rows (query_id, doc_id, ...), which hold all words of their query's phrases (see phrases()), in whose title or text each phrase stands."""
-    spaced = lambda c: F.concat(F.lit(" "), F.array_join(plain_tokens(F.col(c)), " "), F.lit(" "))
-    told = rows.join(asked, "query_id", "left").join(documents.select("doc_id", spaced("title").alias("a"), spaced("text").alias("b")), "doc_id")
-    stands = F.coalesce(F.forall("phrases", lambda p: F.contains("a", p) | F.contains("b", p)), F.lit(True))
-    return told.where(stands).select(*rows.columns)
+def phrase_documents(index: Index, asked: DataFrame) -> DataFrame:
+    """query_id, doc_id, had: how many of its query's phrases (see asked_phrases(); a few rows) stand in one of its fields.
+
+    A phrase stands where its words' positions, each less the word's place in the phrase, have one in common. No text is read.
+    """
+    if index.blocks is None:
+        rows = index.postings.join(F.broadcast(asked), "term")
+    else:
+        rows = unpacked(asked_buckets(asked, index.blocks).select("term", "field", "doc_ids", "tfs", "dls", "positions").join(F.broadcast(asked), "term"), "positions")
+    shifted = rows.select("query_id", "phrase", "words", "field", "doc_id", F.transform("positions", lambda p: p - F.col("j")).alias("starts"))
+    met = shifted.groupBy("query_id", "phrase", "words", "field", "doc_id").agg(F.collect_list("starts").alias("s")).where(F.size("s") == F.col("words"))
+    stands = F.size(F.aggregate(F.slice("s", 2, F.size("s")), F.get("s", F.lit(0)), F.array_intersect)) > 0
+    return met.where(stands).select("query_id", "phrase", "doc_id").distinct().groupBy("query_id", "doc_id").agg(F.count("*").alias("had"))
+
+
+def with_phrases(scores: DataFrame, index: Index, asked: DataFrame) -> DataFrame:
+    """scores (query_id, doc_id, ...) of documents in which all phrases of their query stand. asked: see asked_phrases()."""
+    needed = asked.groupBy("query_id").agg(F.count_distinct("phrase").alias("needed"))
+    told = scores.join(F.broadcast(needed), "query_id", "left").join(phrase_documents(index, asked), ["query_id", "doc_id"], "left")
+    return told.where(F.col("needed").isNull() | (F.col("needed") == F.col("had"))).select(*scores.columns)
 
 
 #: Asked terms whose statistics are broadcast at most; more of them are joined by shuffle.
 BROADCAST_TERMS = 1 << 17
+#: Postings of asked terms from which on a top-k looks at the blocks' bounds first; below, that costs more than it saves.
+PRUNE_FROM = 1_000_000
 
 
-def keyword_scores(index: Index, terms: DataFrame, config: SearchConfig = SearchConfig(), boosts: dict[str, float] | None = None) -> DataFrame:
-    """query_id, doc_id, score by BM25. A term counts with its best field; a document's terms add up; any term will do, but those that must stand, or must not.
+@dataclass
+class Asked:
+    """Asked terms as an index knows them. known: query_id, term, field, must, banned, avgdl, weight; needed: query_id, needed (terms that must stand). postings: how many there are, or None, if the terms are many."""
 
-    terms: query_id, term, or with must, banned too. Only buckets of asked terms are read. Their statistics meet the postings by broadcast, so postings are
-    shuffled once, by query and document.
-    """
+    known: DataFrame
+    needed: DataFrame
+    buckets: list[int]
+    small: Callable[[DataFrame], DataFrame]
+    postings: int | None
+
+
+def known_terms(index: Index, terms: DataFrame, config: SearchConfig, boosts: dict[str, float] | None) -> Asked:
+    """terms: query_id, term, or with must, banned too. Only buckets of asked terms are read. A few terms become literal rows."""
     if "must" not in terms.columns:
         terms = terms.select("query_id", "term", F.lit(False).alias("must"), F.lit(False).alias("banned"))
     boosts = boosts or {"title": config.title_boost, "text": 1.0}
     terms, rows = stated(terms.select("query_id", "term", "must", "banned", term_bucket(F.col("term")).alias("bucket")))
     n_terms, buckets = (len(rows), sorted({r.bucket for r in rows})) if rows is not None else terms.agg(F.count("*"), F.collect_set("bucket")).first()  # BUCKETS numbers at most
     terms = terms.drop("bucket")
-    posted, words = (t.where(F.col("bucket").isin(buckets)) if "bucket" in t.columns else t for t in (index.postings, index.vocabulary))
-    boost = F.coalesce(*(F.when(F.col("field") == f, F.lit(float(w))) for f, w in boosts.items()))
-    n, df, tf, dl = (F.col(c).cast("double") for c in ("n_docs", "df", "tf", "dl"))
     small = F.broadcast if n_terms <= BROADCAST_TERMS else lambda df: df
-    known = words.where(F.col("field").isin(*boosts)).select("term", "field", "df").join(small(terms), "term").join(F.broadcast(index.stats), "field")
-    known = known.select("query_id", "term", "field", "must", "banned", "avgdl", (boost * F.log(1 + (n - df + 0.5) / (df + 0.5))).alias("weight"))
-    met = posted.where(F.col("field").isin(*boosts)).select("term", "field", "doc_id", "tf", "dl").join(small(known), ["term", "field"])
-    part = F.col("weight") * tf / (tf + config.k1 * (1 - config.b + config.b * dl / F.col("avgdl")))
-    each = met.select("query_id", "doc_id", "term", "must", "banned", part.alias("s")).repartition("query_id", "doc_id")
+    boost = F.coalesce(*(F.when(F.col("field") == f, F.lit(float(w))) for f, w in boosts.items()))
+    n, df = (F.col(c).cast("double") for c in ("n_docs", "df"))
+    words = in_buckets(index.vocabulary, buckets).where(F.col("field").isin(*boosts)).select("term", "field", "df")
+    known = words.join(small(terms), "term").join(F.broadcast(index.stats), "field")
+    known = known.select("query_id", "term", "field", "must", "banned", "avgdl", "df", (boost * F.log(1 + (n - df + 0.5) / (df + 0.5))).alias("weight"))
+    known, found = stated(known)
+    return Asked(known, small(terms.groupBy("query_id").agg(F.count_if("must").alias("needed"))), buckets, small, None if found is None else sum(r.df for r in found))
+
+
+def term_part(tf: Column, dl: Column, config: SearchConfig) -> Column:
+    """What a posting adds to a score, at most 1, but for the term's weight."""
+    tf = tf.cast("double")
+    return F.col("weight") * tf / (tf + config.k1 * (1 - config.b + config.b * dl.cast("double") / F.col("avgdl")))
+
+
+def asked_blocks(index: Index, asked: Asked) -> DataFrame:
+    """The blocks of the asked terms, with what is known of these."""
+    return in_buckets(index.blocks, asked.buckets).drop("bucket").join(asked.small(asked.known), ["term", "field"])
+
+
+def scored(met: DataFrame, asked: Asked, config: SearchConfig) -> DataFrame:
+    """query_id, doc_id, score of postings with what is known of their terms. Postings are shuffled once, by query and document."""
+    each = met.select("query_id", "doc_id", "term", "must", "banned", term_part(F.col("tf"), F.col("dl"), config).alias("s")).repartition("query_id", "doc_id")
     best = each.groupBy("query_id", "doc_id", "term").agg(F.max("s").alias("s"), F.first("must").alias("must"), F.first("banned").alias("banned"))
     told = best.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), DIGITS).alias("score"), F.count_if("must").alias("had"), F.bool_or("banned").alias("bad"))
-    needed = small(terms.groupBy("query_id").agg(F.count_if("must").alias("needed")))
-    return told.where("NOT bad").join(needed, "query_id").where("had = needed").select("query_id", "doc_id", "score")
+    return told.where("NOT bad").join(asked.needed, "query_id").where("had = needed").select("query_id", "doc_id", "score")
+
 
+def keyword_scores(index: Index, terms: DataFrame, config: SearchConfig = SearchConfig(), boosts: dict[str, float] | None = None, asked: Asked | None = None) -> DataFrame:
+    """query_id, doc_id, score by BM25 of all that match. A term counts with its best field; a document's terms add up; any term will do, but those that must stand, or must not."""
+    asked = asked or known_terms(index, terms, config, boosts)
+    if index.blocks is None:
+        return scored(index.postings.join(asked.small(asked.known), ["term", "field"]), asked, config)
+    return scored(unpacked(asked_blocks(index, asked)), asked, config)
 
-def keyword_top(index: Index, terms: DataFrame, k: int = 100, config: SearchConfig = SearchConfig(), boosts: dict[str, float] | None = None) -> DataFrame:
-    """query_id, ord, doc_id, score of the best k documents for each query's terms (see keyword_scores)."""
-    return top(keyword_scores(index, terms, config, boosts), k, best_first())
+
+def block_bounds(index: Index, asked: Asked, config: SearchConfig) -> DataFrame:
+    """query_id, block, bound, postings: no document of the block scores higher. The lists of the blocks aren't read."""
+    told = asked_blocks(index, asked).where("NOT banned").select("query_id", "block", "term", "n", term_part(F.col("most_tf"), F.col("least_dl"), config).alias("s"))
+    best = told.groupBy("query_id", "block", "term").agg(F.max("s").alias("s"), F.sum("n").alias("n"))
+    return best.groupBy("query_id", "block").agg(F.sum("s").alias("bound"), F.sum("n").alias("postings"))
+
+
+def pruned_top(index: Index, terms: DataFrame, k: int, config: SearchConfig = SearchConfig(), boosts: dict[str, float] | None = None, phrases: DataFrame | None = None, asked: Asked | None = None) -> DataFrame:
+    """keyword_top() without reading postings that can't matter: the blocks of the highest bounds are scored first; of the others only those whose bound reaches the k-th score that these give."""
+    asked = asked or known_terms(index, terms, config, boosts)
+    bounds = held(block_bounds(index, asked, config), "bounds")
+
+    def of_blocks(chosen: DataFrame) -> DataFrame:
+        met = asked_blocks(index, asked).join(chosen.select("query_id", "block"), ["query_id", "block"])
+        scores = scored(unpacked(met), asked, config)
+        return scores if phrases is None else with_phrases(scores, index, phrases)
+
+    first = top(bounds, max(4, -(-2 * k // BLOCK)), [F.col("bound").desc(), F.col("block")])
+    begun = held(top(of_blocks(first), k, best_first()).drop("ord"), "begun")
+    reached = begun.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    rest = bounds.join(first, ["query_id", "block"], "left_anti").join(F.broadcast(reached), "query_id", "left")
+    # Bounds are sums of floats too, and equal scores may go to smaller ids.
+    rest = rest.where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 10 ** (2 - DIGITS)))
+    return top(begun.unionByName(top(of_blocks(rest), k, best_first()).drop("ord")), k, best_first())
+
+
+def keyword_top(index: Index, terms: DataFrame, k: int = 100, config: SearchConfig = SearchConfig(), boosts: dict[str, float] | None = None, phrases: DataFrame | None = None) -> DataFrame:
+    """query_id, ord, doc_id, score of the best k documents for each query's terms (see keyword_scores()), with its phrases (see asked_phrases())."""
+    asked = known_terms(index, terms, config, boosts)
+    if index.blocks is not None and (asked.postings is None or asked.postings >= PRUNE_FROM):
+        return pruned_top(index, terms, k, config, boosts, phrases, asked)
+    scores = keyword_scores(index, terms, config, boosts, asked)
+    return top(scores if phrases is None else with_phrases(scores, index, phrases), k, best_first())
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -125,7 +201,7 @@ def by_length(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def best_of_batches(queries, k: int):
-    """Function for mapInArrow over (doc_id, vector): of each batch the rows that reach its k-th best score for a query (query_id, vector; broadcast)."""
+    """Function for mapInArrow over (doc_id, vector): the rows that reach the k-th best score of the task for a query (query_id, vector; broadcast)."""
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = queries.value
@@ -133,15 +209,38 @@ def best_of_batches(queries, k: int):
             return
         asked = {m.shape[1]: (rows, m) for rows, m in by_length(table.column(1).chunk(0))}
         ids = table.column(0).chunk(0)
+        held: dict[int, list] = {d: [] for d in asked}
+        least = {d: np.full(len(rows), -np.inf) for d, (rows, _) in asked.items()}
+
+        def best(d: int) -> None:
+            """Of what is held only rows that reach the k-th score stay."""
+            which, docs, scores = np.concatenate([h[0] for h in held[d]]), pa.concat_arrays([h[1] for h in held[d]]), np.concatenate([h[2] for h in held[d]])
+            order = np.lexsort((-scores, which))
+            starts = np.searchsorted(which[order], np.arange(len(least[d])))
+            counts = np.bincount(which, minlength=len(least[d]))
+            full = counts >= k
+            least[d][full] = scores[order][starts[full] + k - 1]
+            kept = np.flatnonzero(scores >= least[d][which])
+            held[d] = [(which[kept], docs.take(pa.array(kept)), scores[kept])]
+
         for batch in batches:
             for rows, m in by_length(batch.column(1)):
-                if m.shape[1] not in asked:
+                d = m.shape[1]
+                if d not in asked:
                     continue
-                which, q = asked[m.shape[1]]
-                scores = np.round((1 + q @ m.T) / 2, DIGITS)
-                least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(q), -np.inf)
-                i, j = np.nonzero(scores >= least[:, None])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(which[i])), batch.column(0).take(pa.array(rows[j])), pa.array(scores[i, j])], names=["query_id", "doc_id", "score"])
+                scores = np.round((1 + asked[d][1] @ m.T) / 2, DIGITS)
+                floor = least[d]
+                if scores.shape[1] > k:
+                    floor = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k])
+                i, j = np.nonzero(scores >= floor[:, None])
+                held[d].append((i, batch.column(0).take(pa.array(rows[j])), scores[i, j]))
+                if sum(len(h[0]) for h in held[d]) > 4 * k * len(least[d]):
+                    best(d)
+        for d, parts in held.items():
+            if parts:
+                best(d)
+                which, docs, scores = held[d][0]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(asked[d][0][which])), docs, pa.array(scores)], names=["query_id", "doc_id", "score"])
 
     return search
 
@@ -163,32 +262,3 @@ def match_all(documents: DataFrame, queries: DataFrame) -> DataFrame:
     """Every document for every query, with score 1, in order of their ids."""
     rows = every_document(documents, queries).withColumn("score", F.lit(1.0))
     return top(rows, None, [F.col("doc_id")])
-
-
-def phrase_match(text: Column, words: list[str]) -> Column:
-    """Whether the words stand one after the other."""
-    return F.contains(F.concat(F.lit(" "), F.array_join(plain_tokens(text), " "), F.lit(" ")), F.lit(f" {' '.join(words)} "))
-
-
-def parse_query(q: str) -> dict[str, list]:
-    """Parts of a query: plain words (any will do), +must, -not, and "phrases" (which must stand)."""
-    import re
-
-    phrases = [re.findall("[a-z0-9]+", p.lower()) for p in re.findall(r'"([^"]*)"', q)]
-    parts: dict[str, list] = {"any": [], "must": [], "not": [], "phrases": [p for p in phrases if p]}
-    for word in re.sub(r'"[^"]*"', " ", q).split():
-        kind = {"+": "must", "-": "not"}.get(word[0], "any")
-        parts[kind] += re.findall("[a-z0-9]+", word.lower())
-    return parts
-
-
-def query_condition(text: Column, parts: dict[str, list]) -> Column:
-    """Condition on a document's text by the must, not and phrase parts."""
-    tokens, out = plain_tokens(text), F.lit(True)
-    for w in parts["must"]:
-        out &= F.array_contains(tokens, w)
-    for w in parts["not"]:
-        out &= ~F.array_contains(tokens, w)
-    for p in parts["phrases"]:
-        out &= phrase_match(text, p)
-    return out

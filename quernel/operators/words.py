@@ -51,25 +51,38 @@ def swapped(a: Column, b: Column) -> Column:
     return (F.length(a) == F.length(b)) & (a != b) & (F.length(a) > 1) & F.exists(F.sequence(F.lit(0), F.greatest(F.length(a) - 2, F.lit(0))), at)
 
 
+def domain_words(rows: DataFrame, domain: tuple[str, ...]) -> DataFrame:
+    return rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, domain))).alias("word"), F.lit(DOMAIN_FREQUENCY).cast("long").alias("n"))
+
+
 def known_words(vocabulary: DataFrame, domain: tuple[str, ...] = DOMAIN_WORDS) -> DataFrame:
     """word, n: the corpus's words (term, n) and the field's, which count as very frequent."""
-    own = vocabulary.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, domain))).alias("word"), F.lit(DOMAIN_FREQUENCY).cast("long").alias("n"))
+    own = domain_words(vocabulary, domain)
     return vocabulary.select(F.col("term").alias("word"), F.col("n").cast("long")).unionByName(own).where(F.col("word") != NO_WORD).groupBy("word").agg(F.max("n").alias("n"))
 
 
-def spelling(queries: DataFrame, words: DataFrame) -> DataFrame:
+def with_domain(near: DataFrame, domain: tuple[str, ...] = DOMAIN_WORDS) -> DataFrame:
+    """near (key, word, n; see keyed()) of the corpus's words, and the field's."""
+    rows = near.unionByName(keyed(domain_words(near, domain))).where(F.col("word") != NO_WORD)
+    return rows.groupBy("key", "word").agg(F.max("n").alias("n"))
+
+
+def asked_tokens(queries: DataFrame) -> DataFrame:
+    """query_id, pos, token, word of tokens of queries (query_id, q) that are checked: short tokens, numbers and tokens with a colon aren't."""
+    tokens = queries.select("query_id", F.posexplode(F.split(F.trim("q"), r"\s+")).alias("pos", "token"))
+    return tokens.where((F.length("token") > 2) & ~F.contains("token", F.lit(":")) & ~F.col("token").rlike("^[0-9]+$")).withColumn("word", F.lower("token"))
+
+
+def spelling(queries: DataFrame, words: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """query_id, pos, token, correction, distance for tokens of queries (query_id, q) that words (word, n) lacks: of the words at one edit (a swap
-    is one), or else at two, the most frequent. Short tokens, numbers and tokens with a colon are left alone.
+    is one), or else at two, the most frequent.
 
-    Only words that share a deletion neighbourhood with a token can be that near: tokens and words meet by their forms with up to two
-    letters left out, an equality join, and no token is compared with all words.
+    Words cut into three parts keep one of them whole through two edits: tokens and words meet by these parts (see keyed()), an equality join, and no token is
+    compared with all words. near: what keyed() makes of the words, as an index has it saved; words then only need to hold the tokens that are words.
     """
-    tokens = queries.select("query_id", F.posexplode(F.split(F.trim("q"), r"\s+")).alias("pos", "token"))
-    asked = tokens.where((F.length("token") > 2) & ~F.contains("token", F.lit(":")) & ~F.col("token").rlike("^[0-9]+$")).withColumn("low", F.lower("token"))
-    odd = asked.join(words, asked["low"] == words["word"], "left_anti")
-    forms_a = odd.select("query_id", "pos", "token", "low", F.explode(left_out(F.col("low"))).alias("form"))
-    forms_b = words.where(F.length("word") > 0).select("word", "n", F.explode(left_out(F.col("word"))).alias("form"))
-    pairs = forms_a.join(forms_b, "form").drop("form").distinct()
+    odd = asked_tokens(queries).withColumnRenamed("word", "low").join(words.select(F.col("word").alias("low")), "low", "left_anti")
+    asked = odd.select("query_id", "pos", "token", "low", F.explode(probes_of(F.col("low"))).alias("key"))
+    pairs = (keyed(words) if near is None else near).select("key", "word", "n").join(F.broadcast(asked), "key").drop("key").distinct()
     distance = F.levenshtein("low", "word")
     told = pairs.withColumn("distance", F.when(swapped(F.col("low"), F.col("word")), 1).otherwise(distance)).where(F.col("distance") <= 2)
     best = F.row_number().over(Window.partitionBy("query_id", "pos").orderBy("distance", F.col("n").desc(), "word"))
@@ -86,10 +99,45 @@ def corrected(queries: DataFrame, hints: DataFrame) -> DataFrame:
     return told.where("changed").select("query_id", F.array_join("words.word", " ").alias("corrected"))
 
 
-def left_out(w: Column, times: int = 2) -> Column:
-    """The word and its forms with up to two letters left out."""
-    drop = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(c.substr(F.lit(1), i - 1), c.substr(i + 1, F.length(c))))
-    out = F.array(w)
-    for _ in range(times):
-        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, drop))))
-    return out
+#: Parts of a word: one more than the edits that a correction may have.
+PARTS, EDITS = 3, 2
+
+
+def _part(length: Column, i: Column) -> tuple[Column, Column]:
+    """Start (from 0) and length of part i of a word of this length; the last parts are the longer ones."""
+    short, longer = F.call_function("div", length, F.lit(PARTS)).cast("int"), (length % PARTS).cast("int")
+    extra = F.greatest(i - (PARTS - longer), F.lit(0))
+    return i * short + extra, short + F.when(i >= PARTS - longer, 1).otherwise(0)
+
+
+def _key(length: Column, i: Column, text: Column) -> Column:
+    return F.concat_ws(":", length.cast("string"), i.cast("string"), text)
+
+
+def parts_of(word: Column) -> Column:
+    """Keys of a word's parts: its length, the part's number, its letters."""
+
+    def key(i: Column) -> Column:
+        start, size = _part(F.length(word), i)
+        return _key(F.length(word), i, word.substr(start + 1, size))
+
+    return F.transform(F.array(*map(F.lit, range(PARTS))), key)
+
+
+def probes_of(token: Column) -> Column:
+    """Keys of which each word that is at most EDITS edits away has one: a part that no edit touches stands in the token at most EDITS letters off its place."""
+    m = F.length(token)
+
+    def of_part(length: Column, i: Column) -> Column:
+        start, size = _part(length, i)
+        fits = F.filter(F.array(*(F.lit(d) for d in range(-EDITS, EDITS + 1))), lambda d: (start + d >= 0) & (start + d + size <= m))
+        return F.transform(fits, lambda d: _key(length, i, token.substr(start + d + 1, size)))
+
+    lengths = F.filter(F.transform(F.array(*(F.lit(d) for d in range(-EDITS, EDITS + 1))), lambda d: m + d), lambda x: x > 0)
+    parts = F.transform(lengths, lambda x: F.flatten(F.transform(F.array(*map(F.lit, range(PARTS))), lambda i: of_part(x, i))))
+    return F.array_distinct(F.flatten(parts))
+
+
+def keyed(words: DataFrame) -> DataFrame:
+    """key, word, n: words (word, n) by their parts."""
+    return words.where(F.length("word") > 0).select(F.explode(parts_of(F.col("word"))).alias("key"), "word", "n")

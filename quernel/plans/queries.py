@@ -320,8 +320,9 @@ def match_all(t: Tables) -> DataFrame:
 
 @query
 def phrase_and_must_terms(t: Tables) -> DataFrame:
-    parts = retrieve.parse_query('license "general public" +version -apache')
-    return t.docs.where(retrieve.query_condition(F.col("text"), parts)).select("doc_id")
+    """Phrases by positions: which documents a question with a phrase, a word that must stand and one that must not finds, in title or text."""
+    asked = t.spark.sql("""SELECT 1 AS query_id, 'license "general public" +version -apache' AS q""")
+    return t.engine().keyword(asked, None).select("doc_id")
 
 
 @query

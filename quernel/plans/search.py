@@ -74,11 +74,12 @@ class SearchEngine:
 
     def keyword(self, queries: DataFrame, k: int | None) -> DataFrame:
         """The best k, or, without k, all that match, in no order."""
-        scores = retrieve.keyword_scores(self.index, self.terms(queries), self.config)
-        quoted = retrieve.phrases(queries)
-        if not quoted.isEmpty():
-            scores = retrieve.with_phrases(scores, quoted, self.index.documents)
-        return scores if k is None else rank.top(scores, k, retrieve.best_first())
+        terms, quoted = self.terms(queries), stated(retrieve.asked_phrases(queries, self.index.analyzer))[0]
+        quoted = None if quoted.isEmpty() else quoted
+        if k is not None:
+            return retrieve.keyword_top(self.index, terms, k, self.config, phrases=quoted)
+        scores = retrieve.keyword_scores(self.index, terms, self.config)
+        return scores if quoted is None else retrieve.with_phrases(scores, self.index, quoted)
 
     def vector(self, queries: DataFrame, k: int | None) -> DataFrame:
         return retrieve.vector_top(self.index.vectors, queries.where("vector IS NOT NULL").select("query_id", "vector"), k)
@@ -142,7 +143,9 @@ class SearchEngine:
 
     def answered(self, queries: DataFrame) -> DataFrame:
         """query_id of the queries of which the index has any term; filters play no part."""
-        return self.terms(queries).where("NOT banned").join(self.index.vocabulary.select("term").distinct(), "term", "left_semi").select("query_id").distinct()
+        terms = stated(self.terms(queries).where("NOT banned"))[0]
+        known = index.asked_buckets(terms, self.index.vocabulary).select("term")
+        return known.join(F.broadcast(terms), "term").select("query_id").distinct()
 
     def found(self, queries: DataFrame, mode: str | None = None, min_similarity: float | None = None) -> DataFrame:
         """query_id, doc_id of all that the queries find, in no order; nothing is ranked that a threshold decides.
@@ -177,8 +180,14 @@ class SearchEngine:
         return words.suggestions(index.with_documents(held(rows, "suggested"), self.index.documents.select("doc_id", "title", "text"), "inner"), most)
 
     def spelling(self, queries: DataFrame) -> DataFrame:
-        vocabulary = self.index.vocabulary.groupBy("term").agg(F.max("df").alias("n"))
-        return words.spelling(queries, words.known_words(vocabulary))
+        """Of a saved index only the buckets of the tokens and of their parts are read."""
+        asked = words.asked_tokens(stated(queries.select("query_id", "q"))[0])
+        known = words.known_words(index.asked_buckets(asked, self.index.vocabulary, "word").groupBy("term").agg(F.max("df").alias("n")))
+        if self.index.nearby is None:
+            return words.spelling(queries, known)
+        parts = asked.select(F.explode(words.probes_of(F.col("word"))).alias("key"))
+        near = index.asked_buckets(parts, self.index.nearby, "key").select("key", "word", "n")
+        return words.spelling(queries, known, words.with_domain(near))
 
     def stats(self) -> DataFrame:
         return index.corpus_stats(self.index.documents)

@@ -27,10 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
 FEW = 10_000
 
 
-def stated(df: DataFrame) -> tuple[DataFrame, list | None]:
-    """A table of questions as literal rows, and these, if they are FEW at most, so that no plan computes them again; else the table itself, and None."""
-    rows = df.take(FEW + 1)
-    return (df, None) if len(rows) > FEW else (df.sparkSession.createDataFrame(rows, df.schema), rows)
+def stated(df: DataFrame, most: int | None = None) -> tuple[DataFrame, list | None]:
+    """A table of questions as literal rows, and these, if they are `most` (FEW) at most, so that no plan computes them again; else the table itself, and None."""
+    most = FEW if most is None else most
+    rows = df.take(most + 1)
+    return (df, None) if len(rows) > most else (df.sparkSession.createDataFrame(rows, df.schema), rows)
 
 
 def held(df: DataFrame, name: str) -> DataFrame:

@@ -99,3 +99,54 @@ def test_records_to_results(spark, tmp_path):
     page = engine.answer("cursor").page.orderBy("doc_id").select("doc_id", "url", "content_type", "title", shown_title(F.col("title"), F.col("content_type"))).collect()
     assert [tuple(r) for r in page] == [("a", "u/new", "comment", "", "Reddit Comment"), ("b", "u/b", "comment", "", "Reddit Comment")]
     assert tuple(vector_lengths(engine.index.vectors).first()) == (64, 2, 0)
+
+
+def test_spelling_by_parts_finds_all_within_two_edits(spark):
+    """Held against every pair, with swaps, short words and words of one length apart."""
+    import random
+
+    rnd = random.Random(4)
+    words_ = sorted({"".join(rnd.choice("abcé") for _ in range(rnd.randrange(1, 9))) for _ in range(600)})
+    tokens = sorted({"".join(rnd.choice("abcé") for _ in range(rnd.randrange(3, 9))) for _ in range(150)} - set(words_))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    swap = lambda a, b: len(a) == len(b) and a != b and any(a[:i] + a[i + 1] + a[i] + a[i + 2 :] == b for i in range(len(a) - 1))
+    frequency = {w: 1 + (7 * i) % 5 for i, w in enumerate(words_)}
+    expected = {}
+    for t in tokens:
+        near = sorted((1 if swap(t, w) else d, -n, w) for w, n in frequency.items() if (d := distance(t, w)) <= 2)
+        if near:
+            expected[t] = (near[0][2], near[0][0])
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "query_id int, q string")
+    known = spark.createDataFrame(list(frequency.items()), "word string, n long")
+    assert {r.token: (r.correction, r.distance) for r in words.spelling(asked, known).collect()} == expected
+
+
+def test_spelling_of_a_saved_index(documents, spark, tmp_path):
+    index.save_index(index.build_index(documents), f"{tmp_path}/plain")
+    saved, whole = SearchEngine.open(spark, f"{tmp_path}/plain"), SearchEngine(index.build_index(documents))
+    asked = spark.createDataFrame([(1, "licnese publik genral claud cusror runing"), (2, "license"), (3, "zzzzzzzz")], "query_id int, q string")
+    told = lambda e: sorted(tuple(r) for r in e.spelling(asked).collect())
+    assert told(saved) == told(whole) and len(told(saved)) >= 5
+
+
+def test_documents_of_many_ids_are_read_without_moving_the_others(spark, monkeypatch, tmp_path):
+    from quernel.sources.shared import held
+
+    spark.range(5000).withColumn("text", F.lit("x")).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents")
+    documents = spark.read.parquet(f"{tmp_path}/documents")
+    rows = held(spark.createDataFrame([(i % 300, i) for i in range(900)] + [(9999, 1), (None, 2)], "doc_id long, n int"), "rows")
+    expected = sorted(map(str, rows.join(documents, "doc_id", "left").collect()))
+    monkeypatch.setattr(index, "MANY_IDS", 10)
+    for size in (1 << 20, 1000):
+        monkeypatch.setattr(index, "ID_BYTES", size)
+        assert sorted(map(str, index.with_documents(rows, documents).collect())) == expected
+    assert index.with_documents(rows, documents, "inner").count() == 900

@@ -112,8 +112,12 @@ def test_saved_index(spark, docs, queries, tmp_path):
     again = SearchEngine(index.build_index(docs), now=datetime(2024, 6, 1))
     show = lambda e: [tuple(r) for r in e.page(e.search(queries)).orderBy("query_id", "ord").collect()]
     assert show(engine) == show(again)
-    posted = index.of_terms(engine.index.postings, ["license", "zzz"])
+    asked = spark.createDataFrame([("license",), ("zzz",)], "term string")
+    posted = index.asked_buckets(asked, engine.index.postings).where("term IN ('license', 'zzz')")
     assert {r.doc_id for r in posted.collect()} == {1, 4}
+    told = lambda p: sorted(tuple(map(str, r)) for r in p.select("term", "field", "doc_id", "tf", "dl", "positions").collect())
+    assert told(engine.index.postings) == told(again.index.postings)
+    assert sorted(map(tuple, engine.index.stats.collect())) == sorted(map(tuple, again.index.stats.collect()))
     assert engine.document(3).first().text.startswith("Token") and engine.document(99).isEmpty()
     assert {r.component: r.rows for r in engine.health().collect()} == {"documents": 4, "vectors": 3}
     assert {(r.facet, r.value): r["count"] for r in engine.stats().collect()}[("total", "documents")] == 4
@@ -132,11 +136,68 @@ def test_word_cloud(spark):
     assert got == [("alpha", 5, 1), ("beta", 3, 2), ("gamma", 1, 3)]
 
 
-def test_query_syntax(docs):
-    parts = retrieve.parse_query('any +Must -not "a phrase" ""')
-    assert parts == {"any": ["any"], "must": ["must"], "not": ["not"], "phrases": [["a", "phrase"]]}
-    kept = lambda q: sorted(r.doc_id for r in docs.where(retrieve.query_condition(F.col("text"), retrieve.parse_query(q))).collect())
-    assert kept('"editor plugin"') == [1] and kept("+license") == [1, 4] and kept("+license -terms") == [4] and kept("any word") == [1, 2, 3, 4]
+def test_postings_tell_positions(spark):
+    rows = [(1, "b a", "a b a c a"), (2, None, ""), (3, "", "c c"), (None, "x", None)]
+    built = index.build_index(spark.createDataFrame(rows, "doc_id long, title string, text string").withColumn("vector", F.lit(None).cast("array<float>")))
+    got = {(r.term, r.field, r.doc_id): (r.tf, r.dl, r.positions) for r in built.postings.collect()}
+    assert got == {("b", "title", 1): (1, 2, [0]), ("a", "title", 1): (1, 2, [1]), ("a", "text", 1): (3, 5, [0, 2, 4]), ("b", "text", 1): (1, 5, [1]), ("c", "text", 1): (1, 5, [3]), ("c", "text", 3): (2, 2, [0, 1]), ("x", "title", None): (1, 1, [0])}
+    heads = {(r.field, r.doc_id): r.n for r in built.postings.groupBy("field", "doc_id").agg(F.count_if("head").alias("n")).collect()}
+    assert set(heads.values()) == {1}
+
+
+@pytest.fixture(scope="module")
+def random_index(spark, tmp_path_factory):
+    """Documents of few words, so that phrases meet, and the same index in memory and saved."""
+    import random
+
+    rnd = random.Random(8)
+    words = ["the"] * 6 + ["of"] * 3 + list("abcdefgh")
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(4))), " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 60)))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, text string").withColumn("vector", F.lit(None).cast("array<float>"))
+    built = index.build_index(docs)
+    path = str(tmp_path_factory.mktemp("random"))
+    index.save_index(built, path)
+    return rows, built, index.load_index(spark, path)
+
+
+def test_pruned_top_equals_the_whole(spark, random_index):
+    _, built, saved = random_index
+    asked = spark.createDataFrame([(1, "the"), (2, "the of"), (3, "a +b the -c"), (4, "zz"), (5, '"a b" the'), (6, "h")], "query_id int, q string")
+    whole, fast = SearchEngine(built), SearchEngine(saved)
+    for k in (1, 10, 200):
+        told = lambda rows: sorted(tuple(r) for r in rows.select("query_id", "ord", "doc_id", "score").collect())
+        expected = told(whole.keyword(asked, k))
+        assert told(fast.keyword(asked, k)) == expected
+        quoted = retrieve.asked_phrases(asked)
+        assert told(retrieve.pruned_top(saved, fast.terms(asked), k, phrases=quoted)) == expected
+
+
+def test_blocks_that_cannot_matter_are_not_read(spark, random_index):
+    _, _, saved = random_index
+    terms = spark.createDataFrame([(1, "h")], "query_id int, term string")
+    asked = retrieve.known_terms(saved, terms, SearchConfig(), None)
+    bounds = retrieve.block_bounds(saved, asked, SearchConfig()).collect()
+    scores = {r.doc_id: r.score for r in retrieve.keyword_scores(saved, terms).collect()}
+    blocks = {r.doc_id: r.block for r in index.unpacked(saved.blocks).where("term = 'h'").select("doc_id", "block").distinct().collect()}
+    best = {}
+    for doc_id, s in scores.items():
+        best[blocks[doc_id]] = max(best.get(blocks[doc_id], 0), s)
+    assert {r.block: r.bound >= best[r.block] - 1e-9 for r in bounds} == dict.fromkeys(best, True)
+    assert sum(r.bound < max(scores.values()) for r in bounds) > 0
+
+
+def test_phrases_by_positions(spark, random_index):
+    import re
+
+    rows, built, saved = random_index
+    for q in ('"the of the"', '"a b" "c"', '"the the"', '"a"', '"a zz"', '"" the'):
+        phrases = [re.findall("[a-z0-9]+", p) for p in re.findall('"([^"]*)"', q)]
+        phrases = [p for p in phrases if p]
+        stands = lambda p, *texts: any(f" {' '.join(p)} " in f" {t} " for t in texts)
+        expected = {i for i, *texts in rows if all(stands(p, *texts) for p in phrases) and (phrases or any("the" in t.split() for t in texts))}
+        asked = spark.createDataFrame([(1, q)], "query_id int, q string")
+        for one in (built, saved):
+            assert {r.doc_id for r in SearchEngine(one).keyword(asked, None).collect()} == expected, q
 
 
 def test_shares_and_match_all(docs, queries):
