@@ -39,6 +39,7 @@ class SearchConfig:
     max_page_size: int = 100
     keyword_rows: int = 100
     vector_rows: int = 100
+    vector_probes: int = 0  # cells that a question's vector search reads, if the index has cells; 0: all vectors are compared
     trend_min_similarity: float = 0.6
     title_boost: float = 2.0
     k1: float = 1.2

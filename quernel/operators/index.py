@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.text import english_terms, plain_tokens, stem_table
 from ..sources.shared import stated
 
+if TYPE_CHECKING:
+    from .cells import VectorCells
+
 FIELDS = ("title", "text")
 BUCKETS = 64
 #: Documents of a block, about; a document's block is chosen by hash of its id.
@@ -35,6 +39,7 @@ class Index:
     analyzer: str = "plain"
     blocks: DataFrame | None = None
     nearby: DataFrame | None = None
+    cells: VectorCells | None = None
 
 
 #: How texts become terms: lower-case words; or without stop words and possessive endings, and stemmed.
@@ -123,9 +128,10 @@ def in_blocks(posted: DataFrame, n_blocks: int) -> DataFrame:
 GROUP_BYTES = 4 << 20
 
 
-def save_index(index: Index, path: str) -> None:
-    """Blocks, vocabulary and what spelling needs lie in folders by bucket; a task writes to one bucket's folder only, large buckets by several tasks. Documents are
+def save_index(index: Index, path: str, cells: bool = False) -> None:
+    """cells: whether the vectors are saved by cell too, for approximate search. Blocks, vocabulary and what spelling needs lie in folders by bucket; a task writes to one bucket's folder only, large buckets by several tasks. Documents are
     sorted by id, so that those of given ids are in few row groups. Texts are read once, for the blocks, of which the statistics are sums."""
+    from .cells import save_cells
     from .words import keyed
 
     spark = index.documents.sparkSession
@@ -140,14 +146,20 @@ def save_index(index: Index, path: str) -> None:
     near = keyed(spark.read.parquet(f"{path}/vocabulary").groupBy(F.col("term").alias("word")).agg(F.max("df").alias("n")))
     near.withColumn("bucket", term_bucket(F.col("key"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/nearby")
     stats = blocks.groupBy("field").agg(F.sum("heads").alias("n_docs"), (F.sum("tokens") / F.sum("heads")).alias("avgdl"))
-    stats.withColumn("analyzer", F.lit(index.analyzer)).withColumn("n_blocks", F.lit(n_blocks)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    if cells:
+        save_cells(index.vectors, f"{path}/cells")
+    stats.withColumns({"analyzer": F.lit(index.analyzer), "n_blocks": F.lit(n_blocks), "cells": F.lit(cells)}).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
+    from .cells import VectorCells
+
     read = lambda name: spark.read.parquet(f"{path}/{name}")
-    told = read("stats").select("analyzer").first()
-    blocks = read("blocks")
-    return Index(read("documents"), unpacked(blocks, "positions"), read("stats").select("field", "n_docs", "avgdl"), read("vocabulary"), read("vectors"), told[0] if told else "plain", blocks, read("nearby"))
+    stats = read("stats")
+    told, blocks = stats.first(), read("blocks")
+    near = VectorCells.open(spark, f"{path}/cells") if told and told.cells else None
+    analyzer = told.analyzer if told else "plain"
+    return Index(read("documents"), unpacked(blocks, "positions"), stats.select("field", "n_docs", "avgdl"), read("vocabulary"), read("vectors"), analyzer, blocks, read("nearby"), near)
 
 
 def unpacked(blocks: DataFrame, *more: str) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -200,47 +201,62 @@ def by_length(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, flat[offsets[rows][:, None] + np.arange(d)]
 
 
+class TaskTop:
+    """The best k rows (number of the question, score, and columns of which the first is the id) of a task for each of its n questions; equal scores go to smaller ids, so copies don't pile up."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k, self.size = n, k, 0
+        self.least = np.full(n, -np.inf)
+        self.held: list[pa.Table] = []
+
+    def add(self, scores: np.ndarray, which: np.ndarray, columns: list[pa.Array]) -> None:
+        """scores: of the questions `which` (rows) for each row of the columns; what is no number takes no part."""
+        scores = np.where(np.isnan(scores), -np.inf, scores)
+        floor = self.least[which]
+        if scores.shape[1] > self.k:
+            floor = np.maximum(floor, np.partition(scores, -self.k, axis=1)[:, -self.k])
+        i, j = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+        taken = [c.take(pa.array(j)) for c in columns]
+        self.held.append(pa.table([pa.array(which[i]), pa.array(scores[i, j].astype(float)), *taken], names=["which", "score", *(f"c{x}" for x in range(len(taken)))]))
+        self.size += len(i)
+        if self.size > 4 * self.k * self.n:
+            self.best()
+
+    def best(self) -> pa.Table | None:
+        if not self.held:
+            return None
+        rows = pa.concat_tables(self.held)
+        rows = rows.take(pc.sort_indices(rows, [("which", "ascending"), ("score", "descending"), ("c0", "ascending")], null_placement="at_start"))
+        which = rows.column("which").to_numpy()
+        starts = np.searchsorted(which, np.arange(self.n))
+        rows = rows.take(pa.array(np.flatnonzero(np.arange(len(which)) - starts[which] < self.k)))
+        which, scores = rows.column("which").to_numpy(), rows.column("score").to_numpy()
+        full = np.flatnonzero(np.bincount(which, minlength=self.n) >= self.k)
+        self.least[full] = scores[np.searchsorted(which, full, side="right") - 1]
+        self.held, self.size = [rows], len(which)
+        return rows
+
+
 def best_of_batches(queries, k: int):
-    """Function for mapInArrow over (doc_id, vector): the rows that reach the k-th best score of the task for a query (query_id, vector; broadcast)."""
+    """Function for mapInArrow over (doc_id, vector): the task's best k rows for each query (query_id, vector; broadcast)."""
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = queries.value
         if not table.num_rows:
             return
-        asked = {m.shape[1]: (rows, m) for rows, m in by_length(table.column(1).chunk(0))}
         ids = table.column(0).chunk(0)
-        held: dict[int, list] = {d: [] for d in asked}
-        least = {d: np.full(len(rows), -np.inf) for d, (rows, _) in asked.items()}
-
-        def best(d: int) -> None:
-            """Of what is held only rows that reach the k-th score stay."""
-            which, docs, scores = np.concatenate([h[0] for h in held[d]]), pa.concat_arrays([h[1] for h in held[d]]), np.concatenate([h[2] for h in held[d]])
-            order = np.lexsort((-scores, which))
-            starts = np.searchsorted(which[order], np.arange(len(least[d])))
-            counts = np.bincount(which, minlength=len(least[d]))
-            full = counts >= k
-            least[d][full] = scores[order][starts[full] + k - 1]
-            kept = np.flatnonzero(scores >= least[d][which])
-            held[d] = [(which[kept], docs.take(pa.array(kept)), scores[kept])]
-
+        asked = {m.shape[1]: (rows, m, TaskTop(len(rows), k)) for rows, m in by_length(table.column(1).chunk(0))}
         for batch in batches:
             for rows, m in by_length(batch.column(1)):
-                d = m.shape[1]
-                if d not in asked:
-                    continue
-                scores = np.round((1 + asked[d][1] @ m.T) / 2, DIGITS)
-                floor = least[d]
-                if scores.shape[1] > k:
-                    floor = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k])
-                i, j = np.nonzero(scores >= floor[:, None])
-                held[d].append((i, batch.column(0).take(pa.array(rows[j])), scores[i, j]))
-                if sum(len(h[0]) for h in held[d]) > 4 * k * len(least[d]):
-                    best(d)
-        for d, parts in held.items():
-            if parts:
-                best(d)
-                which, docs, scores = held[d][0]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(asked[d][0][which])), docs, pa.array(scores)], names=["query_id", "doc_id", "score"])
+                if m.shape[1] in asked:
+                    _, q, kept = asked[m.shape[1]]
+                    kept.add(np.round((1 + q @ m.T) / 2, DIGITS), np.arange(len(q)), [batch.column(0).take(pa.array(rows))])
+        for numbers, _, kept in asked.values():
+            if (found := kept.best()) is not None:
+                found = found.combine_chunks()
+                part = lambda name: found.column(name).chunk(0)  # noqa: B023, E731
+                if found.num_rows:
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(numbers[part("which").to_numpy()])), part("c0"), part("score")], names=["query_id", "doc_id", "score"])
 
     return search
 

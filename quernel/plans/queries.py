@@ -14,15 +14,17 @@ from pyspark.sql import functions as F
 from ..config import AspectBoost, Diversity, SearchConfig, SentimentBoost, TimeDecay
 from ..functions import encode
 from ..functions import text as texts
-from ..operators import facets, filters, fuse, index, rank, rerank, retrieve, trend, words
+from ..operators import cells, facets, filters, fuse, index, rank, rerank, retrieve, trend, words
 from ..operators.filters import Filters
 from ..sources import records
-from ..sources.shared import held, shared_dir
+from ..sources.shared import file_state, held, shared_dir
 from ..sources.tables import search_documents, table
 from .search import SearchEngine, enriched
 
 #: The stated queries: id, text, and the vector they ask with.
 QUERIES = ((1, "rely hati license cost", 7), (2, "ouque la menttion ui", 11), (3, "license token error und", 23))
+#: Questions of common words.
+COMMON = ((1, "the"), (2, "the of and"), (3, "la de +license"), (4, "und -license"))
 NOW = datetime(2002, 1, 1)
 BOOSTS = {"positive": 1.2, "negative": 0.8, "mixed": 1.0, "not_applicable": 1.0}
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,18 +35,28 @@ def query(f):
     return f
 
 
-#: Saved indexes by application and folder: as in any use of the engine, a folder is indexed and opened once, and questions read the index.
-INDEXES: dict[tuple[str, str], index.Index] = {}
+#: Saved indexes by application and state of the tables' files: as in any use of the engine, a folder is indexed and opened once, and questions read the index.
+INDEXES: dict[tuple, tuple[str, index.Index | cells.VectorCells]] = {}
+
+
+def opened(spark: SparkSession, name: str, sf_dir: str, tables: tuple[str, ...], save: Callable[[str], None], load: Callable[[str], object]):
+    """What is saved of a folder's tables, at the first question and when their files have changed; saved again, if the shared folder was cleared."""
+    key = (spark.sparkContext.applicationId, name, sf_dir, *(file_state(spark, f"{sf_dir}/{t}.parquet") for t in tables))
+    if key not in INDEXES or not file_state(spark, INDEXES[key][0]):
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        save(path)
+        INDEXES[key] = (path, load(path))
+    return INDEXES[key][1]
 
 
 def saved_index(spark: SparkSession, sf_dir: str) -> index.Index:
-    """The folder's index, built and saved at the first question."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in INDEXES:
-        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-        index.save_index(index.build_index(search_documents(spark, sf_dir)), path)
-        INDEXES[key] = index.load_index(spark, path)
-    return INDEXES[key]
+    tables = ("documents", "labels", "events", "orders", "embeddings")
+    return opened(spark, "index", sf_dir, tables, lambda path: index.save_index(index.build_index(search_documents(spark, sf_dir)), path), lambda path: index.load_index(spark, path))
+
+
+def saved_cells(spark: SparkSession, sf_dir: str) -> cells.VectorCells:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    return opened(spark, "cells", sf_dir, ("embeddings",), lambda path: cells.save_cells(vectors, path), lambda path: cells.VectorCells.open(spark, path))
 
 
 class Tables:
@@ -107,6 +119,20 @@ def knn_topk(t: Tables) -> DataFrame:
     return rounded(t.engine().vector(t.queries, 100), "score")
 
 
+@query
+def knn_approximate(t: Tables) -> DataFrame:
+    """The ten nearest by cells, for every twentieth vector against all others and itself."""
+    asked = t.table("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return rounded(saved_cells(t.spark, t.sf_dir).search(asked, 10), "score")
+
+
+@query
+def bm25_pruned_top10(t: Tables) -> DataFrame:
+    """The best ten by blocks' bounds, for questions of very common and of rare words."""
+    told = t.spark.sql("SELECT * FROM VALUES " + ", ".join(f"({i}, '{q}')" for i, q in COMMON) + " AS q(query_id, q)")
+    return rounded(retrieve.pruned_top(t.index, t.engine().terms(told), 10), "score")
+
+
 @query
 def semantic_search_threshold(t: Tables) -> DataFrame:
     engine = t.engine()

@@ -82,7 +82,10 @@ class SearchEngine:
         return scores if quoted is None else retrieve.with_phrases(scores, self.index, quoted)
 
     def vector(self, queries: DataFrame, k: int | None) -> DataFrame:
-        return retrieve.vector_top(self.index.vectors, queries.where("vector IS NOT NULL").select("query_id", "vector"), k)
+        asked = queries.where("vector IS NOT NULL").select("query_id", "vector")
+        if k is not None and self.config.vector_probes and self.index.cells is not None:
+            return self.index.cells.search(asked, k, self.config.vector_probes)
+        return retrieve.vector_top(self.index.vectors, asked, k)
 
     def candidates(self, queries: DataFrame, mode: str) -> DataFrame:
         """query_id, ord, doc_id, score, keyword_rank, vector_rank, vector_score."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.text import ASPECTS, CLOUD_STOP_WORDS, SENTIMENT_LABELS, TOOL_NAMES
 from ..operators.words import DOMAIN_FREQUENCY, DOMAIN_WORDS
-from .queries import QUERIES
+from .queries import COMMON, QUERIES
 
 
 def quoted(values) -> str:
@@ -133,6 +133,27 @@ def value_facet(column: str, where: str = "") -> str:
 SELECT * FROM (SELECT query_id, {column} AS value, count(*) AS count, CAST(row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, min(ord)) AS INT) AS place FROM hits WHERE {column} <> '' GROUP BY query_id, {column}) {where}"""
 
 
+def common() -> str:
+    """The best ten of COMMON, by scoring all that match."""
+    words = ", ".join(f"({i}, '{w.lstrip('+-')}', {w[0] == '+'}, {w[0] == '-'})" for i, q in COMMON for w in q.split())
+    return f"""{PRELUDE},
+common AS (SELECT * FROM (VALUES {words}) AS t(query_id, term, must, banned)),
+common_posted AS (
+  SELECT term, field, doc_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT field, doc_id, len(toks) AS dl, unnest(toks) AS term FROM told)
+  WHERE term IN (SELECT term FROM common) GROUP BY term, field, doc_id
+),
+common_parts AS (
+  SELECT term, doc_id, max(CASE field WHEN 'title' THEN 2 ELSE 1 END * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS s
+  FROM common_posted JOIN (SELECT term, field, count(*) AS df FROM common_posted GROUP BY term, field) USING (term, field) JOIN stats USING (field) GROUP BY term, doc_id
+),
+common_scores AS (
+  SELECT query_id, doc_id, round(sum(s), 9) AS score FROM common_parts JOIN common USING (term) GROUP BY query_id, doc_id
+  HAVING NOT bool_or(banned) AND count(*) FILTER (must) = (SELECT count(*) FROM common c WHERE c.query_id = common.query_id AND c.must)
+)
+SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS ord FROM common_scores
+QUALIFY ord <= 10"""
+
+
 def spelling() -> str:
     domain = ", ".join(f"('{w}')" for w in dict.fromkeys(DOMAIN_WORDS))
     return f"""{PRELUDE},
@@ -168,6 +189,7 @@ placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 SELECT query_id, doc_id, round(score, 6) AS score, ord FROM placed WHERE ord <= 100""",
         "bm25_dismax_title2": f"{p} SELECT query_id, doc_id, round(score, 6) AS score, ord FROM keyword",
         "keyword_search_page": p + enriched("(SELECT k.*, k.ord AS keyword_rank, CAST(NULL AS INT) AS vector_rank, docs.* EXCLUDE (doc_id) FROM keyword k JOIN docs USING (doc_id) WHERE ord BETWEEN 11 AND 20)", "CAST(NULL AS DOUBLE)"),
+        "bm25_pruned_top10": common(),
         "knn_topk": f"{p} SELECT query_id, doc_id, round(score, 6) AS score, ord FROM vectors",
         "semantic_search_threshold": f"{p} SELECT {SEVEN}, round(score, 6) AS score FROM vectors WHERE score >= 0.55",
         "rrf_fuse": f"{p} SELECT query_id, doc_id, round(score, 6) AS score, keyword_rank, vector_rank, round(vector_score, 6) AS vector_score, ord FROM fused",
