@@ -45,6 +45,7 @@ TOOL_NAMES = {
     "amazon_q": "Amazon Q", "jetbrains_ai": "JetBrains AI", "v0": "v0", "bolt": "Bolt", "antigravity": "Antigravity", "lovable": "Lovable", "kimi_code": "Kimi Code", "grok_code": "Grok Code", "cline": "Cline", "roo_code": "Roo Code", "kilo_code": "Kilo Code",
 }
 SENTIMENT_LABELS = {"positive": "Positive", "negative": "Negative", "mixed": "Mixed", "not_applicable": "Neutral"}
+SENTIMENT_COLORS = {"positive": "#4caf50", "negative": "#f44336", "mixed": "#ff9800", "not_applicable": "#9e9e9e"}
 
 
 def plain_tokens(text: Column) -> Column:

@@ -34,14 +34,15 @@ def has_aspect(part: str) -> Column:
 
 
 def condition(f: Filters) -> Column:
-    """Rows without a date pass date filters; rows without another filtered value don't pass."""
+    """Rows without a date pass date filters; rows without another filtered value don't pass. Tools are compared without spaces around; empty ones ask for nothing."""
     out = F.lit(True)
     if f.date_from:
         out &= F.col("date").isNull() | (F.col("date") >= F.lit(parsed_day(f.date_from)).cast("timestamp"))
     if f.date_to:
         out &= F.col("date").isNull() | (F.col("date") < F.lit(parsed_day(f.date_to) + timedelta(days=1)).cast("timestamp"))
     if f.tools:
-        out &= F.coalesce(F.exists("tools", lambda t: F.trim(t).isin(*f.tools)), F.lit(False))
+        wanted = [t.strip() for t in f.tools if t]
+        out &= F.coalesce(F.exists("tools", lambda t: F.trim(t).isin(*wanted)), F.lit(False)) if wanted else F.lit(False)
     for name in ("sentiment", "source", "subjectivity"):
         if value := getattr(f, name):
             out &= F.coalesce(F.col(name) == value, F.lit(False))

@@ -15,11 +15,12 @@ def rrf(rank: Column, k: int = 60) -> Column:
 def fuse(keyword: DataFrame, vector: DataFrame, k: int = 60) -> DataFrame:
     """query_id, ord, doc_id, score, keyword_rank, vector_rank, vector_score of the lists (query_id, ord, doc_id, score).
 
-    A document's score is the sum over its places in both lists. Rows without an id are left out, though their places count. An id that a
+    A document's score is the sum over its places in both lists. Rows without an id, or with an empty one, are left out, though their places count. An id that a
     list has twice adds up and keeps the last place. Equal scores: keyword list's order first, then the vector list's.
     """
-    one = keyword.where("doc_id IS NOT NULL").select("query_id", "doc_id", rrf(F.col("ord"), k).alias("s"), F.col("ord").alias("kr"), F.lit(None).cast("int").alias("vr"), F.lit(None).cast("double").alias("vs"))
-    two = vector.where("doc_id IS NOT NULL").select("query_id", "doc_id", rrf(F.col("ord"), k).alias("s"), F.lit(None).cast("int").alias("kr"), F.col("ord").alias("vr"), F.col("score").alias("vs"))
+    known = F.col("doc_id").cast("string") != ""
+    one = keyword.where(known).select("query_id", "doc_id", rrf(F.col("ord"), k).alias("s"), F.col("ord").alias("kr"), F.lit(None).cast("int").alias("vr"), F.lit(None).cast("double").alias("vs"))
+    two = vector.where(known).select("query_id", "doc_id", rrf(F.col("ord"), k).alias("s"), F.lit(None).cast("int").alias("kr"), F.col("ord").alias("vr"), F.col("score").alias("vs"))
     both = one.unionByName(two).groupBy("query_id", "doc_id")
     fused = both.agg(F.round(F.sum("s"), 12).alias("score"), F.max("kr").alias("keyword_rank"), F.max("vr").alias("vector_rank"), F.coalesce(F.max_by("vs", "vr"), F.lit(0.0)).alias("vector_score"))
     return ranked(fused, [F.col("score").desc(), F.col("keyword_rank").asc_nulls_last(), F.col("vector_rank").asc_nulls_last()])

@@ -301,6 +301,13 @@ def sentiment_share(t: Tables) -> DataFrame:
     return facets.shares(t.docs).withColumn("label", texts.named(F.col("value"), texts.SENTIMENT_LABELS))
 
 
+@query
+def sentiment_chart(t: Tables) -> DataFrame:
+    """Shares with the labels and colours that they are shown with."""
+    value = F.col("value")
+    return facets.shares(t.docs).select("value", "share", texts.named(value, texts.SENTIMENT_LABELS).alias("label"), texts.named(value, texts.SENTIMENT_COLORS).alias("color"))
+
+
 @query
 def word_cloud_top60(t: Tables) -> DataFrame:
     page = rank.page(t.hits(), 1, 50).withColumn("similarity", F.round("vector_score", 4))

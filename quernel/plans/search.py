@@ -205,6 +205,8 @@ class SearchEngine:
 def enriched(rows: DataFrame, mode: str) -> DataFrame:
     """Result rows as shown: rounded scores, snippet, parsed aspects, defaults for what is missing."""
     extra = [F.coalesce(c, F.lit("")).alias(c) for c in ("url", "content_type") if c in rows.columns]
+    if "content_type" in rows.columns:
+        extra.append(shown_title(F.col("title"), F.col("content_type")).alias("shown_title"))
     similarity = {"semantic": F.round("score", 4), "hybrid": F.round(F.coalesce("vector_score", F.lit(0.0)), 4)}.get(mode, F.lit(None).cast("double"))
     return rows.select(
         "query_id",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import ASPECTS, CLOUD_STOP_WORDS, SENTIMENT_LABELS, TOOL_NAMES
+from ..functions.text import ASPECTS, CLOUD_STOP_WORDS, SENTIMENT_COLORS, SENTIMENT_LABELS, TOOL_NAMES
 from ..operators.words import DOMAIN_FREQUENCY, DOMAIN_WORDS
 from .queries import COMMON, QUERIES
 
@@ -226,6 +226,7 @@ SELECT query_id, tools[pos] AS value, count(*) AS count, CAST(row_number() OVER
         "trend_hybrid_threshold": trend("month", "(SELECT docs.* FROM vector_all JOIN docs USING (doc_id) WHERE score >= 0.55)"),
         "trend_keyword": trend("month", "(SELECT docs.* FROM keyword_all JOIN docs USING (doc_id))"),
         "trend_aspect": trend("month", "(SELECT * FROM docs WHERE len(list_filter(aspect_names, lambda a: contains(a, 'ux'))) > 0)"),
+        "sentiment_chart": f"{p} SELECT sentiment AS value, round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS share, {mapped('sentiment', SENTIMENT_LABELS)} AS label, {mapped('sentiment', SENTIMENT_COLORS)} AS color FROM docs GROUP BY sentiment",
         "sentiment_share": f"{p} SELECT sentiment AS value, count(*) AS count, round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS share, {mapped('sentiment', SENTIMENT_LABELS)} AS label FROM docs GROUP BY sentiment",
         "word_cloud_top60": f"""{p}, w AS (
   SELECT query_id, CASE WHEN round(vector_score, 4) > 0 THEN 1 + round(vector_score, 4) ELSE 1.0 END AS w, unnest({tokens(f"title || ' ' || ({SNIPPET})")}) AS word FROM hits WHERE ord <= 50

@@ -11,7 +11,7 @@ from quernel.config import SearchConfig
 from quernel.operators import index, words
 from quernel.operators.filters import Filters
 from quernel.plans.build import index_records, vector_lengths
-from quernel.plans.search import NO_MATCH, SearchEngine, shown_title
+from quernel.plans.search import NO_MATCH, SearchEngine
 from quernel.sources.records import read_records
 
 
@@ -96,7 +96,7 @@ def test_records_to_results(spark, tmp_path):
     counts = index_records(read_records(spark, f"{tmp_path}/r.jsonl"), f"{tmp_path}/index")
     assert counts.first().asDict() == {"indexed": 2, "without_vector": 0, "repeated": 1, "skipped": 2}
     engine = SearchEngine.open(spark, f"{tmp_path}/index")
-    page = engine.answer("cursor").page.orderBy("doc_id").select("doc_id", "url", "content_type", "title", shown_title(F.col("title"), F.col("content_type"))).collect()
+    page = engine.answer("cursor").page.orderBy("doc_id").select("doc_id", "url", "content_type", "title", "shown_title").collect()
     assert [tuple(r) for r in page] == [("a", "u/new", "comment", "", "Reddit Comment"), ("b", "u/b", "comment", "", "Reddit Comment")]
     assert tuple(vector_lengths(engine.index.vectors).first()) == (64, 2, 0)
 

@@ -38,6 +38,11 @@ def test_shared_document_adds_up(spark):
     assert row.score == pytest.approx(2 / 61, rel=1e-5)
 
 
+def test_rows_without_an_id_use_up_their_place(spark):
+    rows = fused(spark, ["", "a", None, "b"], ["b"])
+    assert {r.doc_id: round(r.score, 9) for r in rows} == {"a": round(1 / 62, 9), "b": round(1 / 64 + 1 / 61, 9)}
+
+
 def test_empty_and_single_lists(spark):
     assert fused(spark, [], []) == []
     assert [r.doc_id for r in fused(spark, ["a", "b"], [])] == ["a", "b"]

@@ -83,7 +83,7 @@ def test_modes_and_thresholds(engine, queries):
 def test_filters(docs):
     kept = lambda **f: sorted(r.doc_id for r in filters.filtered(docs, Filters(**f)).collect())
     assert kept(date_from="2024-01-08") == [2, 3, 4] and kept(date_to="2024-01-03") == [1, 3]
-    assert kept(tools=("cursor", "v0")) == [1, 2, 4] and kept(sentiment="not_applicable") == [] and kept(sentiment="mixed") == [4]
+    assert kept(tools=("cursor", "v0")) == [1, 2, 4] and kept(tools=(" copilot", "")) == [1] and kept(tools=("",)) == [] and kept(sentiment="not_applicable") == [] and kept(sentiment="mixed") == [4]
     assert kept(source="s2", subjectivity="neutral") == [3, 4] and kept(aspect="COST") == [1] and kept(aspect="positive") == []
     for bad in ("2024-1-5", "05.01.2024", "2024-02-30"):
         with pytest.raises(ValueError):
