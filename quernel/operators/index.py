@@ -198,10 +198,12 @@ def with_documents(rows: DataFrame, documents: DataFrame, how: str = "left") ->
     Ids reach the scan of documents: up to MANY_IDS as a list, by which it skips row groups; more of them as broadcast tables, in parts of bounded size. So only documents
     of the rows leave the scan, however many the questions are.
     """
-    ids = rows.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    few, _ = stated(ids, MANY_IDS)
-    if few is not ids:
-        return rows.join(F.broadcast(documents.where(F.col("doc_id").isin([r.doc_id for r in few.collect()]))), "doc_id", how)
+    ids = rows.select("doc_id").where("doc_id IS NOT NULL")
+    ids = ids if ids.isLocal() else ids.distinct()
+    _, few = stated(ids, MANY_IDS)
+    if few is not None:
+        return rows.join(F.broadcast(documents.where(F.col("doc_id").isin(sorted({r.doc_id for r in few})))), "doc_id", how)
+    ids = ids.distinct()
     size = F.length(F.col("doc_id").cast("string")).cast("long")
     n = max(1, -(-(ids.agg(F.sum(size + 16)).first()[0] or 0) // ID_BYTES))
     part = lambda df, i: df.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == i) if n > 1 else df

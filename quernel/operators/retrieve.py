@@ -183,10 +183,12 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int | None = 100) -> D
         return top(vector_scores(vectors, asked), None, best_first())
     kinds = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c, d in (("query_id", asked), ("doc_id", vectors)))
     rows = vectors.select("doc_id", F.col("vector").cast("array<double>").alias("vector")).where(F.size("vector") > 0)
-    n = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked, told = stated(asked, QUERY_BLOCK)
+    n = max(1, -(-asked.count() // QUERY_BLOCK)) if told is None else 1
     found = None
     for b in range(n):
-        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).select("query_id", F.col("vector").cast("array<double>").alias("vector")).toArrow().combine_chunks()
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) if n > 1 else asked
+        block = part.select("query_id", F.col("vector").cast("array<double>").alias("vector")).toArrow().combine_chunks()
         best = rows.mapInArrow(best_of_batches(vectors.sparkSession.sparkContext.broadcast(block), k), f"{kinds}, score double")
         found = best if found is None else found.unionByName(best)
     return top(found, k, best_first())

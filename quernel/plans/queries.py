@@ -90,7 +90,7 @@ class Tables:
 
     def hits(self) -> DataFrame:
         """Fused rows with their documents."""
-        rows = index.with_documents(held(self.fused(), "fused"), self.index.documents, "inner")
+        rows = index.with_documents(held(self.fused(), "fused", 200 * len(QUERIES)), self.index.documents, "inner")
         return rows.join(self.index.vectors, "doc_id", "left")
 
 

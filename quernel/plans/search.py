@@ -22,12 +22,13 @@ LIGHT = ("doc_id", "source", "subreddit", "tools", "sentiment", "subjectivity",
 
 @dataclass
 class Results:
-    """rows: all candidates that passed, in order. pages come from it."""
+    """rows: all candidates that passed, in order. pages come from it. most: a bound of their number, if the questions are few."""
 
     rows: DataFrame
     facets: DataFrame
     counts: DataFrame
     mode: str
+    most: int | None = None
 
 
 @dataclass
@@ -104,8 +105,10 @@ class SearchEngine:
         """
         if wrong := filters.validated("any", mode, 1, 1, min_similarity):
             raise ValueError(wrong)
-        c, queries = self.config, stated(self.asked(queries))[0]
-        rows = rerank.similarity_threshold(held(self.candidates(queries, mode), "candidates"), min_similarity, mode)
+        c = self.config
+        queries, told = stated(self.asked(queries))
+        most = None if told is None else len(told) * {"keyword": c.keyword_rows, "semantic": c.vector_rows}.get(mode, c.keyword_rows + c.vector_rows)
+        rows = rerank.similarity_threshold(held(self.candidates(queries, mode), "candidates", most), min_similarity, mode)
         rows = rank.ranked(rows.withColumn("was", F.col("ord")), [F.col("was")]).drop("was")
         rows = index.with_documents(rows, self.index.documents.select(*(x for x in LIGHT if x in self.index.documents.columns)))
         rows = rows.join(F.broadcast(queries.select("query_id", detected_aspects(F.col("q")).alias("detected"), F.col("vector").alias("query_vector"))), "query_id")
@@ -118,20 +121,20 @@ class SearchEngine:
         rows = filters.filtered(rows, f)
         rows = rank.ranked(rows.withColumn("was", F.col("ord")), [F.col("was")]).drop("was")
         if c.diversity.enabled:
-            rows = held(index.with_documents(rows, self.index.vectors), "pool")
+            rows = held(index.with_documents(held(rows, "rows", most), self.index.vectors), "pool", most)
             rows = rerank.diversified(rows, c.diversity.weight, c.diversity.pool).drop("vector")
-        rows = rows.drop("query_vector", "detected", "near_tie")
+        rows = held(rows.drop("query_vector", "detected", "near_tie"), "results", most)
         told = [facets.tool_facet(rows).withColumn("facet", F.lit("tools")), *(facets.value_facet(rows, col, d, most).withColumn("facet", F.lit(name)) for name, col, d, most in (("sentiment", "sentiment", "not_applicable", None), ("source", "source", "reddit", None), ("subreddits", "subreddit", None, 10)))]
         counts = told[0]
         for t in told[1:]:
             counts = counts.unionByName(t)
-        return Results(rows, counts, rank.page_counts(rows, c.page_size), mode)
+        return Results(rows, counts, rank.page_counts(rows, c.page_size), mode, most)
 
     def page(self, results: Results, number: int = 1, size: int | None = None) -> DataFrame:
         """Formatted results of a page; titles and texts are read for its rows only."""
         if wrong := filters.validated("any", results.mode, number, size or self.config.page_size, max_page_size=self.config.max_page_size):
             raise ValueError(wrong)
-        rows = held(rank.page(results.rows, number, size or self.config.page_size), "page")
+        rows = held(rank.page(results.rows, number, size or self.config.page_size), "page", results.most)
         return enriched(index.with_documents(rows, self.index.documents.select("doc_id", "title", "text"), "inner"), results.mode)
 
     def answer(self, q: str, vector: list[float] | None = None, mode: str = "hybrid", page: int = 1, page_size: int | None = None, min_similarity: float = 0.0, **options) -> Answer:
@@ -179,8 +182,9 @@ class SearchEngine:
         return self.trend_of(queries, granularity, mode, f, min_similarity).points
 
     def suggest(self, queries: DataFrame, most: int = 8) -> DataFrame:
-        rows = self.keyword(queries.where(F.length(F.trim("q")) >= 2), most)
-        return words.suggestions(index.with_documents(held(rows, "suggested"), self.index.documents.select("doc_id", "title", "text"), "inner"), most)
+        asked, told = stated(queries.select("query_id", "q").where(F.length(F.trim("q")) >= 2))
+        rows = held(self.keyword(asked, most), "suggested", None if told is None else len(told) * most)
+        return words.suggestions(index.with_documents(rows, self.index.documents.select("doc_id", "title", "text"), "inner"), most)
 
     def spelling(self, queries: DataFrame) -> DataFrame:
         """Of a saved index only the buckets of the tokens and of their parts are read."""

@@ -27,15 +27,25 @@ def shared_dir(spark: SparkSession) -> str:
 FEW = 10_000
 
 
+def literal(df: DataFrame) -> DataFrame:
+    """The rows of df, of which there must be few, as literal rows: whatever is made of them later needs no job for them."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
 def stated(df: DataFrame, most: int | None = None) -> tuple[DataFrame, list | None]:
     """A table of questions as literal rows, and these, if they are `most` (FEW) at most, so that no plan computes them again; else the table itself, and None."""
     most = FEW if most is None else most
-    rows = df.take(most + 1)
-    return (df, None) if len(rows) > most else (df.sparkSession.createDataFrame(rows, df.schema), rows)
+    found = (df if df.isLocal() else df.limit(most + 1)).toArrow()
+    if found.num_rows > most:
+        return df, None
+    told = df.sparkSession.createDataFrame(found, df.schema)
+    return told, told.collect()
 
 
-def held(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written and read again: whatever is made of them later doesn't make them again."""
+def held(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """The rows of df, written and read again: whatever is made of them later doesn't make them again. most: a bound of their number, if one is known; few rows become literal ones."""
+    if most is not None and most <= FEW:
+        return literal(df)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
