@@ -17,7 +17,7 @@ from ..functions import text as texts
 from ..operators import cells, facets, filters, fuse, index, rank, rerank, retrieve, trend, words
 from ..operators.filters import Filters
 from ..sources import records
-from ..sources.shared import file_state, held, shared_dir
+from ..sources.shared import exists, file_state, held, shared_dir
 from ..sources.tables import search_documents, table
 from .search import SearchEngine, enriched
 
@@ -42,7 +42,7 @@ INDEXES: dict[tuple, tuple[str, index.Index | cells.VectorCells]] = {}
 def opened(spark: SparkSession, name: str, sf_dir: str, tables: tuple[str, ...], save: Callable[[str], None], load: Callable[[str], object]):
     """What is saved of a folder's tables, at the first question and when their files have changed; saved again, if the shared folder was cleared."""
     key = (spark.sparkContext.applicationId, name, sf_dir, *(file_state(spark, f"{sf_dir}/{t}.parquet") for t in tables))
-    if key not in INDEXES or not file_state(spark, INDEXES[key][0]):
+    if key not in INDEXES or not exists(spark, INDEXES[key][0]):
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         save(path)
         INDEXES[key] = (path, load(path))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +23,24 @@ LIGHT = ("doc_id", "source", "subreddit", "tools", "sentiment", "subjectivity",
 
 @dataclass
 class Results:
-    """rows: all candidates that passed, in order. pages come from it. most: a bound of their number, if the questions are few."""
+    """rows: all candidates that passed, in order. pages come from it. most: a bound of their number, if the questions are few. Facets and counts are made when they are asked for."""
 
     rows: DataFrame
-    facets: DataFrame
-    counts: DataFrame
     mode: str
+    page_size: int
     most: int | None = None
 
+    @cached_property
+    def facets(self) -> DataFrame:
+        told = facets.tool_facet(self.rows).withColumn("facet", F.lit("tools"))
+        for name, column, missing, most in (("sentiment", "sentiment", "not_applicable", None), ("source", "source", "reddit", None), ("subreddits", "subreddit", None, 10)):
+            told = told.unionByName(facets.value_facet(self.rows, column, missing, most).withColumn("facet", F.lit(name)))
+        return told
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return rank.page_counts(self.rows, self.page_size)
+
 
 @dataclass
 class Answer:
@@ -124,11 +135,7 @@ class SearchEngine:
             rows = held(index.with_documents(held(rows, "rows", most), self.index.vectors), "pool", most)
             rows = rerank.diversified(rows, c.diversity.weight, c.diversity.pool).drop("vector")
         rows = held(rows.drop("query_vector", "detected", "near_tie"), "results", most)
-        told = [facets.tool_facet(rows).withColumn("facet", F.lit("tools")), *(facets.value_facet(rows, col, d, most).withColumn("facet", F.lit(name)) for name, col, d, most in (("sentiment", "sentiment", "not_applicable", None), ("source", "source", "reddit", None), ("subreddits", "subreddit", None, 10)))]
-        counts = told[0]
-        for t in told[1:]:
-            counts = counts.unionByName(t)
-        return Results(rows, counts, rank.page_counts(rows, c.page_size), mode, most)
+        return Results(rows, mode, c.page_size, most)
 
     def page(self, results: Results, number: int = 1, size: int | None = None) -> DataFrame:
         """Formatted results of a page; titles and texts are read for its rows only."""

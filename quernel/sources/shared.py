@@ -51,10 +51,19 @@ def held(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _place(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder, system = _place(spark, path)
+    return system.exists(folder)
+
+
 def file_state(spark: SparkSession, path: str) -> tuple:
     """Name, size and time of change of the files at a path; nothing, if there are none."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    folder, system = _place(spark, path)
     if not system.exists(folder):
         return ()
     found, files = [], system.listFiles(folder, True)
