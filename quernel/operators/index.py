@@ -27,8 +27,8 @@ BLOCK = 128
 class Index:
     """documents; postings: term, field, doc_id, tf, dl, positions; stats: field, n_docs, avgdl; vocabulary: term, field, df; vectors: doc_id, vector. analyzer: a key of ANALYZERS.
 
-    Of a saved index also blocks: term, field, block, n, most_tf, least_dl, and the lists doc_ids, tfs, dls, positions; nearby: key, word, n (see words.parts_of());
-    cells: the vectors by cell (see cells.VectorCells), if there are any.
+    Of a saved index also blocks: segment, term, field, block, n, most_tf, least_dl, and the lists doc_ids, tfs, dls, positions; nearby: key, word, n (see words.parts_of());
+    cells: the vectors by cell (see cells.VectorCells), if there are any; hidden: segment, doc_id of old versions that blocks still hold.
     """
 
     documents: DataFrame
@@ -40,6 +40,11 @@ class Index:
     blocks: DataFrame | None = None
     nearby: DataFrame | None = None
     cells: VectorCells | None = None
+    hidden: DataFrame | None = None
+
+    def live(self, rows: DataFrame) -> DataFrame:
+        """rows (segment, doc_id, ...) without old versions."""
+        return without_hidden(rows, self.hidden)
 
 
 #: How texts become terms: lower-case words; or without stop words and possessive endings, and stemmed.
@@ -124,42 +129,84 @@ def in_blocks(posted: DataFrame, n_blocks: int) -> DataFrame:
     return told.select("term", "field", "block", "n", "most_tf", "least_dl", "heads", "tokens", *(F.col(f"p.{part}").alias(name) for name, part in lists.items()))
 
 
+def without_hidden(rows: DataFrame, hidden: DataFrame | None) -> DataFrame:
+    return rows if hidden is None else rows.join(hidden, ["segment", "doc_id"], "left_anti")
+
+
 #: Bytes of a row group of blocks: small, as questions read few terms of a file.
 GROUP_BYTES = 4 << 20
 
 
-def save_index(index: Index, path: str, cells: bool = False) -> None:
-    """cells: whether the vectors are saved by cell too, for approximate search. Blocks, vocabulary and what spelling needs lie in folders by bucket; a task writes to one bucket's folder only, large buckets by several tasks. Documents are
-    sorted by id, so that those of given ids are in few row groups. Texts are read once, for the blocks, of which the statistics are sums."""
+def save_index(index: Index, path: str, cells: bool = False, retracted: Index | None = None) -> None:
+    """cells: whether the vectors are saved by cell too, for approximate search. retracted: old versions, of which the statistics are taken off (see plans.segments)."""
     from .cells import save_cells
-    from .words import keyed
 
-    spark = index.documents.sparkSession
-    index.documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/documents")
-    index.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
-    n_blocks = max(1, -(-spark.read.parquet(f"{path}/documents").count() // BLOCK))
-    packed = in_blocks(index.postings, n_blocks).withColumn("bucket", term_bucket(F.col("term"))).hint("rebalance", "bucket")
-    packed.sortWithinPartitions("bucket", "term", "field", "block").write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).partitionBy("bucket").parquet(f"{path}/blocks")
-    blocks = spark.read.parquet(f"{path}/blocks")
-    words = blocks.groupBy("bucket", "term", "field").agg(F.sum("n").alias("df"))
-    words.select("term", "field", "df", "bucket").hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vocabulary")
-    near = keyed(spark.read.parquet(f"{path}/vocabulary").groupBy(F.col("term").alias("word")).agg(F.max("df").alias("n")))
-    near.withColumn("bucket", term_bucket(F.col("key"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/nearby")
-    stats = blocks.groupBy("field").agg(F.sum("heads").alias("n_docs"), (F.sum("tokens") / F.sum("heads")).alias("avgdl"))
+    write_parts(path, index.documents, index.vectors, index.postings)
+    blocks = index.documents.sparkSession.read.parquet(f"{path}/blocks")
+    vocabulary_ = blocks.groupBy("term", "field").agg(F.sum("n").alias("df"))
+    stats = blocks.groupBy("field").agg(F.sum("heads").alias("n_docs"), F.sum("tokens").alias("tokens"))
+    if retracted is not None:
+        vocabulary_ = vocabulary_.unionByName(retracted.vocabulary.withColumn("df", -F.col("df")))
+        minus = retracted.postings.where("head").groupBy("field").agg((-F.count("*")).alias("n_docs"), (-F.sum("dl")).alias("tokens"))
+        stats = stats.unionByName(minus)
     if cells:
         save_cells(index.vectors, f"{path}/cells")
-    stats.withColumns({"analyzer": F.lit(index.analyzer), "n_blocks": F.lit(n_blocks), "cells": F.lit(cells)}).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    write_statistics(path, vocabulary_, stats, index.analyzer, cells)
+
+
+def write_parts(path: str, documents: DataFrame, vectors: DataFrame, posted: DataFrame) -> None:
+    """Blocks lie in folders by term bucket; a task writes to one bucket's folder only, large buckets by several tasks. Documents are sorted by id, so that those of given
+    ids are in few row groups. Texts are read once, for the blocks."""
+    spark = documents.sparkSession
+    documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/documents")
+    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    n_blocks = max(1, -(-spark.read.parquet(f"{path}/documents").count() // BLOCK))
+    packed = in_blocks(posted, n_blocks).withColumn("bucket", term_bucket(F.col("term"))).hint("rebalance", "bucket")
+    packed.sortWithinPartitions("bucket", "term", "field", "block").write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).partitionBy("bucket").parquet(f"{path}/blocks")
+
+
+def write_statistics(path: str, vocabulary_: DataFrame, stats: DataFrame, analyzer: str, cells: bool = False) -> None:
+    """vocabulary_: term, field, df; stats: field, n_docs, tokens. Rows are sums to be added up, and may be negative, where a segment takes old versions off."""
+    from .words import keyed
+
+    spark = stats.sparkSession
+    words = vocabulary_.groupBy("term", "field").agg(F.sum("df").alias("df")).where("df <> 0").withColumn("bucket", term_bucket(F.col("term")))
+    words.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vocabulary")
+    near = keyed(spark.read.parquet(f"{path}/vocabulary").select(F.col("term").alias("word"), "field", "df")).withColumn("bucket", term_bucket(F.col("key")))
+    near.hint("rebalance", "bucket").sortWithinPartitions("bucket", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/nearby")
+    told = stats.groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("tokens").alias("tokens"))
+    told.withColumns({"analyzer": F.lit(analyzer), "cells": F.lit(cells)}).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
+    return load_segments(spark, {0: path})
+
+
+def load_segments(spark: SparkSession, paths: dict[int, str], hidden: DataFrame | None = None) -> Index:
+    """The index that saved segments (by their numbers) make up: their rows without hidden ones, and sums of their statistics."""
     from .cells import VectorCells
 
-    read = lambda name: spark.read.parquet(f"{path}/{name}")
-    stats = read("stats")
-    told, blocks = stats.first(), read("blocks")
-    near = VectorCells.open(spark, f"{path}/cells") if told and told.cells else None
+    def read(name: str, change: Callable[[int, DataFrame], DataFrame] = lambda i, rows: rows.withColumn("segment", F.lit(i))) -> DataFrame:
+        found = None
+        for i, path in paths.items():
+            rows = change(i, spark.read.parquet(f"{path}/{name}"))
+            found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
+        return found
+
+    one = len(paths) == 1
+    # Blocks of several segments are told apart by their numbers.
+    blocks = read("blocks", lambda i, rows: rows.withColumns({"segment": F.lit(i), "block": F.col("block") + F.lit(i).cast("long") * (1 << 32)}))
+    sums = read("stats").groupBy("field", "analyzer").agg(F.sum("n_docs").alias("n_docs"), F.sum("tokens").alias("tokens"))
+    stats = stated(sums.where("n_docs > 0").select("field", "n_docs", (F.col("tokens") / F.col("n_docs")).alias("avgdl"), "analyzer"))[0]
+    told = read("stats").select("analyzer", "cells").first()
+    words = read("vocabulary").drop("segment")
+    if not one:
+        words = words.groupBy("term", "field", "bucket").agg(F.sum("df").alias("df")).where("df > 0")
+    near = read("nearby").groupBy("bucket", "key", "word", "field").agg(F.sum("df").alias("n")).where("n > 0").groupBy("bucket", "key", "word").agg(F.max("n").alias("n"))
+    cells = VectorCells.open(spark, f"{paths[0]}/cells") if one and told and told.cells else None
+    live = lambda name: without_hidden(read(name), hidden).drop("segment")
     analyzer = told.analyzer if told else "plain"
-    return Index(read("documents"), unpacked(blocks, "positions"), stats.select("field", "n_docs", "avgdl"), read("vocabulary"), read("vectors"), analyzer, blocks, read("nearby"), near)
+    return Index(live("documents"), without_hidden(unpacked(blocks, "positions"), hidden), stats.drop("analyzer"), words, live("vectors"), analyzer, blocks, near, cells, hidden)
 
 
 def unpacked(blocks: DataFrame, *more: str) -> DataFrame:

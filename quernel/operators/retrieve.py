@@ -57,7 +57,8 @@ def phrase_documents(index: Index, asked: DataFrame) -> DataFrame:
     if index.blocks is None:
         rows = index.postings.join(F.broadcast(asked), "term")
     else:
-        rows = unpacked(asked_buckets(asked, index.blocks).select("term", "field", "doc_ids", "tfs", "dls", "positions").join(F.broadcast(asked), "term"), "positions")
+        met = asked_buckets(asked, index.blocks).select("segment", "term", "field", "doc_ids", "tfs", "dls", "positions").join(F.broadcast(asked), "term")
+        rows = index.live(unpacked(met, "positions"))
     shifted = rows.select("query_id", "phrase", "words", "field", "doc_id", F.transform("positions", lambda p: p - F.col("j")).alias("starts"))
     met = shifted.groupBy("query_id", "phrase", "words", "field", "doc_id").agg(F.collect_list("starts").alias("s")).where(F.size("s") == F.col("words"))
     stands = F.size(F.aggregate(F.slice("s", 2, F.size("s")), F.get("s", F.lit(0)), F.array_intersect)) > 0
@@ -130,7 +131,7 @@ def keyword_scores(index: Index, terms: DataFrame, config: SearchConfig = Search
     asked = asked or known_terms(index, terms, config, boosts)
     if index.blocks is None:
         return scored(index.postings.join(asked.small(asked.known), ["term", "field"]), asked, config)
-    return scored(unpacked(asked_blocks(index, asked)), asked, config)
+    return scored(index.live(unpacked(asked_blocks(index, asked))), asked, config)
 
 
 def block_bounds(index: Index, asked: Asked, config: SearchConfig) -> DataFrame:
@@ -147,7 +148,7 @@ def pruned_top(index: Index, terms: DataFrame, k: int, config: SearchConfig = Se
 
     def of_blocks(chosen: DataFrame) -> DataFrame:
         met = asked_blocks(index, asked).join(chosen.select("query_id", "block"), ["query_id", "block"])
-        scores = scored(unpacked(met), asked, config)
+        scores = scored(index.live(unpacked(met)), asked, config)
         return scores if phrases is None else with_phrases(scores, index, phrases)
 
     first = top(bounds, max(4, -(-2 * k // BLOCK)), [F.col("bound").desc(), F.col("block")])

@@ -139,5 +139,5 @@ def probes_of(token: Column) -> Column:
 
 
 def keyed(words: DataFrame) -> DataFrame:
-    """key, word, n: words (word, n) by their parts."""
-    return words.where(F.length("word") > 0).select(F.explode(parts_of(F.col("word"))).alias("key"), "word", "n")
+    """words (word, ...) by their parts: a row with key for each."""
+    return words.where(F.length("word") > 0).select(F.explode(parts_of(F.col("word"))).alias("key"), *words.columns)

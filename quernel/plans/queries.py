@@ -19,6 +19,7 @@ from ..operators.filters import Filters
 from ..sources import records
 from ..sources.shared import exists, file_state, held, shared_dir
 from ..sources.tables import search_documents, table
+from . import segments
 from .search import SearchEngine, enriched
 
 #: The stated queries: id, text, and the vector they ask with.
@@ -133,6 +134,23 @@ def bm25_pruned_top10(t: Tables) -> DataFrame:
     return rounded(retrieve.pruned_top(t.index, t.engine().terms(told), 10), "score")
 
 
+def grown_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """All documents by batches: each first with another text, then as it is, those of one language and the others apart."""
+
+    def save(path: str) -> None:
+        docs, english = search_documents(spark, sf_dir), F.coalesce(F.array_contains("tools", "en"), F.lit(False))
+        segments.upsert(docs.withColumn("text", F.concat("text", F.lit(" and the license"))), path)
+        segments.upsert(docs.where(english), path)
+        segments.upsert(docs.where(~english), path)
+
+    return opened(spark, "grown", sf_dir, ("documents", "labels", "events", "orders", "embeddings"), save, lambda path: segments.open_index(spark, path))
+
+
+@query
+def bm25_after_upserts(t: Tables) -> DataFrame:
+    return rounded(SearchEngine(grown_index(t.spark, t.sf_dir)).keyword(t.queries, 100), "score")
+
+
 @query
 def semantic_search_threshold(t: Tables) -> DataFrame:
     engine = t.engine()

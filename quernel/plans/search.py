@@ -16,6 +16,7 @@ from ..operators import facets, filters, fuse, index, rank, rerank, retrieve, tr
 from ..operators.filters import Filters
 from ..operators.index import Index
 from ..sources.shared import held, stated
+from . import segments
 
 #: Columns of a document that results and filters use. Texts and vectors join in for the few rows that need them.
 LIGHT = ("doc_id", "source", "subreddit", "tools", "sentiment", "subjectivity", "aspects", "date", "upvotes", "url", "content_type")
@@ -71,7 +72,8 @@ class SearchEngine:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, **options) -> SearchEngine:
-        return cls(index.load_index(spark, path), **options)
+        """The index that save_index() or segments.upsert() has put at the path."""
+        return cls(segments.open_index(spark, path) if segments.manifest(spark, path) else index.load_index(spark, path), **options)
 
     def asked(self, questions: DataFrame) -> DataFrame:
         """Questions (query_id, q) with the vectors that this engine's encoder gives them."""

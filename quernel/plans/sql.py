@@ -189,6 +189,7 @@ placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 SELECT query_id, doc_id, round(score, 6) AS score, ord FROM placed WHERE ord <= 100""",
         "bm25_dismax_title2": f"{p} SELECT query_id, doc_id, round(score, 6) AS score, ord FROM keyword",
         "keyword_search_page": p + enriched("(SELECT k.*, k.ord AS keyword_rank, CAST(NULL AS INT) AS vector_rank, docs.* EXCLUDE (doc_id) FROM keyword k JOIN docs USING (doc_id) WHERE ord BETWEEN 11 AND 20)", "CAST(NULL AS DOUBLE)"),
+        "bm25_after_upserts": f"{p} SELECT query_id, doc_id, round(score, 6) AS score, ord FROM keyword",
         "bm25_pruned_top10": common(),
         "knn_topk": f"{p} SELECT query_id, doc_id, round(score, 6) AS score, ord FROM vectors",
         "semantic_search_threshold": f"{p} SELECT {SEVEN}, round(score, 6) AS score FROM vectors WHERE score >= 0.55",

@@ -22,3 +22,11 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session", autouse=True)
+def few_buckets():
+    """Small tables in few folders."""
+    from quernel.operators import index
+
+    index.BUCKETS = 4

@@ -2,6 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
+from quernel.plans import segments
+from quernel.plans.search import SearchEngine
 from quernel.streaming import ingest
 
 
@@ -57,3 +59,19 @@ def test_windows(spark, tmp_path):
     query.awaitTermination()
     got = {r.day: (r.positive, r.negative, r.not_applicable, r["count"], r.avg_upvotes) for r in spark.table("trend").withColumn("day", F.date_format("start", "dd")).collect()}
     assert got == {"01": (1, 1, 0, 2, 1.0), "02": (0, 0, 1, 1, 2.0)}
+
+
+def test_what_has_come_can_be_searched(spark, tmp_path):
+    index = f"{tmp_path}/index"
+    run = lambda: segments.follow(ingest.documents_of(ingest.record_stream(spark, f"{tmp_path}/in")), index, f"{tmp_path}/state").awaitTermination()
+    asked = spark.createDataFrame([(1, "license")], "query_id int, q string")
+    found = lambda: {r.doc_id for r in SearchEngine.open(spark, index).keyword(asked, 10).collect()}
+    land(tmp_path / "in", "a.jsonl", [record("a", "license terms", 3), record("b", "other words", 3), record("a", "license old", 1)])
+    run()
+    assert found() == {"a"}
+    land(tmp_path / "in", "b.jsonl", [record("a", "no more", 4), record("b", "license late", 2), record("c", "license", 1)])
+    run()
+    assert found() == {"c"} and {r.doc_id: r.text for r in SearchEngine.open(spark, index).index.documents.collect()} == {"a": "T no more", "b": "T other words", "c": "T license"}
+    land(tmp_path / "in", "none.jsonl", [])
+    run()
+    assert found() == {"c"}
