@@ -94,16 +94,22 @@ def stepped(x: Column, by: Column, n: Column, key: Key) -> Column:
     return F.pmod(x - by, n) if key.back else (x + by) % n
 
 
-def permute(x: Column, left: Column, right: Column, key: Key, kind: str) -> Column:
-    """Feistel permutation of the numbers below left * right."""
+def permute_pair(l: Column, r: Column, left: Column, right: Column, key: Key, kind: str) -> Column:  # noqa: E741
+    """Feistel permutation of the pairs l, r of numbers below left and right, as a struct."""
 
     def turn(s: Column, i: Column) -> Column:
         new_left = F.struct(stepped(s["l"], keyed(key, kind, i, s["r"]), left, key).alias("l"), s["r"].alias("r"))
         new_right = F.struct(s["l"].alias("l"), stepped(s["r"], keyed(key, kind, i, s["l"]), right, key).alias("r"))
         return F.when(i % 2 == 1, new_left).otherwise(new_right)
 
-    start = F.struct(F.call_function("div", x, right).alias("l"), (x % right).cast("long").alias("r"))
-    return F.aggregate(turns(key), start, turn, lambda s: s["l"] * right + s["r"])
+    return F.aggregate(turns(key), F.struct(l.cast("long").alias("l"), r.cast("long").alias("r")), turn)
+
+
+def permute(x: Column, left: Column, right: Column, key: Key, kind: str) -> Column:
+    """The same of the numbers below left * right."""
+    new = permute_pair(F.call_function("div", x, right), x % right, left, right, key, kind)
+    # As the variable of a lambda, the pair is made once.
+    return F.get(F.transform(F.array(new), lambda s: s["l"] * right + s["r"]), 0)
 
 
 def number(n: int) -> Column:
@@ -119,16 +125,14 @@ def digits_of(m: Column) -> Column:
 
 
 def permute_digits(d: Column, key: Key, kind: str) -> Column:
-    """Permutation of digit strings of one length, 1 to 18; longer ones by their two halves, each tweaked by nothing but its place."""
-
-    def short(s: Column, name: str) -> Column:
-        n = F.length(s)
-        ten = lambda k: F.element_at(F.array(*(number(10**i) for i in range(19))), k.cast("int") + 1)
-        left, right = ten(F.floor(n / 2)), ten(n - F.floor(n / 2))
-        return F.when(n == 0, s).otherwise(F.lpad(permute(s.try_cast("long"), left, right, key, name).cast("string"), n, "0"))
-
+    """Permutation of the digit strings of one length, up to 36: a Feistel network over their two halves, so that every digit plays into every other."""
     n = F.length(d)
-    return F.when(n <= 18, short(d, kind)).otherwise(F.concat(short(F.substring(d, 1, 15), f"{kind}-a"), short(d.substr(F.lit(16), n), f"{kind}-b")))
+    ten = lambda k: F.element_at(F.array(*(number(10**i) for i in range(19))), k + 1)
+    half = F.floor(n / 2).cast("int")
+    value = lambda s: F.when(s == "", F.lit(0)).otherwise(s.try_cast("long"))
+    new = permute_pair(value(d.substr(F.lit(1), half)), value(d.substr(half + 1, n)), ten(half), ten(n - half), key, kind)
+    told = F.get(F.transform(F.array(new), lambda s: F.concat(F.when(half > 0, F.lpad(s["l"].cast("string"), half, "0")).otherwise(""), F.lpad(s["r"].cast("string"), n - half, "0"))), 0)
+    return F.when(n == 0, d).otherwise(told)
 
 
 def fill(m: Column, digits: Column) -> Column:
