@@ -34,6 +34,8 @@ HOT = 1 << 18
 HOT_WINDOWS = 1 << 21
 #: Bytes at a context's end by which windows meet to be scored; windows scored together.
 SUFFIX, TOGETHER = 3, 1 << 18
+#: Windows of one such end that meet in a task at most; ends of more windows are lengthened.
+HEAVY = 1 << 21
 MARK, ALPHABET = 0xFF, 256  # no UTF-8 text has this byte
 #: Digits of scores: sums of floats depend on their order in the last ones.
 DIGITS = 9
@@ -149,49 +151,75 @@ def count_contexts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     return all_contexts(written(count_windows(texts.select(texts.columns[0], F.lit(True)), order), "windows"), order)
 
 
-def score_windows(counted: DataFrame, order: int = ORDER) -> DataFrame:
+def heavy_suffixes(counted: DataFrame, low: int, order: int, most: int) -> dict[int, DataFrame]:
+    """By their bytes, from `low` on, the ends of contexts (suffix) that more than `most` windows have; of the longer ones only those whose shorter one is heavy too."""
+    found: dict[int, DataFrame] = {}
+    rows = counted.select(context(F.col("key")).alias("context"))
+    for k in range(low, order):
+        heavy = written(rows.groupBy(last_bytes(F.col("context"), k).alias("suffix")).count().where(F.col("count") > most).select("suffix"), "heavy")
+        if heavy.isEmpty():
+            break
+        found[k] = heavy
+        rows = rows.join(F.broadcast(heavy), last_bytes(F.col("context"), k) == F.col("suffix"), "left_semi")
+    return found
+
+
+def score_windows(counted: DataFrame, order: int = ORDER, most: int = HEAVY) -> DataFrame:
     """key, seen, score (log10 probability of the last byte after the bytes before it) of each row of counted (see count_windows), a written table. No node is left out.
 
     Windows whose contexts end alike meet in a task: all longer nodes that they can escape to are there, and a trie of just these is made. The
-    shorter nodes, of up to SUFFIX bytes, are broadcast; their number is bounded by that of strings of so many bytes.
+    shorter nodes, of up to SUFFIX bytes, are broadcast; their number is bounded by that of strings of so many bytes. Ends that more than `most` windows
+    have are dealt by a byte more, and so on up to the whole context, which 256 windows have at most; the nodes that these then lack, 256 at most for each such end, are broadcast too.
     """
     low = min(SUFFIX, order)
     size = F.explode(F.sequence(F.lit(0), F.lit(low - 1)))
-    some = counted.where("n > 0").select(last_bytes(F.col("key"), low).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
-    shared = [c.to_numpy() for c in some.select(size.alias("size"), "key", "n").groupBy("size", last_bytes(F.col("key"), F.col("size") + 1).alias("key")).agg(F.sum("n").alias("n")).toArrow().columns]
-    sent = counted.sparkSession.sparkContext.broadcast(shared)
-
-    def scored(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    learned = counted.where("n > 0").select("key", "n")
+    some = learned.select(last_bytes(F.col("key"), low).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
+    shorter = some.select(size.alias("size"), "key", "n").groupBy("size", last_bytes(F.col("key"), F.col("size") + 1).alias("key")).agg(F.sum("n").alias("n"))
+    dealt = counted.withColumn("deal", F.lit(low))
+    for k, heavy in heavy_suffixes(counted, low, order, most).items():
+        ends = last_bytes(context(F.col("key")), k) == F.col("suffix")
+        nodes = learned.join(F.broadcast(heavy), ends, "left_semi").groupBy(last_bytes(F.col("key"), k + 1).alias("key")).agg(F.sum("n").alias("n"))
+        shorter = shorter.unionByName(nodes.select(F.lit(k).alias("size"), "key", "n"))
+        dealt = dealt.join(F.broadcast(heavy), (F.col("deal") == k) & ends, "left").withColumn("deal", F.when(F.col("suffix").isNotNull(), k + 1).otherwise(F.col("deal"))).drop("suffix")
+    sent = counted.sparkSession.sparkContext.broadcast([c.to_numpy() for c in shorter.toArrow().columns])
+    masks = np.array([(1 << 8 * k) - 1 for k in range(order + 1)], dtype=np.int64)
+
+    def scored(keys: np.ndarray, n: np.ndarray, deal: int) -> np.ndarray:
         k, c = keys[n > 0], n[n > 0]
         levels = {order: (k, c)}
-        for i in range(order - 1, low - 1, -1):
+        for i in range(order - 1, deal - 1, -1):
             levels[i] = merged([levels[i + 1][0] & np.uint64((1 << 8 * (i + 1)) - 1)], [levels[i + 1][1]])
-        sizes = np.concatenate([sent.value[0], *(np.full(len(x[0]), i, dtype=np.int64) for i, x in levels.items())])
-        every = [np.concatenate([sent.value[j + 1], *(x[j].astype(np.int64) for x in levels.values())]) for j in (0, 1)]
+        known = sent.value[0] < deal
+        sizes = np.concatenate([sent.value[0][known], *(np.full(len(x[0]), i, dtype=np.int64) for i, x in levels.items())])
+        every = [np.concatenate([sent.value[j + 1][known], *(x[j].astype(np.int64) for x in levels.values())]) for j in (0, 1)]
         return Trie(sizes, *every, order=order).score(keys)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
         def rows(columns):
-            key, n, seen = columns
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(seen), pa.array(scored(key.astype(np.uint64), n))], names=["key", "seen", "score"])
+            key, n, seen, deal = columns
+            scores = np.zeros(len(key))
+            for d in np.unique(deal):
+                mine = np.flatnonzero(deal == d)
+                scores[mine] = scored(key[mine].astype(np.uint64), n[mine], int(d))
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(seen), pa.array(scores)], names=["key", "seen", "score"])
 
         for batch in trimmed(batches):
             held.append([c.to_numpy() for c in batch.columns])
             if sum(len(x[0]) for x in held) >= TOGETHER:
                 columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-                ends = columns[0] >> 8 & (1 << 8 * low) - 1
-                cut = int(np.argmax(ends == ends[-1]))  # the last suffix may go on in the next batch
+                ends, deal = columns[0] >> 8 & masks[columns[3]], columns[3]
+                cut = int(np.argmax((ends == ends[-1]) & (deal == deal[-1])))  # the last suffix may go on in the next batch
                 held[:] = [[c[cut:] for c in columns]]
                 if cut:
                     yield rows([c[:cut] for c in columns])
         if held:
             yield rows([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    suffix = last_bytes(context(F.col("key")), low)
-    dealt = counted.withColumn("suffix", suffix).repartition("suffix").sortWithinPartitions("suffix").select("key", "n", "seen")
-    return dealt.mapInArrow(score, "key long, seen long, score double")
+    by_end = dealt.withColumn("suffix", last_bytes(context(F.col("key")), F.col("deal"))).repartition("deal", "suffix").sortWithinPartitions("deal", "suffix")
+    return by_end.select("key", "n", "seen", "deal").mapInArrow(score, "key long, seen long, score double")
 
 
 def sum_windows(texts: DataFrame, scores: DataFrame, order: int = ORDER, hot: int = HOT_WINDOWS) -> DataFrame:

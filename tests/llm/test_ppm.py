@@ -105,6 +105,22 @@ def test_all_contexts_count(as_table, hot):
     assert np.allclose([got[i] for i, _ in rows], [brute(counts, t.encode(), 1) for _, t in rows], atol=1e-9)
 
 
+@pytest.mark.parametrize("most", [1, 12, 60])
+def test_heavy_ends_of_contexts_are_split(as_table, most):
+    """Contexts of six bytes, of which many end alike: by whatever number of bytes windows meet, the scores are those of the whole trie."""
+    rnd = random.Random(most)
+    texts = [" ".join(rnd.choice(["he said", "she said", "the", "said he", "aaaa", "é"]) for _ in range(rnd.randrange(30))).encode() for _ in range(60)]
+    docs = as_table([(i, t.decode()) for i, t in enumerate(texts)])
+    rows = docs.select(docs.text.cast("binary").alias("text"), (docs.doc_id % 4 != 0).alias("learned"), "doc_id")
+    counted = ppm.written(ppm.count_windows(rows.select("text", "learned"), 6), "windows")
+    found = ppm.heavy_suffixes(counted, 3, 6, most)
+    assert sorted(found) == {1: [3, 4, 5], 12: [3, 4, 5]}.get(most, [])
+    scores = ppm.written(ppm.score_windows(counted, 6, most), "scores")
+    got = {r.place: r.score for r in ppm.sum_windows(rows.selectExpr("doc_id AS place", "text"), scores, 6).collect()}
+    whole = ppm.train(docs.where("doc_id % 4 <> 0").select(docs.text.cast("binary")), 6, 10**6).score_texts(texts)
+    assert np.allclose([got[i] for i in range(len(texts))], whole, atol=1e-9)
+
+
 def test_no_node_is_left_out_of_the_query(as_table, monkeypatch):
     """However few nodes fit in memory, the scores are those of all contexts."""
     rows = [(i, t.decode()) for i, t in enumerate(training())]
