@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import held
+
 
 def ranked(rows: DataFrame, order: list[Column], name: str = "ord") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
@@ -16,6 +18,29 @@ def top(rows: DataFrame, k: int | None, order: list[Column], name: str = "ord")
     return out if k is None else out.where(F.col(name) <= k)
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str = "ord", by: str | None = "query_id") -> DataFrame:
+    """ranked() of lists of any length: rows are range-partitioned by the order, and numbered from the counts of the partitions before. No task holds a whole list. by: None for one list."""
+    lists = [by] if by else []
+    order = [*(F.col(c) for c in lists), *order]
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    kept = held(placed, "numbered")
+    # A row for each list and each partition that it reaches.
+    runs = kept.groupBy(*lists, "_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    earlier = Window.partitionBy(*lists).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*lists, "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_skip"))
+    return kept.join(runs, [*lists, "_part"]).withColumn(name, (F.col("_place") + F.col("_skip") + 1).cast("long")).drop("_part", "_place", "_skip")
+
+
+def after(rows: DataFrame, last: DataFrame, size: int) -> DataFrame:
+    """The page that follows on a row: the best `size` of each query's rows (query_id, doc_id, score) that come after the row in `last` (query_id, score, doc_id), or the first ones.
+
+    Only a page's rows are sorted, however far down the list it lies.
+    """
+    seen = F.broadcast(last.select("query_id", F.col("score").alias("_score"), F.col("doc_id").alias("_id")))
+    later = F.col("_score").isNull() | (F.col("score") < F.col("_score")) | (F.col("score") == F.col("_score")) & (F.col("doc_id") > F.col("_id"))
+    return top(rows.join(seen, "query_id", "left").where(later).drop("_score", "_id"), size, [F.col("score").desc(), F.col("doc_id")])
+
+
 def resorted(rows: DataFrame, digits: int = 12) -> DataFrame:
     """By falling score; equal scores keep their order."""
     return ranked(rows.withColumn("was", F.col("ord")), [F.round("score", digits).desc(), F.col("was")]).drop("was")

@@ -15,7 +15,7 @@ from ..config import SearchConfig
 from ..functions.text import plain_tokens
 from ..sources.shared import held, stated
 from .index import ANALYZERS, BLOCK, Index, asked_buckets, in_buckets, stemmed, term_bucket, unpacked
-from .rank import top
+from .rank import numbered, top
 
 #: Scores are compared after rounding to so many digits, as sums of floats depend on their order.
 DIGITS = 9
@@ -181,7 +181,7 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int | None = 100) -> D
     """
     asked = queries.select("query_id", "vector").where("vector IS NOT NULL")
     if k is None:
-        return top(vector_scores(vectors, asked), None, best_first())
+        return numbered(vector_scores(vectors, asked), best_first())
     kinds = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c, d in (("query_id", asked), ("doc_id", vectors)))
     rows = vectors.select("doc_id", F.col("vector").cast("array<double>").alias("vector")).where(F.size("vector") > 0)
     asked, told = stated(asked, QUERY_BLOCK)
@@ -278,6 +278,7 @@ def every_document(documents: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def match_all(documents: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every document for every query, with score 1, in order of their ids."""
-    rows = every_document(documents, queries).withColumn("score", F.lit(1.0))
-    return top(rows, None, [F.col("doc_id")])
+    """Every document for every query, with score 1, in order of their ids. Documents are numbered once, by range partitions, so no task holds all of them."""
+    rows = numbered(documents.select("doc_id"), [F.col("doc_id")], by=None)
+    ids = F.broadcast(queries.agg(F.collect_list("query_id").alias("ids")))
+    return rows.join(ids, F.lit(True)).select(F.explode("ids").alias("query_id"), "doc_id", F.lit(1.0).alias("score"), F.col("ord").cast("int").alias("ord"))

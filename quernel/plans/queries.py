@@ -151,6 +151,16 @@ def bm25_after_upserts(t: Tables) -> DataFrame:
     return rounded(SearchEngine(grown_index(t.spark, t.sf_dir)).keyword(t.queries, 100), "score")
 
 
+@query
+def keyword_pages_after(t: Tables) -> DataFrame:
+    """The third page of all that match, each page from the last row of the one before."""
+    engine, last = t.engine(), None
+    for _ in range(3):
+        page = held(engine.keyword_page(t.queries, 50, last), "page", 50 * len(QUERIES))
+        last = page.groupBy("query_id").agg(F.max_by(F.struct("score", "doc_id"), "ord").alias("x")).select("query_id", "x.*")
+    return rounded(page.select("query_id", "ord", "doc_id", "score"), "score")
+
+
 @query
 def semantic_search_threshold(t: Tables) -> DataFrame:
     engine = t.engine()

@@ -95,6 +95,12 @@ class SearchEngine:
         scores = retrieve.keyword_scores(self.index, terms, self.config)
         return scores if quoted is None else retrieve.with_phrases(scores, self.index, quoted)
 
+    def keyword_page(self, queries: DataFrame, size: int, last: DataFrame | None = None) -> DataFrame:
+        """The next page of all that match, after the last row (query_id, score, doc_id) of the page before; lists are as long as they are, not cut at keyword_rows."""
+        if last is None:
+            return self.keyword(queries, size)
+        return rank.after(self.keyword(queries, None), last, size)
+
     def vector(self, queries: DataFrame, k: int | None) -> DataFrame:
         asked = queries.where("vector IS NOT NULL").select("query_id", "vector")
         if k is not None and self.config.vector_probes and self.index.cells is not None:

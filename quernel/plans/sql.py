@@ -191,6 +191,7 @@ SELECT query_id, doc_id, round(score, 6) AS score, ord FROM placed WHERE ord <=
         "keyword_search_page": p + enriched("(SELECT k.*, k.ord AS keyword_rank, CAST(NULL AS INT) AS vector_rank, docs.* EXCLUDE (doc_id) FROM keyword k JOIN docs USING (doc_id) WHERE ord BETWEEN 11 AND 20)", "CAST(NULL AS DOUBLE)"),
         "bm25_after_upserts": f"{p} SELECT query_id, doc_id, round(score, 6) AS score, ord FROM keyword",
         "bm25_pruned_top10": common(),
+        "keyword_pages_after": f"{p} SELECT query_id, doc_id, round(score, 6) AS score, ord - 100 AS ord FROM keyword_ranked WHERE ord BETWEEN 101 AND 150",
         "knn_topk": f"{p} SELECT query_id, doc_id, round(score, 6) AS score, ord FROM vectors",
         "semantic_search_threshold": f"{p} SELECT {SEVEN}, round(score, 6) AS score FROM vectors WHERE score >= 0.55",
         "rrf_fuse": f"{p} SELECT query_id, doc_id, round(score, 6) AS score, keyword_rank, vector_rank, round(vector_score, 6) AS vector_score, ord FROM fused",

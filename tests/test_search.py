@@ -205,6 +205,27 @@ def test_shares_and_match_all(docs, queries):
     assert retrieve.match_all(docs, queries).count() == 8
 
 
+def test_lists_of_any_length_are_numbered(spark):
+    import random
+
+    from quernel.operators import rank
+
+    rnd = random.Random(3)
+    rows = [(rnd.choice([1, 1, 1, 2, 3]), i, rnd.choice([0.5, 1.0, rnd.random()])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "query_id int, doc_id long, score double").repartition(7)
+    expected = {}
+    for q in (1, 2, 3):
+        for n, (_, i) in enumerate(sorted((-s, i) for x, i, s in rows if x == q), 1):
+            expected[(q, i)] = n
+    assert {(r.query_id, r.doc_id): r.ord for r in rank.numbered(df, retrieve.best_first()).collect()} == expected
+    got, last = [], spark.createDataFrame([], "query_id int, score double, doc_id long")
+    for _ in range(3):
+        page = rank.after(df.where("query_id = 1"), last, 40).orderBy("ord").collect()
+        got += [r.doc_id for r in page]
+        last = spark.createDataFrame([(1, page[-1].score, page[-1].doc_id)], "query_id int, score double, doc_id long")
+    assert [expected[(1, i)] for i in got] == list(range(1, 121))
+
+
 def test_stems():
     pairs = {"caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "rational": "ration", "digitizer": "digit", "operator": "oper", "feudalism": "feudal", "hopefulness": "hope", "formaliti": "formal", "triplicate": "triplic", "formative": "form", "goodness": "good", "revival": "reviv", "adjustment": "adjust", "adoption": "adopt", "effective": "effect", "probate": "probat", "rate": "rate", "cease": "ceas", "controll": "control", "roll": "roll", "be": "be", "généralement": "généralement"}
     porter = texts.Porter()
