@@ -50,7 +50,7 @@ def asked_phrases(queries: DataFrame, analyzer: str = "plain") -> DataFrame:
 
 
 def phrase_documents(index: Index, asked: DataFrame) -> DataFrame:
-    """query_id, doc_id, had: how many of its query's phrases (see asked_phrases(); a few rows) stand in one of its fields.
+    """query_id, doc_id, had: how many of its query's phrases (see asked_phrases(); a few rows) stand in one of its fields, or in the field that a column `only` names.
 
     A phrase stands where its words' positions, each less the word's place in the phrase, have one in common. No text is read.
     """
@@ -59,6 +59,8 @@ def phrase_documents(index: Index, asked: DataFrame) -> DataFrame:
     else:
         met = asked_buckets(asked, index.blocks).select("segment", "term", "field", "doc_ids", "tfs", "dls", "positions").join(F.broadcast(asked), "term")
         rows = index.live(unpacked(met, "positions"))
+    if "only" in asked.columns:
+        rows = rows.where("only IS NULL OR only = field")
     shifted = rows.select("query_id", "phrase", "words", "field", "doc_id", F.transform("positions", lambda p: p - F.col("j")).alias("starts"))
     met = shifted.groupBy("query_id", "phrase", "words", "field", "doc_id").agg(F.collect_list("starts").alias("s")).where(F.size("s") == F.col("words"))
     stands = F.size(F.aggregate(F.slice("s", 2, F.size("s")), F.get("s", F.lit(0)), F.array_intersect)) > 0

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import AspectBoost, Diversity, SearchConfig, SentimentBoost, TimeDecay
 from ..functions import encode
 from ..functions import text as texts
-from ..operators import cells, facets, filters, fuse, index, rank, rerank, retrieve, trend, words
+from ..operators import boolean, cells, facets, filters, fuse, index, rank, rerank, retrieve, trend, words
 from ..operators.filters import Filters
 from ..sources import records
 from ..sources.shared import exists, file_state, held, shared_dir
@@ -24,6 +24,8 @@ from .search import SearchEngine, enriched
 
 #: The stated queries: id, text, and the vector they ask with.
 QUERIES = ((1, "rely hati license cost", 7), (2, "ouque la menttion ui", 11), (3, "license token error und", 23))
+#: Questions with operators.
+BOOLEAN = ((1, "license AND (version OR token) NOT apache"), (2, 'title:license OR "general public"'), (3, "licen* AND source:src3"), (4, "-license version"), (5, "sentiment:mixed AND NOT (the OR der)"))
 #: Questions of common words.
 COMMON = ((1, "the"), (2, "the of and"), (3, "la de +license"), (4, "und -license"))
 NOW = datetime(2002, 1, 1)
@@ -161,6 +163,12 @@ def keyword_pages_after(t: Tables) -> DataFrame:
     return rounded(page.select("query_id", "ord", "doc_id", "score"), "score")
 
 
+@query
+def boolean_questions(t: Tables) -> DataFrame:
+    told = t.spark.createDataFrame(list(BOOLEAN), "query_id int, q string")
+    return rounded(boolean.boolean_search(t.index, told, None), "score")
+
+
 @query
 def semantic_search_threshold(t: Tables) -> DataFrame:
     engine = t.engine()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import SearchConfig
 from ..functions.encode import Encoder, embedded
 from ..functions.text import detected_aspects, parsed_aspects, snippet
-from ..operators import facets, filters, fuse, index, rank, rerank, retrieve, trend, words
+from ..operators import boolean, facets, filters, fuse, index, rank, rerank, retrieve, trend, words
 from ..operators.filters import Filters
 from ..operators.index import Index
 from ..sources.shared import held, stated
@@ -95,6 +95,10 @@ class SearchEngine:
         scores = retrieve.keyword_scores(self.index, terms, self.config)
         return scores if quoted is None else retrieve.with_phrases(scores, self.index, quoted)
 
+    def boolean(self, queries: DataFrame, k: int | None = None) -> DataFrame:
+        """The best documents for questions with AND, OR, NOT, groups, fields and open endings (see operators.boolean)."""
+        return boolean.boolean_search(self.index, queries, k or self.config.keyword_rows, self.config)
+
     def keyword_page(self, queries: DataFrame, size: int, last: DataFrame | None = None) -> DataFrame:
         """The next page of all that match, after the last row (query_id, score, doc_id) of the page before; lists are as long as they are, not cut at keyword_rows."""
         if last is None:

@@ -133,6 +133,35 @@ def value_facet(column: str, where: str = "") -> str:
 SELECT * FROM (SELECT query_id, {column} AS value, count(*) AS count, CAST(row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, min(ord)) AS INT) AS place FROM hits WHERE {column} <> '' GROUP BY query_id, {column}) {where}"""
 
 
+def boolean() -> str:
+    """BOOLEAN, each question as a condition on a document's words and columns, with the sum of its words' scores."""
+    has = lambda w: f"(list_contains(a.toks, '{w}') OR list_contains(b.toks, '{w}'))"
+    phrase = "(contains(' ' || array_to_string(a.toks, ' ') || ' ', ' general public ') OR contains(' ' || array_to_string(b.toks, ' ') || ' ', ' general public '))"
+    begins = "(len(list_filter(a.toks, lambda x: starts_with(x, 'licen'))) > 0 OR len(list_filter(b.toks, lambda x: starts_with(x, 'licen'))) > 0)"
+    asked = (
+        (("license", "version", "token"), f"{has('license')} AND ({has('version')} OR {has('token')}) AND NOT {has('apache')}"),
+        (("license", "general", "public"), f"list_contains(a.toks, 'license') OR {phrase}"),
+        ((), f"{begins} AND d.source = 'src3'"),
+        (("version",), f"NOT {has('license')} OR {has('version')}"),
+        ((), f"d.sentiment = 'mixed' AND NOT ({has('the')} OR {has('der')})"),
+    )
+    found = " UNION ALL ".join(f"SELECT {i} AS query_id, d.doc_id FROM docs d JOIN told a ON a.doc_id = d.doc_id AND a.field = 'title' JOIN told b ON b.doc_id = d.doc_id AND b.field = 'text' WHERE ({where}){' AND (' + has('license') + ' OR ' + has('version') + ')' if i == 4 else ''}" for i, (_, where) in enumerate(asked, 1))
+    words = ", ".join(f"({i}, '{w}')" for i, (terms, _) in enumerate(asked, 1) for w in terms)
+    return f"""{PRELUDE},
+wanted AS (SELECT * FROM (VALUES {words}) AS t(query_id, term)),
+found AS ({found}),
+wanted_posted AS (
+  SELECT term, field, doc_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT field, doc_id, len(toks) AS dl, unnest(toks) AS term FROM told)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY term, field, doc_id
+),
+wanted_parts AS (
+  SELECT term, doc_id, max(CASE field WHEN 'title' THEN 2 ELSE 1 END * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS s
+  FROM wanted_posted JOIN (SELECT term, field, count(*) AS df FROM wanted_posted GROUP BY term, field) USING (term, field) JOIN stats USING (field) GROUP BY term, doc_id
+),
+wanted_scores AS (SELECT query_id, doc_id, round(sum(s), 9) AS score FROM wanted_parts JOIN wanted USING (term) GROUP BY query_id, doc_id)
+SELECT query_id, doc_id, coalesce(round(score, 6), 0) AS score FROM found LEFT JOIN wanted_scores USING (query_id, doc_id)"""
+
+
 def common() -> str:
     """The best ten of COMMON, by scoring all that match."""
     words = ", ".join(f"({i}, '{w.lstrip('+-')}', {w[0] == '+'}, {w[0] == '-'})" for i, q in COMMON for w in q.split())
@@ -190,6 +219,7 @@ SELECT query_id, doc_id, round(score, 6) AS score, ord FROM placed WHERE ord <=
         "bm25_dismax_title2": f"{p} SELECT query_id, doc_id, round(score, 6) AS score, ord FROM keyword",
         "keyword_search_page": p + enriched("(SELECT k.*, k.ord AS keyword_rank, CAST(NULL AS INT) AS vector_rank, docs.* EXCLUDE (doc_id) FROM keyword k JOIN docs USING (doc_id) WHERE ord BETWEEN 11 AND 20)", "CAST(NULL AS DOUBLE)"),
         "bm25_after_upserts": f"{p} SELECT query_id, doc_id, round(score, 6) AS score, ord FROM keyword",
+        "boolean_questions": boolean(),
         "bm25_pruned_top10": common(),
         "keyword_pages_after": f"{p} SELECT query_id, doc_id, round(score, 6) AS score, ord - 100 AS ord FROM keyword_ranked WHERE ord BETWEEN 101 AND 150",
         "knn_topk": f"{p} SELECT query_id, doc_id, round(score, 6) AS score, ord FROM vectors",
