@@ -3,7 +3,7 @@
 A question becomes its conditions, numbered, and a program in postfix order. The conditions meet postings, vocabulary and documents by equality joins; what a document meets is
 collected, and the program is run on it by built-in functions.
 
-Words side by side are joined by OR, which binds less than AND, and that less than NOT. `field:word` asks one field: title or text by the index, other columns of the documents
+Words side by side are joined by OR, which binds less than AND, and that less than NOT; a negation side by side with others takes away from all of them. `-` is NOT. `field:word` asks one field: title or text by the index, other columns of the documents
 (FIELDS) by their whole value, in any case. `word*` stands for all words that begin so; "several words" must stand in a row. Signs that don't fit are passed over: a
 closing bracket without an opening one, an operator without a side. Negations take away from what other conditions find: a question of nothing else finds nothing.
 """
@@ -32,77 +32,67 @@ STEP = "op string, leaf int, field string, kind string, value string, positive b
 def parsed(q: str | None) -> list[dict]:
     """The program of a question: steps `leaf` (with its condition), `not`, `and`, `or`."""
     tokens = [(m[0], m[1] or m[3], m[2], m[4]) for m in TOKEN.finditer(q or "")]
-    at, leaves, out = 0, 0, []
+    at, leaves = 0, 0
 
     def here(*words: str) -> bool:
         return at < len(tokens) and tokens[at][0] in words
 
-    def step(op: str, **more) -> None:
-        out.append({"op": op, "leaf": None, "field": None, "kind": None, "value": None, "positive": None, **more})
+    def step(op: str, **more) -> dict:
+        return {"op": op, "leaf": None, "field": None, "kind": None, "value": None, "positive": None, **more}
 
-    def one(positive: bool) -> bool:
-        """Reads a condition, a group or a negation; whether there was any."""
+    def joined(parts: list[list[dict]], op: str) -> list[dict]:
+        return [x for i, part in enumerate(parts) for x in (*part, *([step(op)] if i else []))]
+
+    def one(positive: bool) -> list[dict]:
+        """The steps of a condition, a group or a negation; none if there is none."""
         nonlocal at, leaves
-        while here("AND", "OR", ")"):
-            if here(")"):
-                return False
+        while here("AND", "OR"):
             at += 1
-        if at >= len(tokens):
-            return False
+        if at >= len(tokens) or here(")"):
+            return []
         text, field, phrase, word = tokens[at]
         at += 1
         if text in ("NOT", "-"):
-            if found := one(not positive):
-                step("not")
-            return found
+            return [*found, step("not")] if (found := one(not positive)) else []
         if text == "(":
             found = some(positive)
-            if here(")"):
-                at += 1
+            at += here(")")
             return found
         words = re.findall("[a-z0-9]+", (phrase if phrase is not None else word).lower())
         if not words:
-            return False
+            return []
         own = field is not None and field.lower() in FIELDS
         kind = "value" if own else "phrase" if phrase is not None or len(words) > 1 else "prefix" if word.endswith("*") else "term"
         value = (phrase if phrase is not None else word).lower() if own else " ".join(words)
         leaves += 1
-        step("leaf", leaf=leaves, field=field.lower() if field and field.lower() in (*FIELDS, *TEXT_FIELDS) else None, kind=kind, value=value, positive=positive)
-        return True
+        return [step("leaf", leaf=leaves, field=field.lower() if field and field.lower() in (*FIELDS, *TEXT_FIELDS) else None, kind=kind, value=value, positive=positive)]
 
-    def every(positive: bool) -> bool:
+    def every(positive: bool) -> list[dict]:
         nonlocal at
-        found = one(positive)
+        parts = [one(positive)]
         while here("AND"):
             at += 1
-            if one(positive):
-                if found:
-                    step("and")
-                found = True
-        return found
+            parts.append(one(positive))
+        return joined([p for p in parts if p], "and")
 
-    def some(positive: bool) -> bool:
+    def some(positive: bool) -> list[dict]:
         nonlocal at
-        found = every(positive)
-        while at < len(tokens) and not here(")"):
-            if here("OR"):
-                at += 1
-            before = at
-            if every(positive):
-                if found:
-                    step("or")
-                found = True
-            elif at == before:
-                break
-        return found
-
+        any_, none, least = [], [], -1
+        while at < len(tokens) and not here(")") and at > least:
+            least, either = at, here("OR")
+            at += either
+            bare = here("NOT", "-") and not either
+            if found := every(positive):
+                (none if bare and found[-1]["op"] == "not" else any_).append(found)
+        # A negation beside other conditions takes away from all of them.
+        return joined([p for p in (joined(any_, "or"), *none) if p], "and")
+
+    out = []
     while at < len(tokens):
-        before = len(out)
-        if some(True) and before:
-            step("or")
-        if here(")"):
-            at += 1
-    return out
+        found = some(True)
+        out = [p for p in (*out, found) if p]
+        at += here(")")
+    return joined(out, "or")
 
 
 def programs(queries: DataFrame) -> DataFrame:

@@ -142,10 +142,10 @@ def boolean() -> str:
         (("license", "version", "token"), f"{has('license')} AND ({has('version')} OR {has('token')}) AND NOT {has('apache')}"),
         (("license", "general", "public"), f"list_contains(a.toks, 'license') OR {phrase}"),
         ((), f"{begins} AND d.source = 'src3'"),
-        (("version",), f"NOT {has('license')} OR {has('version')}"),
+        (("version",), f"NOT {has('license')} AND {has('version')}"),
         ((), f"d.sentiment = 'mixed' AND NOT ({has('the')} OR {has('der')})"),
     )
-    found = " UNION ALL ".join(f"SELECT {i} AS query_id, d.doc_id FROM docs d JOIN told a ON a.doc_id = d.doc_id AND a.field = 'title' JOIN told b ON b.doc_id = d.doc_id AND b.field = 'text' WHERE ({where}){' AND (' + has('license') + ' OR ' + has('version') + ')' if i == 4 else ''}" for i, (_, where) in enumerate(asked, 1))
+    found = " UNION ALL ".join(f"SELECT {i} AS query_id, d.doc_id FROM docs d JOIN told a ON a.doc_id = d.doc_id AND a.field = 'title' JOIN told b ON b.doc_id = d.doc_id AND b.field = 'text' WHERE {where}" for i, (_, where) in enumerate(asked, 1))
     words = ", ".join(f"({i}, '{w}')" for i, (terms, _) in enumerate(asked, 1) for w in terms)
     return f"""{PRELUDE},
 wanted AS (SELECT * FROM (VALUES {words}) AS t(query_id, term)),

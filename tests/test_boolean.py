@@ -27,6 +27,10 @@ CASES = [
     ("(alpha OR delta) AND NOT beta", lambda d: (has(d, "alpha") or has(d, "delta")) and not has(d, "beta")),
     ("alpha AND -gamma", lambda d: has(d, "alpha") and not has(d, "gamma")),
     ("NOT (alpha AND NOT beta) AND delta", lambda d: not (has(d, "alpha") and not has(d, "beta")) and has(d, "delta")),
+    ("alpha -beta delta", lambda d: (has(d, "alpha") or has(d, "delta")) and not has(d, "beta")),
+    ("-alpha delta", lambda d: has(d, "delta") and not has(d, "alpha")),
+    ("alpha NOT (beta OR gamma)", lambda d: has(d, "alpha") and not (has(d, "beta") or has(d, "gamma"))),
+    ("alpha OR NOT beta", lambda d: has(d, "alpha")),
     ("alpha*", lambda d: begins(d, "alpha")),
     ('"alpha beta" OR title:beta', lambda d: row(d, "alpha beta") or "beta" in words(d[1])),
     ('title:"gamma ray" AND text:gamma', lambda d: "gamma ray" in " ".join(words(d[1])) and "gamma" in words(d[2])),
