@@ -8,7 +8,7 @@ from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import english_terms, plain_tokens, stem_table
@@ -28,7 +28,8 @@ class Index:
     """documents; postings: term, field, doc_id, tf, dl, positions; stats: field, n_docs, avgdl; vocabulary: term, field, df; vectors: doc_id, vector. analyzer: a key of ANALYZERS.
 
     Of a saved index also blocks: segment, term, field, block, n, most_tf, least_dl, and the lists doc_ids, tfs, dls, positions; nearby: key, word, n (see words.parts_of());
-    cells: the vectors by cell (see cells.VectorCells), if there are any; hidden: segment, doc_id of old versions that blocks still hold.
+    cells: the vectors by cell (see cells.VectorCells), if there are any; hidden: segment, doc_id of old versions that blocks still hold;
+    values: facet, value, count and days: day, label, count, votes (see facts()), of which whole-corpus counts and trends are sums.
     """
 
     documents: DataFrame
@@ -41,6 +42,8 @@ class Index:
     nearby: DataFrame | None = None
     cells: VectorCells | None = None
     hidden: DataFrame | None = None
+    values: DataFrame | None = None
+    days: DataFrame | None = None
 
     def live(self, rows: DataFrame) -> DataFrame:
         """rows (segment, doc_id, ...) without old versions."""
@@ -142,6 +145,7 @@ def save_index(index: Index, path: str, cells: bool = False, retracted: Index |
     from .cells import save_cells
 
     write_parts(path, index.documents, index.vectors, index.postings)
+    write_facts(path, facts(index.documents), None if retracted is None else facts(retracted.documents))
     blocks = index.documents.sparkSession.read.parquet(f"{path}/blocks")
     vocabulary_ = blocks.groupBy("term", "field").agg(F.sum("n").alias("df"))
     stats = blocks.groupBy("field").agg(F.sum("heads").alias("n_docs"), F.sum("tokens").alias("tokens"))
@@ -165,6 +169,33 @@ def write_parts(path: str, documents: DataFrame, vectors: DataFrame, posted: Dat
     packed.sortWithinPartitions("bucket", "term", "field", "block").write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).partitionBy("bucket").parquet(f"{path}/blocks")
 
 
+def facts(documents: DataFrame) -> dict[str, DataFrame]:
+    """values: facet, value, count of tools, sentiment and subreddit, as far as documents have them, and the total; days: day (null: undated), label, count, votes."""
+    from .facets import counted
+
+    has = set(documents.columns)
+    parts = [documents.agg(F.count("*").alias("count")).select(F.lit("total").alias("facet"), F.lit("documents").alias("value"), "count")]
+    if "tools" in has:
+        parts.append(counted(documents.select(F.explode("tools").alias("value")), "tools"))
+    parts += [counted(documents.select(F.col(c).alias("value")), c) for c in ("sentiment", "subreddit") if c in has]
+    values = parts[0]
+    for p in parts[1:]:
+        values = values.unionByName(p)
+    column = lambda name, kind, default: F.coalesce(F.col(name), default) if name in has else default.cast(kind)
+    day = F.to_date("date") if "date" in has else F.lit(None).cast("date")
+    days = documents.select(day.alias("day"), column("sentiment", "string", F.lit("not_applicable")).alias("label"), column("upvotes", "long", F.lit(0)).alias("votes"))
+    return {"values": values, "days": days.groupBy("day", "label").agg(F.count("*").alias("count"), F.sum("votes").alias("votes"))}
+
+
+def write_facts(path: str, fresh: dict[str, DataFrame], retracted: dict[str, DataFrame] | None) -> None:
+    """Sums to be added up; what is retracted is negative."""
+    for name, rows in fresh.items():
+        if retracted is not None:
+            rows = rows.unionByName(retracted[name].withColumns({c: -F.col(c) for c in ("count", "votes") if c in rows.columns}))
+        keys = [c for c in rows.columns if c not in ("count", "votes")]
+        rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in rows.columns if c not in keys)).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def write_statistics(path: str, vocabulary_: DataFrame, stats: DataFrame, analyzer: str, cells: bool = False) -> None:
     """vocabulary_: term, field, df; stats: field, n_docs, tokens. Rows are sums to be added up, and may be negative, where a segment takes old versions off."""
     from .words import keyed
@@ -204,9 +235,11 @@ def load_segments(spark: SparkSession, paths: dict[int, str], hidden: DataFrame
         words = words.groupBy("term", "field", "bucket").agg(F.sum("df").alias("df")).where("df > 0")
     near = read("nearby").groupBy("bucket", "key", "word", "field").agg(F.sum("df").alias("n")).where("n > 0").groupBy("bucket", "key", "word").agg(F.max("n").alias("n"))
     cells = VectorCells.open(spark, f"{paths[0]}/cells") if one and told and told.cells else None
+    values = read("values").groupBy("facet", "value").agg(F.sum("count").alias("count")).where("count > 0 OR facet = 'total'")
+    days = read("days").groupBy("day", "label").agg(F.sum("count").alias("count"), F.sum("votes").alias("votes")).where("count > 0")
     live = lambda name: without_hidden(read(name), hidden).drop("segment")
     analyzer = told.analyzer if told else "plain"
-    return Index(live("documents"), without_hidden(unpacked(blocks, "positions"), hidden), stats.drop("analyzer"), words, live("vectors"), analyzer, blocks, near, cells, hidden)
+    return Index(live("documents"), without_hidden(unpacked(blocks, "positions"), hidden), stats.drop("analyzer"), words, live("vectors"), analyzer, blocks, near, cells, hidden, values, days)
 
 
 def unpacked(blocks: DataFrame, *more: str) -> DataFrame:
@@ -272,6 +305,12 @@ def corpus_stats(documents: DataFrame, most: int = 100) -> DataFrame:
     return total
 
 
+def stored_stats(values: DataFrame, most: int = 100) -> DataFrame:
+    """corpus_stats() of an index's values; no document is read."""
+    place = F.row_number().over(Window.partitionBy("facet").orderBy(F.col("count").desc(), "value"))
+    return values.withColumn("place", place).where(F.col("place") <= most).select("facet", "value", "count")
+
+
 def health(documents: DataFrame, vectors: DataFrame) -> DataFrame:
     """component, rows, status: a component without rows is unhealthy."""
     told = None

@@ -20,3 +20,11 @@ def trend(rows: DataFrame, granularity: str, at: str = "date", label: str = "sen
     dated = rows.where(F.col(at).isNotNull()).groupBy(bucket(F.col(at), granularity).alias("date"))
     label_ = F.coalesce(label, F.lit("not_applicable"))
     return dated.agg(*(F.count_if(label_ == s).alias(s) for s in SENTIMENTS), F.count("*").alias("count"), F.round(F.avg(F.coalesce(votes, F.lit(0))), 2).alias("avg_upvotes"))
+
+
+def stored_trend(days: DataFrame, granularity: str) -> DataFrame:
+    """trend() of an index's days (day, label, count, votes); no document is read."""
+    dated = days.where("day IS NOT NULL").groupBy(bucket(F.col("day"), granularity).alias("date"))
+    of = lambda s: F.coalesce(F.sum(F.when(F.col("label") == s, F.col("count"))), F.lit(0))
+    n = F.sum("count")
+    return dated.agg(*(of(s).alias(s) for s in SENTIMENTS), n.alias("count"), F.round(F.sum("votes") / n, 2).alias("avg_upvotes"))

@@ -169,6 +169,16 @@ def boolean_questions(t: Tables) -> DataFrame:
     return rounded(boolean.boolean_search(t.index, told, None), "score")
 
 
+@query
+def stats_after_upserts(t: Tables) -> DataFrame:
+    return SearchEngine(grown_index(t.spark, t.sf_dir)).stats()
+
+
+@query
+def trend_after_upserts(t: Tables) -> DataFrame:
+    return SearchEngine(grown_index(t.spark, t.sf_dir)).corpus_trend("month")
+
+
 @query
 def semantic_search_threshold(t: Tables) -> DataFrame:
     engine = t.engine()

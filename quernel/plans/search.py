@@ -216,7 +216,11 @@ class SearchEngine:
         return words.spelling(queries, known, words.with_domain(near))
 
     def stats(self) -> DataFrame:
-        return index.corpus_stats(self.index.documents)
+        return index.corpus_stats(self.index.documents) if self.index.values is None else index.stored_stats(self.index.values)
+
+    def corpus_trend(self, granularity: str = "month") -> DataFrame:
+        """The trend of all documents; that of a saved index is a sum of what its batches have added and taken back."""
+        return trend.trend(self.index.documents, granularity) if self.index.days is None else trend.stored_trend(self.index.days, granularity)
 
     def health(self) -> DataFrame:
         return index.health(self.index.documents, self.index.vectors)

@@ -124,6 +124,9 @@ def merge(spark: SparkSession, path: str, growth: float = GROWTH, least: int = 4
     write_parts(f"{path}/{folder}", whole.documents, whole.vectors, whole.live(unpacked(whole.blocks, "positions")).withColumn("head", F.lit(False)))
     read = lambda name, *columns: _read(spark, path, chosen, name).select(*columns)
     write_statistics(f"{path}/{folder}", read("vocabulary", "term", "field", "df"), read("stats", "field", "n_docs", "tokens"), whole.analyzer)
+    for name, keys in (("values", ("facet", "value")), ("days", ("day", "label"))):
+        rows_ = _read(spark, path, chosen, name).drop("segment")
+        rows_.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in rows_.columns if c not in keys)).write.mode("overwrite").parquet(f"{path}/{folder}/{name}")
     hidden = 0
     if any(r.hidden for r in chosen):
         outside = held(spark.read.parquet(*(f"{path}/{r.folder}/hides" for r in chosen if r.hidden)).where(~F.col("segment").isin(*mine)), "outside")

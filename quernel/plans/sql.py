@@ -254,6 +254,8 @@ SELECT query_id, tools[pos] AS value, count(*) AS count, CAST(row_number() OVER
         "trend_day": trend("day"),
         "trend_week": trend("week"),
         "trend_month": trend("month"),
+        "trend_after_upserts": trend("month"),
+        "stats_after_upserts": f"{p} SELECT 'total' AS facet, 'documents' AS value, count(*) AS count FROM docs UNION ALL {counted('unnest(tools)', 'tools')} UNION ALL {counted('sentiment', 'sentiment')} UNION ALL {counted('source', 'subreddit')}",
         "trend_events_day": "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS count, round(avg(coalesce(value, 0)), 2) AS avg_upvotes FROM events WHERE ts IS NOT NULL GROUP BY 1",
         "trend_hybrid_threshold": trend("month", "(SELECT docs.* FROM vector_all JOIN docs USING (doc_id) WHERE score >= 0.55)"),
         "trend_keyword": trend("month", "(SELECT docs.* FROM keyword_all JOIN docs USING (doc_id))"),

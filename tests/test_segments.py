@@ -1,6 +1,7 @@
 """An index that grows by batches equals one built anew."""
 
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,13 +10,13 @@ from quernel.operators import index
 from quernel.plans import segments
 from quernel.plans.search import SearchEngine
 
-SCHEMA = "doc_id long, title string, text string, vector array<float>"
+SCHEMA = "doc_id long, title string, text string, vector array<float>, tools array<string>, sentiment string, subreddit string, date timestamp, upvotes int"
 WORDS = ["the", "the", "of", "license", "token", "plan", "price", "editor", "model", "zeta"]
 
 
 def document(rnd, i):
     text = " ".join(rnd.choice(WORDS) for _ in range(rnd.randrange(0, 25)))
-    return (i, " ".join(rnd.choice(WORDS) for _ in range(rnd.randrange(3))), rnd.choice([text, text, text, None]), rnd.choice([None, [rnd.random(), rnd.random()]]))
+    return (i, " ".join(rnd.choice(WORDS) for _ in range(rnd.randrange(3))), rnd.choice([text, text, text, None]), rnd.choice([None, [rnd.random(), rnd.random()]]), rnd.choice([None, [], ["a", " b"], ["b"]]), rnd.choice(["positive", "odd", None]), rnd.choice(["x", " ", None, "y"]), rnd.choice([None, datetime(2024, rnd.randrange(1, 13), rnd.randrange(1, 28), 23)]), rnd.choice([None, 1, 5]))
 
 
 def show(engine, asked):
@@ -27,6 +28,8 @@ def show(engine, asked):
         "vocabulary": rows(engine.index.vocabulary, "term", "field", "df"),
         "stats": rows(engine.index.stats.select("field", "n_docs", F.round("avgdl", 9)), "*"),
         "documents": rows(engine.index.documents, "doc_id", "title", "text"),
+        "facets": rows(engine.stats(), "facet", "value", "count"),
+        **{g: rows(engine.corpus_trend(g), "*") for g in ("day", "week", "month")},
         "postings": rows(engine.index.postings, "term", "field", "doc_id", "tf", "dl", "positions"),
     }
 
@@ -41,7 +44,7 @@ def test_batches_equal_a_rebuild(spark, tmp_path, analyzer):
         gone = rnd.sample(sorted(state), 3) if state else []
         state = {i: r for i, r in state.items() if i not in gone} | {r[0]: r for r in rows}
         before = len(segments.manifest(spark, path))
-        batch = spark.createDataFrame([*rows, (None, "no", "id", None)], SCHEMA)
+        batch = spark.createDataFrame([*rows, (None, "no", "id", *[None] * 6)], SCHEMA)
         segments.upsert(batch, path, analyzer, spark.createDataFrame([(i,) for i in [*gone, 777]], "doc_id long"), number)
         merged += len(segments.manifest(spark, path)) <= before
         if number in (1, 4):
