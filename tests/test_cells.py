@@ -68,3 +68,18 @@ def test_tables_without_vectors(spark, tmp_path):
     cells.save_cells(spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])], schema), f"{tmp_path}/few", n_cells=2)
     got = cells.VectorCells.open(spark, f"{tmp_path}/few").search(asked, 2, probes=2).orderBy("ord").collect()
     assert [(r.doc_id, round(r.score, 6)) for r in got] == [("a", 1.0), ("b", 1.0)]
+
+
+def test_an_engine_searches_by_cells(spark, tmp_path):
+    from quernel.config import SearchConfig
+    from quernel.operators import index
+    from quernel.plans.search import SearchEngine
+
+    x = clustered(400, 8, 2, groups=8)
+    docs = spark.createDataFrame([(i, "a title", f"text {i}", v.tolist()) for i, v in enumerate(x)], "doc_id long, title string, text string, vector array<float>")
+    index.save_index(index.build_index(docs), f"{tmp_path}/index", cells=True)
+    asked = spark.createDataFrame([(i, "text", x[i].tolist()) for i in (3, 30, 300)], "query_id int, q string, vector array<float>")
+    exact, near = (SearchEngine.open(spark, f"{tmp_path}/index", config=SearchConfig(vector_rows=10, vector_probes=p)) for p in (0, 20))
+    assert exact.index.cells is not None and len(exact.index.cells.centers) == 20
+    # All cells are read, and all candidates that codes rank among the first 80 are scored exactly.
+    assert len(told(near.vector(asked, 10)) & told(exact.vector(asked, 10))) >= 27
