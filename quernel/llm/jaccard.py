@@ -36,6 +36,8 @@ WIDTH, PERCENT = 4, 85
 DENSE, LAST, LONG = 64, 1 << 18, 256
 #: Nodes and n-grams in a block, about; bytes of text handled at once.
 BLOCK, BLOCK_GRAMS, SHARD_BYTES = 1024, 1 << 18, 2 << 20
+#: Sets that share a member up to which it is counted pair by pair at least; columns of a dense product, and pairs that are counted, at once.
+SHORT_COLUMN, COLUMNS, COUNTED = 8, 4096, 1 << 21
 #: Words whose hashes a task remembers; prefix n-grams that a task counts at once.
 KNOWN_WORDS, HELD = 1 << 18, 1 << 20
 #: Bits at most of a bitmap of texts to read; pairs of one node that a task compares, about.
@@ -277,39 +279,63 @@ def block_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return placed.join(pairs, [*key, "part"]).select("key", "cluster", "node", "component")
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two sets share. Members of one set only are left out; those of a few sets are counted pair by pair, only those of
+    many sets (an eighth of all) are columns of a dense product. So the work goes by what is shared, not by how many members there are."""
+    n = len(sets)
+    members, row = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(members, kind="stable")
+    members, row = members[order], row[order]
+    start = np.flatnonzero(np.concatenate([[True], members[1:] != members[:-1]])[: len(members)])
+    many = np.diff(np.append(start, len(members)))
+    shared = np.zeros((n, n), dtype=np.float32)
+    full = max(SHORT_COLUMN, n // 8)
+    wide = np.flatnonzero(many > full)
+    for x in range(0, len(wide), COLUMNS):
+        of = wide[x : x + COLUMNS]
+        block = np.zeros((n, len(of)), dtype=np.float32)
+        column = np.repeat(np.arange(len(of)), many[of])
+        block[row[np.arange(len(column)) + np.repeat(start[of] - np.cumsum(many[of]) + many[of], many[of])], column] = 1
+        shared += block @ block.T
+    shared = shared.astype(np.int64)
+    for c in np.unique(many[(many > 1) & (many <= full)]):
+        # Rows of a column ascend, as the sort is stable.
+        rows, (i, j) = row[start[many == c][:, None] + np.arange(c)], np.triu_indices(c, 1)
+        step = max(1, COUNTED // len(i))
+        for x in range(0, len(rows), step):
+            pairs, times = np.unique((rows[x : x + step, i] * n + rows[x : x + step, j]).ravel(), return_counts=True)
+            shared.ravel()[pairs] += times
+    return np.maximum(shared, shared.T)
+
+
+def connecting(nodes: np.ndarray, components: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between the nodes (pairs) that connect all components that their links connect."""
+    shared, size, parent, out = overlaps(sets), np.array([len(s) for s in sets]), {}, []
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    i, j = np.nonzero(np.triu(100 * shared >= percent * (size[:, None] + size - shared), 1))
+    # One link of each two components will do.
+    component = np.unique(components, return_inverse=True)[1]
+    low, high = np.minimum(component[i], component[j]), np.maximum(component[i], component[j])
+    first = np.unique(low * len(nodes) + high, return_index=True)[1]
+    for k in first[low[first] != high[first]]:
+        x, y = root(low[k]), root(high[k])
+        if x != y:
+            parent[x] = y
+            out.append((nodes[i[k]], nodes[j[k]]))
+    return out
+
+
 def multiplied(places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """u, v: of the nodes that share a key and a cluster (key, cluster, node, component), links that connect all components that their links connect."""
 
     def multiply(group: pd.DataFrame) -> list[tuple[int, int]]:
-        sets = [np.frombuffer(g, np.uint64) for g in group["grams"]]
-        nodes, parent = group["node"].to_numpy(), {}
-        size = np.array([len(s) for s in sets])
-
-        def root(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        grams, column = np.unique(np.concatenate(sets), return_inverse=True)
-        row = np.repeat(np.arange(len(sets)), size)
-        shared = np.zeros((len(sets), len(sets)), dtype=np.float32)
-        by_column = np.argsort(column, kind="stable")
-        row, column = row[by_column], column[by_column]
-        edge = np.searchsorted(column, np.arange(0, len(grams) + 4096, 4096))
-        for i, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-            block = np.zeros((len(sets), 4096), dtype=np.float32)
-            block[row[x:y], column[x:y] - 4096 * i] = 1
-            shared += block @ block.T
-        shared = shared.astype(np.int64)
-        similar = 100 * shared >= percent * (size[:, None] + size - shared)
-        components, out = group["component"].to_numpy(), []
-        for i, j in zip(*np.nonzero(np.triu(similar, 1)), strict=True):
-            x, y = root(components[i]), root(components[j])
-            if x != y:
-                parent[x] = y
-                out.append((nodes[i], nodes[j]))
-        return out
+        return connecting(group["node"].to_numpy(), group["component"].to_numpy(), [np.frombuffer(g, np.uint64) for g in group["grams"]], percent)
 
     def each(group: pd.DataFrame) -> pd.DataFrame:
         out = [link for _, rows in group.drop_duplicates(["cluster", "node"]).groupby("cluster") if len(rows) > 1 for link in multiply(rows)]

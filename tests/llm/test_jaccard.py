@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -119,3 +120,22 @@ def test_prefix_size_is_exact():
         need = -(-85 * n // 100)
         assert jaccard.prefix_size(n, 85) == n - need + 1
     assert np.array_equal(jaccard.Order(np.array([5, 1], np.uint64), np.array([9, 2])).first(np.array([1, 3, 5, 8], np.uint64), 3), [3, 8, 1])
+
+
+@pytest.mark.parametrize(("n", "pool"), [(1, 5), (2, 5), (30, 40), (200, 1500), (200, 60)])
+def test_overlaps_of_sets(n, pool):
+    rng = np.random.default_rng(n + pool)
+    sets = [np.unique(rng.integers(0, pool, rng.integers(1, 30)).astype(np.uint64)) for _ in range(n)]
+    found = jaccard.overlaps(sets)
+    assert all(found[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(n) for j in range(n) if i != j)
+
+
+def test_two_blocks_cost_what_their_nodes_share():
+    """Two full blocks whose nodes share a passage and little else: the work must not be that of a dense product over all n-grams (2 * 10^12 steps)."""
+    rng = np.random.default_rng(1)
+    passage = rng.integers(0, 1 << 60, 30, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.integers(0, 1 << 60, 226, dtype=np.uint64), passage])) for _ in range(2 * jaccard.BLOCK)]
+    sets[5] = sets[1000]
+    start = time.process_time()
+    assert jaccard.connecting(np.arange(len(sets)), np.arange(len(sets)), sets, 80) == [(5, 1000)]
+    assert time.process_time() - start < 10
