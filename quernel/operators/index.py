@@ -8,10 +8,12 @@ from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import english_terms, plain_tokens, stem_table
+from ..functions.text import Porter, english_terms, plain_tokens, stem_table
 from ..sources.shared import stated
 
 if TYPE_CHECKING:
@@ -19,8 +21,8 @@ if TYPE_CHECKING:
 
 FIELDS = ("title", "text")
 BUCKETS = 64
-#: Documents of a block, about; a document's block is chosen by hash of its id.
-BLOCK = 128
+#: Documents of a block at most, which are neighbours in storage; a merge chooses blocks by hash of the id. Tokens that a task handles at once, about.
+BLOCK, TOKENS = 128, 1 << 19
 
 
 @dataclass
@@ -30,6 +32,7 @@ class Index:
     Of a saved index also blocks: segment, term, field, block, n, most_tf, least_dl, and the lists doc_ids, tfs, dls, positions; nearby: key, word, n (see words.parts_of());
     cells: the vectors by cell (see cells.VectorCells), if there are any; hidden: segment, doc_id of old versions that blocks still hold;
     values: facet, value, count and days: day, label, count, votes (see facts()), of which whole-corpus counts and trends are sums.
+    Of one that isn't saved tokens: field, doc_id, tokens (see field_tokens()).
     """
 
     documents: DataFrame
@@ -44,6 +47,7 @@ class Index:
     hidden: DataFrame | None = None
     values: DataFrame | None = None
     days: DataFrame | None = None
+    tokens: DataFrame | None = None
 
     def live(self, rows: DataFrame) -> DataFrame:
         """rows (segment, doc_id, ...) without old versions."""
@@ -68,30 +72,116 @@ def field_tokens(documents: DataFrame, tokens: Callable[[Column], Column] = plai
     return documents.select("doc_id", each.alias("x")).select("x.field", "doc_id", "x.tokens")
 
 
-def _posted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (field, doc_id, tokens) the postings; head: whether it is the first one of its row."""
-    for batch in batches:
-        field, doc_id, tokens = batch.columns
-        sizes = np.diff(tokens.offsets.to_numpy())
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        coded = tokens.flatten().dictionary_encode()
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        order = np.argsort(row * max(1, len(coded.dictionary)) + code, kind="stable")
+def _ranges(sizes: np.ndarray, rows: int) -> Iterator[tuple[int, int]]:
+    """Ranges of at most so many consecutive rows, and of about TOKENS tokens (sizes: of each row); a longer row has a range of its own."""
+    start, ends = 0, np.cumsum(sizes)
+    while start < len(sizes):
+        before = ends[start] - sizes[start]
+        end = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + TOKENS, side="right"))))
+        yield start, end
+        start = end
+
+
+class _Terms:
+    """Terms of tokens as the analyzer has them: stems are looked up once for the distinct tokens of a batch, and the usual ones once in a task."""
+
+    def __init__(self, analyzer: str):
+        self.porter, self.known = Porter() if analyzer == "english" else None, {}
+
+    def coded(self, tokens: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Distinct terms, and which of them each token is."""
+        found = tokens.dictionary_encode()
+        code = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        if self.porter is None:
+            return found.dictionary, code
+        if len(self.known) > TOKENS:
+            self.known.clear()
+        words = found.dictionary.to_pylist()
+        for w in words:
+            if w not in self.known:
+                self.known[w] = self.porter.stem(w)
+        stems = pa.array([self.known[w] for w in words], pa.string()).dictionary_encode()
+        return stems.dictionary, stems.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code]
+
+
+def _placed(tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of tokens of each row; of each token its row and its place there."""
+    sizes = np.diff(tokens.offsets.to_numpy())
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return sizes, row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _posted(analyzer: str):
+    """Function for mapInArrow: of rows (field, doc_id, tokens) the postings; head: whether it is the first one of its row."""
+
+    def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = _Terms(analyzer)
+        for whole in batches:
+            for a, b in _ranges(np.diff(whole.column(2).offsets.to_numpy()), len(whole)):
+                field, doc_id, tokens = whole.slice(a, b - a).columns
+                sizes, row, place = _placed(tokens)
+                names, code = terms.coded(tokens.flatten())
+                order = np.argsort(row * max(1, len(names)) + code, kind="stable")
+                row, code, place = row[order], code[order], place[order]
+                new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])])[: len(row)])
+                ends = np.append(new, len(row))
+                head = np.concatenate([[True], row[new][1:] != row[new][:-1]])[: len(new)]
+                positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place, pa.int32()))
+                taken = lambda x: x.take(pa.array(row[new]))  # noqa: E731, B023
+                columns = [names.take(pa.array(code[new])), taken(field), taken(doc_id), pa.array(np.diff(ends)), pa.array(sizes[row[new]].astype(np.int64)), positions, pa.array(head)]
+                yield pa.RecordBatch.from_arrays(columns, names=["term", "field", "doc_id", "tf", "dl", "positions", "head"])
+
+    return post
+
+
+def postings(tokens: DataFrame, analyzer: str = "plain") -> DataFrame:
+    """term, field, doc_id, tf, dl, positions, head (see _posted()): a row of tokens holds all of a document's field, so nothing is shuffled."""
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    return tokens.select("field", "doc_id", "tokens").mapInArrow(_posted(analyzer), f"term string, field string, doc_id {kind}, tf long, dl long, positions array<int>, head boolean")
+
+
+def _blocked(analyzer: str, fields: tuple[str, ...]):
+    """Function for mapInArrow: of rows (doc_id, and tokens of each field) blocks as in_blocks() has them, of neighbouring rows. A document's fields are in one block."""
+
+    def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, number = _Terms(analyzer), TaskContext.get().partitionId() << 24
+        for whole in batches:
+            for a, b in _ranges(sum(np.diff(c.offsets.to_numpy()) for c in whole.columns[1:]), BLOCK):
+                part = whole.slice(a, b - a)
+                part = part.take(pc.sort_indices(part.column(0), null_placement="at_start"))
+                for field, tokens in zip(fields, part.columns[1:], strict=True):
+                    if len(tokens.flatten()):
+                        yield block(terms, number, field, part.column(0), tokens)
+                number += 1
+
+    def block(terms: _Terms, number: int, field: str, doc_id: pa.Array, tokens: pa.ListArray) -> pa.RecordBatch:
+        sizes, row, place = _placed(tokens)
+        names, code = terms.coded(tokens.flatten())
+        order = np.argsort(code * len(sizes) + row, kind="stable")
         row, code, place = row[order], code[order], place[order]
-        new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])])[: len(row)])
-        ends = np.append(new, len(row))
-        head = np.concatenate([[True], row[new][1:] != row[new][:-1]])[: len(new)]
-        positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place, pa.int32()))
-        taken = lambda x: x.take(pa.array(row[new]))  # noqa: E731, B023
-        columns = [coded.dictionary.take(pa.array(code[new])), taken(field), taken(doc_id), pa.array(np.diff(ends)), pa.array(sizes[row[new]].astype(np.int64)), positions, pa.array(head)]
-        yield pa.RecordBatch.from_arrays(columns, names=["term", "field", "doc_id", "tf", "dl", "positions", "head"])
+        new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])]))
+        of, tf, dl = code[new], np.diff(np.append(new, len(row))), sizes[row[new]].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        edges = pa.array(np.append(first, len(of)), pa.int32())
+        lists = lambda values: pa.ListArray.from_arrays(edges, values)
+        positions = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)), pa.int32()), pa.array(place, pa.int32()))
+        # What a field has in the block is told by the first of its rows.
+        once = lambda n: pa.array(np.where(np.arange(len(first)) == 0, n, 0).astype(np.int64))
+        columns = [names.take(pa.array(of[first])), pa.array([field] * len(first)), pa.array(np.full(len(first), number)), pa.array(np.diff(np.append(first, len(of))), pa.int32()), pa.array(np.maximum.reduceat(tf, first)), pa.array(np.minimum.reduceat(dl, first))]
+        columns += [once((sizes > 0).sum()), once(sizes.sum()), lists(doc_id.take(pa.array(row[new]))), lists(pa.array(tf)), lists(pa.array(dl)), lists(positions)]
+        return pa.RecordBatch.from_arrays(columns, names=BLOCK_COLUMNS)
 
+    return put
 
-def postings(tokens: DataFrame) -> DataFrame:
-    """term, field, doc_id, tf, dl, positions, head (see _posted()): a row of tokens holds all of a document's field, so nothing is shuffled."""
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.select("field", "doc_id", "tokens").mapInArrow(_posted, f"term string, field string, doc_id {kind}, tf long, dl long, positions array<int>, head boolean")
+
+BLOCK_COLUMNS = ["term", "field", "block", "n", "most_tf", "least_dl", "heads", "tokens", "doc_ids", "tfs", "dls", "positions"]
+
+
+def blocks_of(documents: DataFrame, analyzer: str = "plain") -> DataFrame:
+    """Blocks of documents as they lie in storage: neither texts nor postings are shuffled for them."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    schema = f"term string, field string, block long, n int, most_tf long, least_dl long, heads long, tokens long, doc_ids array<{kind}>, tfs array<long>, dls array<long>, positions array<array<int>>"
+    return documents.select("doc_id", *(ANALYZERS[analyzer](F.col(f)).alias(f) for f in FIELDS)).mapInArrow(_blocked(analyzer, FIELDS), schema)
 
 
 def field_stats(tokens: DataFrame) -> DataFrame:
@@ -100,17 +190,16 @@ def field_stats(tokens: DataFrame) -> DataFrame:
     return tokens.where(n > 0).groupBy("field").agg(F.count("*").alias("n_docs"), (F.sum(n) / F.count("*")).alias("avgdl"))
 
 
-def vocabulary(postings_: DataFrame) -> DataFrame:
-    return postings_.groupBy("term", "field").agg(F.count("*").alias("df"))
+def vocabulary(tokens: DataFrame) -> DataFrame:
+    """term, field, df of tokens that are terms as they are."""
+    return tokens.select("field", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term", "field").agg(F.count("*").alias("df"))
 
 
 def build_index(documents: DataFrame, analyzer: str = "plain") -> Index:
     told = field_tokens(documents, ANALYZERS[analyzer])
-    posted = postings(told)
-    if analyzer == "english":
-        same = stemmed(posted, analyzer).groupBy("term", "field", "doc_id")
-        posted = same.agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"), F.bool_or("head").alias("head"))
-    return Index(documents.drop("vector"), posted, field_stats(told), vocabulary(posted), documents.where("vector IS NOT NULL").select("doc_id", "vector"), analyzer)
+    posted = postings(told, analyzer)
+    words = vocabulary(told) if analyzer == "plain" else posted.groupBy("term", "field").agg(F.count("*").alias("df"))
+    return Index(documents.drop("vector"), posted, field_stats(told), words, documents.where("vector IS NOT NULL").select("doc_id", "vector"), analyzer, tokens=told)
 
 
 def term_bucket(term: Column) -> Column:
@@ -144,28 +233,30 @@ def save_index(index: Index, path: str, cells: bool = False, retracted: Index |
     """cells: whether the vectors are saved by cell too, for approximate search. retracted: old versions, of which the statistics are taken off (see plans.segments)."""
     from .cells import save_cells
 
-    write_parts(path, index.documents, index.vectors, index.postings)
-    write_facts(path, facts(index.documents), None if retracted is None else facts(retracted.documents))
+    write_parts(path, index.documents, index.vectors, index.analyzer)
+    # Documents may be a join of tables: what is made of them is made of those that are written.
+    write_facts(path, facts(index.documents.sparkSession.read.parquet(f"{path}/documents")), None if retracted is None else facts(retracted.documents))
     blocks = index.documents.sparkSession.read.parquet(f"{path}/blocks")
     vocabulary_ = blocks.groupBy("term", "field").agg(F.sum("n").alias("df"))
     stats = blocks.groupBy("field").agg(F.sum("heads").alias("n_docs"), F.sum("tokens").alias("tokens"))
     if retracted is not None:
         vocabulary_ = vocabulary_.unionByName(retracted.vocabulary.withColumn("df", -F.col("df")))
-        minus = retracted.postings.where("head").groupBy("field").agg((-F.count("*")).alias("n_docs"), (-F.sum("dl")).alias("tokens"))
+        minus = retracted.tokens.where(F.size("tokens") > 0).groupBy("field").agg((-F.count("*")).alias("n_docs"), (-F.sum(F.size("tokens"))).alias("tokens"))
         stats = stats.unionByName(minus)
     if cells:
         save_cells(index.vectors, f"{path}/cells")
     write_statistics(path, vocabulary_, stats, index.analyzer, cells)
 
 
-def write_parts(path: str, documents: DataFrame, vectors: DataFrame, posted: DataFrame) -> None:
+def write_parts(path: str, documents: DataFrame, vectors: DataFrame, analyzer: str = "plain", posted: DataFrame | None = None) -> None:
     """Blocks lie in folders by term bucket; a task writes to one bucket's folder only, large buckets by several tasks. Documents are sorted by id, so that those of given
-    ids are in few row groups. Texts are read once, for the blocks."""
+    ids are in few row groups. Blocks are made of the documents written, or of postings, where these are at hand."""
     spark = documents.sparkSession
     documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/documents")
     vectors.write.mode("overwrite").parquet(f"{path}/vectors")
-    n_blocks = max(1, -(-spark.read.parquet(f"{path}/documents").count() // BLOCK))
-    packed = in_blocks(posted, n_blocks).withColumn("bucket", term_bucket(F.col("term"))).hint("rebalance", "bucket")
+    put = spark.read.schema(documents.schema).parquet(f"{path}/documents")
+    packed = blocks_of(put, analyzer) if posted is None else in_blocks(posted, max(1, -(-put.count() // BLOCK)))
+    packed = packed.withColumn("bucket", term_bucket(F.col("term"))).hint("rebalance", "bucket")
     packed.sortWithinPartitions("bucket", "term", "field", "block").write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).partitionBy("bucket").parquet(f"{path}/blocks")
 
 
@@ -226,7 +317,7 @@ def load_segments(spark: SparkSession, paths: dict[int, str], hidden: DataFrame
 
     one = len(paths) == 1
     # Blocks of several segments are told apart by their numbers.
-    blocks = read("blocks", lambda i, rows: rows.withColumns({"segment": F.lit(i), "block": F.col("block") + F.lit(i).cast("long") * (1 << 32)}))
+    blocks = read("blocks", lambda i, rows: rows.withColumns({"segment": F.lit(i), "block": F.col("block") + F.lit(i).cast("long") * (1 << 44)}))
     sums = read("stats").groupBy("field", "analyzer").agg(F.sum("n_docs").alias("n_docs"), F.sum("tokens").alias("tokens"))
     stats = stated(sums.where("n_docs > 0").select("field", "n_docs", (F.col("tokens") / F.col("n_docs")).alias("avgdl"), "analyzer"))[0]
     told = read("stats").select("analyzer", "cells").first()

@@ -140,7 +140,7 @@ def grown_index(spark: SparkSession, sf_dir: str) -> index.Index:
     """All documents by batches: each first with another text, then as it is, those of one language and the others apart."""
 
     def save(path: str) -> None:
-        docs, english = search_documents(spark, sf_dir), F.coalesce(F.array_contains("tools", "en"), F.lit(False))
+        docs, english = held(search_documents(spark, sf_dir), "documents"), F.coalesce(F.array_contains("tools", "en"), F.lit(False))
         segments.upsert(docs.withColumn("text", F.concat("text", F.lit(" and the license"))), path)
         segments.upsert(docs.where(english), path)
         segments.upsert(docs.where(~english), path)

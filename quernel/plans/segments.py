@@ -121,7 +121,7 @@ def merge(spark: SparkSession, path: str, growth: float = GROWTH, least: int = 4
         return
     mine, folder = {r.segment for r in chosen}, f"segments/{uuid.uuid4().hex}"
     whole = load_segments(spark, {r.segment: f"{path}/{r.folder}" for r in chosen}, _hidden(spark, path, chosen))
-    write_parts(f"{path}/{folder}", whole.documents, whole.vectors, whole.live(unpacked(whole.blocks, "positions")).withColumn("head", F.lit(False)))
+    write_parts(f"{path}/{folder}", whole.documents, whole.vectors, posted=whole.live(unpacked(whole.blocks, "positions")).withColumn("head", F.lit(False)))
     read = lambda name, *columns: _read(spark, path, chosen, name).select(*columns)
     write_statistics(f"{path}/{folder}", read("vocabulary", "term", "field", "df"), read("stats", "field", "n_docs", "tokens"), whole.analyzer)
     for name, keys in (("values", ("facet", "value")), ("days", ("day", "label"))):
