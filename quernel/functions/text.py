@@ -61,7 +61,8 @@ def word_tokens(text: Column) -> Column:
 def english_terms(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     """word_tokens without stop words, possessive endings dropped; still to be stemmed (stem_table)."""
     kept = F.filter(word_tokens(text), lambda t: ~t.isin(*stop_words))
-    return F.transform(kept, lambda t: F.regexp_replace(t, "['’]s$", ""))
+    possessive = lambda t: F.endswith(t, F.lit("'s")) | F.endswith(t, F.lit("’s"))
+    return F.transform(kept, lambda t: F.when(possessive(t), t.substr(F.lit(1), F.length(t) - 2)).otherwise(t))
 
 
 class Porter:

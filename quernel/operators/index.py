@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import Porter, english_terms, plain_tokens, stem_table
-from ..sources.shared import stated
+from ..sources.shared import held, stated
 
 if TYPE_CHECKING:
     from .cells import VectorCells
@@ -111,8 +111,18 @@ def _placed(tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sizes, row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def _posted(analyzer: str):
-    """Function for mapInArrow: of rows (field, doc_id, tokens) the postings; head: whether it is the first one of its row."""
+def _posted(analyzer: str, only: list[str] | None = None):
+    """Function for mapInArrow: of rows (field, doc_id, tokens) the postings; head: whether it is the first one of its row.
+
+    only: terms whose postings are asked for. Then rows without a term tell, for each field, how many documents have a token there (tf) and how many tokens there are (dl).
+    """
+    columns = ["term", "field", "doc_id", "tf", "dl", "positions", "head"]
+
+    def sums(field: pa.Array, doc_id: pa.Array, sizes: np.ndarray) -> pa.RecordBatch:
+        told = pa.table({"field": field, "n": pa.array(sizes > 0).cast(pa.int64()), "tokens": pa.array(sizes.astype(np.int64))}).group_by("field").aggregate([("n", "sum"), ("tokens", "sum")])
+        none = lambda kind: pa.nulls(len(told), kind)
+        field, n, tokens = (told[c].combine_chunks() for c in ("field", "n_sum", "tokens_sum"))
+        return pa.RecordBatch.from_arrays([none(pa.string()), field, none(doc_id.type), n, tokens, none(pa.list_(pa.int32())), none(pa.bool_())], names=columns)
 
     def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = _Terms(analyzer)
@@ -121,6 +131,10 @@ def _posted(analyzer: str):
                 field, doc_id, tokens = whole.slice(a, b - a).columns
                 sizes, row, place = _placed(tokens)
                 names, code = terms.coded(tokens.flatten())
+                if only is not None:
+                    yield sums(field, doc_id, sizes)
+                    asked = pc.is_in(names, value_set=pa.array(only, pa.string())).to_numpy(zero_copy_only=False)[code]
+                    row, place, code = row[asked], place[asked], code[asked]
                 order = np.argsort(row * max(1, len(names)) + code, kind="stable")
                 row, code, place = row[order], code[order], place[order]
                 new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])])[: len(row)])
@@ -128,16 +142,16 @@ def _posted(analyzer: str):
                 head = np.concatenate([[True], row[new][1:] != row[new][:-1]])[: len(new)]
                 positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place, pa.int32()))
                 taken = lambda x: x.take(pa.array(row[new]))  # noqa: E731, B023
-                columns = [names.take(pa.array(code[new])), taken(field), taken(doc_id), pa.array(np.diff(ends)), pa.array(sizes[row[new]].astype(np.int64)), positions, pa.array(head)]
-                yield pa.RecordBatch.from_arrays(columns, names=["term", "field", "doc_id", "tf", "dl", "positions", "head"])
+                values = [names.take(pa.array(code[new])), taken(field), taken(doc_id), pa.array(np.diff(ends)), pa.array(sizes[row[new]].astype(np.int64)), positions, pa.array(head)]
+                yield pa.RecordBatch.from_arrays(values, names=columns)
 
     return post
 
 
-def postings(tokens: DataFrame, analyzer: str = "plain") -> DataFrame:
+def postings(tokens: DataFrame, analyzer: str = "plain", only: list[str] | None = None) -> DataFrame:
     """term, field, doc_id, tf, dl, positions, head (see _posted()): a row of tokens holds all of a document's field, so nothing is shuffled."""
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.select("field", "doc_id", "tokens").mapInArrow(_posted(analyzer), f"term string, field string, doc_id {kind}, tf long, dl long, positions array<int>, head boolean")
+    return tokens.select("field", "doc_id", "tokens").mapInArrow(_posted(analyzer, only), f"term string, field string, doc_id {kind}, tf long, dl long, positions array<int>, head boolean")
 
 
 def _blocked(analyzer: str, fields: tuple[str, ...]):
@@ -202,6 +216,19 @@ def build_index(documents: DataFrame, analyzer: str = "plain") -> Index:
     return Index(documents.drop("vector"), posted, field_stats(told), words, documents.where("vector IS NOT NULL").select("doc_id", "vector"), analyzer, tokens=told)
 
 
+def of_asked(index: Index, terms: DataFrame) -> Index:
+    """What an index that isn't saved has of a few asked terms (term): their postings and vocabulary, and the statistics, from one reading of the texts. Other indexes as they are."""
+    if index.tokens is None:
+        return index
+    rows = stated(terms.select("term").distinct())[1]
+    if rows is None:
+        return index
+    found = held(postings(index.tokens, index.analyzer, sorted(r.term for r in rows)), "asked")
+    posted = found.where("term IS NOT NULL")
+    sums = found.where("term IS NULL").groupBy("field").agg(F.sum("tf").alias("n_docs"), (F.sum("dl") / F.sum("tf")).alias("avgdl")).where("n_docs > 0")
+    return replace(index, postings=posted, stats=sums, vocabulary=posted.groupBy("term", "field").agg(F.count("*").alias("df")), tokens=None)
+
+
 def term_bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 

@@ -88,12 +88,12 @@ class SearchEngine:
 
     def keyword(self, queries: DataFrame, k: int | None) -> DataFrame:
         """The best k, or, without k, all that match, in no order."""
-        terms, quoted = self.terms(queries), stated(retrieve.asked_phrases(queries, self.index.analyzer))[0]
-        quoted = None if quoted.isEmpty() else quoted
+        terms, quoted = stated(self.terms(queries))[0], stated(retrieve.asked_phrases(queries, self.index.analyzer))[0]
+        quoted, found = None if quoted.isEmpty() else quoted, index.of_asked(self.index, terms)
         if k is not None:
-            return retrieve.keyword_top(self.index, terms, k, self.config, phrases=quoted)
-        scores = retrieve.keyword_scores(self.index, terms, self.config)
-        return scores if quoted is None else retrieve.with_phrases(scores, self.index, quoted)
+            return retrieve.keyword_top(found, terms, k, self.config, phrases=quoted)
+        scores = retrieve.keyword_scores(found, terms, self.config)
+        return scores if quoted is None else retrieve.with_phrases(scores, found, quoted)
 
     def boolean(self, queries: DataFrame, k: int | None = None) -> DataFrame:
         """The best documents for questions with AND, OR, NOT, groups, fields and open endings (see operators.boolean)."""

@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quernel.functions import text
 from quernel.operators import index
+from quernel.plans.search import SearchEngine
 
 
 def documents(spark, n=300):
@@ -59,3 +61,30 @@ def test_vocabulary_of_plain_words_needs_no_python(spark):
     assert "Arrow" not in plan(built.vocabulary)
     df = {(r.term, r.field): r.df for r in built.postings.groupBy("term", "field").agg(F.count("*").alias("df")).collect()}
     assert {(r.term, r.field): r.df for r in built.vocabulary.collect()} == df
+
+
+@pytest.mark.parametrize("analyzer", ["plain", "english"])
+def test_texts_are_read_once_for_asked_terms(spark, monkeypatch, analyzer):
+    """What is known of asked terms equals what the whole index has of them; nothing of the texts is in the plan of the search any more."""
+    monkeypatch.setattr(index, "TOKENS", 50)
+    built = index.build_index(documents(spark), analyzer)
+    asked = spark.createDataFrame([("run",), ("licens",), ("license",), ("x1",), ("none",), ("x1",)], "term string")
+    found = index.of_asked(built, asked)
+    for name in ("postings", "vocabulary", "stats"):
+        rows = getattr(built, name)
+        rows = rows.join(asked.distinct(), "term", "left_semi") if "term" in rows.columns else rows
+        kept = [c for c in rows.columns if c != "head"]
+        got = getattr(found, name)
+        assert "Arrow" not in plan(got) and "Arrow" in plan(built.postings)
+        assert sorted(map(str, got.select(*kept).collect())) == sorted(map(str, rows.select(*kept).collect()))
+    engine, calls = SearchEngine(built), []
+    real = index._posted
+    monkeypatch.setattr(index, "_posted", lambda *a: calls.append(a) or real(*a))
+    told = engine.keyword(spark.createDataFrame([(1, "running license x1")], "query_id int, q string"), 5)
+    assert len(calls) == 1 and "Arrow" not in plan(told) and told.count() == 5
+
+
+def test_possessive_endings(spark):
+    words = ["cat's", "cat’s", "it's", "s", "x's's", "l'été", "dogs'", "'s"]
+    told = spark.createDataFrame([(" ".join(words),)], "t string").select(text.english_terms(F.col("t")).alias("w")).first().w
+    assert told == ["cat", "cat", "it", "s", "x's", "l'été", "dogs", "s"]
