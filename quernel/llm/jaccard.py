@@ -38,8 +38,8 @@ DENSE, LAST, LONG = 64, 1 << 18, 256
 BLOCK, BLOCK_GRAMS, SHARD_BYTES = 1024, 1 << 18, 2 << 20
 #: Sets that share a member up to which it is counted pair by pair at least; columns of a dense product, and pairs that are counted, at once.
 SHORT_COLUMN, COLUMNS, COUNTED = 8, 4096, 1 << 21
-#: Words whose hashes a task remembers; prefix n-grams that a task counts at once.
-KNOWN_WORDS, HELD = 1 << 18, 1 << 20
+#: Prefix n-grams that a task counts at once.
+HELD = 1 << 20
 #: Bits at most of a bitmap of texts to read; pairs of one node that a task compares, about.
 MOST_BITS, PARTNERS = 1 << 27, 256
 #: Parts of a column of a dense n-gram.
@@ -48,10 +48,29 @@ BETWEEN = b"\xff"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def words_of(text: bytes) -> pa.BinaryArray:
+    """The words of a text, between runs of ASCII white space."""
+    data = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(data) + 2, dtype=bool)
+    inside[1:-1] = (data != 32) & (data - np.uint8(9) > 4)
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    ends = np.concatenate([[0], np.cumsum(edges[1::2] - edges[::2])]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data[inside[1:-1]])])
+
+
+class WordHashes:
+    """Hash of each word of a text. Only the distinct ones are Python objects; none is kept."""
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        words = words_of(text).dictionary_encode()
+        told = words.dictionary.to_numpy(zero_copy_only=False)
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, told), dtype=np.uint64, count=len(told))[words.indices.to_numpy()]
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values of some."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -62,16 +81,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[bytes], width: int, hashes: WordHashes) -> Iterator[np.ndarray]:
     """Sorted distinct n-gram hashes of each text."""
-    if len(hashes) > KNOWN_WORDS:
-        hashes.clear()
     values = [np.zeros(0, np.uint64)]
     for piece in pieces(BETWEEN.join(b" " + t.replace(BETWEEN, b"\xfe").lower() + b" " for t in texts)):
-        words = piece.split()
-        values.append(np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)))
-        if len(hashes) > 2 * KNOWN_WORDS:
-            hashes.clear()
+        values.append(hashes(piece))
     values = np.concatenate(values)
-    bounds = np.flatnonzero(values == np.uint64(hashes[BETWEEN]))
+    bounds = np.flatnonzero(values == hashes(BETWEEN)[0])
     grams = np.full(max(0, len(values) - width + 1), width, dtype=np.uint64)
     for j in range(width):
         grams = grams * _STEP + values[j : j + len(grams)]
@@ -79,7 +93,7 @@ def shingle_sets(texts: list[bytes], width: int, hashes: WordHashes) -> Iterator
     for start, end in zip([0, *(bounds + 1)], [*bounds, len(values)], strict=True):
         n = end - start
         if n >= width:
-            yield np.unique(grams[start : end - width + 1])
+            yield distinct(grams[start : end - width + 1])
         elif n:
             short = np.full(1, n, dtype=np.uint64)
             for v in values[start:end]:

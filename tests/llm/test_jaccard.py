@@ -3,6 +3,7 @@ import time
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quernel.llm import components, jaccard
@@ -130,6 +131,30 @@ def test_overlaps_of_sets(n, pool):
     assert all(found[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(n) for j in range(n) if i != j)
 
 
+@pytest.mark.parametrize("text", [b"", b" ", b"a", b" \t\n\x0b\x0c\r", b"a  b\tc\x1cd \xc2\xa0e\x85 \x00 a", b"\x08a\x0eb\x1fc ", bytes(range(256)) * 3])
+def test_words_of_any_bytes(text):
+    assert jaccard.words_of(text).to_pylist() == text.split()
+    assert jaccard.WordHashes()(text).tolist() == [xxhash.xxh3_64_intdigest(w) for w in text.split()]
+
+
+def test_sets_cost_less_than_looking_up_each_word():
+    rng = np.random.default_rng(2)
+    names = [f"w{x}" for x in range(20000)]
+    texts = [" ".join(names[x] for x in rng.zipf(1.3, 1000) % 20000).encode() for _ in range(1000)]
+    hashes, known = jaccard.WordHashes(), {w: xxhash.xxh3_64_intdigest(w) for t in texts for w in t.split()}
+    start = time.process_time()
+    for a in range(0, 1000, 200):
+        assert len(list(jaccard.shingle_sets(texts[a : a + 200], 5, hashes))) == 200
+    mine = time.process_time() - start
+    start = time.process_time()
+    for a in range(0, 1000, 200):
+        found = b" ".join(texts[a : a + 200]).split()
+        values = np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found))
+        for x in range(0, len(found), 1000):
+            np.unique(values[x : x + 1000])
+    assert mine < time.process_time() - start
+
+
 def test_two_blocks_cost_what_their_nodes_share():
     """Two full blocks whose nodes share a passage and little else: the work must not be that of a dense product over all n-grams (2 * 10^12 steps)."""
     rng = np.random.default_rng(1)
