@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quernel.functions import text
 from quernel.operators import index
+from quernel.plans import queries
 from quernel.plans.search import SearchEngine
 
 
@@ -88,3 +89,8 @@ def test_possessive_endings(spark):
     words = ["cat's", "cat’s", "it's", "s", "x's's", "l'été", "dogs'", "'s"]
     told = spark.createDataFrame([(" ".join(words),)], "t string").select(text.english_terms(F.col("t")).alias("w")).first().w
     assert told == ["cat", "cat", "it", "s", "x's", "l'été", "dogs", "s"]
+
+
+def test_index_build_starts_no_python_workers(spark):
+    told = plan(queries.REGISTERED["index_build"](spark, "/root/testdata/sf0.001"))
+    assert "HashAggregate" in told and not any(word in told for word in ("Python", "Arrow", "Pandas"))
