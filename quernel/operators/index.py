@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 from typing import TYPE_CHECKING
@@ -9,20 +10,21 @@ from typing import TYPE_CHECKING
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import Porter, english_terms, plain_tokens, stem_table
-from ..sources.shared import held, stated
+from ..sources.shared import WRITTEN, held, stated
 
 if TYPE_CHECKING:
     from .cells import VectorCells
 
 FIELDS = ("title", "text")
 BUCKETS = 64
-#: Documents of a block at most, which are neighbours in storage; a merge chooses blocks by hash of the id. Tokens that a task handles at once, about.
-BLOCK, TOKENS = 128, 1 << 19
+#: Documents of a block at most, which are neighbours in storage; a merge chooses blocks by hash of the id. Tokens that a task handles at once, and whose blocks it packs at once, about.
+BLOCK, TOKENS, PACKED = 128, 1 << 19, 1 << 20
 
 
 @dataclass
@@ -191,11 +193,67 @@ def _blocked(analyzer: str, fields: tuple[str, ...]):
 BLOCK_COLUMNS = ["term", "field", "block", "n", "most_tf", "least_dl", "heads", "tokens", "doc_ids", "tfs", "dls", "positions"]
 
 
-def blocks_of(documents: DataFrame, analyzer: str = "plain") -> DataFrame:
-    """Blocks of documents as they lie in storage: neither texts nor postings are shuffled for them."""
+def _packed(blocked: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], buckets: int):
+    """Function for mapInArrow: what `blocked` makes as rows (bucket, packed), each a small Parquet file of one bucket's blocks out of about PACKED tokens."""
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        had, size = [], 0
+        for blocks in blocked(batches):
+            had.append(blocks)
+            size += pc.sum(blocks.column("tokens")).as_py()
+            if size >= PACKED:
+                yield packed(had)
+                had, size = [], 0
+        if had:
+            yield packed(had)
+
+    def packed(had: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(had).combine_chunks()
+        found = whole["term"].combine_chunks().dictionary_encode()
+        code = found.indices.to_numpy(zero_copy_only=False)
+        of = np.array([zlib.crc32(t.encode()) % buckets for t in found.dictionary.to_pylist()])[code]
+        order = np.lexsort((code, of))
+        whole, of = whole.take(pa.array(order)), of[order]
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        files = [file(whole.slice(a, b - a)) for a, b in zip(first, np.append(first[1:], len(of)), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(of[first].astype(np.int32)), pa.array(files, pa.binary())], names=["bucket", "packed"])
+
+    def file(rows: pa.Table) -> bytes:
+        numbers = [f.name for f in rows.schema if pa.types.is_integer(f.type)]
+        numbers += [f"{name}.list.element" for name in ("doc_ids", "tfs", "dls") if pa.types.is_integer(rows.schema.field(name).type.value_type)] + ["positions.list.element.list.element"]
+        sink = pa.BufferOutputStream()
+        pq.write_table(rows, sink, compression="zstd", use_dictionary=["term", "field"], column_encoding=dict.fromkeys(numbers, "DELTA_BINARY_PACKED"))
+        return sink.getvalue().to_pybytes()
+
+    return pack
+
+
+def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: the blocks in rows of _packed(), with their bucket."""
+    for batch in batches:
+        for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for rows in pq.ParquetFile(pa.BufferReader(packed.as_buffer())).iter_batches():
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(len(rows), bucket, np.int32))], names=[*BLOCK_COLUMNS, "bucket"])
+
+
+def _analyzed(documents: DataFrame, analyzer: str) -> tuple[DataFrame, str]:
+    """doc_id and the tokens of each field; the schema of their blocks."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"term string, field string, block long, n int, most_tf long, least_dl long, heads long, tokens long, doc_ids array<{kind}>, tfs array<long>, dls array<long>, positions array<array<int>>"
-    return documents.select("doc_id", *(ANALYZERS[analyzer](F.col(f)).alias(f) for f in FIELDS)).mapInArrow(_blocked(analyzer, FIELDS), schema)
+    return documents.select("doc_id", *(ANALYZERS[analyzer](F.col(f)).alias(f) for f in FIELDS)), schema
+
+
+def blocks_of(documents: DataFrame, analyzer: str = "plain") -> DataFrame:
+    """Blocks of documents as they lie in storage: neither texts nor postings are shuffled for them."""
+    rows, schema = _analyzed(documents, analyzer)
+    return rows.mapInArrow(_blocked(analyzer, FIELDS), schema)
+
+
+def dealt_blocks(documents: DataFrame, analyzer: str = "plain") -> DataFrame:
+    """blocks_of() with their buckets, dealt by these. As rows, blocks have several times the bytes of the texts, most of them of short lists; packed, they have about what files of them have."""
+    rows, schema = _analyzed(documents, analyzer)
+    packed = rows.mapInArrow(_packed(_blocked(analyzer, FIELDS), BUCKETS), "bucket int, packed binary")
+    return packed.hint("rebalance", "bucket").mapInArrow(_unpacked, f"{schema}, bucket int")
 
 
 def field_stats(tokens: DataFrame) -> DataFrame:
@@ -230,7 +288,8 @@ def of_asked(index: Index, terms: DataFrame) -> Index:
 
 
 def term_bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    """A function that tasks in Python have too (see _packed())."""
+    return F.pmod(F.crc32(term), F.lit(BUCKETS)).cast("int")
 
 
 def block_of(doc_id: Column, n_blocks: int) -> Column:
@@ -279,12 +338,15 @@ def write_parts(path: str, documents: DataFrame, vectors: DataFrame, analyzer: s
     """Blocks lie in folders by term bucket; a task writes to one bucket's folder only, large buckets by several tasks. Documents are sorted by id, so that those of given
     ids are in few row groups. Blocks are made of the documents written, or of postings, where these are at hand."""
     spark = documents.sparkSession
-    documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/documents")
-    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").options(**WRITTEN).parquet(f"{path}/documents")
+    vectors.write.mode("overwrite").options(**WRITTEN).parquet(f"{path}/vectors")
     put = spark.read.schema(documents.schema).parquet(f"{path}/documents")
-    packed = blocks_of(put, analyzer) if posted is None else in_blocks(posted, max(1, -(-put.count() // BLOCK)))
-    packed = packed.withColumn("bucket", term_bucket(F.col("term"))).hint("rebalance", "bucket")
-    packed.sortWithinPartitions("bucket", "term", "field", "block").write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).partitionBy("bucket").parquet(f"{path}/blocks")
+    if posted is None:
+        blocks = dealt_blocks(put, analyzer)
+    else:
+        blocks = in_blocks(posted, max(1, -(-put.count() // BLOCK))).withColumn("bucket", term_bucket(F.col("term"))).hint("rebalance", "bucket")
+    rows = blocks.sortWithinPartitions("bucket", "term", "field", "block").write.mode("overwrite").options(**WRITTEN)
+    rows.option("parquet.block.size", GROUP_BYTES).partitionBy("bucket").parquet(f"{path}/blocks")
 
 
 def facts(documents: DataFrame) -> dict[str, DataFrame]:
@@ -320,9 +382,9 @@ def write_statistics(path: str, vocabulary_: DataFrame, stats: DataFrame, analyz
 
     spark = stats.sparkSession
     words = vocabulary_.groupBy("term", "field").agg(F.sum("df").alias("df")).where("df <> 0").withColumn("bucket", term_bucket(F.col("term")))
-    words.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vocabulary")
+    words.hint("rebalance", "bucket").write.mode("overwrite").options(**WRITTEN).partitionBy("bucket").parquet(f"{path}/vocabulary")
     near = keyed(spark.read.parquet(f"{path}/vocabulary").select(F.col("term").alias("word"), "field", "df")).withColumn("bucket", term_bucket(F.col("key")))
-    near.hint("rebalance", "bucket").sortWithinPartitions("bucket", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/nearby")
+    near.hint("rebalance", "bucket").sortWithinPartitions("bucket", "key").write.mode("overwrite").options(**WRITTEN).partitionBy("bucket").parquet(f"{path}/nearby")
     told = stats.groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("tokens").alias("tokens"))
     told.withColumns({"analyzer": F.lit(analyzer), "cells": F.lit(cells)}).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
@@ -401,15 +463,26 @@ def with_documents(rows: DataFrame, documents: DataFrame, how: str = "left") ->
     _, few = stated(ids, MANY_IDS)
     if few is not None:
         return rows.join(F.broadcast(documents.where(F.col("doc_id").isin(sorted({r.doc_id for r in few})))), "doc_id", how)
-    ids = ids.distinct()
+    return rows.join(_met(ids.distinct(), documents, ["doc_id"]), "doc_id", how)
+
+
+def _met(ids: DataFrame, documents: DataFrame, keys: list[str]) -> DataFrame:
+    """Documents of ids (keys; distinct rows), which are broadcast in parts of bounded size."""
     size = F.length(F.col("doc_id").cast("string")).cast("long")
     n = max(1, -(-(ids.agg(F.sum(size + 16)).first()[0] or 0) // ID_BYTES))
     part = lambda df, i: df.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == i) if n > 1 else df
     met = None
     for i in range(n):
-        found = part(documents, i).join(F.broadcast(part(ids, i)), "doc_id", "left_semi")
+        found = part(documents, i).join(F.broadcast(part(ids, i)), keys, "left_semi")
         met = found if met is None else met.unionByName(found)
-    return rows.join(met, "doc_id", how)
+    return met
+
+
+def of_versions(versions: DataFrame, documents: DataFrame) -> DataFrame:
+    """documents (segment, doc_id, ...) of versions (segment, doc_id; a held table of distinct rows). Nothing of the documents is shuffled or held."""
+    _, few = stated(versions.select("doc_id"), MANY_IDS)
+    near = documents if few is None else documents.where(F.col("doc_id").isin(sorted({r.doc_id for r in few})))
+    return _met(versions, near, ["segment", "doc_id"])
 
 
 def corpus_stats(documents: DataFrame, most: int = 100) -> DataFrame:

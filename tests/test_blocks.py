@@ -94,3 +94,27 @@ def test_possessive_endings(spark):
 def test_index_build_starts_no_python_workers(spark):
     told = plan(queries.REGISTERED["index_build"](spark, "/root/testdata/sf0.001"))
     assert "HashAggregate" in told and not any(word in told for word in ("Python", "Arrow", "Pandas"))
+
+
+@pytest.mark.parametrize("analyzer", ["plain", "english"])
+@pytest.mark.parametrize("size", [1 << 20, 200])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_blocks_are_packed_where_they_are_dealt(spark, monkeypatch, analyzer, size, kind):
+    """The shuffle carries packed blocks only, and what comes out of it are the blocks with their buckets."""
+    monkeypatch.setattr(index, "PACKED", size)
+    docs = documents(spark).withColumn("doc_id", F.col("doc_id").cast(kind))
+    dealt = index.dealt_blocks(docs, analyzer)
+    assert dealt._jdf.queryExecution().optimizedPlan().toString().count("RebalancePartitions") == 1
+    node = dealt._jdf.queryExecution().optimizedPlan().children().head()
+    assert node.nodeName() == "RebalancePartitions" and [c.name() for c in (node.output().apply(i) for i in range(node.output().length()))] == ["bucket", "packed"]
+    told = lambda rows: sorted(map(str, rows.collect()))
+    assert told(dealt) == told(index.blocks_of(docs, analyzer).withColumn("bucket", index.term_bucket(F.col("term"))))
+    assert dealt.schema.simpleString() == index.blocks_of(docs, analyzer).withColumn("bucket", index.term_bucket(F.col("term"))).schema.simpleString()
+    assert index.dealt_blocks(docs.limit(0), analyzer).count() == 0
+
+
+def test_saved_tables_are_compressed_well(spark, tmp_path):
+    index.save_index(index.build_index(documents(spark)), f"{tmp_path}/index")
+    files = [f for f in tmp_path.rglob("*.parquet") if f.is_file() and f.parts[len(tmp_path.parts) + 1] in ("documents", "vectors", "blocks", "vocabulary", "nearby")]
+    assert files and all(".zstd." in f.name for f in files)
+    assert ".zstd." in index.held(documents(spark), "x").inputFiles()[0]
