@@ -17,7 +17,7 @@ from ..functions import text as texts
 from ..operators import boolean, cells, facets, filters, fuse, index, rank, rerank, retrieve, trend, words
 from ..operators.filters import Filters
 from ..sources import records
-from ..sources.shared import exists, file_state, held, shared_dir
+from ..sources.shared import exists, file_state, held, holding, shared_dir
 from ..sources.tables import search_documents, table
 from . import segments
 from .search import SearchEngine, enriched
@@ -140,10 +140,11 @@ def grown_index(spark: SparkSession, sf_dir: str) -> index.Index:
     """All documents by batches: each first with another text, then as it is, those of one language and the others apart."""
 
     def save(path: str) -> None:
-        docs, english = held(search_documents(spark, sf_dir), "documents"), F.coalesce(F.array_contains("tools", "en"), F.lit(False))
-        segments.upsert(docs.withColumn("text", F.concat("text", F.lit(" and the license"))), path)
-        segments.upsert(docs.where(english), path)
-        segments.upsert(docs.where(~english), path)
+        english = F.coalesce(F.array_contains("tools", "en"), F.lit(False))
+        with holding(search_documents(spark, sf_dir), "documents") as docs:
+            segments.upsert(docs.withColumn("text", F.concat("text", F.lit(" and the license"))), path, written=True)
+            segments.upsert(docs.where(english), path, written=True)
+            segments.upsert(docs.where(~english), path, written=True)
 
     return opened(spark, "grown", sf_dir, ("documents", "labels", "events", "orders", "embeddings"), save, lambda path: segments.open_index(spark, path))
 

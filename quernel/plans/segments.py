@@ -11,15 +11,16 @@ Segments are merged when the newest ones together are not much smaller than the
 from __future__ import annotations
 
 import uuid
+from contextlib import ExitStack
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.encode import Encoder, embedded
-from ..operators.index import Index, build_index, load_segments, save_index, unpacked, with_documents, without_hidden, write_parts, write_statistics
+from ..operators.index import Index, build_index, load_segments, of_versions, save_index, unpacked, with_documents, without_hidden, write_parts, write_statistics
 from ..sources.records import latest
-from ..sources.shared import exists, held
+from ..sources.shared import exists, held, holding
 from ..streaming.ingest import versions
 
 #: A segment is merged with the newer ones if it has at most so many times their documents.
@@ -62,26 +63,33 @@ def _read(spark: SparkSession, path: str, rows: list, name: str) -> DataFrame:
     return found
 
 
-def upsert(documents: DataFrame, path: str, analyzer: str = "plain", deleted: DataFrame | None = None, batch: int = -1) -> None:
+def upsert(documents: DataFrame, path: str, analyzer: str = "plain", deleted: DataFrame | None = None, batch: int = -1, written: bool = False) -> None:
     """Puts documents, of which the ids must differ (see records.latest()), into the index at the path, in place of those of equal ids, and takes out the deleted (doc_id).
 
     Rows without an id are left out. A batch without documents and deletions changes nothing. batch: the number of a stream's batch, kept in the manifest.
+    written: whether documents are read from a table that stays as it is; others are held until the batch is in. Old versions are read where they lie: only their ids are written.
     """
     spark, rows = documents.sparkSession, manifest(documents.sparkSession, path)
-    fresh = held(documents.where("doc_id IS NOT NULL"), "fresh")
-    ids = fresh.select("doc_id")
-    if deleted is not None:
-        ids = held(ids.unionByName(deleted.select("doc_id").where("doc_id IS NOT NULL")).distinct(), "ids")
-    if ids.isEmpty():
-        return
-    number, folder = max((r.segment for r in rows), default=-1) + 1, f"segments/{uuid.uuid4().hex}"
-    old = held(with_documents(ids, without_hidden(_read(spark, path, rows, "documents"), _hidden(spark, path, rows)), "inner"), "old") if rows else None
-    hidden = old.count() if old is not None else 0
-    before = build_index(old.drop("segment").withColumn("vector", F.lit(None).cast("array<float>")), analyzer) if hidden else None
-    save_index(build_index(fresh, analyzer), f"{path}/{folder}", retracted=before)
-    if hidden:
-        old.select("segment", "doc_id").write.mode("overwrite").parquet(f"{path}/{folder}/hides")
-    _commit(spark, path, [*map(tuple, rows), (number, folder, fresh.count(), hidden, batch)])
+    documents = documents.where("doc_id IS NOT NULL")
+    with ExitStack() as stack:
+        fresh = documents if written else stack.enter_context(holding(documents, "fresh"))
+        ids = fresh.select("doc_id")
+        if deleted is not None:
+            ids = stack.enter_context(holding(ids.unionByName(deleted.select("doc_id").where("doc_id IS NOT NULL")).distinct(), "ids"))
+        if ids.isEmpty():
+            return
+        number, folder = max((r.segment for r in rows), default=-1) + 1, f"segments/{uuid.uuid4().hex}"
+        hidden, before = 0, None
+        if rows:
+            had = _read(spark, path, rows, "documents")
+            live = without_hidden(had.select("segment", "doc_id"), _hidden(spark, path, rows))
+            hides = with_documents(ids, live, "inner").select("segment", "doc_id")
+            hides.write.mode("overwrite").parquet(f"{path}/{folder}/hides")
+            hides = spark.read.schema(hides.schema).parquet(f"{path}/{folder}/hides")
+            if hidden := hides.count():
+                before = build_index(of_versions(hides, had).drop("segment").withColumn("vector", F.lit(None).cast("array<float>")), analyzer)
+        save_index(build_index(fresh, analyzer), f"{path}/{folder}", retracted=before)
+        _commit(spark, path, [*map(tuple, rows), (number, folder, fresh.count(), hidden, batch)])
     merge(spark, path)
 
 

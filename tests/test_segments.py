@@ -1,5 +1,6 @@
 """An index that grows by batches equals one built anew."""
 
+import os
 import random
 from datetime import datetime
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from quernel.operators import index
 from quernel.plans import segments
 from quernel.plans.search import SearchEngine
+from quernel.sources.shared import shared_dir
 
 SCHEMA = "doc_id long, title string, text string, vector array<float>, tools array<string>, sentiment string, subreddit string, date timestamp, upvotes int"
 WORDS = ["the", "the", "of", "license", "token", "plan", "price", "editor", "model", "zeta"]
@@ -73,6 +75,26 @@ def test_an_unfinished_batch_is_not_seen(spark, tmp_path, monkeypatch):
     assert SearchEngine.open(spark, path).index.documents.count() == 9
 
 
+@pytest.mark.parametrize("parts", [False, True])
+def test_batches_leave_no_copies(spark, tmp_path, monkeypatch, parts):
+    """Nothing of the documents stays outside of the index, and old versions are found by ids in broadcast parts too."""
+    if parts:
+        monkeypatch.setattr(index, "MANY_IDS", 2)
+        monkeypatch.setattr(index, "ID_BYTES", 100)
+        monkeypatch.setattr(segments, "HIDDEN", 2)
+    rnd, path, shared = random.Random(5), f"{tmp_path}/index", shared_dir(spark)
+    before = set(os.listdir(shared.removeprefix("file:")))
+    rows = {i: document(rnd, i) for i in range(40)}
+    for ids in (range(40), range(0, 40, 2), range(0, 40, 3)):
+        rows |= {i: document(rnd, i) for i in ids}
+        gone = [] if len(ids) == 40 else [ids[0] + 1]
+        rows = {i: r for i, r in rows.items() if i not in gone}
+        segments.upsert(spark.createDataFrame([rows[i] for i in ids if i in rows], SCHEMA), path, deleted=spark.createDataFrame([(i,) for i in gone], "doc_id long"))
+    assert {n for n in set(os.listdir(shared.removeprefix("file:"))) - before if not n.startswith("words")} == set()
+    asked = spark.createDataFrame([(1, "the token", [0.5, 0.5])], "query_id int, q string, vector array<float>")
+    assert show(SearchEngine.open(spark, path), asked) == show(SearchEngine(index.build_index(spark.createDataFrame(list(rows.values()), SCHEMA))), asked)
+
+
 def test_which_segments_are_merged():
     assert segments.due([100]) == 0 and segments.due([100, 10]) == 1 and segments.due([100, 10, 5]) == 1
     assert segments.due([100, 10, 5, 40]) == 0 and segments.due([1000, 100, 10, 1]) == 3
