@@ -17,7 +17,7 @@ from ..functions import text as texts
 from ..operators import boolean, cells, facets, filters, fuse, index, rank, rerank, retrieve, trend, words
 from ..operators.filters import Filters
 from ..sources import records
-from ..sources.shared import exists, file_state, held, holding, shared_dir
+from ..sources.shared import WRITTEN, exists, file_state, held, holding, shared_dir
 from ..sources.tables import search_documents, table
 from . import segments
 from .search import SearchEngine, enriched
@@ -57,6 +57,12 @@ def saved_index(spark: SparkSession, sf_dir: str) -> index.Index:
     return opened(spark, "index", sf_dir, tables, lambda path: index.save_index(index.build_index(search_documents(spark, sf_dir)), path), lambda path: index.load_index(spark, path))
 
 
+def saved_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, vector of all documents that have one: all that vector search reads of an index, so texts are neither copied nor indexed for it."""
+    tables = ("documents", "labels", "events", "orders", "embeddings")
+    return opened(spark, "vectors", sf_dir, tables, lambda path: index.build_index(search_documents(spark, sf_dir)).vectors.write.options(**WRITTEN).parquet(path), spark.read.parquet)
+
+
 def saved_cells(spark: SparkSession, sf_dir: str) -> cells.VectorCells:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     return opened(spark, "cells", sf_dir, ("embeddings",), lambda path: cells.save_cells(vectors, path), lambda path: cells.VectorCells.open(spark, path))
@@ -119,7 +125,8 @@ def keyword_search_page(t: Tables) -> DataFrame:
 
 @query
 def knn_topk(t: Tables) -> DataFrame:
-    return rounded(t.engine().vector(t.queries, 100), "score")
+    only = replace(index.build_index(t.docs), vectors=saved_vectors(t.spark, t.sf_dir))
+    return rounded(SearchEngine(only).vector(t.queries, 100), "score")
 
 
 @query

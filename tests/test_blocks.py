@@ -118,3 +118,15 @@ def test_saved_tables_are_compressed_well(spark, tmp_path):
     files = [f for f in tmp_path.rglob("*.parquet") if f.is_file() and f.parts[len(tmp_path.parts) + 1] in ("documents", "vectors", "blocks", "vocabulary", "nearby")]
     assert files and all(".zstd." in f.name for f in files)
     assert ".zstd." in index.held(documents(spark), "x").inputFiles()[0]
+
+
+def test_vector_search_saves_vectors_only(spark, monkeypatch):
+    def not_asked(*_, **__):
+        raise AssertionError("texts are indexed")
+
+    monkeypatch.setattr(index, "save_index", not_asked)
+    monkeypatch.setattr(queries, "INDEXES", {})
+    found = queries.REGISTERED["knn_topk"](spark, "/root/testdata/sf0.001")
+    assert found.groupBy("query_id").count().select("count").distinct().collect() == [(100,)]
+    ((path, saved),) = queries.INDEXES.values()
+    assert saved.columns == ["doc_id", "vector"] and saved.where("vector IS NULL").isEmpty()
